@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, token_counts
+from . import licenses, packing, pii, quality, secrets, simhash, token_counts, urls, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -39,3 +39,61 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@_query
+def op8_subspace_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op8_subspace_embedding_dedup"] = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, low.component_id, e.vec_id = low.component_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN low ON low.a = e.vec_id
+"""
+
+
+@_query
+def op2_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op3_ordinal_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.grades_of(_table(spark, sf_dir, "labels")))
+    return quality.grade_documents(docs, model, keep=["doc_id"])
+
+
+@_query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op5_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return done.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_pii"), spans.alias("spans"))
+
+
+def page_outcomes(labels: DataFrame) -> DataFrame:
+    """Labelled page outcomes: the page of a labelled id is bad when it is of low quality or toxic."""
+    bad = F.when((F.col("quality") < 1) | (F.col("toxic") > 0), 1).when(F.col("quality") >= 1, 0)
+    return labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+
+
+@_query
+def op9_bayes_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(_table(spark, sf_dir, "pages"), page_outcomes(_table(spark, sf_dir, "labels")))
