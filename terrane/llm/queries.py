@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, pii, quality, secrets, simhash, token_counts, urls, vectors
+from . import decontamination, licenses, packing, pii, quality, secrets, simhash, token_counts, urls, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -97,3 +97,9 @@ def page_outcomes(labels: DataFrame) -> DataFrame:
 @_query
 def op9_bayes_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"), page_outcomes(_table(spark, sf_dir, "labels")))
+
+
+@_query
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark")).drop("text")
