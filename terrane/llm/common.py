@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Rows up to which a written table of ids or hashes may be broadcast (at most about 40 bytes each).
+BROADCAST_ROWS = 500_000
 _LOCAL: dict[str, str] = {}
 
 

@@ -23,8 +23,6 @@ LITERALS = 5
 MIN_WORDS = 4
 COVERAGE = 0.6
 CONSISTENT = 0.8
-# Rows up to which a materialized table may be broadcast (at most about 40 bytes each).
-BROADCAST_ROWS = 500_000
 # Units of measure.
 UNITS = (
     "mm cm km kg mg ml cl dl lb lbs oz ft inch inches feet foot yard yards mile miles meter meters metre metres kilometer kilometers"
@@ -67,7 +65,7 @@ def text_key(text):
 
 def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A broadcast hint for a written table of few rows; larger ones are joined by a shuffle."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= common.BROADCAST_ROWS else df
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text: str = "text", window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
@@ -163,3 +161,10 @@ def verdicts(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """Find benchmark items in every document: ``verdicts`` of ``contaminated_texts``."""
     return verdicts(docs, contaminated_texts(docs, benchmark, text, **options), text)
+
+
+def clean(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item, with all their columns."""
+    keys = _small(common.materialize(found.select("_k1", "_k2").distinct()))
+    k1, k2 = text_key(docs[text].cast("string"))
+    return docs.join(keys, (k1 == keys["_k1"]) & (k2 == keys["_k2"]), "left_anti")

@@ -273,3 +273,4 @@ def pseudonymize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ke
             yield pa.RecordBatch.from_arrays([*columns, spans], names=[*names, "pii_spans"])
 
     return rows.mapInArrow(run, schema)
+

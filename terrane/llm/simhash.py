@@ -175,3 +175,26 @@ def near_duplicates(
     member = member.join(lows, "root", "left").select("fp", F.coalesce("root_low", "low").alias("component_id"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(member, "fp").select(F.col("_id").alias(id_col), digits.alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The columns of ``docs``, one document of each group: the one with the smallest id.
+
+    Options are those of ``near_duplicates``. Rows that repeat an id and its text are one row;
+    rows with a null id stay, but for repeats of the same text among them. The ids to drop are
+    broadcast only while they are few; else the join is a shuffle.
+    """
+    found = common.materialize(near_duplicates(docs, id_col, text, **options).select(F.col(id_col).alias("_id"), "component_id"))
+    kept = found.where(F.col("_id") == F.col("component_id")).select("_id").distinct()
+    gone = common.materialize(found.where(F.col("_id").isNotNull()).select("_id").distinct().join(kept, "_id", "left_anti"))
+    n_gone = gone.count()
+    gone = F.broadcast(gone) if n_gone <= common.BROADCAST_ROWS else gone
+    rows = docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+    again = common.materialize(found.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"))
+    n_again = again.count()
+    if not n_again:
+        return rows
+    again = F.broadcast(again) if n_again <= common.BROADCAST_ROWS else again
+    same = rows[id_col].eqNullSafe(again["_id"])
+    once = rows.join(again, same, "left_anti")
+    return once.unionByName(rows.join(again, same, "left_semi").dropDuplicates([id_col, text]))
