@@ -75,11 +75,11 @@ def gazetteer_exact(spark, d):
 
 @query("""SELECT p_partkey, p_name, starts_word FROM (
   SELECT *, row_number() OVER (ORDER BY starts_word DESC, p_partkey) AS r FROM (
-    SELECT p_partkey, p_name, instr(k, '12') = 1 OR substr(k, instr(k, '12') - 1, 1) = ' ' AS starts_word
-    FROM (SELECT p_partkey, p_name, trim(regexp_replace(lower(p_name), '[^a-z0-9_]+', ' ', 'g')) AS k FROM part) WHERE instr(k, '12') > 0)) WHERE r <= 25""")
+    SELECT p_partkey, p_name, instr(k, 'ge') = 1 OR substr(k, instr(k, 'ge') - 1, 1) = ' ' AS starts_word
+    FROM (SELECT p_partkey, p_name, trim(regexp_replace(lower(p_name), '[^a-z0-9_]+', ' ', 'g')) AS k FROM part) WHERE instr(k, 'ge') > 0)) WHERE r <= 25""")
 def search_ranked(spark, d):
     rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    found = search.search(search.entries(rows, F.lit("part")), "12")
+    found = search.search(search.entries(rows, F.lit("part")), "ge")
     return found.select(F.col("ord").alias("p_partkey"), F.col("display").alias("p_name"), "starts_word")
 
 
