@@ -103,3 +103,49 @@ def op9_bayes_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark")).drop("text")
+
+
+def _op9_sql() -> str:
+    upper = "".join(map(chr, range(65, 91)))
+    two = ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES)
+    low = 1 / (1 + urls.MIN_STRENGTH)
+
+    def strength(table: str) -> str:
+        return f"""(SELECT CASE WHEN more > 0 THEN 1 / least({low!r}, greatest(0.001, (seen - one) / more)) - 1 ELSE {urls.MIN_STRENGTH!r} END FROM (SELECT
+          sum(n * pow(k / n - mu, 2)) AS seen, sum(mu * (1 - mu)) AS one, sum(mu * (1 - mu) * (n - 1)) AS more FROM {table}))"""
+
+    tests = []
+    for action, host, path in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2])):
+        tests.append((f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')", host + path, action))
+    rule = " ".join(f"WHEN {t} THEN '{r}'" for t, r, _ in tests)
+    verdict = " ".join(f"WHEN {t} THEN '{a}'" for t, _, a in tests)
+    return f"""
+WITH split AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{upper}', '{upper.lower()}') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+  named AS (SELECT doc_id AS page_id, CASE WHEN quality < 1 OR toxic > 0 THEN 1 WHEN quality >= 1 THEN 0 END AS bad FROM labels),
+  labelled AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS k FROM split JOIN named USING (page_id) WHERE bad IS NOT NULL GROUP BY host),
+  parts AS (SELECT host, string_split(host, '.') AS w FROM (SELECT DISTINCT host FROM split)),
+  pairs AS (SELECT host, w, array_to_string(list_slice(w, greatest(len(w) - 1, 1), len(w)), '.') AS two FROM parts),
+  hosts AS (SELECT host, CASE WHEN two IN ({two}) THEN array_to_string(list_slice(w, greatest(len(w) - 2, 1), len(w)), '.') ELSE two END AS domain,
+    CASE WHEN two IN ({two}) THEN two ELSE w[len(w)] END AS suffix FROM pairs),
+  known AS (SELECT * FROM labelled JOIN hosts USING (host)),
+  base AS (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + CAST(1 AS DOUBLE)) AS b FROM known),
+  suf AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(b) AS mu FROM known, base GROUP BY suffix),
+  ss AS (SELECT {strength("suf")} AS s),
+  dom AS (SELECT d.suffix, domain, d.n, d.k, (ss.s * b + suf.k - d.k) / (ss.s + suf.n - d.n) AS mu
+    FROM (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM known GROUP BY suffix, domain) d JOIN suf USING (suffix), base, ss),
+  sd AS (SELECT {strength("dom")} AS s),
+  every AS (SELECT h.host, coalesce(l.n, 0) AS n, coalesce(l.k, 0) AS k, coalesce(dom.n, 0) AS dn, coalesce(dom.k, 0) AS dk,
+      coalesce(dom.mu, (ss.s * b + coalesce(suf.k, 0)) / (ss.s + coalesce(suf.n, 0))) AS dmu
+    FROM hosts h LEFT JOIN labelled l USING (host) LEFT JOIN dom ON dom.domain = h.domain AND dom.suffix = h.suffix LEFT JOIN suf ON suf.suffix = h.suffix, base, ss),
+  prior AS (SELECT host, n, k, (sd.s * dmu + dk - k) / (sd.s + dn - n) AS mu FROM every, sd),
+  seen AS (SELECT * FROM prior WHERE n > 0),
+  sh AS (SELECT {strength("seen")} AS s),
+  posterior AS (SELECT host, (sh.s * mu + k) / (sh.s + n) AS share, sh.s + 1 + n AS weight FROM prior, sh),
+  judged AS (SELECT host, share, greatest(share - {urls.Z!r} * sqrt(share * (1 - share) / weight), 0) AS bound_low FROM posterior)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE CASE WHEN bound_low > {urls.BLOCK_SHARE!r} THEN 'block' ELSE 'allow' END END AS verdict,
+  round(share, 6) AS share, round(bound_low, 6) AS bound_low FROM split JOIN judged USING (host)
+"""
+
+
+ORACLES["op9_bayes_url_filter"] = _op9_sql()

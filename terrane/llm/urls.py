@@ -1,8 +1,8 @@
 """URL filters: longest matching rule, else an empirical-Bayes reputation of the host.
 
 Labelled page outcomes are counted by host. Each level, from the suffix over the registered
-domain to the host, has a beta prior whose mean is the posterior mean of the level above and
-whose strength comes from the spread between the members of that level (method of moments).
+domain to the host, has a beta prior whose mean is the posterior mean of the level above, without
+the member's own pages, and whose strength comes from the spread between members (method of moments).
 A host is blocked when even the lower bound of its posterior share of bad pages is over
 ``block_share``. Hosts without labelled pages stand by the posterior of their domain or suffix.
 DataFrame functions only.
@@ -21,6 +21,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "com.br", "com.cn", "co.in", "co.kr", "com.mx", "co.za", "com.tr")
 BLOCK_SHARE = 0.5
 Z = 1.96
+# A prior weighs at least this many pages, however far apart the members of its level are: one bad page is no verdict.
+MIN_STRENGTH = 2.0
 _MAX_RULES = 500
 
 
@@ -60,39 +62,40 @@ def _strength(level: DataFrame) -> float:
         F.sum(spread * (F.col("n") - 1)).alias("more"),
     ).first()
     if not row.more or row.more <= 0:
-        return 1.0
-    rho = min(0.999, max(0.001, (row.seen - row.one) / row.more))
+        return MIN_STRENGTH
+    rho = min(1 / (1 + MIN_STRENGTH), max(0.001, (row.seen - row.one) / row.more))
     return 1 / rho - 1
 
 
-def _level(members: DataFrame, strength: float) -> DataFrame:
-    """Posterior ``share`` and ``spread`` of members with (n, k) and the prior mean ``mu``."""
-    a, b = F.lit(strength) * F.col("mu") + F.col("k"), F.lit(strength) * (1 - F.col("mu")) + F.col("n") - F.col("k")
-    share = a / (a + b)
-    return members.withColumn("share", share).withColumn("spread", F.sqrt(share * (1 - share) / (a + b + 1)))
+def _shrunk(n, k, mu, strength: float):
+    """Posterior mean of k in n under a beta prior."""
+    return (F.lit(strength) * mu + k) / (F.lit(strength) + n)
 
 
 def reputations(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
     """``host, n, k, share, bound_low`` for the distinct ``hosts`` (host, domain, suffix).
 
-    ``outcomes``: host, domain, suffix, n labelled pages, k bad ones; one row for each host.
+    ``outcomes``: host, domain, suffix, n labelled pages, k bad ones; one row for each host. A
+    member's prior comes from the other members of its parent, so that no page counts twice.
     """
     outcomes = outcomes.where("n > 0")
     total = outcomes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    base = ((total.k or 0) + 0.5) / ((total.n or 0) + 1.0)
-    counted = [F.sum("n").alias("n"), F.sum("k").alias("k")]
-    suffixes = outcomes.groupBy("suffix").agg(*counted).withColumn("mu", F.lit(base))
-    s_suffix = _strength(suffixes)
-    suffixes = _level(suffixes, s_suffix).select("suffix", F.col("share").alias("suffix_share"))
-    domains = outcomes.groupBy("suffix", "domain").agg(*counted).join(suffixes, "suffix").withColumn("mu", F.col("suffix_share"))
-    s_domain = _strength(domains)
-    domains = _level(domains, s_domain).select("suffix", "domain", F.col("share").alias("domain_share"))
-    known = outcomes.join(domains, ["suffix", "domain"]).withColumn("mu", F.col("domain_share"))
-    s_host = _strength(known)
-    every = hosts.join(outcomes.select("host", "n", "k"), "host", "left").join(domains, ["suffix", "domain"], "left").join(suffixes, "suffix", "left")
-    every = every.withColumn("mu", F.coalesce("domain_share", "suffix_share", F.lit(base))).fillna(0, ["n", "k"])
-    low = F.greatest(F.col("share") - F.lit(Z) * F.col("spread"), F.lit(0.0))
-    return _level(every, s_host).select("host", "n", "k", "share", low.alias("bound_low"))
+    base = F.lit(((total.k or 0) + 0.5) / ((total.n or 0) + 1.0))
+    suffixes = outcomes.groupBy("suffix").agg(F.sum("n").alias("n_s"), F.sum("k").alias("k_s"))
+    s_suffix = _strength(suffixes.select(F.col("n_s").alias("n"), F.col("k_s").alias("k"), base.alias("mu")))
+    domains = outcomes.groupBy("suffix", "domain").agg(F.sum("n").alias("n_d"), F.sum("k").alias("k_d")).join(suffixes, "suffix")
+    mu_d = _shrunk(F.col("n_s") - F.col("n_d"), F.col("k_s") - F.col("k_d"), base, s_suffix)
+    s_domain = _strength(domains.select(F.col("n_d").alias("n"), F.col("k_d").alias("k"), mu_d.alias("mu")))
+    counted = outcomes.select("host", "n", "k")
+    every = hosts.join(counted, "host", "left").join(domains.drop("n_s", "k_s"), ["suffix", "domain"], "left").join(suffixes, "suffix", "left")
+    every = every.fillna(0, ["n", "k", "n_d", "k_d", "n_s", "k_s"])
+    mu_h = _shrunk(F.col("n_d") - F.col("n"), F.col("k_d") - F.col("k"), mu_d, s_domain)
+    every = every.select("host", "n", "k", mu_h.alias("mu"))
+    s_host = _strength(every.where("n > 0"))
+    share = _shrunk(F.col("n"), F.col("k"), F.col("mu"), s_host)
+    every = every.withColumn("share", share)
+    spread = F.sqrt(F.col("share") * (1 - F.col("share")) / (F.lit(s_host + 1) + F.col("n")))
+    return every.select("host", "n", "k", "share", F.greatest(F.col("share") - F.lit(Z) * spread, F.lit(0.0)).alias("bound_low"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url: str = "url", rules=RULES, block_share: float = BLOCK_SHARE) -> DataFrame:
