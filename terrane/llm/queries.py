@@ -149,3 +149,35 @@ SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE CASE WH
 
 
 ORACLES["op9_bayes_url_filter"] = _op9_sql()
+
+
+def _op10_sql() -> str:
+    d = decontamination
+    units = ", ".join(f"'{u}'" for u in d.UNITS)
+    slot = f"CASE WHEN substr({{0}}, 1, 1) BETWEEN '0' AND '9' THEN '#' WHEN substr({{0}}, 1, 1) <> lower(substr({{0}}, 1, 1)) THEN '@' WHEN {{0}} IN ({units}) THEN '%' END"
+    words = r"list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+    return f"""
+WITH doc AS (SELECT doc_id, {words} AS w FROM documents),
+  docw AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM doc),
+  doct AS (SELECT doc_id, i, x, coalesce({slot.format("x")}, lower(x)) AS t FROM docw),
+  item AS (SELECT item_id, w, least({d.WINDOW}, len(w)) AS size FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {d.MIN_WORDS}),
+  itemw AS (SELECT item_id, size, len(w) AS n, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM item),
+  itemt AS (SELECT *, {slot.format("x")} AS slot FROM itemw),
+  wins AS (SELECT a.item_id, a.i AS pos, a.size, string_agg(coalesce(b.slot, lower(b.x)), ' ' ORDER BY b.i) AS t, count(*) FILTER (WHERE b.slot IS NULL) AS literals
+    FROM itemt a JOIN itemt b ON a.item_id = b.item_id AND b.i BETWEEN a.i AND a.i + a.size - 1 WHERE a.i + a.size - 1 <= a.n GROUP BY 1, 2, 3),
+  telling AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_windows FROM wins WHERE literals >= least({d.LITERALS}, size - 1)),
+  sizes AS (SELECT DISTINCT size FROM telling),
+  docs AS (SELECT doc_id, list(t ORDER BY i) AS t FROM doct GROUP BY doc_id),
+  docwin AS (SELECT doc_id, size, p.range AS i, array_to_string(list_slice(t, p.range, p.range + size - 1), ' ') AS t FROM docs, sizes, range(1, 40000) p WHERE p.range + size - 1 <= len(docs.t)),
+  hits AS (SELECT DISTINCT doc_id, item_id, n_windows, telling.pos, telling.size, docwin.i - telling.pos AS shift FROM docwin JOIN telling ON docwin.t = telling.t AND docwin.size = telling.size),
+  covered AS (SELECT doc_id, item_id, count(DISTINCT pos) / CAST(any_value(n_windows) AS DOUBLE) AS covered FROM hits GROUP BY 1, 2 HAVING count(DISTINCT pos) / CAST(any_value(n_windows) AS DOUBLE) >= {d.COVERAGE!r}),
+  under AS (SELECT DISTINCT h.doc_id, h.item_id, h.shift, i.i, lower(i.x) AS v FROM hits h JOIN covered USING (doc_id, item_id) JOIN itemt i ON i.item_id = h.item_id AND i.i BETWEEN h.pos AND h.pos + h.size - 1 WHERE i.slot IS NOT NULL),
+  filled AS (SELECT DISTINCT u.doc_id, u.item_id, u.shift, u.v, lower(t.x) AS f FROM under u JOIN doct t ON t.doc_id = u.doc_id AND t.i = u.i + u.shift),
+  counted AS (SELECT doc_id, item_id, count(DISTINCT shift || ':' || v) AS values_, count(*) AS fills FROM filled GROUP BY 1, 2),
+  found AS (SELECT c.* FROM covered c LEFT JOIN counted USING (doc_id, item_id) WHERE coalesce(greatest(0, 1 - (fills - values_) / CAST(values_ AS DOUBLE)), 1) >= {d.CONSISTENT!r}),
+  by_doc AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items, max(covered) AS coverage FROM found GROUP BY 1)
+SELECT doc_id, by_doc.n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items, coalesce(coverage, 0) AS coverage FROM documents LEFT JOIN by_doc USING (doc_id)
+"""
+
+
+ORACLES["op10_template_decontamination"] = _op10_sql()
