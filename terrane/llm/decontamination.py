@@ -13,7 +13,7 @@ and copies share one verdict.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -69,24 +69,19 @@ def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text: str = "text", window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """``item, item_words, size, n_windows, at, w``: the telling windows of each item.
+    """``ik, item, item_words, size, n_windows, at, w``: the telling windows of each item.
 
+    ``ik`` stands for an id and its words: repeated rows are one item, one id with two texts is two.
     Items of fewer than ``window`` words have one window of their own length; items of fewer than
     four words, or without a telling window, can't be recognised and are left out.
     """
     items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(text).cast("string")).alias("item_words")).where(F.size("item_words") >= MIN_WORDS)
-    items = items.withColumn("size", F.least(F.lit(window), F.size("item_words")))
-    items = items.withColumn("hashes", _windows(_templates(F.col("item_words")), F.col("size")))
-    least = F.least(F.lit(literals), F.col("size") - 1)
-
-    def telling(i):
-        part = F.slice("item_words", i + 1, F.col("size"))
-        return F.size(F.filter(part, lambda w: placeholder(w).isNull())) >= least
-
-    places = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), telling)
-    found = F.transform(places, lambda i: F.struct(i.alias("at"), F.get("hashes", i).alias("w")))
-    items = items.withColumn("found", found).withColumn("n_windows", F.size("found"))
-    return items.select("item", "item_words", "size", "n_windows", F.explode("found").alias("f")).select("item", "item_words", "size", "n_windows", "f.at", "f.w")
+    items = items.select(F.xxhash64("item", "item_words").alias("ik"), "item", "item_words", F.least(F.lit(window), F.size("item_words")).alias("size"), _templates(F.col("item_words")).alias("t"))
+    items = items.dropDuplicates(["ik"])
+    each = items.select("ik", "item", "item_words", "size", F.posexplode(_windows(F.col("t"), F.col("size"))).alias("at", "w"))
+    literal = F.size(F.filter(F.slice("item_words", F.col("at") + 1, F.col("size")), lambda w: placeholder(w).isNull()))
+    each = each.where(literal >= F.least(F.lit(literals), F.col("size") - 1))
+    return each.withColumn("n_windows", F.count("*").over(Window.partitionBy("ik")))  # the windows of one item
 
 
 def contaminated_texts(
@@ -102,7 +97,7 @@ def contaminated_texts(
 ) -> DataFrame:
     """``_k1, _k2, item, covered, consistency``: texts (by their key) that hold a benchmark item."""
     bench = common.materialize(benchmark_windows(benchmark, item_col, item_text, window, literals))
-    slim = bench.select("item", "n_windows", "at", "w")
+    slim = bench.select("ik", "item", "n_windows", "at", "w")
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # at most ``window`` numbers
     body = docs.select(F.col(text).cast("string").alias("_text")).where("_text is not null")
     hashed = body.select(*text_key(F.col("_text")), _templates(words_of(F.col("_text"))).alias("t"))
@@ -111,27 +106,27 @@ def contaminated_texts(
     exploded = parts[0]
     for part in parts[1:]:
         exploded = exploded.unionByName(part)
-    hits = exploded.join(_small(slim), "w").select("_k1", "_k2", "item", "n_windows", "at", (F.col("p") - F.col("at")).alias("shift"))
-    aligned = hits.groupBy("_k1", "_k2", "item", "n_windows", "shift").agg(F.collect_set("at").alias("ats"))  # at most an item's windows
+    hits = exploded.join(_small(slim), "w").select("_k1", "_k2", "ik", "item", "n_windows", "at", (F.col("p") - F.col("at")).alias("shift"))
+    aligned = hits.groupBy("_k1", "_k2", "ik", "item", "n_windows", "shift").agg(F.collect_set("at").alias("ats"))  # at most an item's windows
     aligned = common.materialize(aligned)
-    covered = aligned.groupBy("_k1", "_k2", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("seen"))
-    covered = covered.select("_k1", "_k2", "item", (F.col("seen") / F.col("n_windows")).alias("covered")).where(F.col("covered") >= coverage)
+    covered = aligned.groupBy("_k1", "_k2", "ik", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("seen"))
+    covered = covered.select("_k1", "_k2", "ik", (F.col("seen") / F.col("n_windows")).alias("covered")).where(F.col("covered") >= coverage)
     covered = common.materialize(covered)
     keys = common.materialize(covered.select("_k1", "_k2").distinct())
     texts = body.select(*text_key(F.col("_text")), "_text").join(_small(keys), ["_k1", "_k2"], "left_semi")
     texts = texts.groupBy("_k1", "_k2").agg(F.min("_text").alias("_text")).select("_k1", "_k2", words_of(F.col("_text")).alias("words"))
-    items = bench.select("item", "item_words", "size").distinct()
-    pairs = aligned.join(covered, ["_k1", "_k2", "item"]).join(_small(items), "item").join(texts, ["_k1", "_k2"])
+    items = bench.select("ik", "item_words", "size").dropDuplicates(["ik"])
+    pairs = aligned.join(covered, ["_k1", "_k2", "ik"]).join(_small(items), "ik").join(texts, ["_k1", "_k2"])
     # the slots under the windows of one alignment, as (value in the item, value in the document)
     under = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1))))
     slots = F.filter(under, lambda i: placeholder(F.get("item_words", i)).isNotNull())
     filled = F.array_distinct(
         F.transform(slots, lambda i: F.struct(F.lower(F.get("item_words", i)).alias("item"), F.lower(F.get("words", i + F.col("shift"))).alias("doc")))
     )
-    pairs = pairs.select("_k1", "_k2", "item", "covered", filled.alias("filled"))
+    pairs = pairs.select("_k1", "_k2", "ik", "item", "covered", filled.alias("filled"))
     values = F.size(F.array_distinct(F.transform("filled", lambda s: s["item"])))
     pairs = pairs.withColumn("values", values).withColumn("extra", F.size("filled") - values)
-    scored = pairs.groupBy("_k1", "_k2", "item", "covered").agg(F.sum("values").alias("values"), F.sum("extra").alias("extra"))
+    scored = pairs.groupBy("_k1", "_k2", "ik", "item", "covered").agg(F.sum("values").alias("values"), F.sum("extra").alias("extra"))
     consistency = F.when(F.col("values") == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.col("extra") / F.col("values")))
     return scored.select("_k1", "_k2", "item", "covered", consistency.alias("consistency")).where(F.col("consistency") >= consistent)
 
