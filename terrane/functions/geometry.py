@@ -118,7 +118,7 @@ def ring_center(parts: Column) -> Column:
 
 def closed_rings(parts: Column) -> Column:
     """All rings have four points or more and end where they begin."""
-    return F.forall(F.flatten(parts), lambda r: (F.size(r) >= 4) & (F.get(r, F.lit(0)) == F.element_at(r, -1)))
+    return F.forall(F.flatten(parts), lambda r: (F.size(r) >= 4) & (F.get(r, F.lit(0)) == F.try_element_at(r, F.lit(-1))))
 
 
 def rounded(parts: Column, digits: int = SETTINGS.coordinate_digits) -> Column:
@@ -204,16 +204,16 @@ def simplify(parts_json: Column, tolerance: float, polygon: bool = True) -> Colu
 
 @F.pandas_udf(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
 def wkb_point(wkb: pd.Series) -> pd.DataFrame:
-    """A WKB point of either byte order; NaN for null or anything else."""
-    nan = (float("nan"), float("nan"))
+    """A WKB point of either byte order; null coordinates for null or anything else."""
+    none = (None, None)
 
     def read(blob):
         if blob is None or len(blob) < 21:
-            return nan
+            return none
         order = "<" if blob[0] == 1 else ">"
         (kind,) = struct.unpack_from(f"{order}I", blob, 1)
         skip = 4 if kind & 0x20000000 else 0
-        return struct.unpack_from(f"{order}dd", blob, 5 + skip) if kind & 0xFF == 1 and len(blob) >= 21 + skip else nan
+        return struct.unpack_from(f"{order}dd", blob, 5 + skip) if kind & 0xFF == 1 and len(blob) >= 21 + skip else none
 
     found = [read(b) for b in wkb]
     return pd.DataFrame({"x": [p[0] for p in found], "y": [p[1] for p in found]})

@@ -79,7 +79,7 @@ def merge_localities(current: DataFrame, historic: DataFrame, pairs: DataFrame)
         return F.get(F.filter(F.transform("_h", lambda r: r[name]), lambda v: v.isNotNull()), F.lit(0))
 
     def last(name):
-        return F.element_at(F.filter(F.transform("_h", lambda r: r[name]), lambda v: v.isNotNull()), -1)
+        return F.try_element_at(F.filter(F.transform("_h", lambda r: r[name]), lambda v: v.isNotNull()), F.lit(-1))
 
     none = F.array().cast(c.schema["population"].dataType)
     variants = F.filter(F.transform(F.coalesce("_h", F.array().cast(grouped.schema["_h"].dataType)), lambda r: r["name"]), lambda n: T.normalise(n) != T.normalise(F.col("name")))
@@ -94,7 +94,7 @@ def merge_localities(current: DataFrame, historic: DataFrame, pairs: DataFrame)
         F.aggregate(F.coalesce("_h", F.array().cast(grouped.schema["_h"].dataType)), F.coalesce(c["population"], none), lambda acc, r: merged_population(acc, r["population"])).alias("population"),
         _merged_maps(F.transform("_h", lambda r: r["refs"]), c["refs"]).alias("refs"),
         F.concat(F.coalesce(c["evidence"], F.array().cast(c.schema["evidence"].dataType)), F.coalesce(F.flatten(F.transform("_h", lambda r: F.coalesce(r["evidence"], F.array().cast(c.schema["evidence"].dataType)))), F.array().cast(c.schema["evidence"].dataType))).alias("evidence"),
-        F.when((F.element_at("_h", -1)["x"] != c["x"]) | (F.element_at("_h", -1)["y"] != c["y"]), F.struct(F.element_at("_h", -1)["x"].alias("x"), F.element_at("_h", -1)["y"].alias("y"))).alias("historic_point"),
+        F.when((F.try_element_at("_h", F.lit(-1))["x"] != c["x"]) | (F.try_element_at("_h", F.lit(-1))["y"] != c["y"]), F.struct(F.try_element_at("_h", F.lit(-1))["x"].alias("x"), F.try_element_at("_h", F.lit(-1))["y"].alias("y"))).alias("historic_point"),
     )
     rest = h.join(pairs, h.locality_id == pairs.historic_id, "left_anti").withColumn("historic_point", F.lit(None).cast("struct<x:double,y:double>"))
     return out.unionByName(rest.select(*out.columns))
@@ -138,13 +138,15 @@ def coordinate_conflicts(localities: DataFrame, settings=SETTINGS) -> DataFrame:
 def unique_ids(records: DataFrame, key: str, order: str, out: str = "unique_id") -> DataFrame:
     """Repeats of a key get ``-2`` once more for each earlier one: a, a-2, a-2-2.
 
-    A made id that some key already has naturally moves on by one more suffix.
+    A key that ends in such suffixes itself joins the family of its stem, after the members with
+    fewer, and takes the first free place from its own on.
     """
-    rows = records.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    rows = rows.withColumn("_made", F.concat(F.col(key), F.repeat(F.lit("-2"), F.col("_k") - 1)))
-    clash = Window.partitionBy("_made").orderBy((F.col("_k") > 1).cast("int"), F.col(order))
-    rows = rows.withColumn("_c", F.row_number().over(clash))
-    return rows.withColumn(out, F.concat("_made", F.repeat(F.lit("-2"), F.col("_c") - 1))).drop("_k", "_made", "_c")
+    rows = records.withColumn("_stem", F.regexp_replace(key, "(-2)+$", ""))
+    rows = rows.withColumn("_level", ((F.length(key) - F.length("_stem")) / 2).cast("int"))
+    family = Window.partitionBy("_stem").orderBy("_level", order)
+    rows = rows.withColumn("_k", F.row_number().over(family))
+    lead = F.max(F.col("_level") - F.col("_k")).over(family.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn(out, F.concat("_stem", F.repeat(F.lit("-2"), F.col("_k") + lead))).drop("_stem", "_level", "_k")
 
 
 def apply_overrides(localities: DataFrame, overrides: DataFrame, key: str = "locality_id", fields: tuple[str, ...] = ("hebrew",)) -> DataFrame:

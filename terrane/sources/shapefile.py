@@ -134,7 +134,8 @@ def read(spark: SparkSession, path: str, base: str, declared: str) -> DataFrame:
         for frame in batches:
             for blob in frame["content"]:
                 rows = list(records(bytes(blob), base, declared))
-                yield pd.DataFrame({n: [r[i] for r in rows] for i, n in enumerate(("ord", "attributes", "geom", "source_crs"))})
+                if rows:
+                    yield pd.DataFrame({n: [r[i] for r in rows] for i, n in enumerate(("ord", "attributes", "geom", "source_crs"))})
 
     raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SCHEMA)
     if declared.upper() == "EPSG:4326":

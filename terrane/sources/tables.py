@@ -55,7 +55,7 @@ def source(registry_rows: DataFrame, key: str):
 
 
 def wide_points(spark: SparkSession, path: str, label: str = "municipality") -> DataFrame:
-    """Points landed as Parquet with a WKB column: ``x, y`` (NaN where there is none) and the label."""
+    """Points landed as Parquet with a WKB column: ``x, y`` (null where there is none) and the label."""
     from terrane.functions.geometry import wkb_point
 
     rows = spark.read.parquet(path)
