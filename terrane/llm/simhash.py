@@ -20,6 +20,11 @@ SHINGLE_WORDS = 3
 RADIUS = 3
 BLOCKS = 6
 TILE_ROWS = 4096
+# The verified form: fingerprints, their radius and blocks, and what similarity means.
+PRINTS, WIDE_RADIUS, WIDE_BLOCKS = 3, 7, 9
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+# Tiles of so many members or fewer send all their links, larger ones a spanning forest.
+SMALL_TILE = 24
 _LONG = 1 << 16
 
 
@@ -83,11 +88,14 @@ def masks(blocks: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in whole]
 
 
-def _forest(fp, chunk, cross: bool, radius: int):
-    """Spanning forest of the links in one tile: each member meets only those not yet reached."""
+def _forest(fp, chunk, cross: bool, radius: int, seed: int = 0):
+    """Spanning forest of the links in one tile: each member meets only those not yet reached.
+
+    Members come in an order drawn from ``seed``, so that tiles of the same members differ.
+    """
     import numpy as np
 
-    left = np.arange(len(fp))
+    left = np.random.default_rng(seed & 0xFFFFFFFF).permutation(len(fp))
     found = []
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -104,7 +112,7 @@ def _forest(fp, chunk, cross: bool, radius: int):
     return np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=int)
 
 
-def _tile_links(frame, radius: int, small: int = 24):
+def _tile_links(frame, radius: int, small: int = SMALL_TILE):
     """Index pairs of links in whole tiles: small tiles all at once by shifts, large ones one by one."""
     import numpy as np
 
@@ -112,6 +120,7 @@ def _tile_links(frame, radius: int, small: int = 24):
     sizes = np.diff(starts)
     group = np.repeat(np.arange(len(sizes)), sizes)
     fp, chunk, cross = frame["fp"].to_numpy().view(np.uint64), frame["chunk"].to_numpy(), frame["cross"].to_numpy()
+    keys = frame["key"].to_numpy()
     is_small = (sizes <= small)[group]
     pairs = []
     for shift in range(1, min(small, int(sizes.max()))):
@@ -124,26 +133,26 @@ def _tile_links(frame, radius: int, small: int = 24):
         pairs.append(np.stack([i[near], j[near]]))
     for g in np.flatnonzero(sizes > small):
         a, b = starts[g], starts[g + 1]
-        pairs.append(_forest(fp[a:b], chunk[a:b], bool(cross[a]), radius) + a)
+        pairs.append(_forest(fp[a:b], chunk[a:b], bool(cross[a]), radius, int(keys[a])) + a)
     return np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), dtype=int)
 
 
-def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Edges ``a, b`` between distinct fingerprints (column ``fp``) with the components of all links.
+def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile_rows: int = TILE_ROWS, node: str = "fp") -> DataFrame:
+    """Edges ``a, b`` between rows of distinct ``node`` with the components of all links of column ``fp``.
 
     Every link joins two members of one component of these edges, and every edge is a link.
     """
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(blocks, radius))])
-    keyed = classes.select("fp", F.explode(keys).alias("key"))
-    tiles = common.tiled(keyed, "fp", tile_rows).select("key", "tile", "chunk", "cross", "fp")
+    keyed = classes.select("fp", F.col(node).alias("node"), F.explode(keys).alias("key"))
+    tiles = common.tiled(keyed, "node", tile_rows).select("key", "tile", "chunk", "cross", "fp", "node")
 
     def run(batches):
         import pyarrow as pa
 
         for frame in common.group_batches(batches, ["key", "tile"]):
             i, j = _tile_links(frame, radius)
-            fp = frame["fp"].to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=["a", "b"])
+            nodes = frame["node"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], names=["a", "b"])
 
     return tiles.mapInArrow(run, "a long, b long")
 
@@ -177,14 +186,121 @@ def near_duplicates(
     return prints.join(member, "fp").select(F.col("_id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def sketches(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_WORDS, prints: int = PRINTS, similar_words: int = SIMILAR_WORDS) -> DataFrame:
+    """All columns but the text, ``fps`` (``prints`` fingerprints) and ``shingles``.
+
+    ``shingles`` are the distinct 32-bit hashes of ``similar_words`` words each, sorted. Further
+    fingerprints mix the same hashes anew, so they differ independently for different texts.
+    """
+    common.bounded_batches(docs.sparkSession)
+    keep = [c for c in docs.columns if c != text]
+    schema = docs.select(*keep).schema.add("fps", _longs()).add("shingles", _ints())
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [_sketch(t, shingle_words, prints, similar_words) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            fps = pa.array([np.array(f, dtype=np.uint64).view(np.int64) for f, _ in found], pa.list_(pa.int64()))
+            sets = pa.array([s for _, s in found], pa.list_(pa.int32()))
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, fps, sets], names=[*keep, "fps", "shingles"])
+
+    return docs.select(*keep, F.col(text).cast("string")).mapInArrow(run, schema)
+
+
+def _longs():
+    from pyspark.sql.types import ArrayType, LongType
+
+    return ArrayType(LongType())
+
+
+def _ints():
+    from pyspark.sql.types import ArrayType, IntegerType
+
+    return ArrayType(IntegerType())
+
+
+def _sketch(text: str | None, shingle_words: int, prints: int, similar_words: int):
+    import numpy as np
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    whole = b" ".join(words)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    ends = np.cumsum(lengths) - 1
+
+    def hashed(k: int, hash_, kind: str):
+        if not words:
+            return np.empty(0, dtype=kind)
+        n = max(1, len(words) - k + 1)
+        starts, stops = (ends - lengths + 1)[:n].tolist(), ends[min(k, len(words)) - 1 :].tolist()
+        return np.fromiter((hash_(whole[i:j], 42) for i, j in zip(starts, stops)), dtype=kind, count=n)
+
+    hashes = hashed(shingle_words, xxhash.xxh64_intdigest, "<u8")
+    fps = []
+    for r in range(prints):
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), _LONG):
+            h = hashes[at : at + _LONG]
+            if r:  # a round of mixing for each further fingerprint
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * r)
+                h = h ^ (h >> np.uint64(32))
+            ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        fps.append(int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0)
+    return fps, np.unique(hashed(similar_words, xxhash.xxh32_intdigest, "<u4").view(np.int32))
+
+
+def similar_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    similarity: float = SIMILARITY,
+    similar_words: int = SIMILAR_WORDS,
+    prints: int = PRINTS,
+    radius: int = WIDE_RADIUS,
+    blocks: int = WIDE_BLOCKS,
+    tile_rows: int = TILE_ROWS,
+) -> DataFrame:
+    """``id, component_id`` by links that are verified: Jaccard similarity of word shingles.
+
+    Candidates are pairs within ``radius`` bits in one of several fingerprints; each is held
+    against the exact similarity of its sets of ``similar_words``-word shingles. Texts that agree in
+    all fingerprints are one class. Edge cases are those of ``near_duplicates``.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    rows = common.materialize(sketches(rows, "_text", prints=prints, similar_words=similar_words))
+    classes = rows.groupBy("fps").agg(F.min("_id").alias("low"))
+    classes = common.materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "fps", "low"))
+    pairs = None
+    for r in range(prints):
+        found = links(classes.select(F.get("fps", F.lit(r)).alias("fp"), "cid"), radius, blocks, tile_rows, node="cid")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = common.materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    used = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
+    named = classes.join(used, "cid", "left_semi").select("cid", "fps")
+    sets = rows.select("fps", "shingles").join(named, "fps").groupBy("cid").agg(F.min("shingles").alias("s"))
+    sets = common.materialize(sets)
+    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    verified = both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    roots = common.connected_components(verified)
+    member = classes.join(roots, classes.cid == roots.node, "left").select("fps", "low", F.coalesce("root", "cid").alias("root"))
+    lows = member.groupBy("root").agg(F.min("low").alias("component_id"))
+    member = common.materialize(member.join(lows, "root").select("fps", "component_id"))
+    return rows.select("_id", "fps").join(member, "fps").select(F.col("_id").alias(id_col), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", find=similar_groups, **options) -> DataFrame:
     """The columns of ``docs``, one document of each group: the one with the smallest id.
 
-    Options are those of ``near_duplicates``. Rows that repeat an id and its text are one row;
+    ``find`` makes the groups: ``similar_groups``, or ``near_duplicates`` for Hamming distance alone;
+    options are its own. Rows that repeat an id and its text are one row;
     rows with a null id stay, but for repeats of the same text among them. The ids to drop are
     broadcast only while they are few; else the join is a shuffle.
     """
-    found = common.materialize(near_duplicates(docs, id_col, text, **options).select(F.col(id_col).alias("_id"), "component_id"))
+    found = common.materialize(find(docs, id_col, text, **options).select(F.col(id_col).alias("_id"), "component_id"))
     kept = found.where(F.col("_id") == F.col("component_id")).select("_id").distinct()
     gone = common.materialize(found.where(F.col("_id").isNotNull()).select("_id").distinct().join(kept, "_id", "left_anti"))
     n_gone = gone.count()

@@ -236,3 +236,36 @@ def test_ordinal_model_learns_and_orders(spark, docs, none):
 def test_grades_of_labels(spark):
     labels = spark.createDataFrame([(1, 0, 0), (2, 1, 1), (3, 1, 0), (4, None, 0), (5, None, 1), (None, 1, 0), (3, 0, 0), (6, 1, None)], "doc_id long, quality int, toxic int")
     assert {r._id: r.grade for r in quality.grades_of(labels).collect()} == {1: 0, 2: 1, 3: 0, 5: 1, 6: 2}
+
+
+def test_similar_groups_are_verified(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(30):
+        base = rng.choices(words, k=rng.randint(60, 300))
+        texts.append(base)
+        for edits in (1, 2, 3, 8, 30):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), min(edits, len(copy) // 4)):
+                copy[at] = rng.choice(words)
+            texts.append(copy)
+    texts = [" ".join(t) for t in texts] + ["tiny text", "tiny text", "", "one two three four five"]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    want = {i: find(i) for i in range(len(texts))}
+    assert all(want[got[i]] == want[i] for i in want)  # nothing is joined that isn't similar
+    removed = {i for i in want if want[i] != i}
+    assert len({i for i in removed if got[i] != i}) >= 0.95 * len(removed) > 40
