@@ -152,17 +152,21 @@ def clean_label(text: Column) -> Column:
 
 def categorise(text: Column, keywords: dict, whole_words: bool = False) -> Column:
     """Labels whose keywords occur in the text, in the order of ``keywords``; substrings by default."""
-    folded = F.lower(F.coalesce(text, F.lit("")))
-    labels = []
-    for label, words in keywords.items():
-        if whole_words:
-            hit = folded.rlike(r"(?U)\b(?:" + "|".join(words) + r")\b")
-        else:
-            hit = F.lit(False)
-            for w in words:
-                hit = hit | F.contains(folded, F.lit(w))
-        labels.append(F.when(hit, F.lit(label)))
-    return F.array_compact(F.array(*labels))
+
+    def found(folded):
+        labels = []
+        for label, words in keywords.items():
+            if whole_words:
+                hit = folded.rlike(r"(?U)\b(?:" + "|".join(words) + r")\b")
+            else:
+                hit = F.lit(False)
+                for w in words:
+                    hit = hit | F.contains(folded, F.lit(w))
+            labels.append(F.when(hit, F.lit(label)))
+        return F.array_compact(F.array(*labels))
+
+    # inside a transform the text is lower-cased once, not once for each keyword
+    return F.flatten(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), found))
 
 
 def name_variants(primary: Column, arabic: Column) -> Column:
