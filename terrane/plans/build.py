@@ -110,6 +110,8 @@ def build_base(current: DataFrame, historic: DataFrame, entities: DataFrame, lay
     out = reconcile(current, historic, overrides)
     out |= land(layers, extent, years, cell_m)
     out |= extents(entities, definitions)
+    for name in ("localities", "coverage", "features"):  # several tables are made from each of these
+        out[name] = out[name].persist()
     searchable = entities.withColumn("_c", G.ring_center(F.col("geom.parts"))).select(F.col("entity_id").alias("id"), "ord", "name", F.col("_c.x").alias("x"), F.col("_c.y").alias("y"), "type")
     out["search_index"] = search.build(out["localities"].withColumnRenamed("locality_id", "id"), searchable)
     out["hoisted"], out["evidence"] = provenance.hoist(out["localities"])

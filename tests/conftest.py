@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from terrane.session import local_session
 
-    session = local_session(cores=4, shuffle_partitions=4, memory="3g")
+    session = local_session(cores=4, shuffle_partitions=2, memory="3g")
+    session.conf.set("spark.sql.codegen.wholeStage", "false")  # tiny inputs: compiling costs more than it saves
     yield session
     session.stop()
