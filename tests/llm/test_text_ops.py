@@ -269,3 +269,27 @@ def test_similar_groups_are_verified(spark):
     assert all(want[got[i]] == want[i] for i in want)  # nothing is joined that isn't similar
     removed = {i for i in want if want[i] != i}
     assert len({i for i in removed if got[i] != i}) >= 0.95 * len(removed) > 40
+
+
+def test_license_rules_equal_a_plain_loop(spark):
+    rng = random.Random(2)
+    bits = [
+        "licensed under the", "released under", "License:", "SPDX-License-Identifier:", "terms of the", "and", "or", "(the)", "MIT", "mit license", "Apache License, Version 2.0", "apache-2.0",
+        "GNU Lesser General Public License v2.1", "General Public License", "GPL 3.0", "LGPL-2.1-only license", "CC BY-NC-SA 4.0", "Creative Commons Attribution", "BSD 3-clause license", "MPL 2.0",
+        "public domain", "are in the public domain", "all rights reserved", "permit", "ISC license", "Eclipse Public License", "version 2.0", "\n", "\n", ".", "proprietary license", "Boost Software Licence",
+    ]
+    texts = [" ".join(rng.choices(bits, k=rng.randint(2, 14))) for _ in range(150)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    rules = [(label, word, re.compile(form.replace("(?i)", ""), re.I | re.A)) for _, _, label, word, form in licenses.rules()]
+    gate = re.compile(licenses._GATE.replace("(?i)", ""), re.I)
+    for i, text in enumerate(texts):
+        want = []
+        for n, line in enumerate(text.split("\n")):
+            if not gate.search(line):
+                continue
+            low, rest = line.lower(), line
+            for label, word, form in rules:
+                while word in low and (m := form.search(rest)):
+                    want.append((label, n, m.start() + 1, m.group()))
+                    rest = rest[: m.start()] + "\x01" * len(m.group()) + rest[m.end() :]
+        assert [(m.label, m.line, m.start, m.matched) for m in got[i].matches] == want, text
