@@ -62,3 +62,14 @@ def stage_within(history: Column, day: Column) -> Column:
     """The highest stage whose interval holds the day."""
     open_ = F.filter(history, lambda e: (e["valid_from"] <= day) & F.coalesce(e["valid_to"] >= day, F.lit(True)))
     return F.array_max(F.transform(open_, lambda e: e["stage"]))
+
+
+def visible_extent(history: Column, declared: Column, year: int) -> Column:
+    """Shown by a year: a stage was reached, or nothing says that it was declared later."""
+    reached = stage_at(history, F.make_date(F.lit(year), F.lit(12), F.lit(31)))
+    return reached.isNotNull() | declared.isNull() | (F.year(declared) <= year)
+
+
+def minimum_stage(stage: int, observed: Column, evidence: Column) -> Column:
+    """One event at the date of observation: the least that a source proves."""
+    return F.array(F.struct(F.lit(stage).alias("stage"), observed.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), evidence.alias("evidence")))

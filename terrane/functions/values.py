@@ -69,3 +69,20 @@ def bucket(value: Column, stops: list[float]) -> Column:
     for s in stops:
         out = out + F.when(value >= s, 1).otherwise(0)
     return F.when(value.isNotNull(), out)
+
+
+def depopulation(status: Column, ended: Column, statuses: tuple[str, ...], years: tuple[int, int] = (1947, 1950)) -> Column:
+    """Struct (depopulated, mechanism): by status, and the mechanism only when the year lies in the span."""
+    gone = F.coalesce(status.isin(*statuses), F.lit(False))
+    year = F.regexp_extract(F.coalesce(ended, F.lit("")), r"^(\d{4})", 1).try_cast("int")
+    return F.struct(gone.alias("depopulated"), F.when(gone & year.between(*years), "depopulation_1948").alias("mechanism"))
+
+
+def shown_position(historic_mode: bool, historic: Column, current: Column) -> Column:
+    """The historic position where the mode asks for it and there is one."""
+    return F.coalesce(historic, current) if historic_mode else current
+
+
+def not_true(flag: Column) -> Column:
+    """Everything but true: null counts as not true."""
+    return ~F.coalesce(flag, F.lit(False))

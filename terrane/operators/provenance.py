@@ -78,3 +78,10 @@ def manifest(spark, path: str) -> DataFrame:
 def first_by(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")
+
+
+def attach(rows: DataFrame, source_id: str, title: str, url: str | None = None, document_date: str | None = None, retrieved: str | None = None, note: str | None = None) -> DataFrame:
+    """Rows with one literal piece of evidence."""
+    kinds = dict(zip(FIELDS, ("string", "string", "string", "date", "date", "string")))
+    given = dict(zip(FIELDS, (source_id, title, url, document_date, retrieved, note)))
+    return rows.withColumn("evidence", F.array(F.struct(*[F.lit(given[f]).cast(k).alias(f) for f, k in kinds.items()])))

@@ -69,3 +69,12 @@ def search(index: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
     rows = rows.withColumn("starts_word", starts)
     order = [F.col("starts_word").desc(), *([F.col("part")] if "part" in index.columns else []), F.col("ord"), F.col("id")]
     return rows.drop("_q", "_at").orderBy(*order).limit(limit)
+
+
+def by_id(layers: list[DataFrame], ident: str, columns: list[str]) -> DataFrame:
+    """The feature of an id from the first layer, in the order given, that has it."""
+    found = None
+    for k, layer in enumerate(layers):
+        part = layer.where(F.col("id") == ident).select("id", *columns, F.lit(k).alias("layer"))
+        found = part if found is None else found.unionByName(part)
+    return found.orderBy("layer").limit(1)

@@ -113,9 +113,6 @@ def power_lookup(spark, d):
     return table_.where(F.col("subset_key") == wanted).select("subset_key", F.round("km2", 2).alias("km2"))
 
 
-_METRES = "hypot((p.x - s.x) * (cos(radians(CAST(31.9 AS DOUBLE))) * 111320), (p.y - s.y) * 111320)"
-
-
 @query(f"""WITH {CUSTOMERS}, {SUPPLIERS}, near AS (SELECT pid, sid, sqrt(pow((p.x - s.x) * (cos(radians(CAST(31.9 AS DOUBLE))) * 111320), 2) + pow((p.y - s.y) * 111320, 2)) AS m FROM points p, suppliers s),
   ranked AS (SELECT pid, sid, m, row_number() OVER (PARTITION BY pid ORDER BY m, sid) AS r FROM near WHERE m <= 2500)
 SELECT pid, sid, round(m, 1) AS distance_m FROM ranked WHERE r = 1""")
