@@ -10,7 +10,6 @@ key's holder can undo it. E-mail addresses are permuted letter by letter class w
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 import re
 from datetime import date

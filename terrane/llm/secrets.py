@@ -23,9 +23,9 @@ from . import common
 # The base patterns; A-Z and a-z only are letters in either case.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
+HEX = re.compile(r"[0-9a-f]{24,}")  # runs of 24 or more: shorter ones fail
 KINDS = ("assign", "access", "hex", "random")
-ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
+ASSIGN_MIN, ACCESS_MIN = 6, 20
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 RATIO = 0.5
@@ -39,7 +39,6 @@ _WORDS = (
     " start state status storage stream string style suffix summary system table target task template text thread time title"
     " total track type update user util value vector version view width window worker writer"
 ).split()
-_HEX = re.compile(r"[0-9a-f]{24,}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -49,7 +48,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_MIN]
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_MIN]
-    found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
+    found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     found.sort(key=lambda s: (s[0], s[2]))
     return [(s, e, KINDS[k]) for s, e, k in found]
 

@@ -13,6 +13,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from . import common
 
@@ -194,7 +195,7 @@ def sketches(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_W
     """
     common.bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text]
-    schema = docs.select(*keep).schema.add("fps", _longs()).add("shingles", _ints())
+    schema = docs.select(*keep).schema.add("fps", ArrayType(LongType())).add("shingles", ArrayType(IntegerType()))
 
     def run(batches):
         import numpy as np
@@ -210,18 +211,6 @@ def sketches(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_W
     return docs.select(*keep, F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def _longs():
-    from pyspark.sql.types import ArrayType, LongType
-
-    return ArrayType(LongType())
-
-
-def _ints():
-    from pyspark.sql.types import ArrayType, IntegerType
-
-    return ArrayType(IntegerType())
-
-
 def _sketch(text: str | None, shingle_words: int, prints: int, similar_words: int):
     import numpy as np
     import xxhash
