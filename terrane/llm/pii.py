@@ -26,17 +26,19 @@ ROUNDS = 10
 KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date")
 
 # The shapes that are looked for; each is validated before it counts.
-_PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+%-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-]))"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<ipv4>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))"
-    r"|(?P<date>(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/]|[.-][0-9]))"
-    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|-[0-9]))"
-    r"|(?P<phone>(?<![\w+(.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-]))"
-    r"|(?P<intl>(?<![\w+])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![\w-]))",
-    re.ASCII,
-)
+_SHAPES = {
+    "email": r"(?<![\w.+%-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ipv4": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
+    "date": r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/]|[.-][0-9])",
+    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}",
+    "phone": r"(?<![\w+(.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])",
+    "intl": r"(?<![\w+])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![\w-])",
+}
+_PATTERN = re.compile("|".join(f"(?P<{name}>{shape})" for name, shape in _SHAPES.items()), re.ASCII)
+_ALONE = {name: re.compile(shape, re.ASCII) for name, shape in _SHAPES.items()}
+_CARD_DIGITS = 13
 _ANY = re.compile("[0-9@]")
 _IBAN_LENGTH = {"DE": 22, "FR": 27, "ES": 24, "GB": 22, "IT": 27, "NL": 18, "BE": 16, "AT": 20, "CH": 21, "PT": 25, "PL": 28, "SE": 24, "IE": 22, "LU": 20, "DK": 18, "FI": 18, "NO": 15}
 _FIRST_DAY, _LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -135,17 +137,28 @@ class Pseudonyms:
             return text, []
         spans, out, last, at = [], [], 0, 0
         while m := _PATTERN.search(text, at):
-            kind = self.valid(m.lastgroup, m.group())
+            kind, end = self._fit(text, m)
             if kind is None:  # another pattern may still fit further on
                 at = m.start() + 1
                 while at < m.end() and text[at].isalnum() and text[at - 1].isalnum():
                     at += 1
                 continue
-            out += [text[last : m.start()], self.cached(kind, m.group())]
-            spans.append((kind, m.start(), m.end()))
-            last = at = m.end()
+            out += [text[last : m.start()], self.cached(kind, text[m.start() : end])]
+            spans.append((kind, m.start(), end))
+            last = at = end
         return "".join([*out, text[last:]]), spans
 
+    def _fit(self, text: str, m: re.Match) -> tuple[str | None, int]:
+        """Kind and end of the first valid value where the match starts: its shape and those after it, longest run first."""
+        names, start = list(_SHAPES), m.start()
+        for name in names[names.index(m.lastgroup) :]:
+            found = m if name == m.lastgroup else _ALONE[name].match(text, start)
+            for end in _ends(name, text, start, found.end()) if found else ():
+                kind = self.valid(name, text[start:end])
+                if kind is not None:
+                    return kind, end
+        return None, start
+
     def _digits(self, digits: str, tweak: str, back: bool) -> str:
         n = 10 ** len(digits)
         return str(self.feistel.permute(int(digits), n, tweak, back)).zfill(len(digits)) if digits else ""
@@ -213,6 +226,20 @@ class Pseudonyms:
         return self._classes(label, f"email|{shape}", back) if label else label
 
 
+def _ends(name: str, text: str, start: int, end: int):
+    """Where a value of this shape may end: for cards and IBANs also before each space or hyphen in the run, from the right."""
+    if name not in ("card", "iban"):
+        yield end
+        return
+    for e in range(end, start, -1):
+        after = text[e : e + 1]
+        inside = after.isascii() and (after.isalnum() or after == "_")
+        if inside or not text[e - 1].isalnum():
+            continue
+        if name == "iban" or sum(map(str.isdigit, text[start:e])) >= _CARD_DIGITS:
+            yield e
+
+
 def _email_parts(value: str) -> list[str]:
     """Runs of letters and digits at even places, signs and the top-level domain at odd ones."""
     body, top = value.rsplit(".", 1)
