@@ -13,7 +13,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType
 
 from . import common
 
@@ -138,14 +138,17 @@ def _tile_links(frame, radius: int, small: int = SMALL_TILE):
     return np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), dtype=int)
 
 
+def _tiles(classes: DataFrame, radius: int, blocks: int, tile_rows: int, node: str) -> DataFrame:
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(blocks, radius))])
+    keyed = classes.select("fp", F.col(node).alias("node"), F.explode(keys).alias("key"))
+    return common.tiled(keyed, "node", tile_rows).select("key", "tile", "chunk", "cross", "fp", "node")
+
+
 def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile_rows: int = TILE_ROWS, node: str = "fp") -> DataFrame:
     """Edges ``a, b`` between rows of distinct ``node`` with the components of all links of column ``fp``.
 
     Every link joins two members of one component of these edges, and every edge is a link.
     """
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(blocks, radius))])
-    keyed = classes.select("fp", F.col(node).alias("node"), F.explode(keys).alias("key"))
-    tiles = common.tiled(keyed, "node", tile_rows).select("key", "tile", "chunk", "cross", "fp", "node")
 
     def run(batches):
         import pyarrow as pa
@@ -155,7 +158,7 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile_r
             nodes = frame["node"].to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], names=["a", "b"])
 
-    return tiles.mapInArrow(run, "a long, b long")
+    return _tiles(classes, radius, blocks, tile_rows, node).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -188,14 +191,15 @@ def near_duplicates(
 
 
 def sketches(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_WORDS, prints: int = PRINTS, similar_words: int = SIMILAR_WORDS) -> DataFrame:
-    """All columns but the text, ``fps`` (``prints`` fingerprints) and ``shingles``.
+    """All columns but the text, ``fps`` (``prints`` fingerprints), ``shingles`` and ``whole``.
 
-    ``shingles`` are the distinct 32-bit hashes of ``similar_words`` words each, sorted. Further
+    ``shingles`` are the distinct 32-bit hashes of ``similar_words`` words each, sorted; ``whole``
+    is a 128-bit hash of the set of their 64-bit hashes, equal for equal sets. Further
     fingerprints mix the same hashes anew, so they differ independently for different texts.
     """
     common.bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text]
-    schema = docs.select(*keep).schema.add("fps", ArrayType(LongType())).add("shingles", ArrayType(IntegerType()))
+    schema = docs.select(*keep).schema.add("fps", ArrayType(LongType())).add("shingles", ArrayType(IntegerType())).add("whole", BinaryType())
 
     def run(batches):
         import numpy as np
@@ -203,10 +207,11 @@ def sketches(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_W
 
         for batch in batches:
             found = [_sketch(t, shingle_words, prints, similar_words) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            fps = pa.array([np.array(f, dtype=np.uint64).view(np.int64) for f, _ in found], pa.list_(pa.int64()))
-            sets = pa.array([s for _, s in found], pa.list_(pa.int32()))
+            fps = pa.array([np.array(f, dtype=np.uint64).view(np.int64) for f, _, _ in found], pa.list_(pa.int64()))
+            sets = pa.array([s for _, s, _ in found], pa.list_(pa.int32()))
+            whole = pa.array([w for _, _, w in found], pa.binary())
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, fps, sets], names=[*keep, "fps", "shingles"])
+            yield pa.RecordBatch.from_arrays([*columns, fps, sets, whole], names=[*keep, "fps", "shingles", "whole"])
 
     return docs.select(*keep, F.col(text).cast("string")).mapInArrow(run, schema)
 
@@ -238,7 +243,8 @@ def _sketch(text: str | None, shingle_words: int, prints: int, similar_words: in
                 h = h ^ (h >> np.uint64(32))
             ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         fps.append(int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0)
-    return fps, np.unique(hashed(similar_words, xxhash.xxh32_intdigest, "<u4").view(np.int32))
+    wide = np.unique(hashed(similar_words, xxhash.xxh64_intdigest, "<u8").view(np.int64))
+    return fps, np.unique((wide >> 32).astype(np.int32)), xxhash.xxh3_128_digest(wide.tobytes())
 
 
 def similar_groups(
@@ -255,30 +261,39 @@ def similar_groups(
     """``id, component_id`` by links that are verified: Jaccard similarity of word shingles.
 
     Candidates are pairs within ``radius`` bits in one of several fingerprints; each is held
-    against the exact similarity of its sets of ``similar_words``-word shingles. Texts that agree in
-    all fingerprints are one class. Edge cases are those of ``near_duplicates``.
+    against the exact similarity of its sets of ``similar_words``-word shingles. Texts of equal sets
+    are one class. Edge cases are those of ``near_duplicates``.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     rows = common.materialize(sketches(rows, "_text", prints=prints, similar_words=similar_words))
-    classes = rows.groupBy("fps").agg(F.min("_id").alias("low"))
-    classes = common.materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "fps", "low"))
+    classes = rows.groupBy("whole").agg(F.min("_id").alias("low"), F.min(F.size("shingles")).alias("n"))
+    classes = common.materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "whole", "low", "n"))
+    named = common.materialize(rows.select("whole", "fps").distinct().join(classes.select("whole", "cid"), "whole").select("cid", "fps"))
     pairs = None
     for r in range(prints):
-        found = links(classes.select(F.get("fps", F.lit(r)).alias("fp"), "cid"), radius, blocks, tile_rows, node="cid")
+        found = links(named.select(F.get("fps", F.lit(r)).alias("fp"), "cid").distinct(), radius, blocks, tile_rows, node="cid")
         pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = common.materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = common.materialize(_ordered(pairs))
+    roots = common.connected_components(_verified(pairs, rows, classes, similarity))
+    member = classes.join(roots, classes.cid == roots.node, "left").select("whole", "low", F.coalesce("root", "cid").alias("root"))
+    lows = member.groupBy("root").agg(F.min("low").alias("component_id"))
+    member = common.materialize(member.join(lows, "root").select("whole", "component_id"))
+    return rows.select("_id", "whole").join(member, "whole").select(F.col("_id").alias(id_col), "component_id")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of classes whose shingle sets are similar."""
     used = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
-    named = classes.join(used, "cid", "left_semi").select("cid", "fps")
-    sets = rows.select("fps", "shingles").join(named, "fps").groupBy("cid").agg(F.min("shingles").alias("s"))
+    wanted = classes.join(used, "cid", "left_semi").select("cid", "whole")
+    sets = rows.select("whole", "shingles").join(wanted, "whole").groupBy("cid").agg(F.min("shingles").alias("s"))
     sets = common.materialize(sets)
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    verified = both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    roots = common.connected_components(verified)
-    member = classes.join(roots, classes.cid == roots.node, "left").select("fps", "low", F.coalesce("root", "cid").alias("root"))
-    lows = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = common.materialize(member.join(lows, "root").select("fps", "component_id"))
-    return rows.select("_id", "fps").join(member, "fps").select(F.col("_id").alias(id_col), "component_id")
+    return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", find=similar_groups, **options) -> DataFrame:

@@ -1,8 +1,10 @@
 """Values and pairs that a narrower search would leave out."""
 
+import random
+
 import pytest
 
-from terrane.llm import pii
+from terrane.llm import pii, simhash
 
 CARD = "4539 1488 0343 6467"
 
@@ -20,3 +22,16 @@ def test_other_values_before_numbers_are_found():
     assert p.replace("call 555 123 4567 200 300 now")[1] == [("phone", 5, 17)]
     assert p.replace("to DE89370400440532013000 2024 or DE89 3704 0044 0532 0130 00 150 EUR")[1] == [("iban", 3, 25), ("iban", 34, 61)]
     assert p.replace("runs 1234 5678 9012 3456 7890 12 and 4539148803436467124")[1] == []
+
+
+def _components(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+
+
+def test_a_repeated_line_makes_no_near_duplicates(spark):
+    rng = random.Random(5)
+    line = "one header line of seven plain words\n" * 100
+    texts = [line + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3)]
+    assert len({tuple(simhash._sketch(t, 3, 3, 5)[0]) for t in texts}) < 3
+    assert _components(spark, [*texts, texts[0]]) == {0: 0, 1: 1, 2: 2, 3: 0}
