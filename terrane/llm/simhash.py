@@ -27,6 +27,7 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 # Tiles of so many members or fewer send all their links, larger ones a spanning forest.
 SMALL_TILE = 24
 _LONG = 1 << 16
+_PLACE = {"key": "int64", "tile": "int64", "chunk": "int32", "cross": "bool", "fp": "int64"}
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -161,6 +162,65 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile_r
     return _tiles(classes, radius, blocks, tile_rows, node).mapInArrow(run, "a long, b long")
 
 
+def _links_and_tiles(classes: DataFrame, radius: int, blocks: int, tile_rows: int) -> DataFrame:
+    """The edges ``a, b`` of ``links``, and where ``b`` is null the members ``a`` of large tiles with their place."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for frame in common.group_batches(batches, ["key", "tile"]):
+            i, j = _tile_links(frame, radius)
+            nodes = frame["node"].to_numpy()
+            sizes = np.diff(common.group_starts(frame, ["key", "tile"]))
+            large = frame[np.repeat(sizes > SMALL_TILE, sizes)]
+            a = pa.array(np.concatenate([nodes[i], large["node"].to_numpy()]))
+            b = pa.array(np.concatenate([nodes[j], np.zeros(len(large), dtype=np.int64)]), mask=np.arange(len(i) + len(large)) >= len(i))
+            types = [(c, pa.type_for_alias(t)) for c, t in _PLACE.items()]
+            place = [pa.concat_arrays([pa.nulls(len(i), t), pa.array(large[c].to_numpy(), t)]) for c, t in types]
+            yield pa.RecordBatch.from_arrays([a, b, *place], names=["a", "b", *_PLACE])
+
+    schema = "a long, b long, key long, tile long, chunk int, cross boolean, fp long"
+    return _tiles(classes, radius, blocks, tile_rows, "cid").mapInArrow(run, schema)
+
+
+def _links_across(members: DataFrame, roots: DataFrame, classes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """All links ``a, b`` in large tiles between different components, of sets whose sizes allow the similarity."""
+    rooted = members.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rooted.join(classes.select(F.col("cid").alias("node"), "n"), "node")
+    split = rooted.groupBy("key", "tile").agg((F.min("root") < F.max("root")).alias("_open")).where("_open").select("key", "tile")
+    rooted = rooted.join(split, ["key", "tile"], "left_semi").select("key", "tile", "chunk", "cross", "fp", "node", "root", "n")
+    rooted = rooted.repartition("key", "tile").sortWithinPartitions("key", "tile")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for frame in common.group_batches(batches, ["key", "tile"]):
+            starts = common.group_starts(frame, ["key", "tile"])
+            fp, node, root, n, chunk, cross = (frame[c].to_numpy() for c in ("fp", "node", "root", "n", "chunk", "cross"))
+            fp, held, count = fp.view(np.uint64), [], 0
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                for at in range(lo, hi - 1):
+                    rest = slice(at + 1, hi)
+                    near = (np.bitwise_count(fp[rest] ^ fp[at]) <= radius) & (root[rest] != root[at])
+                    near &= np.minimum(n[rest], n[at]) >= similarity * np.maximum(n[rest], n[at])
+                    if cross[at]:
+                        near &= chunk[rest] != chunk[at]
+                    other = node[rest][near]
+                    if not len(other):
+                        continue
+                    held.append(np.stack([np.full(len(other), node[at]), other]))
+                    count += len(other)
+                    if count > _LONG:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(held, axis=1))), names=["a", "b"])
+                        held, count = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(held, axis=1))), names=["a", "b"])
+
+    return rooted.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -262,7 +322,9 @@ def similar_groups(
 
     Candidates are pairs within ``radius`` bits in one of several fingerprints; each is held
     against the exact similarity of its sets of ``similar_words``-word shingles. Texts of equal sets
-    are one class. Edge cases are those of ``near_duplicates``.
+    are one class. Large tiles send a spanning forest of their candidates first, and then every
+    candidate whose ends the verified links have not joined, so none is left out untested.
+    Edge cases are those of ``near_duplicates``.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     rows = common.materialize(sketches(rows, "_text", prints=prints, similar_words=similar_words))
@@ -271,10 +333,17 @@ def similar_groups(
     named = common.materialize(rows.select("whole", "fps").distinct().join(classes.select("whole", "cid"), "whole").select("cid", "fps"))
     pairs = None
     for r in range(prints):
-        found = links(named.select(F.get("fps", F.lit(r)).alias("fp"), "cid").distinct(), radius, blocks, tile_rows, node="cid")
+        found = _links_and_tiles(named.select(F.get("fps", F.lit(r)).alias("fp"), "cid").distinct(), radius, blocks, tile_rows)
         pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = common.materialize(_ordered(pairs))
-    roots = common.connected_components(_verified(pairs, rows, classes, similarity))
+    pairs = common.materialize(pairs)
+    first = common.materialize(_ordered(pairs.where("b is not null")))
+    verified = common.materialize(_verified(first, rows, classes, similarity))
+    roots = common.connected_components(verified)
+    more = _links_across(pairs.where("b is null").drop("b").withColumnRenamed("a", "node"), roots, classes, radius, similarity)
+    more = common.materialize(_ordered(more).join(first, ["a", "b"], "left_anti"))
+    more = common.materialize(_verified(more, rows, classes, similarity))
+    if not more.isEmpty():
+        roots = common.connected_components(verified.unionByName(more))
     member = classes.join(roots, classes.cid == roots.node, "left").select("whole", "low", F.coalesce("root", "cid").alias("root"))
     lows = member.groupBy("root").agg(F.min("low").alias("component_id"))
     member = common.materialize(member.join(lows, "root").select("whole", "component_id"))

@@ -35,3 +35,12 @@ def test_a_repeated_line_makes_no_near_duplicates(spark):
     texts = [line + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3)]
     assert len({tuple(simhash._sketch(t, 3, 3, 5)[0]) for t in texts}) < 3
     assert _components(spark, [*texts, texts[0]]) == {0: 0, 1: 1, 2: 2, 3: 0}
+
+
+def test_pairs_in_large_groups_of_candidates_are_all_verified(spark):
+    rng = random.Random(6)
+    line = "one header line of seven plain words\n" * 100  # outvotes the rest: all are candidates of all
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(40)]
+    assert len({tuple(simhash._sketch(line + " ".join(t), 3, 3, 5)[0]) for t in texts}) < 40
+    texts += [[*t[:30], "new", *t[31:]] for t in texts]
+    assert _components(spark, [line + " ".join(t) for t in texts]) == {i: i % 40 for i in range(80)}
