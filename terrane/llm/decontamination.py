@@ -5,7 +5,8 @@ capital ``@``, a unit of measure ``%``; others are lower-cased. Windows of ``win
 words are hashed and joined with those of the benchmark; windows with fewer than ``literals``
 words that are no placeholder prove nothing and are left out. Where windows of one item cover
 ``coverage`` of it, the slots are compared: along each alignment, one value of the item must
-always be filled by one value of the document. DataFrame functions only.
+always be filled by one value of the document. Windows of equal words (case aside) are a second way, for
+items or copies whose words are mostly placeholders. DataFrame functions only.
 
 What is found depends on the text alone, so documents are told apart by two hashes of their text,
 and copies share one verdict.
@@ -51,11 +52,15 @@ def _templates(words):
     return F.transform(words, lambda w: F.xxhash64(F.coalesce(placeholder(w), F.lower(w))))
 
 
-def _windows(templates, size):
+def _literals(words):
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+
+
+def _windows(templates, size, *seed):
     """Hash of each window of ``size`` template words; none if there are fewer words."""
     last = F.size(templates) - size + 1
     starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.lit(size), F.slice(templates, i, size)))
+    return F.transform(starts, lambda i: F.xxhash64(*seed, F.lit(size), F.slice(templates, i, size)))
 
 
 def text_key(text):
@@ -73,17 +78,29 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text: str
 
     ``ik`` stands for an id and its words: repeated rows are one item, one id with two texts is two.
     Items of fewer than ``window`` words have one window of their own length; items of fewer than
-    four words, or without a telling window, can't be recognised and are left out.
+    four words can't be recognised and are left out, those without a telling window are
+    recognised by their literal windows alone.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(text).cast("string")).alias("item_words")).where(F.size("item_words") >= MIN_WORDS)
-    items = items.select(F.xxhash64("item", "item_words").alias("ik"), "item", "item_words", F.least(F.lit(window), F.size("item_words")).alias("size"), _templates(F.col("item_words")).alias("t"))
-    items = items.dropDuplicates(["ik"])
+    items = _items(benchmark, item_col, text, window)
     each = items.select("ik", "item", "item_words", "size", F.posexplode(_windows(F.col("t"), F.col("size"))).alias("at", "w"))
     literal = F.size(F.filter(F.slice("item_words", F.col("at") + 1, F.col("size")), lambda w: placeholder(w).isNull()))
     each = each.where(literal >= F.least(F.lit(literals), F.col("size") - 1))
     return each.withColumn("n_windows", F.count("*").over(Window.partitionBy("ik")))  # the windows of one item
 
 
+def literal_windows(benchmark: DataFrame, item_col: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``ik, item, size, n_windows, at, w``: all windows of each item, of its words with case folded."""
+    items = _items(benchmark, item_col, text, window)
+    hashes = _windows(_literals(F.col("item_words")), F.col("size"), F.lit("="))
+    return items.select("ik", "item", "size", (F.size("item_words") - F.col("size") + 1).cast("long").alias("n_windows"), F.posexplode(hashes).alias("at", "w"))
+
+
+def _items(benchmark: DataFrame, item_col: str, text: str, window: int) -> DataFrame:
+    items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(text).cast("string")).alias("item_words")).where(F.size("item_words") >= MIN_WORDS)
+    items = items.select(F.xxhash64("item", "item_words").alias("ik"), "item", "item_words", F.least(F.lit(window), F.size("item_words")).alias("size"), _templates(F.col("item_words")).alias("t"))
+    return items.dropDuplicates(["ik"])
+
+
 def contaminated_texts(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -97,18 +114,24 @@ def contaminated_texts(
 ) -> DataFrame:
     """``_k1, _k2, item, covered, consistency``: texts (by their key) that hold a benchmark item."""
     bench = common.materialize(benchmark_windows(benchmark, item_col, item_text, window, literals))
-    slim = bench.select("ik", "item", "n_windows", "at", "w")
-    sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # at most ``window`` numbers
+    names = ("ik", "item", "size", "n_windows", "at", "w")
+    slim = bench.select(*names, F.lit(False).alias("exact")).unionByName(literal_windows(benchmark, item_col, item_text, window).withColumn("exact", F.lit(True)))
+    slim = common.materialize(slim)
+    sizes = sorted(r[0] for r in slim.select("size").distinct().collect())  # at most ``window`` numbers
+    slim = slim.drop("size")
     body = docs.select(F.col(text).cast("string").alias("_text")).where("_text is not null")
-    hashed = body.select(*text_key(F.col("_text")), _templates(words_of(F.col("_text"))).alias("t"))
-    arrays = [_windows(F.col("t"), F.lit(n)) for n in sizes] or [F.array().cast("array<bigint>")]
-    parts = [hashed.select("_k1", "_k2", F.posexplode(a).alias("p", "w")) for a in arrays]
+    worded = body.select(*text_key(F.col("_text")), words_of(F.col("_text")).alias("words"))
+    hashed = worded.select("_k1", "_k2", F.size("words").alias("m"), _templates(F.col("words")).alias("t"), _literals(F.col("words")).alias("l"))
+    # the windows of one size: first the typed ones, then as many literal ones
+    arrays = [(F.col("m") - n + 1, F.concat(_windows(F.col("t"), F.lit(n)), _windows(F.col("l"), F.lit(n), F.lit("=")))) for n in sizes]
+    parts = [hashed.select("_k1", "_k2", m.alias("m"), F.posexplode(a).alias("p", "w")) for m, a in arrays or [(F.col("m"), F.array().cast("array<bigint>"))]]
     exploded = parts[0]
     for part in parts[1:]:
         exploded = exploded.unionByName(part)
-    hits = exploded.join(_small(slim), "w").select("_k1", "_k2", "ik", "item", "n_windows", "at", (F.col("p") - F.col("at")).alias("shift"))
-    aligned = hits.groupBy("_k1", "_k2", "ik", "item", "n_windows", "shift").agg(F.collect_set("at").alias("ats"))  # at most an item's windows
-    aligned = common.materialize(aligned)
+    hits = exploded.join(_small(slim), "w").select("_k1", "_k2", "ik", "item", "n_windows", "exact", "at", (F.col("p") % F.col("m") - F.col("at")).alias("shift"))
+    both = hits.groupBy("_k1", "_k2", "ik", "item", "n_windows", "exact", "shift").agg(F.collect_set("at").alias("ats"))  # at most an item's windows
+    both = common.materialize(both)
+    aligned = both.where("not exact").drop("exact")
     covered = aligned.groupBy("_k1", "_k2", "ik", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("seen"))
     covered = covered.select("_k1", "_k2", "ik", (F.col("seen") / F.col("n_windows")).alias("covered")).where(F.col("covered") >= coverage)
     covered = common.materialize(covered)
@@ -127,8 +150,16 @@ def contaminated_texts(
     values = F.size(F.array_distinct(F.transform("filled", lambda s: s["item"])))
     pairs = pairs.withColumn("values", values).withColumn("extra", F.size("filled") - values)
     scored = pairs.groupBy("_k1", "_k2", "ik", "item", "covered").agg(F.sum("values").alias("values"), F.sum("extra").alias("extra"))
-    consistency = F.when(F.col("values") == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.col("extra") / F.col("values")))
-    return scored.select("_k1", "_k2", "item", "covered", consistency.alias("consistency")).where(F.col("consistency") >= consistent)
+    found = scored.select("_k1", "_k2", "ik", "item", "covered", _consistency("values", "extra").alias("consistency")).where(F.col("consistency") >= consistent)
+    found = common.materialize(found)
+    same = both.where("exact").groupBy("_k1", "_k2", "ik", "item", "n_windows").agg((F.size(F.array_distinct(F.flatten(F.collect_set("ats")))) / F.col("n_windows")).alias("covered"))
+    same = same.where(F.col("covered") >= coverage).join(found.select("_k1", "_k2", "ik"), ["_k1", "_k2", "ik"], "left_anti")
+    same = same.select("_k1", "_k2", "ik", "item", "covered", F.lit(1.0).alias("consistency"))
+    return found.unionByName(same).drop("ik")
+
+
+def _consistency(values: str, extra: str):
+    return F.when(F.col(values) == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.col(extra) / F.col(values)))
 
 
 def verdicts(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from terrane.llm import pii, simhash
+from terrane.llm import decontamination, pii, simhash
 
 CARD = "4539 1488 0343 6467"
 
@@ -44,3 +44,20 @@ def test_pairs_in_large_groups_of_candidates_are_all_verified(spark):
     assert len({tuple(simhash._sketch(line + " ".join(t), 3, 3, 5)[0]) for t in texts}) < 40
     texts += [[*t[:30], "new", *t[31:]] for t in texts]
     assert _components(spark, [line + " ".join(t) for t in texts]) == {i: i % 40 for i in range(80)}
+
+
+def _verdicts(spark, texts, items, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {r.doc_id: r["items"] for r in decontamination.decontaminate(df, bench, **options).collect()}
+
+
+def test_items_of_names_and_numbers_are_found(spark):
+    items = ["Who was the 44th President of the United States?", "What is 12 times 7 plus 15 minus 3?", "Which country won the 1998 FIFA World Cup in France?"]
+    texts = [f"Some words. {i} And more." for i in items] + [items[2].lower(), "What is 13 times 7 plus 15 minus 3?", None, ""]
+    assert _verdicts(spark, texts, items) == {0: "0", 1: "1", 2: "2", 3: "2", 4: "", 5: "", 6: ""}
+
+
+def test_lower_cased_copies_are_found(spark):
+    item = "in the town of Salem the young baker Ruth sold bread to Peter and kept Monday free for Anna and the old mill"
+    assert _verdicts(spark, [item.lower(), item.upper(), item.replace("Ruth", "Mary")], [item]) == {0: "0", 1: "0", 2: "0"}
