@@ -5,7 +5,8 @@ capital ``@``, a unit of measure ``%``; others are lower-cased. Windows of ``win
 words are hashed and joined with those of the benchmark; windows with fewer than ``literals``
 words that are no placeholder prove nothing and are left out. Where windows of one item cover
 ``coverage`` of it, the slots are compared: along each alignment, one value of the item must
-always be filled by one value of the document. Windows of equal words (case aside) are a second way, for
+always be filled by one value of the document. Alignments that fail this by themselves cannot
+cancel others that cover the item alone. Windows of equal words (case aside) are a second way, for
 items or copies whose words are mostly placeholders. DataFrame functions only.
 
 What is found depends on the text alone, so documents are told apart by two hashes of their text,
@@ -146,11 +147,25 @@ def contaminated_texts(
     filled = F.array_distinct(
         F.transform(slots, lambda i: F.struct(F.lower(F.get("item_words", i)).alias("item"), F.lower(F.get("words", i + F.col("shift"))).alias("doc")))
     )
-    pairs = pairs.select("_k1", "_k2", "ik", "item", "covered", filled.alias("filled"))
+    pairs = pairs.select("_k1", "_k2", "ik", "item", "n_windows", "covered", "ats", filled.alias("filled"))
     values = F.size(F.array_distinct(F.transform("filled", lambda s: s["item"])))
     pairs = pairs.withColumn("values", values).withColumn("extra", F.size("filled") - values)
-    scored = pairs.groupBy("_k1", "_k2", "ik", "item", "covered").agg(F.sum("values").alias("values"), F.sum("extra").alias("extra"))
-    found = scored.select("_k1", "_k2", "ik", "item", "covered", _consistency("values", "extra").alias("consistency")).where(F.col("consistency") >= consistent)
+    # all alignments together, and those that are consistent by themselves
+    alone = _consistency("values", "extra") >= consistent
+    scored = pairs.groupBy("_k1", "_k2", "ik", "item", "n_windows", "covered").agg(
+        F.sum("values").alias("values"),
+        F.sum("extra").alias("extra"),
+        F.sum(F.when(alone, F.col("values"))).alias("own_values"),
+        F.sum(F.when(alone, F.col("extra"))).alias("own_extra"),
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.when(alone, F.col("ats")))))).alias("own_seen"),
+    )
+    together = _consistency("values", "extra") >= consistent
+    own_covered = F.col("own_seen") / F.col("n_windows")
+    found = scored.where(together | (own_covered >= coverage)).select(
+        "_k1", "_k2", "ik", "item",
+        F.when(together, F.col("covered")).otherwise(own_covered).alias("covered"),
+        F.when(together, _consistency("values", "extra")).otherwise(_consistency("own_values", "own_extra")).alias("consistency"),
+    )
     found = common.materialize(found)
     same = both.where("exact").groupBy("_k1", "_k2", "ik", "item", "n_windows").agg((F.size(F.array_distinct(F.flatten(F.collect_set("ats")))) / F.col("n_windows")).alias("covered"))
     same = same.where(F.col("covered") >= coverage).join(found.select("_k1", "_k2", "ik"), ["_k1", "_k2", "ik"], "left_anti")

@@ -61,3 +61,10 @@ def test_items_of_names_and_numbers_are_found(spark):
 def test_lower_cased_copies_are_found(spark):
     item = "in the town of Salem the young baker Ruth sold bread to Peter and kept Monday free for Anna and the old mill"
     assert _verdicts(spark, [item.lower(), item.upper(), item.replace("Ruth", "Mary")], [item]) == {0: "0", 1: "0", 2: "0"}
+
+
+def test_an_inconsistent_variant_does_not_hide_an_exact_copy(spark):
+    item = "if Tom has 5 coins and gives 5 of them to Ann then Tom keeps the rest and Ann counts 5 new coins for the family"
+    other = item.replace("5 coins", "8 coins").replace("gives 5", "gives 31").replace("counts 5", "counts 64").replace("Tom keeps", "Eve keeps").replace("Ann counts", "Joe counts")
+    same = item.replace("5", "9").replace("Tom", "Eve").replace("Ann", "Joe")
+    assert _verdicts(spark, [f"{item}. {other}", f"{other}. {other}. {same}", other], [item], literals=3) == {0: "0", 1: "0", 2: ""}
