@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # Rows up to which a written table of ids or hashes may be broadcast (at most about 40 bytes each).
 BROADCAST_ROWS = 500_000
 _LOCAL: dict[str, str] = {}
+_WRITTEN: dict[str, list[DataFrame]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -18,6 +19,8 @@ def shared_root(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "root" not in _LOCAL:
         _LOCAL["root"] = tempfile.mkdtemp(prefix="terrane-shared-")
     return _LOCAL["root"]
@@ -30,6 +33,7 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._terrane_path = path
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(out)
     return out
 
 
@@ -42,9 +46,17 @@ def release(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what one Arrow batch of whole texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def release_all(spark: SparkSession) -> None:
+    """Delete all tables that materialize() wrote in this application: once the last result is stored."""
+    for df in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        release(df)
+
+
+def sliced(batches, rows: int = 256):
+    """Arrow batches of few rows: Spark bounds a batch's bytes, this what one step makes of them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def fold_ascii(column):
@@ -83,7 +95,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         release(large)
         step = after_df
         if after == before:
-            return step.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = step.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._terrane_path = step._terrane_path
+            return out
         before = after
 
 

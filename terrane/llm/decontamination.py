@@ -1,13 +1,15 @@
 """Benchmark decontamination by templates: a question stays itself when its numbers and names change.
 
-Words are runs of letters and digits. A word that starts with a digit becomes ``#``, one with a
+Words are runs of letters and digits. A number in digits or words becomes ``#``, a word with a
 capital ``@``, a unit of measure ``%``; others are lower-cased. Windows of ``window`` template
 words are hashed and joined with those of the benchmark; windows with fewer than ``literals``
 words that are no placeholder prove nothing and are left out. Where windows of one item cover
 ``coverage`` of it, the slots are compared: along each alignment, one value of the item must
 always be filled by one value of the document. Alignments that fail this by themselves cannot
 cancel others that cover the item alone. Windows of equal words (case aside) are a second way, for
-items or copies whose words are mostly placeholders. DataFrame functions only.
+items or copies whose words are mostly placeholders; they cover every item. Items of fewer than
+``MIN_WORDS`` words say too little inside a text and are found where they are the whole of it.
+DataFrame functions only.
 
 What is found depends on the text alone, so documents are told apart by two hashes of their text,
 and copies share one verdict.
@@ -33,6 +35,13 @@ UNITS = (
 ).split()
 
 
+# Numbers in words ("second" is a unit here).
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    " thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen first third fourth fifth sixth seventh eighth ninth tenth"
+).split()
+
+
 def words_of(text):
     """Words of a text; an empty list for null and for texts without letters and digits."""
     words = F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", " ")), " ")
@@ -43,7 +52,7 @@ def placeholder(word):
     """The type of slot that a word is, or null for a literal word."""
     first = F.substring(word, 1, 1)
     return (
-        F.when((first >= "0") & (first <= "9"), F.lit("#"))
+        F.when(((first >= "0") & (first <= "9")) | F.lower(word).isin(*NUMBER_WORDS), F.lit("#"))
         .when(first != F.lower(first), F.lit("@"))
         .when(word.isin(*UNITS), F.lit("%"))
     )
@@ -74,31 +83,39 @@ def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= common.BROADCAST_ROWS else df
 
 
-def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text: str = "text", window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """``ik, item, item_words, size, n_windows, at, w``: the telling windows of each item.
+def benchmark_windows(items: DataFrame, literals: int = LITERALS) -> DataFrame:
+    """``ik, size, n_windows, at, w``: the telling windows of each item.
 
-    ``ik`` stands for an id and its words: repeated rows are one item, one id with two texts is two.
-    Items of fewer than ``window`` words have one window of their own length; items of fewer than
-    four words can't be recognised and are left out, those without a telling window are
-    recognised by their literal windows alone.
+    Items of fewer than ``window`` words have one window of their own length; those without a
+    telling window are recognised by their literal windows alone.
     """
-    items = _items(benchmark, item_col, text, window)
-    each = items.select("ik", "item", "item_words", "size", F.posexplode(_windows(F.col("t"), F.col("size"))).alias("at", "w"))
+    typed = items.where("not whole").select("*", _templates(F.col("item_words")).alias("t"))
+    each = typed.select("ik", "item_words", "size", F.posexplode(_windows(F.col("t"), F.col("size"))).alias("at", "w"))
     literal = F.size(F.filter(F.slice("item_words", F.col("at") + 1, F.col("size")), lambda w: placeholder(w).isNull()))
-    each = each.where(literal >= F.least(F.lit(literals), F.col("size") - 1))
+    each = each.where(literal >= F.least(F.lit(literals), F.col("size") - 1)).drop("item_words")
     return each.withColumn("n_windows", F.count("*").over(Window.partitionBy("ik")))  # the windows of one item
 
 
-def literal_windows(benchmark: DataFrame, item_col: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``ik, item, size, n_windows, at, w``: all windows of each item, of its words with case folded."""
-    items = _items(benchmark, item_col, text, window)
-    hashes = _windows(_literals(F.col("item_words")), F.col("size"), F.lit("="))
-    return items.select("ik", "item", "size", (F.size("item_words") - F.col("size") + 1).cast("long").alias("n_windows"), F.posexplode(hashes).alias("at", "w"))
+def literal_windows(items: DataFrame) -> DataFrame:
+    """``ik, size, n_windows, at, w``: all windows of each item, of its words with case folded; short items as a whole."""
+    words = _literals(F.col("item_words"))
+    hashes = F.when(F.col("whole"), F.array(_whole(words))).otherwise(_windows(words, F.col("size"), F.lit("=")))
+    n = F.when(F.col("whole"), 1).otherwise(F.size("item_words") - F.col("size") + 1)
+    return items.select("ik", "size", n.cast("long").alias("n_windows"), F.posexplode(hashes).alias("at", "w"))
+
 
+def _whole(literals):
+    """Hash of a whole text's words."""
+    return F.xxhash64(F.lit("whole"), literals)
 
-def _items(benchmark: DataFrame, item_col: str, text: str, window: int) -> DataFrame:
-    items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(text).cast("string")).alias("item_words")).where(F.size("item_words") >= MIN_WORDS)
-    items = items.select(F.xxhash64("item", "item_words").alias("ik"), "item", "item_words", F.least(F.lit(window), F.size("item_words")).alias("size"), _templates(F.col("item_words")).alias("t"))
+
+def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``ik, item, item_words, size, whole``: ``ik`` stands for an id and its words.
+
+    Repeated rows are one item, one id with two texts is two. Items without words can't be found and go.
+    """
+    items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(text).cast("string")).alias("item_words")).where(F.size("item_words") > 0)
+    items = items.select(F.xxhash64("item", "item_words").alias("ik"), "item", "item_words", F.least(F.lit(window), F.size("item_words")).alias("size"), (F.size("item_words") < MIN_WORDS).alias("whole"))
     return items.dropDuplicates(["ik"])
 
 
@@ -114,23 +131,20 @@ def contaminated_texts(
     consistent: float = CONSISTENT,
 ) -> DataFrame:
     """``_k1, _k2, item, covered, consistency``: texts (by their key) that hold a benchmark item."""
-    bench = common.materialize(benchmark_windows(benchmark, item_col, item_text, window, literals))
-    names = ("ik", "item", "size", "n_windows", "at", "w")
-    slim = bench.select(*names, F.lit(False).alias("exact")).unionByName(literal_windows(benchmark, item_col, item_text, window).withColumn("exact", F.lit(True)))
-    slim = common.materialize(slim)
+    items = common.materialize(benchmark_items(benchmark, item_col, item_text, window))
+    slim = benchmark_windows(items, literals).withColumn("exact", F.lit(False)).unionByName(literal_windows(items).withColumn("exact", F.lit(True)))
+    slim = common.materialize(slim)  # numbers only: some 50 bytes a row
     sizes = sorted(r[0] for r in slim.select("size").distinct().collect())  # at most ``window`` numbers
-    slim = slim.drop("size")
     body = docs.select(F.col(text).cast("string").alias("_text")).where("_text is not null")
     worded = body.select(*text_key(F.col("_text")), words_of(F.col("_text")).alias("words"))
-    hashed = worded.select("_k1", "_k2", F.size("words").alias("m"), _templates(F.col("words")).alias("t"), _literals(F.col("words")).alias("l"))
-    # the windows of one size: first the typed ones, then as many literal ones
-    arrays = [(F.col("m") - n + 1, F.concat(_windows(F.col("t"), F.lit(n)), _windows(F.col("l"), F.lit(n), F.lit("=")))) for n in sizes]
-    parts = [hashed.select("_k1", "_k2", m.alias("m"), F.posexplode(a).alias("p", "w")) for m, a in arrays or [(F.col("m"), F.array().cast("array<bigint>"))]]
-    exploded = parts[0]
-    for part in parts[1:]:
-        exploded = exploded.unionByName(part)
-    hits = exploded.join(_small(slim), "w").select("_k1", "_k2", "ik", "item", "n_windows", "exact", "at", (F.col("p") % F.col("m") - F.col("at")).alias("shift"))
-    both = hits.groupBy("_k1", "_k2", "ik", "item", "n_windows", "exact", "shift").agg(F.collect_set("at").alias("ats"))  # at most an item's windows
+    hashed = worded.select("_k1", "_k2", _templates(F.col("words")).alias("t"), _literals(F.col("words")).alias("l"))
+    none = F.array().cast("array<bigint>")
+    short = F.when((F.size("l") > 0) & (F.size("l") < MIN_WORDS), F.array(_whole(F.col("l")))).otherwise(none)
+    # windows of all sizes and kinds in one pass over the documents
+    arrays = [w for n in sizes for w in (_windows(F.col("t"), F.lit(n)), _windows(F.col("l"), F.lit(n), F.lit("=")))]
+    exploded = hashed.select("_k1", "_k2", F.explode(F.array(short, *arrays)).alias("ws")).select("_k1", "_k2", F.posexplode("ws").alias("p", "w"))
+    hits = exploded.join(_small(slim.drop("size")), "w").select("_k1", "_k2", "ik", "n_windows", "exact", "at", (F.col("p") - F.col("at")).alias("shift"))
+    both = hits.groupBy("_k1", "_k2", "ik", "n_windows", "exact", "shift").agg(F.collect_set("at").alias("ats"))  # at most an item's windows
     both = common.materialize(both)
     aligned = both.where("not exact").drop("exact")
     covered = aligned.groupBy("_k1", "_k2", "ik", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("seen"))
@@ -139,20 +153,20 @@ def contaminated_texts(
     keys = common.materialize(covered.select("_k1", "_k2").distinct())
     texts = body.select(*text_key(F.col("_text")), "_text").join(_small(keys), ["_k1", "_k2"], "left_semi")
     texts = texts.groupBy("_k1", "_k2").agg(F.min("_text").alias("_text")).select("_k1", "_k2", words_of(F.col("_text")).alias("words"))
-    items = bench.select("ik", "item_words", "size").dropDuplicates(["ik"])
-    pairs = aligned.join(covered, ["_k1", "_k2", "ik"]).join(_small(items), "ik").join(texts, ["_k1", "_k2"])
+    hit = items.join(covered.select("ik").distinct(), "ik", "left_semi").select("ik", "item_words", "size")
+    pairs = aligned.join(covered, ["_k1", "_k2", "ik"]).join(hit, "ik").join(texts, ["_k1", "_k2"])
     # the slots under the windows of one alignment, as (value in the item, value in the document)
     under = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1))))
     slots = F.filter(under, lambda i: placeholder(F.get("item_words", i)).isNotNull())
     filled = F.array_distinct(
         F.transform(slots, lambda i: F.struct(F.lower(F.get("item_words", i)).alias("item"), F.lower(F.get("words", i + F.col("shift"))).alias("doc")))
     )
-    pairs = pairs.select("_k1", "_k2", "ik", "item", "n_windows", "covered", "ats", filled.alias("filled"))
+    pairs = pairs.select("_k1", "_k2", "ik", "n_windows", "covered", "ats", filled.alias("filled"))
     values = F.size(F.array_distinct(F.transform("filled", lambda s: s["item"])))
     pairs = pairs.withColumn("values", values).withColumn("extra", F.size("filled") - values)
     # all alignments together, and those that are consistent by themselves
     alone = _consistency("values", "extra") >= consistent
-    scored = pairs.groupBy("_k1", "_k2", "ik", "item", "n_windows", "covered").agg(
+    scored = pairs.groupBy("_k1", "_k2", "ik", "n_windows", "covered").agg(
         F.sum("values").alias("values"),
         F.sum("extra").alias("extra"),
         F.sum(F.when(alone, F.col("values"))).alias("own_values"),
@@ -162,15 +176,15 @@ def contaminated_texts(
     together = _consistency("values", "extra") >= consistent
     own_covered = F.col("own_seen") / F.col("n_windows")
     found = scored.where(together | (own_covered >= coverage)).select(
-        "_k1", "_k2", "ik", "item",
+        "_k1", "_k2", "ik",
         F.when(together, F.col("covered")).otherwise(own_covered).alias("covered"),
         F.when(together, _consistency("values", "extra")).otherwise(_consistency("own_values", "own_extra")).alias("consistency"),
     )
     found = common.materialize(found)
-    same = both.where("exact").groupBy("_k1", "_k2", "ik", "item", "n_windows").agg((F.size(F.array_distinct(F.flatten(F.collect_set("ats")))) / F.col("n_windows")).alias("covered"))
+    same = both.where("exact").groupBy("_k1", "_k2", "ik", "n_windows").agg((F.size(F.array_distinct(F.flatten(F.collect_set("ats")))) / F.col("n_windows")).alias("covered"))
     same = same.where(F.col("covered") >= coverage).join(found.select("_k1", "_k2", "ik"), ["_k1", "_k2", "ik"], "left_anti")
-    same = same.select("_k1", "_k2", "ik", "item", "covered", F.lit(1.0).alias("consistency"))
-    return found.unionByName(same).drop("ik")
+    same = same.select("_k1", "_k2", "ik", "covered", F.lit(1.0).alias("consistency"))
+    return found.unionByName(same).join(items.select("ik", "item"), "ik").select("_k1", "_k2", "item", "covered", "consistency")
 
 
 def _consistency(values: str, extra: str):

@@ -1,136 +1,126 @@
 """License scans: ordered signature rules behind a keyword filter.
 
-A rule is a priority, a label, a keyword and a regular expression. A text is read by lines. Only
-lines with a keyword are looked at, and there only the rules whose keyword occurs. Rules run by
-priority, the more specific first; a match takes its interval out of the line, so a rule of lower
-priority finds nothing inside it ("lesser general public license" leaves no "general public
-license"). The base layer finds fixed phrases by words and always stays. DataFrame functions only.
+Texts that hold none of a few words, one of which every rule needs, are done at once. Others are
+folded (lower case, runs of white space and comment signs one space) and cut into chunks that
+overlap by more than the longest match, so a text of any length is read in linear time. In a chunk
+only rules run of whose keywords one occurs; keywords are read off the rules, so none is missed.
+Matches are intervals. One that lies inside another is dropped ("lesser general public license"
+leaves no "general public license"); of equal ones the rule of higher priority stays.
+The base layer finds fixed phrases by words and always stays. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, license_rules
 
 # The base phrases and their labels, and what a word is.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-# Families: label, keyword, SPDX identifiers, the spoken name. From them each kind of signature is made.
-FAMILIES = (
-    ("agpl", "affero", r"agpl-[0-9.]+(?:-only|-or-later)?", r"gnu affero general public licen[cs]e|affero (?:gpl|general public licen[cs]e)"),
-    ("agpl", "agpl", r"agpl-[0-9.]+(?:-only|-or-later)?", r"(?:gnu )?agpl"),
-    ("lgpl", "lesser", r"lgpl-[0-9.]+(?:-only|-or-later)?", r"(?:gnu )?lesser general public licen[cs]e"),
-    ("lgpl", "library general", r"lgpl-[0-9.]+(?:-only|-or-later)?", r"(?:gnu )?library general public licen[cs]e"),
-    ("lgpl", "lgpl", r"lgpl-[0-9.]+(?:-only|-or-later)?", r"(?:gnu )?lgpl"),
-    ("gpl", "general public", r"gpl-[0-9.]+(?:-only|-or-later)?", r"(?:gnu )?general public licen[cs]e"),
-    ("gpl", "gpl", r"gpl-[0-9.]+(?:-only|-or-later)?", r"(?:gnu )?gpl"),
-    ("gfdl", "documentation", r"gfdl-[0-9.]+(?:-only|-or-later)?", r"gnu free documentation licen[cs]e"),
-    ("apache", "apache", r"apache-[0-9.]+", r"apache(?: software)?(?: licen[cs]e)?"),
-    ("mit", "mit", r"mit", r"(?:expat|x11|mit)(?:[/ -]x11)?(?:[- ]style)?(?: licen[cs]e)?"),
-    ("mit-0", "mit", r"mit-0", r"mit no attribution(?: licen[cs]e)?"),
-    ("bsd", "bsd", r"bsd-[0-9]-clause", r"(?:new |modified |revised |simplified |(?:two|three|four|[0-9])-clause |original )?bsd(?:[- ][0-9]-clause)?(?:[- ]style)?(?: licen[cs]e)?"),
-    ("0bsd", "bsd", r"0bsd", r"(?:zero[- ]clause|0-clause) bsd(?: licen[cs]e)?"),
-    ("isc", "isc", r"isc", r"isc(?: licen[cs]e)"),
-    ("mpl", "mozilla", r"mpl-[0-9.]+", r"mozilla public licen[cs]e"),
-    ("mpl", "mpl", r"mpl-[0-9.]+", r"mpl[- ]?v?[0-9.]+"),
-    ("epl", "eclipse", r"epl-[0-9.]+", r"eclipse public licen[cs]e"),
-    ("edl", "eclipse", r"edl-[0-9.]+", r"eclipse distribution licen[cs]e"),
-    ("cddl", "distribution", r"cddl-[0-9.]+", r"common development and distribution licen[cs]e"),
-    ("cpl", "common public", r"cpl-[0-9.]+", r"common public licen[cs]e"),
-    ("cc-by-nc-sa", "cc", r"cc-by-nc-sa-[0-9.]+", r"(?:cc|creative commons)[- ]by[- ]nc[- ]sa"),
-    ("cc-by-nc-nd", "cc", r"cc-by-nc-nd-[0-9.]+", r"(?:cc|creative commons)[- ]by[- ]nc[- ]nd"),
-    ("cc-by-nc", "cc", r"cc-by-nc-[0-9.]+", r"(?:cc|creative commons)[- ]by[- ]nc"),
-    ("cc-by-sa", "cc", r"cc-by-sa-[0-9.]+", r"(?:cc|creative commons)[- ]by[- ]sa"),
-    ("cc-by-nd", "cc", r"cc-by-nd-[0-9.]+", r"(?:cc|creative commons)[- ]by[- ]nd"),
-    ("cc-by", "cc", r"cc-by-[0-9.]+", r"(?:cc|creative commons)[- ]by"),
-    ("cc0", "cc0", r"cc0-[0-9.]+", r"cc0(?: [0-9.]+ universal)?"),
-    ("cc-by-nc-sa", "noncommercial", r"cc-by-nc-sa-[0-9.]+", r"attribution[- ]non-?commercial[- ]share-?alike"),
-    ("cc-by-nc-nd", "noncommercial", r"cc-by-nc-nd-[0-9.]+", r"attribution[- ]non-?commercial[- ]no-?deriv(?:ative)?s?(?: works)?"),
-    ("cc-by-nc", "noncommercial", r"cc-by-nc-[0-9.]+", r"attribution[- ]non-?commercial"),
-    ("cc-by-sa", "sharealike", r"cc-by-sa-[0-9.]+", r"attribution[- ]share-?alike"),
-    ("cc-by", "attribution", r"cc-by-[0-9.]+", r"creative commons attribution"),
-    ("unlicense", "unlicense", r"unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl", r"wtfpl|do what the f\S+ you want to public licen[cs]e"),
-    ("zlib", "zlib", r"zlib", r"zlib(?:/libpng)?(?: licen[cs]e)"),
-    ("bsl", "boost", r"bsl-[0-9.]+", r"boost software licen[cs]e"),
-    ("artistic", "artistic", r"artistic-[0-9.]+", r"artistic licen[cs]e"),
-    ("python", "python", r"(?:psf|python)-[0-9.]+", r"python software foundation licen[cs]e|psf licen[cs]e"),
-    ("ofl", "font", r"ofl-[0-9.]+", r"(?:sil )?open font licen[cs]e"),
-    ("eupl", "european", r"eupl-[0-9.]+", r"european union public licen[cs]e"),
-    ("odbl", "database", r"odbl-[0-9.]+", r"open (?:data commons open )?database licen[cs]e"),
-    ("pddl", "dedication", r"pddl-[0-9.]+", r"public domain dedication(?: and licen[cs]e)?"),
-    ("openssl", "openssl", r"openssl", r"openssl licen[cs]e"),
-    ("postgresql", "postgresql", r"postgresql", r"postgresql licen[cs]e"),
-    ("busl", "business source", r"busl-[0-9.]+", r"business source licen[cs]e"),
-    ("elastic", "elastic", r"elastic-[0-9.]+", r"elastic licen[cs]e"),
-    ("sspl", "server side", r"sspl-[0-9.]+", r"server side public licen[cs]e"),
-    ("ms-pl", "microsoft", r"ms-pl", r"microsoft public licen[cs]e"),
-    ("upl", "universal permissive", r"upl-[0-9.]+", r"universal permissive licen[cs]e"),
-)
-_VERSION = r"(?:,? ?(?:version |v)?[0-9]+(?:\.[0-9]+)*)?"
-_GRANT = r"(?:re-?)?(?:licen[cs]ed|released|distributed|published|available|provided|covered|offered|shared)(?: (?:you|and|or|freely|made|licen[cs]ed|distributed|available))*"
-# Kinds of signature: priority, strength, and the expression with the family's identifier and name.
-KINDS = (
-    (1, 1.0, r"spdx-licen[cs]e-identifier:\s*(?:{spdx})(?![\w.-])"),
-    (2, 0.95, rf"{_GRANT} (?:under|by|with|in accordance with|subject to)(?: the)?(?: terms(?: and conditions)? of)?(?: the| an?)? (?:{{name}})(?!\w){_VERSION}"),
-    (3, 0.85, rf"(?:licen[cs]e|licensing|copying|terms):\s*(?:the )?(?:{{name}})(?!\w){_VERSION}"),
-    (4, 0.8, rf"(?:the )?terms (?:and conditions )?of (?:the )?(?:{{name}})(?!\w){_VERSION}"),
-    (5, 0.7, r"(?<!\w)(?:{spdx})(?= licen[cs]e)"),
-    (6, 0.6, rf"(?<!\w)(?:{{name}})(?!\w)(?:(?<=licen[cs]e)|(?= licen[cs]e)|(?=,? version [0-9])|(?= v?[0-9]+\.[0-9])){_VERSION}"),
-)
-GENERIC = (
-    (7, 0.5, "public-domain", "public domain", r"(?:released|dedicated|placed|are|is) (?:in|to|into) the public domain(?!\w)"),
-    (8, 0.4, "proprietary", "rights reserved", r"all rights reserved(?!\w)"),
-    (8, 0.4, "proprietary", "proprietary", r"proprietary (?:and confidential|licen[cs]e)"),
-)
-_GATE = "(?i)licen[cs]|licensing|copying|spdx|public domain|rights reserved|proprietary|terms of|released under|covered by"
-
-
-def rules() -> list[tuple[int, float, str, str, str]]:
-    """(priority, strength, label, keyword, expression) in the order that they run."""
-    made = []
-    for k, (priority, strength, form) in enumerate(KINDS):
-        for place, (label, keyword, spdx, name) in enumerate(FAMILIES):
-            word = spdx.split("-")[0].split("(")[0] if k in (0, 4) else keyword
-            word = keyword if not word.isalnum() else word
-            made.append((priority * 1000 + place, strength, label, word, "(?i)" + form.format(spdx=spdx, name=name)))
-    made += [(p * 1000 + i, s, label, word, "(?i)" + form) for i, (p, s, label, word, form) in enumerate(GENERIC)]
-    return sorted(made)
+# Characters of a chunk, and how far it looks on: more than any match is long.
+CHUNK, OVERLAP = 1000, 300
+
+
+@lru_cache(1)
+def rules() -> list[tuple[int, float, str, str]]:
+    return license_rules.rules()
+
+
+@lru_cache(1)
+def _gates() -> tuple[list[set[str]], str, list[str]]:
+    own, broken = license_rules.gates(rules())
+    return own, broken, sorted(set().union(*own) - {license_rules.BROKEN})
 
 
 def _rule_table():
-    fields = ("order", "strength", "label", "keyword", "pattern")
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(fields, r)]) for r in rules()])
+    """The rules as one constant: one text, not a column for each of their parts."""
+    own, _, _ = _gates()
+    made = [dict(zip(("order", "strength", "label", "pattern"), r), keywords=license_rules.keywords(r[3]), gates=sorted(g)) for r, g in zip(rules(), own)]
+    return F.from_json(F.lit(json.dumps(made)), "array<struct<order:int,strength:double,label:string,pattern:string,keywords:array<string>,gates:array<string>>>")
+
+
+def _gate_words():
+    return F.from_json(F.lit(json.dumps(_gates()[2])), "array<string>")
+
+
+_MATCH = "struct<start:int,back:int,order:int,label:string,strength:double,matched:string>"
+_EMPTY = f"array<{_MATCH}>"
+
+
+def fold(text):
+    """Lower case; each run of white space and comment signs is one space."""
+    return F.regexp_replace(F.replace(F.lower(text), F.lit("//"), F.lit(" ")), r"[\s\u00A0*#|>]+", " ")
+
+
+def _chunks(folded):
+    """Structs (text, begin, context): pieces of ``CHUNK`` characters with one before and ``OVERLAP`` after."""
+    pieces = F.regexp_extract_all(folded, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def made(pieces):
+        def one(piece, i):
+            before = F.when(i > 0, F.right(F.get(pieces, i - 1), F.lit(1))).otherwise(F.lit(""))
+            after = F.coalesce(F.substr(F.get(pieces, i + 1), F.lit(1), F.lit(OVERLAP)), F.lit(""))
+            return F.struct(F.concat(before, piece, after).alias("text"), (i * CHUNK).alias("begin"), F.length(before).alias("context"))
+
+        return F.transform(pieces, one)
+
+    return F.flatten(F.transform(F.array(pieces), made))
+
+
+def _rule_matches(chunk, rule):
+    """The matches of one rule that start in a chunk: what lies between them tells where they are."""
+    pattern = rule["pattern"]
+    zipped = F.arrays_zip(F.split(chunk["text"], pattern, -1).alias("gap"), F.regexp_extract_all(chunk["text"], pattern, F.lit(0)).alias("hit"))
+
+    def one(state, z):
+        start = state["at"] + F.length(z["gap"])
+        place = start - chunk["context"]
+        begin = chunk["begin"] + place
+        hit = F.struct(begin.cast("int").alias("start"), (-begin - F.length(z["hit"])).cast("int").alias("back"), rule["order"].alias("order"), rule["label"].alias("label"), rule["strength"].alias("strength"), z["hit"].alias("matched"))
+        mine = z["hit"].isNotNull() & (place >= 0) & (place < CHUNK)
+        found = F.when(mine, F.concat(state["found"], F.array(hit))).otherwise(state["found"])
+        return F.struct((start + F.coalesce(F.length(z["hit"]), F.lit(0))).alias("at"), found.alias("found"))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("found"))
+    return F.aggregate(zipped, first, one)["found"]
+
+
+def _chunk_matches(chunk, table):
+    """All matches that start in one chunk, by start, the longest first, then by priority."""
+    found = F.filter(_gate_words(), lambda w: F.contains(chunk["text"], w))
+    found = F.concat(found, F.when(chunk["text"].rlike(_gates()[1]), F.array(F.lit(license_rules.BROKEN))).otherwise(F.array().cast("array<string>")))
+
+    def of(found):
+        fitting = F.filter(table, lambda r: F.arrays_overlap(r["gates"], found) & F.exists(r["keywords"], lambda k: F.contains(chunk["text"], k)))
+        matches = F.array_sort(F.flatten(F.transform(fitting, lambda r: _rule_matches(chunk, r))))
+        return F.when(F.size(found) > 0, matches).otherwise(F.array().cast(_EMPTY))
+
+    return F.flatten(F.transform(F.array(found), of))
 
 
-_EMPTY = "array<struct<label:string,strength:double,line:int,start:int,matched:string>>"
+def _outermost(matches, reach):
+    """Matches of one chunk that no other holds; ``reach`` is where those of the chunk before end."""
 
+    def one(state, m):
+        end = -m["back"]
+        inside = state["reach"] >= end
+        return F.struct(F.greatest(state["reach"], end).alias("reach"), F.when(inside, state["found"]).otherwise(F.concat(state["found"], F.array(m))).alias("found"))
 
-def _line_matches(line, number, table):
-    """All matches in one line, higher priority first; what matched is taken out of the line."""
-    folded = F.lower(line)
-    fitting = F.filter(table, lambda r: F.contains(folded, r["keyword"]))
+    return F.aggregate(matches, F.struct(reach.alias("reach"), F.array().cast(_EMPTY).alias("found")), one)["found"]
 
-    def one(state, rule):
-        start = F.regexp_instr(state["rest"], rule["pattern"])
-        matched = F.regexp_substr(state["rest"], rule["pattern"])
-        hit = F.struct(
-            rule["label"].alias("label"), rule["strength"].alias("strength"), number.alias("line"), start.alias("start"), matched.alias("matched")
-        )
-        rest = F.concat(
-            F.substr(state["rest"], F.lit(1), start - 1), F.repeat(F.lit("\x01"), F.length(matched)), F.substr(state["rest"], start + F.length(matched))
-        )
-        return F.struct(rest.alias("rest"), F.concat(state["found"], F.array(hit)).alias("found"))
 
-    def apply(state, rule):
-        times = F.size(F.regexp_extract_all(state["rest"], rule["pattern"], F.lit(0)))
-        return F.when(times > 0, F.aggregate(F.array_repeat(rule, times), state, one)).otherwise(state)
+def _resolved(by_chunk):
+    def ends(i):
+        return F.coalesce(F.array_max(F.transform(F.get(by_chunk, i - 1), lambda m: -m["back"])), F.lit(0))
 
-    first = F.struct(line.alias("rest"), F.array().cast(_EMPTY).alias("found"))
-    return F.aggregate(fitting, first, apply)["found"]
+    kept = F.flatten(F.transform(by_chunk, lambda found, i: _outermost(found, F.when(i > 0, ends(i)).otherwise(F.lit(0)))))
+    return F.transform(kept, lambda m: F.struct(m["label"].alias("label"), m["strength"].alias("strength"), m["start"].alias("start"), (-m["back"]).alias("end"), m["matched"].alias("matched")))
 
 
 def _stands(parts: list[str]):
@@ -149,13 +139,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """``id, n_words, base_starts, base_labels, matches, labels, score`` for each document.
 
     ``base_starts`` are the word numbers at which base phrases stand, ``matches`` the rule matches
-    (label, strength, line, start in it from 1, matched text), ``labels`` the labels of both,
-    sorted. Null texts count as empty. Null ids and repeated rows keep their rows; an empty table
-    gives none; other columns are not read.
+    (label, strength, start and end in the folded text, matched text) in order, ``labels`` the
+    labels of both, sorted. Null texts count as empty. Null ids and repeated rows keep their rows;
+    an empty table gives none; other columns are not read.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), body.alias("_text"))
-    rows = rows.withColumn("_gate", F.col("_text").rlike(_GATE)).withColumn("_phrase", F.col("_text").rlike("(?i)license"))
+    rows = rows.withColumn("_low", F.lower("_text"))
+    _, broken, words = _gates()
+    gate = F.col("_low").rlike(broken)
+    for word in words:
+        gate |= F.contains("_low", F.lit(word))
+    rows = rows.withColumn("_gate", gate).withColumn("_phrase", F.contains("_low", F.lit("license")) | F.col("_text").rlike("(?i)license")).drop("_low")
     words = F.when(F.col("_phrase"), F.regexp_extract_all(common.fold_ascii(F.col("_text")), F.lit(WORD), F.lit(0)))
     rows = rows.withColumn("n_words", F.regexp_count("_text", F.lit(WORD)).cast("long")).withColumn("_words", words)
     places = F.sequence(F.lit(0), F.size("_words") - 1)
@@ -168,15 +163,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     rows = rows.withColumns({f"_starts{i}": s for i, s in enumerate(starts)})
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"_starts{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]))
     table = _rule_table()
-    lines = F.filter(F.transform(F.split("_text", "\n"), lambda s, i: F.struct(s.alias("text"), i.alias("number"))), lambda s: s["text"].rlike(_GATE))
-    matches = F.flatten(F.transform(lines, lambda s: _line_matches(s["text"], s["number"], table)))
+    by_chunk = F.transform(_chunks(fold(F.col("_text"))), lambda c: _chunk_matches(c, table))
     rows = rows.select(
         "_id",
         "n_words",
         F.array_sort(F.concat(*[F.col(f"_starts{i}") for i in range(len(PHRASES))])).alias("base_starts"),
         F.array_sort(base_labels).alias("base_labels"),
-        F.when(F.col("_gate"), matches).otherwise(F.array().cast(_EMPTY)).alias("matches"),
+        F.when(F.col("_gate"), by_chunk).otherwise(F.array().cast(f"array<{_EMPTY}>")).alias("_by_chunk"),
     )
+    rows = rows.withColumn("matches", _resolved(F.col("_by_chunk")))
     method = F.transform("matches", lambda m: m["label"])
     strongest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["strength"])), F.lit(0.0))
     score = F.greatest(strongest, F.when(F.size("base_labels") > 0, F.lit(0.6)).otherwise(F.lit(0.0)))

@@ -65,7 +65,6 @@ def cut_documents(
     A document's ids end with ``end_id``; only longer documents are cut, into full pieces and
     a last one that may be shorter. Null texts count as empty: one piece, the end id alone.
     """
-    common.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     schema = docs.select(id_col).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
 
@@ -78,7 +77,7 @@ def cut_documents(
         pieces = PackedPieces(tokenizer_path, WORD_PATTERN, lower=True)
         end = pieces.value([end_id])
         step = 4 * capacity
-        for batch in batches:
+        for batch in common.sliced(batches):
             at, starts, lengths, crcs = [], [], [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
                 ids = pieces.packed(t) + end
@@ -118,14 +117,13 @@ def pack_documents(
     sequences and streams its pieces. Null texts are one piece of the end id; null ids and
     repeated rows are packed like any other; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     pieces = common.materialize(cut_documents(docs, tokenizer_path, id_col, text, capacity, end_id))
     tasks = max(1, -(-pieces.count() // pieces_per_task))
-    order = F.xxhash64(F.col(id_col), F.col("piece"), F.col("ids_crc32"))
+    # the place of a row in the written table is a salt: repeated rows are dealt out like others
+    order = F.xxhash64(F.col(id_col), F.col("piece"), F.col("ids_crc32"), F.monotonically_increasing_id())
     dealt = pieces.withColumn("_order", order).repartition(tasks, "_order").sortWithinPartitions("_order", "start", id_col)
     names = [*pieces.columns, "sequence_id", "offset"]
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
     def run(batches):
         import pyarrow as pa

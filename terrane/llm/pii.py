@@ -21,7 +21,6 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from . import common
 
-DEFAULT_KEY = b"terrane pseudonyms: replace this key in production"
 ROUNDS = 10
 KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date")
 
@@ -41,6 +40,11 @@ _ALONE = {name: re.compile(shape, re.ASCII) for name, shape in _SHAPES.items()}
 _CARD_DIGITS = 13
 _ANY = re.compile("[0-9@]")
 _IBAN_LENGTH = {"DE": 22, "FR": 27, "ES": 24, "GB": 22, "IT": 27, "NL": 18, "BE": 16, "AT": 20, "CH": 21, "PT": 25, "PL": 28, "SE": 24, "IE": 22, "LU": 20, "DK": 18, "FI": 18, "NO": 15}
+# Country calling codes of one and two digits; all others have three.
+_CODES_1 = ("1", "7")
+_CODES_2 = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
 _FIRST_DAY, _LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 
@@ -106,7 +110,7 @@ def _fill(shape: str, characters: str, classes: str) -> str:
 class Pseudonyms:
     """Finds, validates and replaces personal data in one text."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY):
+    def __init__(self, key: bytes):
         if not key:
             raise ValueError("an empty key hides nothing")
         self.feistel = Feistel(key)
@@ -185,12 +189,15 @@ class Pseudonyms:
             x = self.feistel.permute(((a * 256 + b) * 256 + c) * 256 + d, 1 << 32, "ipv4", back)
             return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
         if kind == "date":
-            day, style = _date(value)
-            new = self.feistel.permute(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, "date", back) + _FIRST_DAY
-            return _render(date.fromordinal(new), style)
+            day, *notation = _date(value)
+            x = day - _FIRST_DAY
+            while True:  # walk within the days that this notation writes in this width and is read back the same
+                x = self.feistel.permute(x, _LAST_DAY - _FIRST_DAY + 1, "date", back)
+                new = date.fromordinal(x + _FIRST_DAY)
+                if _writes(new, *notation):
+                    return _render(new, *notation)
         if kind == "phone":
-            code = re.match(r"\+[0-9]{1,3}(?=[ .(-])", value)
-            head = code.group()[1:] if code else ""
+            head = _country_code(digits) if value.startswith("+") else ""
             rest = digits[len(head) :]
             national = self._walk(rest, "phone" + head, lambda d: d[0] not in "01" or rest[0] in "01", back) if rest[0] not in "01" else self._digits(rest, "phone0" + head, back)
             return _fill(value, head + national, "d")
@@ -247,38 +254,49 @@ def _email_parts(value: str) -> list[str]:
     return [*parts, "." + top]
 
 
+def _country_code(digits: str) -> str:
+    return digits[:1] if digits[:1] in _CODES_1 else digits[:2] if digits[:2] in _CODES_2 else digits[:3]
+
+
 def _date(value: str):
-    """(day, notation) of a valid date from 1900 to 2099, or None; with slashes 13 and over tell day from month."""
-    style, parts = next(s for s in "-/." if s in value), [int(p) for p in re.split("[-/.]", value)]
+    """(day, notation, digits of the day, digits of the month) of a valid date from 1900 to 2099, or None.
+
+    With slashes a second number of 13 and over is the day, else the month.
+    """
+    style = next(s for s in "-/." if s in value)
+    parts = re.split("[-/.]", value)
+    numbers = [int(p) for p in parts]
+    year, month, d = (0, 1, 2) if style == "-" else (2, 1, 0)
+    if style == "/" and numbers[1] > 12:
+        style, month, d = "m", 0, 1
     try:
-        if style == "-":
-            day = date(*parts)
-        elif style == "/" and parts[1] > 12:
-            day, style = date(parts[2], parts[0], parts[1]), "m"
-        else:
-            day = date(parts[2], parts[1], parts[0])
+        day = date(numbers[year], numbers[month], numbers[d]).toordinal()
     except ValueError:
         return None
-    return (day.toordinal(), style) if _FIRST_DAY <= day.toordinal() <= _LAST_DAY else None
+    return (day, style, len(parts[d]), len(parts[month])) if _FIRST_DAY <= day <= _LAST_DAY else None
+
+
+def _writes(day: date, style: str, day_digits: int, month_digits: int) -> bool:
+    """Whether a day has this notation and width."""
+    return (day_digits > 1 or day.day < 10) and (month_digits > 1 or day.month < 10) and (style != "m" or day.day > 12)
 
 
-def _render(day: date, style: str) -> str:
+def _render(day: date, style: str, day_digits: int, month_digits: int) -> str:
     if style == "-":
         return day.isoformat()
-    if style == "m":
-        return f"{day.month:02d}/{day.day:02d}/{day.year}"
-    return f"{day.day:02d}{style}{day.month:02d}{style}{day.year}"
+    d, m = f"{day.day:0{day_digits}d}", f"{day.month:0{month_digits}d}"
+    return f"{m}/{d}/{day.year}" if style == "m" else f"{d}{style}{m}{style}{day.year}"
 
 
-def pseudonymize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """All columns of ``docs``, the text with pseudonyms, and ``pii_spans`` of what was found.
 
     ``pii_spans`` is a list of (kind, start, end) in the text given. Null texts stay null with an
-    empty list. Every other column passes unchanged, also one named like a column of ours would
+    empty list. ``key`` is the secret; an empty one is refused. Every other column passes unchanged, also one named like a column of ours would
     be: a column ``pii_spans`` of the input is replaced. Repeated rows and null ids keep their
     rows; an empty table gives none.
     """
-    common.bounded_batches(docs.sparkSession)
+    Pseudonyms(key)  # refuses an empty key here, not in the tasks
     docs = docs.drop("pii_spans")
     span = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])
     names = docs.columns
@@ -291,7 +309,7 @@ def pseudonymize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ke
 
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         pseudonyms = Pseudonyms(key)
-        for batch in batches:
+        for batch in common.sliced(batches):
             done = [(None, []) if t is None else pseudonyms.replace(t) for t in batch.column(place).to_pylist()]
             columns = [batch.column(i) for i in range(batch.num_columns)]
             columns[place] = pa.array([t for t, _ in done], pa.string())

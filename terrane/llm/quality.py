@@ -91,8 +91,39 @@ class Model:
         return float(self.weights[places] @ values)
 
 
+def _gradients(score, gaps, grades, weight):
+    """Of the negative log-likelihood: by each score, and by the thresholds' first value and log gaps."""
+    import numpy as np
+
+    n_grades = len(gaps) + 1
+    theta = np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])]))
+    padded = np.concatenate([[-np.inf], theta, [np.inf]])
+    hi, lo = (1 / (1 + np.exp(-np.clip(padded[grades + k] - score, -30, 30))) for k in (1, 0))
+    hi, lo = np.where(grades == n_grades - 1, 1.0, hi), np.where(grades == 0, 0.0, lo)
+    p = np.maximum(hi - lo, 1e-12)
+    dhi, dlo = hi * (1 - hi) / p * weight, lo * (1 - lo) / p * weight
+    d_theta = np.zeros(n_grades - 1)
+    np.add.at(d_theta, np.minimum(grades, n_grades - 2), np.where(grades < n_grades - 1, -dhi, 0))
+    np.add.at(d_theta, np.maximum(grades - 1, 0), np.where(grades > 0, dlo, 0))
+    tail = np.cumsum(d_theta[::-1])[::-1]
+    return dhi - dlo, np.concatenate([tail[:1], tail[1:] * np.exp(gaps[1:])])
+
+
+def _adam(value, gradient, mean, square, epoch: int, epochs: int) -> None:
+    """One step in place, the rate falling to zero."""
+    import numpy as np
+
+    rate = 0.1 * (0.5 + 0.5 * np.cos(np.pi * epoch / (epochs + 1)))
+    mean += 0.1 * (gradient - mean)
+    square += 0.001 * (gradient * gradient - square)
+    value -= rate * (mean / (1 - 0.9**epoch)) / (np.sqrt(square / (1 - 0.999**epoch)) + 1e-8)
+
+
 def fit(rows: list, grades, n_grades: int, bits: int = BITS, min_docs: int = MIN_DOCS, epochs: int = EPOCHS, l2: float = L2) -> Model:
-    """Maximum penalised likelihood by full-batch Adam steps.
+    """Maximum penalised likelihood by full-batch Adam steps, rare grades weighing as much as common ones.
+
+    Then the thresholds alone are fitted once more without those weights, so that the tail
+    probabilities agree with the shares of the grades that were seen.
 
     ``rows`` are pairs (places, values), ``grades`` numbers from 0. No rows, or one grade only, give a
     model without weights whose thresholds follow the grades seen (smoothed).
@@ -117,32 +148,21 @@ def fit(rows: list, grades, n_grades: int, bits: int = BITS, min_docs: int = MIN
     owner = np.repeat(np.arange(len(rows)), [len(p) for p, _ in rows])
     values = np.concatenate([x for _, x in rows])
     columns, owner, values = (x[columns >= 0] for x in (columns, owner, values))
-    w, m, v = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
+    w = np.zeros(len(used))
     # thresholds as a first value and positive gaps keep their order
     gaps = np.concatenate([thresholds[:1], np.log(np.maximum(np.diff(thresholds), 1e-3))])
-    gm, gv = np.zeros_like(gaps), np.zeros_like(gaps)
-    sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     weight = (len(grades) / (n_grades * counts))[grades]  # rare grades weigh as much as common ones
+    steps = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, gaps)]
     for epoch in range(1, epochs + 1):
-        theta = np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])]))
         score = np.bincount(owner, w[columns] * values, len(rows))
-        padded = np.concatenate([[-np.inf], theta, [np.inf]])
-        hi, lo = sigma(padded[grades + 1] - score), sigma(padded[grades] - score)
-        hi, lo = np.where(grades == n_grades - 1, 1.0, hi), np.where(grades == 0, 0.0, lo)
-        p = np.maximum(hi - lo, 1e-12)
-        dhi, dlo = hi * (1 - hi) / p * weight, lo * (1 - lo) / p * weight
-        d_score = dhi - dlo  # of the negative log-likelihood
+        d_score, d_gaps = _gradients(score, gaps, grades, weight)
         grad = np.bincount(columns, d_score[owner] * values, len(used)) + l2 * w
-        d_theta = np.zeros(n_grades - 1)
-        np.add.at(d_theta, np.minimum(grades, n_grades - 2), np.where(grades < n_grades - 1, -dhi, 0))
-        np.add.at(d_theta, np.maximum(grades - 1, 0), np.where(grades > 0, dlo, 0))
-        tail = np.cumsum(d_theta[::-1])[::-1]
-        d_gaps = np.concatenate([tail[:1], tail[1:] * np.exp(gaps[1:])])
-        rate = 0.1 * (0.5 + 0.5 * np.cos(np.pi * epoch / (epochs + 1)))
-        for value, g, a, b in ((w, grad, m, v), (gaps, d_gaps, gm, gv)):
-            a += 0.1 * (g - a)
-            b += 0.001 * (g * g - b)
-            value -= rate * (a / (1 - 0.9**epoch)) / (np.sqrt(b / (1 - 0.999**epoch)) + 1e-8)
+        for value, g, (a, b) in zip((w, gaps), (grad, d_gaps), steps):
+            _adam(value, g, a, b, epoch, epochs)
+    # thresholds again with every document weighing one: probabilities follow the shares of the grades
+    score, a, b = np.bincount(owner, w[columns] * values, len(rows)), np.zeros_like(gaps), np.zeros_like(gaps)
+    for epoch in range(1, epochs + 1):
+        _adam(gaps, _gradients(score, gaps, grades, np.ones(len(rows)))[1], a, b, epoch, epochs)
     weights[used] = w
     return Model(weights, np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])])))
 
@@ -165,33 +185,33 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int = 3, id_col: str = "
     """
     import numpy as np
 
-    common.bounded_batches(docs.sparkSession)
     picked = grades.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)  # bounded: may be broadcast
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(picked), "_id")
 
     def featurize(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in common.sliced(batches):
             found = [features(t, bits) for t in batch.column(1).to_pylist()]
             packed = [pa.array([x[k].astype(kind).tobytes() for x in found], pa.binary()) for k, kind in ((0, "<i4"), (1, "<f4"))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), *packed], names=["id", "grade", "places", "weights"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *packed], names=["id", "grade", "places", "weights"])
 
     def learn(batches):
         import pyarrow as pa
 
         rows = [row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(4)))]
         rows.sort()  # the order that shuffled blocks come in doesn't matter
-        rows = list({row[0]: row[1:] for row in rows}.values())  # one text for each id
-        pairs = [(np.frombuffer(p, dtype="<i4").astype(np.int64), np.frombuffer(x, dtype="<f4").astype(np.float64)) for _, p, x in rows]
-        model = fit(pairs, [row[0] for row in rows], n_grades, bits)
+        pairs = [(np.frombuffer(p, dtype="<i4").astype(np.int64), np.frombuffer(x, dtype="<f4").astype(np.float64)) for _, _, p, x in rows]
+        model = fit(pairs, [row[1] for row in rows], n_grades, bits)
         at = np.flatnonzero(model.weights)
         yield pa.RecordBatch.from_arrays(
             [pa.array([a.astype(t).tobytes()], pa.binary()) for a, t in ((at, "<i8"), (model.weights[at], "<f8"), (model.thresholds, "<f8"))], names=["at", "w", "theta"]
         )
 
-    rows = sample.mapInArrow(featurize, "id long, grade int, places binary, weights binary").repartition(1)
-    row = rows.mapInArrow(learn, "at binary, w binary, theta binary").first()
+    found = sample.select(F.col("_id").cast("string"), "_text", F.col("grade").cast("int")).mapInArrow(featurize, "id string, grade int, places binary, weights binary")
+    # one text for each id before anything is gathered: repeats go where they are
+    once = found.groupBy("id").agg(F.min(F.struct("grade", "places", "weights")).alias("r")).select("id", "r.*")
+    row = once.repartition(1).mapInArrow(learn, "at binary, w binary, theta binary").first()
     if row is None:
         return fit([], [], n_grades, bits)
     weights = np.zeros(1 << bits)
@@ -206,7 +226,6 @@ def grade_documents(docs: DataFrame, model: Model, text: str = "text", good_grad
     Null texts count as empty. Input columns named like a result are replaced; repeated rows and
     nulls in other columns pass; an empty table gives no rows.
     """
-    common.bounded_batches(docs.sparkSession)
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("expected_grade", "tail_probability", "grade", "selected")]
     rows = docs.select(*names, F.col(text).cast("string").alias("_quality_text"))
     schema = StructType([*docs.select(*names).schema.fields, StructField("expected_grade", DoubleType()), StructField("tail_probability", DoubleType()), StructField("grade", IntegerType())])
@@ -218,7 +237,7 @@ def grade_documents(docs: DataFrame, model: Model, text: str = "text", good_grad
         import pyarrow as pa
 
         model = Model(*sent.value)
-        for batch in batches:
+        for batch in common.sliced(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             tails = model.tails(np.array([model.score(features(t, bits)) for t in texts]))
             cumulative = np.concatenate([np.ones((len(texts), 1)), tails, np.zeros((len(texts), 1))], axis=1)

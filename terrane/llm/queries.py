@@ -22,6 +22,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The secret named in the session; the driver's tables are synthetic and take a key for tests where none is named."""
+    return spark.conf.get("spark.terrane.pii.key", "a key for tests with synthetic tables only").encode()
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,7 +88,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
     spans = F.array_join(F.transform("pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return done.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_pii"), spans.alias("spans"))
 
@@ -107,7 +112,7 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def _op9_sql() -> str:
     upper = "".join(map(chr, range(65, 91)))
-    two = ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES)
+    known = ", ".join(f"'{s}'" for s in urls.SUFFIXES)
     low = 1 / (1 + urls.MIN_STRENGTH)
 
     def strength(table: str) -> str:
@@ -123,11 +128,13 @@ def _op9_sql() -> str:
 WITH split AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{upper}', '{upper.lower()}') AS host,
     regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
   named AS (SELECT doc_id AS page_id, CASE WHEN quality < 1 OR toxic > 0 THEN 1 WHEN quality >= 1 THEN 0 END AS bad FROM labels),
-  labelled AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS k FROM split JOIN named USING (page_id) WHERE bad IS NOT NULL GROUP BY host),
-  parts AS (SELECT host, string_split(host, '.') AS w FROM (SELECT DISTINCT host FROM split)),
-  pairs AS (SELECT host, w, array_to_string(list_slice(w, greatest(len(w) - 1, 1), len(w)), '.') AS two FROM parts),
-  hosts AS (SELECT host, CASE WHEN two IN ({two}) THEN array_to_string(list_slice(w, greatest(len(w) - 2, 1), len(w)), '.') ELSE two END AS domain,
-    CASE WHEN two IN ({two}) THEN two ELSE w[len(w)] END AS suffix FROM pairs),
+  bare AS (SELECT *, regexp_replace(CASE WHEN starts_with(u, '[') THEN regexp_extract(u, '^\\[[^\\]]*\\]?', 0) ELSE regexp_replace(u, ':[0-9]*$', '') END, '\\.+$', '') AS host
+    FROM (SELECT page_id, regexp_replace(host, '^.*@', '') AS u, host AS full_host, path FROM split)),
+  labelled AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS k FROM bare JOIN named USING (page_id) WHERE bad IS NOT NULL GROUP BY host),
+  parts AS (SELECT host, string_split(host, '.') AS w, starts_with(host, '[') OR regexp_matches(host, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') AS address FROM (SELECT DISTINCT host FROM bare)),
+  tails AS (SELECT *, array_to_string(w[-2:], '.') AS two, array_to_string(w[-3:], '.') AS three FROM parts),
+  hosts AS (SELECT host, CASE WHEN address THEN host WHEN three IN ({known}) THEN array_to_string(w[-4:], '.') WHEN two IN ({known}) THEN three ELSE two END AS domain,
+    CASE WHEN address THEN host WHEN three IN ({known}) THEN three WHEN two IN ({known}) THEN two ELSE w[-1] END AS suffix FROM tails),
   known AS (SELECT * FROM labelled JOIN hosts USING (host)),
   base AS (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + CAST(1 AS DOUBLE)) AS b FROM known),
   suf AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(b) AS mu FROM known, base GROUP BY suffix),
@@ -144,7 +151,7 @@ WITH split AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://(
   posterior AS (SELECT host, (sh.s * mu + k) / (sh.s + n) AS share, sh.s + 1 + n AS weight FROM prior, sh),
   judged AS (SELECT host, share, greatest(share - {urls.Z!r} * sqrt(share * (1 - share) / weight), 0) AS bound_low FROM posterior)
 SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE CASE WHEN bound_low > {urls.BLOCK_SHARE!r} THEN 'block' ELSE 'allow' END END AS verdict,
-  round(share, 6) AS share, round(bound_low, 6) AS bound_low FROM split JOIN judged USING (host)
+  round(share, 6) AS share, round(bound_low, 6) AS bound_low FROM (SELECT page_id, full_host AS host, path, host AS name FROM bare) JOIN (SELECT host AS name, share, bound_low FROM judged) USING (name)
 """
 
 
@@ -153,29 +160,43 @@ ORACLES["op9_bayes_url_filter"] = _op9_sql()
 
 def _op10_sql() -> str:
     d = decontamination
-    units = ", ".join(f"'{u}'" for u in d.UNITS)
-    slot = f"CASE WHEN substr({{0}}, 1, 1) BETWEEN '0' AND '9' THEN '#' WHEN substr({{0}}, 1, 1) <> lower(substr({{0}}, 1, 1)) THEN '@' WHEN {{0}} IN ({units}) THEN '%' END"
+    units, numbers = (", ".join(f"'{w}'" for w in words) for words in (d.UNITS, d.NUMBER_WORDS))
+    slot = (
+        f"CASE WHEN substr({{0}}, 1, 1) BETWEEN '0' AND '9' OR lower({{0}}) IN ({numbers}) THEN '#' WHEN substr({{0}}, 1, 1) <> lower(substr({{0}}, 1, 1)) THEN '@' WHEN {{0}} IN ({units}) THEN '%' END"
+    )
     words = r"list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+    consistent = f"coalesce(greatest(0, 1 - ({{1}} - {{0}}) / nullif(CAST({{0}} AS DOUBLE), 0)), 1) >= {d.CONSISTENT!r}"
     return f"""
 WITH doc AS (SELECT doc_id, {words} AS w FROM documents),
   docw AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM doc),
   doct AS (SELECT doc_id, i, x, coalesce({slot.format("x")}, lower(x)) AS t FROM docw),
-  item AS (SELECT item_id, w, least({d.WINDOW}, len(w)) AS size FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {d.MIN_WORDS}),
+  every AS (SELECT item_id, {words} AS w FROM benchmark),
+  item AS (SELECT item_id, w, least({d.WINDOW}, len(w)) AS size FROM every WHERE len(w) >= {d.MIN_WORDS}),
   itemw AS (SELECT item_id, size, len(w) AS n, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM item),
   itemt AS (SELECT *, {slot.format("x")} AS slot FROM itemw),
-  wins AS (SELECT a.item_id, a.i AS pos, a.size, string_agg(coalesce(b.slot, lower(b.x)), ' ' ORDER BY b.i) AS t, count(*) FILTER (WHERE b.slot IS NULL) AS literals
-    FROM itemt a JOIN itemt b ON a.item_id = b.item_id AND b.i BETWEEN a.i AND a.i + a.size - 1 WHERE a.i + a.size - 1 <= a.n GROUP BY 1, 2, 3),
+  wins AS (SELECT a.item_id, a.i AS pos, a.size, a.n - a.size + 1 AS n_all, string_agg(coalesce(b.slot, lower(b.x)), ' ' ORDER BY b.i) AS t, string_agg(lower(b.x), ' ' ORDER BY b.i) AS l,
+    count(*) FILTER (WHERE b.slot IS NULL) AS literals FROM itemt a JOIN itemt b ON a.item_id = b.item_id AND b.i BETWEEN a.i AND a.i + a.size - 1 WHERE a.i + a.size - 1 <= a.n GROUP BY 1, 2, 3, 4),
   telling AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_windows FROM wins WHERE literals >= least({d.LITERALS}, size - 1)),
-  sizes AS (SELECT DISTINCT size FROM telling),
-  docs AS (SELECT doc_id, list(t ORDER BY i) AS t FROM doct GROUP BY doc_id),
-  docwin AS (SELECT doc_id, size, p.range AS i, array_to_string(list_slice(t, p.range, p.range + size - 1), ' ') AS t FROM docs, sizes, range(1, 40000) p WHERE p.range + size - 1 <= len(docs.t)),
+  sizes AS (SELECT DISTINCT size FROM wins),
+  docs AS (SELECT doc_id, list(t ORDER BY i) AS t, list(lower(x) ORDER BY i) AS l FROM doct GROUP BY doc_id),
+  docwin AS (SELECT doc_id, size, p.range AS i, array_to_string(list_slice(t, p.range, p.range + size - 1), ' ') AS t, array_to_string(list_slice(l, p.range, p.range + size - 1), ' ') AS l
+    FROM docs, sizes, range(1, 40000) p WHERE p.range + size - 1 <= len(docs.t)),
   hits AS (SELECT DISTINCT doc_id, item_id, n_windows, telling.pos, telling.size, docwin.i - telling.pos AS shift FROM docwin JOIN telling ON docwin.t = telling.t AND docwin.size = telling.size),
   covered AS (SELECT doc_id, item_id, count(DISTINCT pos) / CAST(any_value(n_windows) AS DOUBLE) AS covered FROM hits GROUP BY 1, 2 HAVING count(DISTINCT pos) / CAST(any_value(n_windows) AS DOUBLE) >= {d.COVERAGE!r}),
   under AS (SELECT DISTINCT h.doc_id, h.item_id, h.shift, i.i, lower(i.x) AS v FROM hits h JOIN covered USING (doc_id, item_id) JOIN itemt i ON i.item_id = h.item_id AND i.i BETWEEN h.pos AND h.pos + h.size - 1 WHERE i.slot IS NOT NULL),
   filled AS (SELECT DISTINCT u.doc_id, u.item_id, u.shift, u.v, lower(t.x) AS f FROM under u JOIN doct t ON t.doc_id = u.doc_id AND t.i = u.i + u.shift),
-  counted AS (SELECT doc_id, item_id, count(DISTINCT shift || ':' || v) AS values_, count(*) AS fills FROM filled GROUP BY 1, 2),
-  found AS (SELECT c.* FROM covered c LEFT JOIN counted USING (doc_id, item_id) WHERE coalesce(greatest(0, 1 - (fills - values_) / CAST(values_ AS DOUBLE)), 1) >= {d.CONSISTENT!r}),
-  by_doc AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items, max(covered) AS coverage FROM found GROUP BY 1)
+  counted AS (SELECT doc_id, item_id, shift, count(DISTINCT v) AS values_, count(*) AS fills FROM filled GROUP BY 1, 2, 3),
+  judged AS (SELECT h.doc_id, h.item_id, h.n_windows, h.pos, h.shift, c.covered, coalesce(k.values_, 0) AS values_, coalesce(k.fills, 0) AS fills
+    FROM hits h JOIN covered c USING (doc_id, item_id) LEFT JOIN counted k USING (doc_id, item_id, shift)),
+  whole AS (SELECT doc_id, item_id, any_value(covered) AS covered, sum(values_) AS values_, sum(fills) AS fills
+    FROM (SELECT DISTINCT doc_id, item_id, shift, covered, values_, fills FROM judged) GROUP BY 1, 2),
+  own AS (SELECT doc_id, item_id, count(DISTINCT pos) / CAST(any_value(n_windows) AS DOUBLE) AS own FROM judged WHERE {consistent.format("values_", "fills")} GROUP BY 1, 2),
+  typed AS (SELECT doc_id, item_id, CASE WHEN {consistent.format("values_", "fills")} THEN covered ELSE own END AS covered
+    FROM whole LEFT JOIN own USING (doc_id, item_id) WHERE {consistent.format("values_", "fills")} OR own >= {d.COVERAGE!r}),
+  equal AS (SELECT doc_id, item_id, count(DISTINCT wins.pos) / CAST(any_value(n_all) AS DOUBLE) AS covered FROM docwin JOIN wins ON docwin.l = wins.l AND docwin.size = wins.size GROUP BY 1, 2
+    UNION ALL SELECT d.doc_id, e.item_id, 1.0 FROM docs d JOIN every e ON len(e.w) BETWEEN 1 AND {d.MIN_WORDS - 1} AND d.l = list_transform(e.w, lambda x: lower(x))),
+  found AS (SELECT * FROM typed UNION ALL SELECT * FROM equal WHERE covered >= {d.COVERAGE!r} AND NOT EXISTS (SELECT 1 FROM typed t WHERE t.doc_id = equal.doc_id AND t.item_id = equal.item_id)),
+  by_doc AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items, max(covered) AS coverage FROM found GROUP BY 1)
 SELECT doc_id, by_doc.n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items, coalesce(coverage, 0) AS coverage FROM documents LEFT JOIN by_doc USING (doc_id)
 """
 

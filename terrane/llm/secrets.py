@@ -1,9 +1,10 @@
 """Secret scans: base patterns, and two character Markov models compared by log-likelihood ratio.
 
 One model is of random strings, one of ordinary identifiers; both are first-order chains over
-character symbols with add-one smoothing, fitted to labelled samples. A candidate is a long run
-of key characters with letters and digits that no base span touches. It is a secret when the
-mean log-likelihood ratio of its steps, random against ordinary, is ``ratio`` or more.
+character symbols with add-one smoothing, fitted to labelled samples. A candidate is a run of key
+characters that no base span touches and that is not a number. It is a secret when the
+log-likelihood ratio of its steps, random against ordinary, exceeds ``step`` for each step by
+``evidence`` in all: one decision on length and likeness, so a short string must be the more telling.
 
 The random sample is drawn from a seeded generator over common alphabets. The ordinary sample is
 made of identifiers joined in the usual styles, and of words of a bounded number of documents
@@ -27,8 +28,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs of 24 or more: shorter ones fail
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_MIN, ACCESS_MIN = 6, 20
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-RATIO = 0.5
+# Shorter runs than this could not bring the evidence together.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+STEP, EVIDENCE = 0.25, 4.0
 SAMPLE_DOCS = 1000
 _WORDS = (
     "account array buffer build cache channel client close config connect content count create data date default delete"
@@ -80,8 +82,8 @@ def labelled_strings(n: int = 4000, seed: int = 7) -> tuple[list[str], list[str]
 
     rng = random.Random(seed)
     digits, lower, upper = _ALPHABET[:10], _ALPHABET[10:36], _ALPHABET[36:62]
-    alphabets = [digits + lower[:6], digits[2:8] + upper, digits + lower + upper, _ALPHABET[:64], digits + lower + upper + "_-"]
-    rand = ["".join(rng.choices(alphabets[k % len(alphabets)], k=rng.randint(20, 48))) for k in range(n)]
+    alphabets = [digits + lower[:6], digits[2:8] + upper, digits + lower + upper, _ALPHABET[:64], digits + lower + upper + "_-", digits + lower, lower + upper, upper, lower]
+    rand = ["".join(rng.choices(alphabets[k % len(alphabets)], k=rng.randint(12, 48))) for k in range(n)]
     plain = []
     for k in range(n):
         words = rng.choices(_WORDS, k=rng.randint(2, 5))
@@ -92,7 +94,7 @@ def labelled_strings(n: int = 4000, seed: int = 7) -> tuple[list[str], list[str]
 
 
 class Ratio:
-    """Mean log-likelihood ratio of a string's steps, random against ordinary."""
+    """Mean log-likelihood ratio of a string's steps, random against ordinary; and whether it is a secret's."""
 
     def __init__(self, random_counts, ordinary_counts):
         import numpy as np
@@ -109,6 +111,11 @@ class Ratio:
         s = np.frombuffer(symbols(token), dtype=np.uint8)
         return float(self.table[s[:-1], s[1:]].mean())
 
+    def secret(self, token: str, step: float = STEP, evidence: float = EVIDENCE) -> float | None:
+        """The ratio of a secret, or None."""
+        value = self(token)
+        return value if (value - step) * (len(token) - 1) >= evidence else None
+
 
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Ratio:
     """Fit both models; the words of ``sample_docs`` documents at most add to the ordinary sample.
@@ -117,7 +124,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample_do
     """
     import numpy as np
 
-    common.bounded_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text")).where("_text is not null")
     sample = texts.join(F.broadcast(ids.distinct()), "_id", "left_semi").select("_text")  # at most sample_docs ids
@@ -126,7 +132,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample_do
         import pyarrow as pa
 
         total = np.zeros((N_SYMBOLS, N_SYMBOLS), dtype=np.int64)
-        for batch in batches:
+        for batch in common.sliced(batches):
             for t in batch.column(0).to_pylist():
                 if not base_spans(t):
                     total += transitions(w for w in t.split() if w.isascii() and len(w) > 1 and CANDIDATE.fullmatch(w) is None)
@@ -143,7 +149,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample_do
     return Ratio(transitions(rand), ordinary + words.reshape(N_SYMBOLS, N_SYMBOLS))
 
 
-def scan_text(text: str, ratio: Ratio, least: float = RATIO) -> tuple[list[tuple[int, int, str]], float]:
+def scan_text(text: str, ratio: Ratio, step: float = STEP, evidence: float = EVIDENCE) -> tuple[list[tuple[int, int, str]], float]:
     """All spans of one text by start and kind, and the largest ratio of a method span (zero if none)."""
     base = base_spans(text)
     extra, best, k, reach = [], 0.0, 0, 0
@@ -153,10 +159,10 @@ def scan_text(text: str, ratio: Ratio, least: float = RATIO) -> tuple[list[tuple
             reach = max(reach, base[k][1])
             k += 1
         token = m.group()
-        if reach > start or not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)):
+        if reach > start or token.isdigit():
             continue
-        value = ratio(token)
-        if value >= least:
+        value = ratio.secret(token, step, evidence)
+        if value is not None:
             extra.append((start, end, "random"))
             best = max(best, value)
     spans = sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
@@ -167,13 +173,12 @@ def joined(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def find_secrets(docs: DataFrame, ratio: Ratio, id_col: str = "doc_id", text: str = "text", least: float = RATIO) -> DataFrame:
+def find_secrets(docs: DataFrame, ratio: Ratio, id_col: str = "doc_id", text: str = "text", step: float = STEP, evidence: float = EVIDENCE) -> DataFrame:
     """``id, kinds, starts, ends, values, ratio``: the spans of each text in order, with their strings.
 
     Null texts count as empty; documents without spans have empty lists. Null ids and repeated
     rows keep their rows; an empty table gives none; other columns are not read.
     """
-    common.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     schema = rows.select(F.col("_id").alias(id_col)).schema
     for name, kind in (("kinds", StringType()), ("starts", LongType()), ("ends", LongType()), ("values", StringType())):
@@ -183,11 +188,11 @@ def find_secrets(docs: DataFrame, ratio: Ratio, id_col: str = "doc_id", text: st
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in common.sliced(batches):
             found = []
             texts = batch.column(1).to_pylist()
             for t in texts:
-                found.append(scan_text(t, ratio, least))
+                found.append(scan_text(t, ratio, step, evidence))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -220,6 +225,6 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = RATIO, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", step: float = STEP, evidence: float = EVIDENCE, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Train on a bounded sample, then scan every document."""
-    return find_secrets(docs, train(docs, id_col, text, sample_docs), id_col, text, least)
+    return find_secrets(docs, train(docs, id_col, text, sample_docs), id_col, text, step, evidence)

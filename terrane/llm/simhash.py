@@ -62,7 +62,6 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_WORDS, out: str = "fp") -> DataFrame:
     """All columns of ``docs`` but the text, and the fingerprint as a signed long."""
-    common.bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text]
     schema = docs.select(*keep).schema.add(out, "long")
 
@@ -70,7 +69,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle_words: int = SHING
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in common.sliced(batches):
             texts = batch.column(batch.num_columns - 1)
             values = [fingerprint(t, shingle_words) for t in texts.to_pylist()]
             signed = np.array(values, dtype=np.uint64).view(np.int64)
@@ -257,7 +256,6 @@ def sketches(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_W
     is a 128-bit hash of the set of their 64-bit hashes, equal for equal sets. Further
     fingerprints mix the same hashes anew, so they differ independently for different texts.
     """
-    common.bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text]
     schema = docs.select(*keep).schema.add("fps", ArrayType(LongType())).add("shingles", ArrayType(IntegerType())).add("whole", BinaryType())
 
@@ -265,7 +263,7 @@ def sketches(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_W
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in common.sliced(batches):
             found = [_sketch(t, shingle_words, prints, similar_words) for t in batch.column(batch.num_columns - 1).to_pylist()]
             fps = pa.array([np.array(f, dtype=np.uint64).view(np.int64) for f, _, _ in found], pa.list_(pa.int64()))
             sets = pa.array([s for _, s, _ in found], pa.list_(pa.int32()))

@@ -105,7 +105,6 @@ def count_tokens(
     an empty table gives none; other columns are not read. Counts equal those of the tokenizers
     library over the whole text, special strings in it handled as its default.
     """
-    common.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     rows = rows.select("_id", F.octet_length("_text").cast("long").alias("_bytes"), "_text")
     schema = rows.select(F.col("_id").alias(id_col), F.col("_bytes").alias("n_bytes")).schema.add("n_tokens", "long")
@@ -114,7 +113,7 @@ def count_tokens(
         import pyarrow as pa
 
         counter = Counter(tokenizer_path)
-        for batch in batches:
+        for batch in common.sliced(batches):
             texts = batch.column(2).to_pylist()
             counts = pa.array([counter.count(t, chunk_chars, overlap_chars) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], names=[id_col, "n_bytes", "n_tokens"])

@@ -17,8 +17,13 @@ from . import common
 
 # The rules of the driver's query, as (action, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-# Public suffixes of two labels that the splitter knows; others have one.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "com.br", "com.cn", "co.in", "co.kr", "com.mx", "co.za", "com.tr")
+# Public suffixes of several labels that are known unless a caller gives others; all else has one label.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "org.uk", "com.au", "edu.au", "gov.au", "net.au", "org.au", "co.nz", "org.nz", "ac.jp", "co.jp", "ne.jp", "or.jp",
+    "com.br", "net.br", "org.br", "com.cn", "net.cn", "org.cn", "com.hk", "com.tw", "com.sg", "com.my", "co.id", "co.th", "co.in", "net.in", "org.in", "co.kr", "or.kr",
+    "com.mx", "com.ar", "com.co", "com.pe", "com.tr", "com.ua", "com.pl", "com.vn", "com.ph", "com.eg", "com.sa", "co.il", "org.il", "co.za", "org.za", "co.ke", "com.ng",
+    "github.io", "gitlab.io", "blogspot.com", "wordpress.com", "herokuapp.com", "netlify.app", "vercel.app", "pages.dev", "web.app", "s3.amazonaws.com",
+)
 BLOCK_SHARE = 0.5
 Z = 1.96
 # A prior weighs at least this many pages, however far apart the members of its level are: one bad page is no verdict.
@@ -33,12 +38,22 @@ def split_url(url):
     return host, F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1)
 
 
-def split_host(host):
-    """(registered domain, suffix) of a host; a host of one label is its own domain and suffix."""
-    two = F.substring_index(host, ".", -2)
-    long_suffix = two.isin(*TWO_LABEL_SUFFIXES)
-    suffix = F.when(long_suffix, two).otherwise(F.substring_index(host, ".", -1))
-    return F.when(long_suffix, F.substring_index(host, ".", -3)).otherwise(two), suffix
+def host_name(host):
+    """The host without user, port and final dots: what reputation is kept by."""
+    bare = F.regexp_replace(host, "^.*@", "")
+    bare = F.when(bare.startswith("["), F.regexp_extract(bare, r"^\[[^\]]*\]?", 0)).otherwise(F.regexp_replace(bare, ":[0-9]*$", ""))
+    return F.regexp_replace(bare, r"\.+$", "")
+
+
+def split_host(name, suffixes=SUFFIXES):
+    """(registered domain, suffix) of a host's name; one label or an address in numbers is its own domain and suffix."""
+    address = name.startswith("[") | name.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    domain, suffix = F.substring_index(name, ".", -2), F.substring_index(name, ".", -1)
+    for labels in sorted({s.count(".") + 1 for s in suffixes}):  # the longest is asked first
+        here = F.substring_index(name, ".", -labels)
+        known = here.isin(*[s for s in suffixes if s.count(".") + 1 == labels])
+        domain, suffix = F.when(known, F.substring_index(name, ".", -labels - 1)).otherwise(domain), F.when(known, here).otherwise(suffix)
+    return F.when(address, name).otherwise(domain), F.when(address, name).otherwise(suffix)
 
 
 def judge(host, path, rules=RULES):
@@ -98,25 +113,27 @@ def reputations(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
     return every.select("host", "n", "k", "share", F.greatest(F.col("share") - F.lit(Z) * spread, F.lit(0.0)).alias("bound_low"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url: str = "url", rules=RULES, block_share: float = BLOCK_SHARE) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url: str = "url", rules=RULES, block_share: float = BLOCK_SHARE, suffixes=SUFFIXES) -> DataFrame:
     """``id, host, path, rule, verdict, share, bound_low`` for each page.
 
     ``outcomes``: labelled pages as (the id column, ``bad`` 0 or 1); null ids or labels are left
     out, a page labelled twice counts twice. Null urls have an empty host and path and are judged
-    like any other. Null ids and repeated pages keep their rows; an empty table gives none; other
+    like any other. Reputation is kept by the host without user, port and final dots. Null ids and repeated pages keep their rows; an empty table gives none; other
     columns are not read.
     """
     host, path = split_url(F.col("_url"))
     split = pages.select(F.col(id_col).alias("_id"), F.col(url).cast("string").alias("_url")).select("_id", host.alias("host"), path.alias("path"))
+    split = split.withColumn("name", host_name(F.col("host")))
     named = outcomes.select(F.col(id_col).alias("_id"), F.col("bad").cast("long").alias("bad")).where("_id is not null and bad is not null")
-    domain, suffix = split_host(F.col("host"))
-    labelled = split.join(named, "_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
+    domain, suffix = split_host(F.col("host"), suffixes)
+    names = split.select("_id", F.col("name").alias("host"))
+    labelled = names.join(named, "_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
     labelled = common.materialize(labelled.withColumn("domain", domain).withColumn("suffix", suffix))
-    hosts = split.groupBy("host").agg(F.count("*").alias("_pages")).drop("_pages").withColumn("domain", domain).withColumn("suffix", suffix)
-    known = common.materialize(reputations(hosts, labelled))
+    hosts = names.groupBy("host").agg(F.count("*").alias("_pages")).drop("_pages").withColumn("domain", domain).withColumn("suffix", suffix)
+    known = common.materialize(reputations(hosts, labelled)).withColumnRenamed("host", "name")
     rule, action = judge(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound_low") > block_share, "block").otherwise("allow")
-    return split.join(known, "host").select(
+    return split.join(known, "name").select(
         F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(action, own).alias("verdict"),
         F.round("share", 6).alias("share"), F.round("bound_low", 6).alias("bound_low"),
     )

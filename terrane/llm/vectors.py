@@ -3,28 +3,31 @@
 Unit vectors at cosine ``t`` or more are at squared distance ``2 - 2t`` or less. A fixed random
 rotation spreads that distance over all axes; cut into blocks of few axes, a close pair is within
 a block's share of the squared distance (in proportion to its axes) in at least one block. Each
-block is a range join: a grid over the block's first two axes, one cell two radii wide, and a
-vector also visits the lower cells that its radius reaches. What a cell brings together is held
-against the block's budget, and the union of candidates is verified by the cosine in double
-precision. A pair counts in its first block within budget, so in one place only. Equal vectors
-are one class from the start, and only link counts and a spanning forest leave a task.
+block is a range join by recursive halving: members split at an axis, and those near enough to the
+cut, by what is left of their budget, visit the other side too, so no pair in reach is lost and
+each further axis leaves fewer. A label that fits one task is halved there, at medians. A larger
+one is first dealt out by the signs of so many axes that cells stay small; vectors visit the cells
+with a lower code in reach. What meets within the block's budget is verified by the cosine in
+double precision. A pair counts in its first block within budget, so in one place only. Equal
+vectors are one class from the start, and only link counts and a spanning forest leave a task.
 """
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from . import common
 
 THRESHOLD = 0.98
 BLOCK_DIMS = 16
-TILE_ROWS = 1024
+TILE_ROWS = 8192
 SEED = 20240607
 _SLACK = 1e-9
 _PAIRS = 1 << 15
+_LEAF = 4096
+_ALL_BLOCKS = -1
 
 
 def rotation(dims: int, seed: int = SEED):
@@ -55,93 +58,123 @@ def _usable(vector):
     return vector.isNotNull() & values & F.exists(vector, lambda x: F.coalesce(x != 0, F.lit(False)))
 
 
+def budgets(dims: int, block_dims: int, threshold: float) -> list[float]:
+    """Each block's share of the squared distance."""
+    return [(2 - 2 * threshold) * (hi - lo) / dims + _SLACK for lo, hi in block_edges(dims, block_dims)]
+
+
+def visits(z, budget: float, bits: int):
+    """(row, code, home) of the sign cells that each row of a block lies in or reaches with a lower code."""
+    import numpy as np
+
+    at, code, left = np.arange(len(z)), np.zeros(len(z), dtype=np.int64), np.full(len(z), budget)
+    own = np.zeros(len(z), dtype=np.int64)
+    for axis in range(min(bits, z.shape[1])):
+        bit = (z[:, axis] >= 0).astype(np.int64) << axis
+        own |= bit
+        gap = z[at, axis] ** 2
+        over = gap <= left
+        code = np.concatenate([code | bit[at], code[over] | (bit[at[over]] ^ (1 << axis))])
+        left = np.concatenate([left, left[over] - gap[over]])
+        at = np.concatenate([at, at[over]])
+    keep = code <= own[at]
+    return at[keep], code[keep], code[keep] == own[at[keep]]
+
+
 def _cells(classes: DataFrame, threshold: float, block_dims: int) -> DataFrame:
-    """A row for each class, block and cell visited: home cells and the lower cells in reach."""
-    schema = "cid long, label string, n long, vec array<double>, block int, cx long, cy long, home boolean"
+    """A row for each class and cell: one alone where the label fits a task (``bits`` 0), else for each block and cell."""
+    schema = classes.select("cid", "label", "n", "vec").schema.add("block", "integer").add("code", "long").add("home", "boolean")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            frame = batch.to_pandas()
-            for dims, part in frame.groupby(frame["vec"].str.len()):
-                x = np.stack(part["vec"].to_numpy()).astype(np.float64)
-                y = unit(x) @ rotation(dims)
-                rows = []
-                for b, (lo, hi) in enumerate(block_edges(dims, block_dims)):
-                    radius = np.sqrt((2 - 2 * threshold) * (hi - lo) / dims) + _SLACK
-                    width = 2 * radius
-                    first = y[:, lo]
-                    second = y[:, lo + 1] if hi - lo > 1 else np.zeros(len(y))
-                    cx, cy = np.floor(first / width).astype(np.int64), np.floor(second / width).astype(np.int64)
-                    rows.append((np.arange(len(y)), b, cx, cy, True))
-                    for dx, dy in itertools.product((-1, 0, 1), repeat=2):
-                        if (dx, dy) < (0, 0):
-                            near = np.ones(len(y), dtype=bool)
-                            for value, cell, step in ((first, cx, dx), (second, cy, dy)):
-                                if step < 0:
-                                    near &= value - cell * width <= radius
-                                elif step > 0:
-                                    near &= (cell + 1) * width - value <= radius
-                            at = np.flatnonzero(near)
-                            rows.append((at, b, cx[at] + dx, cy[at] + dy, False))
-                at = np.concatenate([r[0] for r in rows])
-                for s in range(0, len(at), 4096):
-                    cut = slice(s, s + 4096)
-                    pick = at[cut]
-                    flat = x[pick]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(part["cid"].to_numpy()[pick]),
-                            pa.array(part["label"].to_numpy()[pick], pa.string()),
-                            pa.array(part["n"].to_numpy()[pick]),
-                            pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, dims), pa.int32()), pa.array(flat.ravel())),
-                            pa.array(np.concatenate([np.full(len(r[0]), r[1]) for r in rows])[cut], pa.int32()),
-                            pa.array(np.concatenate([r[2] for r in rows])[cut]),
-                            pa.array(np.concatenate([r[3] for r in rows])[cut]),
-                            pa.array(np.concatenate([np.full(len(r[0]), r[4]) for r in rows])[cut]),
-                        ],
-                        names=["cid", "label", "n", "vec", "block", "cx", "cy", "home"],
-                    )
-
-    return classes.select("cid", "label", "n", "vec").mapInArrow(run, schema)
+            vec, bits = batch.column("vec"), batch.column("bits").to_numpy(zero_copy_only=False)
+            sizes = pa.compute.list_value_length(vec).to_numpy(zero_copy_only=False)
+            found = [(np.flatnonzero(bits == 0), _ALL_BLOCKS, 0, True)]
+            for dims, many in {*zip(sizes[bits > 0].tolist(), bits[bits > 0].tolist())}:
+                rows = np.flatnonzero((sizes == dims) & (bits == many))
+                y = unit(np.stack(vec.take(pa.array(rows)).to_pylist())) @ rotation(dims)
+                for block, ((lo, hi), budget) in enumerate(zip(block_edges(dims, block_dims), budgets(dims, block_dims, threshold))):
+                    at, code, home = visits(y[:, lo:hi], budget, many)
+                    found.append((rows[at], block, code, home))
+            for rows, block, code, home in found:
+                for s in range(0, len(rows), 4096):
+                    pick = rows[s : s + 4096]
+                    full = lambda v, kind: np.full(len(pick), v, dtype=kind) if np.isscalar(v) else v[s : s + 4096].astype(kind)  # noqa: B023, E731
+                    columns = [batch.column(c).take(pa.array(pick)) for c in ("cid", "label", "n", "vec")]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(full(block, "int32")), pa.array(full(code, "int64")), pa.array(full(home, "bool"))], names=schema.names)
+
+    return classes.select("cid", "label", "n", "vec", "bits").mapInArrow(run, schema)
+
+
+def near(z, home, budget: float, leaf: int = _LEAF):
+    """Index pairs (i, j) within the squared distance, i at home; each pair of two at home once.
+
+    Targets and probes are halved at the target's median, axis by axis; probes go to both sides
+    while their squared way to the cut stays within what is left of the budget.
+    """
+    import numpy as np
+
+    targets = np.flatnonzero(home)
+    todo = [(targets, np.arange(len(z)), np.full(len(z), budget), 0)]
+    while todo:
+        t, p, left, axis = todo.pop()
+        if not len(t) or not len(p):
+            continue
+        if len(t) * len(p) > leaf and axis < z.shape[1]:
+            cut = np.median(z[t, axis])
+            below, mine = z[t, axis] < cut, z[p, axis] < cut
+            gap = (z[p, axis] - cut) ** 2
+            for side, own in ((below, mine), (~below, ~mine)):
+                reach = own | (gap <= left)
+                todo.append((t[side], p[reach], (left - np.where(own, 0.0, gap))[reach], axis + 1))
+            continue
+        step = max(1, (1 << 16) // len(p))
+        for s in range(0, len(t), step):
+            rows = t[s : s + step]
+            far = np.zeros((len(rows), len(p)))
+            for k in range(z.shape[1]):
+                far += (z[rows, k][:, None] - z[p, k][None, :]) ** 2
+            ok = (far <= budget) & ((p[None, :] < rows[:, None]) | ~home[p][None, :])
+            i, j = np.nonzero(ok)
+            if len(i):
+                yield rows[i], p[j]
 
 
 def _tile(x, home, chunk, cross: bool, block: int, threshold: float, block_dims: int):
-    """Linked index pairs of one tile that this block answers for."""
+    """Linked index pairs of one tile, slice by slice: of one block, or of all of them."""
     import numpy as np
 
     dims = x.shape[1]
-    u = unit(x)
-    y = u @ rotation(dims)
-    edges = block_edges(dims, block_dims)
-    budget = [(2 - 2 * threshold) * (hi - lo) / dims + _SLACK for lo, hi in edges]
-    lo, hi = edges[block]
-    z = y[:, lo:hi]
-    norms = (z * z).sum(axis=1)
-    found = []
-    step = max(1, (1 << 20) // len(x))
-    for s in range(0, len(x), step):
-        e = min(len(x), s + step)
-        far = norms[s:e, None] + norms[None, s:] - 2 * (z[s:e] @ z[s:].T)
-        near = far <= budget[block] + 1e-7
-        near &= np.arange(s, e)[:, None] < np.arange(s, len(x))[None, :]
-        near &= home[s:e, None] | home[None, s:]
-        if cross:
-            near &= chunk[s:e, None] != chunk[None, s:]
-        i, j = np.nonzero(near)
-        i, j = i + s, j + s
-        for p in range(0, len(i), _PAIRS):
-            a, b = i[p : p + _PAIRS], j[p : p + _PAIRS]
-            gaps = (y[a] - y[b]) ** 2
-            ok = gaps[:, lo:hi].sum(axis=1) <= budget[block]
-            for k in range(block):
-                ok &= gaps[:, edges[k][0] : edges[k][1]].sum(axis=1) > budget[k]
-            a, b = a[ok], b[ok]
-            same = cosine(x[a], x[b]) >= threshold
-            found.append(np.stack([a[same], b[same]]))
-    return np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=int)
+    y = unit(x) @ rotation(dims)
+    edges, share = block_edges(dims, block_dims), budgets(dims, block_dims, threshold)
+    for b in range(len(edges)) if block == _ALL_BLOCKS else (block,):
+        lo, hi = edges[b]
+        held, count = [], 0
+        for pair in _ended(near(y[:, lo:hi], home, share[b])):
+            if pair is not None:
+                held.append(np.stack(pair))
+                count += len(pair[0])
+            if not held or (pair is not None and count < _PAIRS):
+                continue
+            whole, held, count = np.concatenate(held, axis=1), [], 0
+            for s in range(0, whole.shape[1], _PAIRS):
+                i, j = whole[:, s : s + _PAIRS]
+                ok = chunk[i] != chunk[j] if cross else np.ones(len(i), dtype=bool)
+                i, j = i[ok], j[ok]
+                for k in range(b):  # an earlier block within budget answers for the pair
+                    gap = ((y[i, edges[k][0] : edges[k][1]] - y[j, edges[k][0] : edges[k][1]]) ** 2).sum(axis=1)
+                    i, j = i[gap > share[k]], j[gap > share[k]]
+                same = cosine(x[i], x[j]) >= threshold
+                if same.any():
+                    yield i[same], j[same]
+
+
+def _ended(items):
+    yield from items
+    yield None
 
 
 def cosine(a, b):
@@ -156,7 +189,7 @@ def cosine(a, b):
 
 
 def _forest(pairs, n: int):
-    """Edges (member, smallest member) that join what the pairs join."""
+    """For each of ``n`` members the smallest that the pairs join it with."""
     import numpy as np
 
     label = np.arange(n)
@@ -167,17 +200,32 @@ def _forest(pairs, n: int):
         np.minimum.at(new, pairs[1], low)
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
-    at = np.flatnonzero(label != np.arange(n))
-    return at, label[at]
+
+
+def _tile_links(part, block: int, threshold: float, block_dims: int):
+    """Of one tile: members with links and their counts, and forest edges (member, smallest member)."""
+    import numpy as np
+
+    x, n = np.stack(part["vec"].to_numpy()).astype(np.float64), part["n"].to_numpy()
+    counts, label = np.zeros(len(part), dtype=np.int64), np.arange(len(part))
+    home = part["home"].to_numpy()
+    for i, j in _tile(x, home, part["chunk"].to_numpy(), bool(part["cross"].iloc[0]), block, threshold, block_dims):
+        np.add.at(counts, i, n[j])
+        np.add.at(counts, j, n[i])
+        a, b = label[i], label[j]
+        if (a != b).any():
+            label = _forest((a, b), len(part))[label]
+    at = np.flatnonzero(label != np.arange(len(part)))
+    return np.flatnonzero(counts), counts, at, label[at]
 
 
 def _linked(cells: DataFrame, threshold: float, block_dims: int, tile_rows: int) -> DataFrame:
     """``a, b, n``: link counts of a class (b null) and forest edges (n zero)."""
-    key = F.xxhash64("label", F.size("vec"), "block", "cx", "cy")
+    key = F.xxhash64("label", F.size("vec"), "block", "code")
     tiles = common.tiled(cells.withColumn("key", key), "cid", tile_rows)
-    tiles = tiles.select("key", "tile", "chunk", "cross", "cid", "label", "n", "vec", "block", "home")
+    tiles = tiles.select("key", "tile", "chunk", "cross", "cid", "label", "n", "vec", "block", "code", "home")
 
     def run(batches):
         import numpy as np
@@ -188,22 +236,15 @@ def _linked(cells: DataFrame, threshold: float, block_dims: int, tile_rows: int)
             out_a, out_b, out_n = [], [], []
             for s, e in zip(starts, starts[1:]):
                 tile = frame.iloc[s:e]
-                # rows of another label, block or length share a key only when hashes meet
-                for (_, block, _), part in tile.groupby([tile["label"], tile["block"], tile["vec"].str.len()]):
-                    home = part["home"].to_numpy()
-                    if len(part) < 2 or not home.any():
+                # rows of another label, block, code or length share a key only when hashes meet
+                for (_, block, _, _), part in tile.groupby([tile["label"], tile["block"], tile["code"], tile["vec"].str.len()]):
+                    if len(part) < 2 or not part["home"].any():
                         continue
-                    x = np.stack(part["vec"].to_numpy())
-                    pairs = _tile(x, home, part["chunk"].to_numpy(), bool(part["cross"].iloc[0]), int(block), threshold, block_dims)
-                    if not pairs.shape[1]:
-                        continue
-                    cid, n = part["cid"].to_numpy(), part["n"].to_numpy()
-                    counts = np.bincount(pairs[0], n[pairs[1]], len(cid)) + np.bincount(pairs[1], n[pairs[0]], len(cid))
-                    at = np.flatnonzero(counts)
-                    i, j = _forest(pairs, len(cid))
+                    at, counts, i, j = _tile_links(part, int(block), threshold, block_dims)
+                    cid = part["cid"].to_numpy()
                     out_a += [cid[at], cid[i]]
                     out_b += [np.full(len(at), -1), cid[j]]
-                    out_n += [counts[at].astype(np.int64), np.zeros(len(i), dtype=np.int64)]
+                    out_n += [counts[at], np.zeros(len(i), dtype=np.int64)]
             if out_a:
                 b = np.concatenate(out_b)
                 yield pa.RecordBatch.from_arrays(
@@ -231,24 +272,29 @@ def near_duplicates(
     (null if none) and isn't kept. Other columns are not read; an empty table gives no rows.
     """
     rows = vectors.select(F.col(id_col).alias("_id"), F.col(label).cast("string").alias("_label"), F.col(vector).alias("_vec"))
+    kind = rows.schema["_vec"].dataType
+    if not (isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)):
+        rows = rows.withColumn("_vec", F.col("_vec").cast(ArrayType(DoubleType())))
     usable = _usable(F.col("_vec")) & F.col("_label").isNotNull()
-    good = rows.where(usable)
-    classes = good.groupBy("_label", "_vec").agg(F.min("_id").alias("low"), F.count("*").alias("n"))
-    classes = common.materialize(
-        classes.select(F.monotonically_increasing_id().alias("cid"), F.col("_label").alias("label"), F.col("_vec").alias("vec"), "low", "n")
-    )
-    common.bounded_batches(vectors.sparkSession, 2048)
-    found = common.materialize(_linked(_cells(classes, threshold, block_dims), threshold, block_dims, tile_rows))
+    # two hashes stand for a label and a vector: whole vectors move once, to their class
+    good = rows.where(usable).withColumns({"_k1": F.xxhash64("_label", "_vec"), "_k2": F.xxhash64(F.lit(1), "_vec", "_label")})
+    classes = good.groupBy("_k1", "_k2").agg(F.min("_id").alias("low"), F.count("*").alias("n"), F.first("_label").alias("label"), F.first("_vec").alias("vec"))
+    classes = common.materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "_k1", "_k2", "label", "vec", "low", "n"))
+    sizes = classes.groupBy("label").agg(F.count("*").alias("_m"))
+    bits = F.when(F.col("_m") <= tile_rows, 0).otherwise(F.ceil(F.log2(F.col("_m") / tile_rows)).cast("int") + 2)
+    found = _linked(_cells(classes.join(sizes, "label").withColumn("bits", bits), threshold, block_dims), threshold, block_dims, tile_rows)
+    found = common.materialize(found)
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
     roots = common.connected_components(found.where("b is not null").select("a", "b"))
-    slim = classes.select("cid", "low", "n")
-    member = slim.join(roots, slim.cid == roots.node, "left").select("cid", "low", "n", F.coalesce("root", "cid").alias("root"))
+    slim = classes.select("cid", "_k1", "_k2", "low", "n")
+    member = slim.join(roots, slim.cid == roots.node, "left").select("cid", "_k1", "_k2", "low", "n", F.coalesce("root", "cid").alias("root"))
     lows = member.groupBy("root").agg(F.min("low").alias("component_id"))
     member = member.join(lows, "root").join(counts, F.col("cid") == counts.a, "left")
-    member = member.select("cid", "component_id", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    member = member.select("_k1", "_k2", "component_id", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     member = common.materialize(member)
-    named = classes.select("cid", "label", "vec").join(member, "cid")
-    whole = good.join(named, (good._label == named.label) & (good._vec == named.vec), "inner").select("_id", "n_links", "component_id")
+    for table in (found, roots, classes):
+        common.release(table)
+    whole = good.select("_id", "_k1", "_k2").join(member, ["_k1", "_k2"]).select("_id", "n_links", "component_id")
     rest = rows.where(~F.coalesce(usable, F.lit(False))).select("_id", F.lit(0).cast("long"), F.col("_id").cast("long"))
     out = whole.union(rest)
     return out.select(

@@ -10,7 +10,7 @@ import corpus_pipeline
 from terrane.llm import decontamination, packing, urls, vectors
 
 
-@pytest.mark.parametrize("tile_rows,block_dims", [(1024, 16), (8, 4)])
+@pytest.mark.parametrize("tile_rows,block_dims", [(1024, 16), (8, 4), (40, 12)])
 def test_vector_links_equal_brute_force(spark, tile_rows, block_dims):
     rng = np.random.default_rng(4)
     rows = []
@@ -39,6 +39,24 @@ def test_vector_links_equal_brute_force(spark, tile_rows, block_dims):
         assert got[i] == (len(links[i]), min(reach), i == min(reach)), i
 
 
+@pytest.mark.parametrize("bits", [0, 3, 9])
+def test_blocks_bring_all_close_pairs_together_once(bits):
+    rng = np.random.default_rng(bits)
+    x = vectors.unit(np.concatenate([rng.standard_normal((500, 32)), np.repeat(rng.standard_normal((40, 32)), 5, axis=0) + 0.05 * rng.standard_normal((200, 32))]))
+    z, budget = x[:, :8], 0.012
+    far = ((z[:, None] - z[None]) ** 2).sum(axis=2)
+    want = {(j, i) for i, j in np.argwhere(far <= budget) if j < i}
+    assert len(want) > 200
+    at, code, home = vectors.visits(z, budget, bits)
+    assert len(at) == len(z) if not bits else len(at) < 0.6 * len(z) * 2**bits
+    found = []
+    for cell in np.unique(code):
+        rows = at[code == cell]
+        for i, j in vectors.near(z[rows], home[code == cell], budget, leaf=256):
+            found += [tuple(sorted(p)) for p in zip(rows[i].tolist(), rows[j].tolist())]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_vectors_without_rows_or_ids(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vectors.near_duplicates(none).count() == 0
@@ -67,6 +85,20 @@ def test_urls_are_split_and_judged(spark):
     assert urls.filter_urls(df.where("false"), none).count() == 0
 
 
+def test_reputation_is_kept_by_the_registered_name(spark):
+    hosts = ["user@Shop.example.com:8080", "example.com.", "10.0.0.1", "[::1]:80", "a.b.com.sg", "foo.github.io", "localhost", "", "x.y.co.uk.", "a@b@c.d.org", "s.x.s3.amazonaws.com"]
+    df = spark.createDataFrame([(h.lower(),) for h in hosts], "host string").select("host", urls.host_name(F.col("host")).alias("name"))
+    domain, suffix = urls.split_host(F.col("name"))
+    got = {r.host: (r.name, r.d, r.s) for r in df.select("host", "name", domain.alias("d"), suffix.alias("s")).collect()}
+    assert list(got.values()) == [
+        ("shop.example.com", "example.com", "com"), ("example.com", "example.com", "com"), ("10.0.0.1", "10.0.0.1", "10.0.0.1"), ("[::1]", "[::1]", "[::1]"), ("a.b.com.sg", "b.com.sg", "com.sg"),
+        ("foo.github.io", "foo.github.io", "github.io"), ("localhost", "localhost", "localhost"), ("", "", ""), ("x.y.co.uk", "y.co.uk", "co.uk"), ("c.d.org", "d.org", "org"), ("s.x.s3.amazonaws.com", "x.s3.amazonaws.com", "s3.amazonaws.com"),
+    ]
+    pages = spark.createDataFrame([(1, "http://u@Bad.net.:81/x"), (2, "http://bad.net/")], "page_id long, url string")
+    rows = {r.page_id: r for r in urls.filter_urls(pages, spark.createDataFrame([(2, 1)], "page_id long, bad int"), rules=()).collect()}
+    assert rows[1].host == "u@bad.net.:81" and rows[1].share == rows[2].share
+
+
 def test_reputation_shrinks_and_blocks_bad_hosts(spark):
     pages, bad = [], []
     rng = random.Random(0)

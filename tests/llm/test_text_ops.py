@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.llm import licenses, packing, pii, quality, secrets, simhash, token_counts
+from terrane.llm import license_rules, licenses, packing, pii, quality, secrets, simhash, token_counts
 from terrane.llm.pieces import WORD_PATTERN, PackedPieces
 from terrane.llm.queries import tokenizer_path
 
@@ -160,8 +160,23 @@ def test_markov_ratio_on_held_out_strings():
     rand, plain = secrets.labelled_strings(2000, seed=1)
     other_rand, other_plain = secrets.labelled_strings(500, seed=2)
     ratio = secrets.Ratio(secrets.transitions(rand), secrets.transitions(plain))
-    assert sum(ratio(t) >= secrets.RATIO for t in other_rand) > 0.97 * len(other_rand)
-    assert sum(ratio(t) >= secrets.RATIO for t in other_plain) < 0.01 * len(other_plain)
+    assert sum(ratio.secret(t) is not None for t in other_rand) > 0.95 * len(other_rand)
+    assert sum(ratio.secret(t) is not None for t in other_plain) < 0.01 * len(other_plain)
+
+
+def test_short_keys_and_keys_of_letters_are_found(spark):
+    """Alphabets and strings that the labelled samples don't hold: drawn from the system's own hash."""
+    words = "der die das und ist nicht the of and for window buffer connect la casa de los niños le monde est grand".split()
+    rng = random.Random(12)
+    prose = [" ".join(rng.choices(words, k=60)) for _ in range(60)]
+    ratio = secrets.train(spark.createDataFrame(list(enumerate(prose)), "doc_id int, text string"))
+    digest = lambda k: hashlib.sha512(str(k).encode()).hexdigest()
+    letters = lambda k, n: "".join(chr(97 + int(digest(k)[2 * i : 2 * i + 2], 16) % 26) for i in range(n))
+    for made in (lambda k: digest(k)[:16] + "Xq", lambda k: letters(k, 18), lambda k: letters(k, 16).upper()):
+        found = [bool(secrets.scan_text(f"key {made(k)} end", ratio)[0]) for k in range(200)]
+        assert sum(found) >= 180
+    plain = ["4539148803436467", "2024-01-31-12-30", "the_buffer_window_connect", "Nichtdiecasadelosgrand", "src/window/buffer/connect"]
+    assert not any(secrets.scan_text(f"see {p} end", ratio)[0] for p in plain)
 
 
 def test_license_rules_resolve_overlaps(spark, docs, none):
@@ -180,7 +195,6 @@ def test_license_rules_resolve_overlaps(spark, docs, none):
         assert rows[i].labels == want, (i, rows[i])
         assert 0 <= rows[i].score <= 1
     assert (rows[6].n_base, rows[6].first_word, rows[6].last_word, rows[6].n_words) == (2, 0, 2, 4)
-    assert len(licenses.rules()) > 250
     assert licenses.scan(docs).count() == len(TEXTS) + 2
     assert licenses.scan(none).count() == 0
 
@@ -208,9 +222,9 @@ def test_pseudonyms_keep_format_and_link(docs, none):
     assert p.replace(text)[0] == new == pii.Pseudonyms(b"k").replace(text)[0] != pii.Pseudonyms(b"z").replace(text)[0]
     for plain in ("4539 1488 0343 6468", "31/02/1999", "999.1.1.1", "version 1.2.3.4.5", "room 555-1234", "000-12-3456"):
         assert p.replace(plain) == (plain, [])
-    out = pii.pseudonymize(docs)
+    out = pii.pseudonymize(docs, b"k")
     assert out.columns == [*docs.columns, "pii_spans"] and out.count() == len(TEXTS) + 2
-    assert pii.pseudonymize(none).count() == 0
+    assert pii.pseudonymize(none, b"k").count() == 0
 
 
 def test_ordinal_model_learns_and_orders(spark, docs, none):
@@ -272,24 +286,149 @@ def test_similar_groups_are_verified(spark):
 
 
 def test_license_rules_equal_a_plain_loop(spark):
+    """All rules over the whole folded text, without gates, keywords or chunks; a match inside another goes."""
     rng = random.Random(2)
     bits = [
         "licensed under the", "released under", "License:", "SPDX-License-Identifier:", "terms of the", "and", "or", "(the)", "MIT", "mit license", "Apache License, Version 2.0", "apache-2.0",
-        "GNU Lesser General Public License v2.1", "General Public License", "GPL 3.0", "LGPL-2.1-only license", "CC BY-NC-SA 4.0", "Creative Commons Attribution", "BSD 3-clause license", "MPL 2.0",
+        "GNU Lesser General Public License v2.1", "General\n * Public License", "GPL 3.0", "LGPL-2.1-only license", "CC BY-NC-SA 4.0", "Creative Commons Attribution", "BSD 3-clause license", "MPL 2.0",
         "public domain", "are in the public domain", "all rights reserved", "permit", "ISC license", "Eclipse Public License", "version 2.0", "\n", "\n", ".", "proprietary license", "Boost Software Licence",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "https://www.gnu.org/licenses/gpl-3.0.html",
+        "Permission is hereby granted, free of charge,\n// to any person obtaining a copy of this software and associated documentation files", "x " * 300,
     ]
-    texts = [" ".join(rng.choices(bits, k=rng.randint(2, 14))) for _ in range(150)]
+    texts = [" ".join(rng.choices(bits, k=rng.randint(2, 24))) for _ in range(120)]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
-    rules = [(label, word, re.compile(form.replace("(?i)", ""), re.I | re.A)) for _, _, label, word, form in licenses.rules()]
-    gate = re.compile(licenses._GATE.replace("(?i)", ""), re.I)
     for i, text in enumerate(texts):
+        folded = re.sub(r"[\s*#|>]+", " ", text.lower().replace("//", " "), flags=re.ASCII)
+        spans = sorted((m.start(), -m.end(), order, label) for order, _, label, form in licenses.rules() for m in license_rules.plain(form).finditer(folded))
         want = []
-        for n, line in enumerate(text.split("\n")):
-            if not gate.search(line):
-                continue
-            low, rest = line.lower(), line
-            for label, word, form in rules:
-                while word in low and (m := form.search(rest)):
-                    want.append((label, n, m.start() + 1, m.group()))
-                    rest = rest[: m.start()] + "\x01" * len(m.group()) + rest[m.end() :]
-        assert [(m.label, m.line, m.start, m.matched) for m in got[i].matches] == want, text
+        for k, (start, back, _, label) in enumerate(spans):
+            if not any(s <= start and b <= back for s, b, _, _ in spans[:k]):
+                want.append((label, start, -back, folded[start:-back]))
+        assert [(m.label, m.start, m.end, m.matched) for m in got[i].matches] == want, text
+
+
+def _samples(tree, rng):
+    """A text that a parsed expression matches, drawn at random."""
+    out = ""
+    for code, arg in tree:
+        name = str(code)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, value = rng.choice(arg)
+            out += chr(value) if str(kind) == "LITERAL" else chr(rng.randint(*value))
+        elif name == "ANY":
+            out += rng.choice("xyz ")
+        elif name == "SUBPATTERN":
+            out += _samples(arg[3], rng)
+        elif name == "BRANCH":
+            out += _samples(rng.choice(arg[1]), rng)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(_samples(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+    return out
+
+
+def test_no_license_rule_is_lost_by_its_keywords_or_gate():
+    rng = random.Random(4)
+    table = licenses.rules()
+    gates, broken = license_rules.gates(table)
+    assert len({form for *_, form in table}) == len(table) >= 270
+    for (_, _, _, form), gate in zip(table, gates):
+        tree = license_rules._parser.parse(form)
+        assert tree.getwidth()[1] < licenses.OVERLAP and form == form.replace("LIC", "")
+        for _ in range(40):
+            text = _samples(tree, rng)
+            assert license_rules.plain(form).search(text), (form, text)
+            assert any(k in text for k in license_rules.keywords(form)), (form, text)
+            assert any(g in text for g in gate) or (license_rules.BROKEN in gate and re.search(broken, text)), (form, text)
+
+
+def test_license_texts_and_sentences(spark):
+    cases = {
+        "Distributed under the GPL v3.": "gpl", "Available under Apache 2.0": "apache", "Published under CC BY 4.0": "cc-by", "This code is under the Expat License": "mit", "covered by the X11 license": "x11",
+        "licensed under the PSF License": "python", "Licensed under Creative Commons BY-NC-SA 4.0 license": "cc-by-nc-sa", "Do what the f*ck you want to public license": "wtfpl",
+        "Licensed under the GNU General\nPublic License version 2": "gpl", " * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted": "isc",
+        "# You may not use this file except in\n# compliance with the License.": "apache", "shared under CC BY-SA 4.0": "cc-by-sa", "provided under Apache 2.0": "apache", "an understanding of submit rights": "", "mit dem Auto": "",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    rows = {r.doc_id: r["labels"] for r in licenses.digest(licenses.scan(df)).collect()}
+    assert rows == dict(enumerate(cases.values()))
+
+
+def test_one_long_line_of_licenses(spark):
+    line = "see the mit license and " * 8000
+    row = licenses.scan(spark.createDataFrame([(1, line)], "doc_id int, text string")).first()
+    assert [m.start for m in row.matches] == [8 + 24 * i for i in range(8000)] and row.n_words == 40_000 and len(row.base_starts) == 8000
+
+
+def test_dates_are_permuted_one_to_one():
+    """Every day of two centuries in both slash notations: no two have one pseudonym, each is undone and keeps its width."""
+    from datetime import date, timedelta
+
+    p = pii.Pseudonyms(b"k")
+    seen = {}
+    day = date(1900, 1, 1)
+    while day <= date(2099, 12, 31):
+        for value in {f"{day.day:02d}/{day.month:02d}/{day.year}", f"{day.month:02d}/{day.day:02d}/{day.year}"}:
+            other = p._pseudonym("date", value)
+            assert len(other) == 10 and seen.setdefault(other, value) == value
+        day += timedelta(1)
+    for other, value in list(seen.items())[::7]:
+        assert p._pseudonym("date", other, back=True) == value
+    for value in ("1/2/2020", "3.4.1999", "5/17/2001", "2020-02-29", "11/9/1950"):
+        other = p._pseudonym("date", value)
+        assert re.sub("[0-9]", "9", other) == re.sub("[0-9]", "9", value) and p._pseudonym("date", other, back=True) == value
+
+
+def test_country_codes_stay_and_keys_are_required(docs):
+    p = pii.Pseudonyms(b"k")
+    for value, code in (("+14155552671", "+1"), ("+442079460958", "+44"), ("+972541234567", "+972"), ("+49 30 12345678", "+49")):
+        other = p._pseudonym("phone", value)
+        assert other.startswith(code) and other != value and p._pseudonym("phone", other, back=True) == value
+    with pytest.raises(ValueError):
+        pii.pseudonymize(docs, b"")
+
+
+def test_no_plain_personal_datum_is_left(spark):
+    """A plain finder over the driver's smallest documents: what it finds is gone from the result."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    done = {r.doc_id: r for r in pii.pseudonymize(rows, b"k").collect()}
+    n = 0
+    for r in rows.collect():
+        values = re.findall(r"[\w.]+@[\w.]+\.[a-z]{2,}", r.text or "", re.A) + [v for v in re.findall(r"\b[0-9]{16}\b", r.text or "") if pii.luhn(v)]
+        values += [v for v in re.findall(r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", r.text or "") if all(int(x) < 256 for x in v.split("."))]
+        n += len(values)
+        assert not any(v in done[r.doc_id].text for v in values)
+    assert n > 5
+
+
+def test_ordinal_gradients_are_the_numeric_ones():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    score, gaps, grades, weight = rng.normal(size=40), np.array([-0.4, 0.1, -0.3]), rng.integers(0, 4, 40), rng.uniform(0.5, 2, 40)
+
+    def loss(score, gaps):
+        theta = np.concatenate([[-np.inf], np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])])), [np.inf]])
+        below = 1 / (1 + np.exp(-(theta[None, :] - score[:, None])))
+        return -(weight * np.log(below[np.arange(40), grades + 1] - below[np.arange(40), grades])).sum()
+
+    d_score, d_gaps = quality._gradients(score, gaps, grades, weight)
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-6
+        assert abs((loss(score, gaps + step) - loss(score, gaps - step)) / 2e-6 - d_gaps[k]) < 1e-4
+    for k in range(0, 40, 9):
+        step = np.eye(40)[k] * 1e-6
+        assert abs((loss(score + step, gaps) - loss(score - step, gaps)) / 2e-6 - d_score[k]) < 1e-4
+
+
+def test_tail_probabilities_agree_with_shares(spark):
+    rng = random.Random(6)
+    texts = [(f"id{i}", " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=30) + (["good"] * 3 if rng.random() < 0.5 else [])), i) for i in range(1500)]
+    grades = {t[0]: 0 if rng.random() < (0.1 if "good" in t[1] else 0.3) else 2 if rng.random() < 0.8 else 1 for t in texts}
+    df = spark.createDataFrame([t[:2] for t in texts] + [texts[0][:2]] * 500, "doc_id string, text string")  # one id many times
+    model = quality.train(df, spark.createDataFrame([(k, v) for k, v in grades.items()], "_id string, grade int"))
+    got = quality.grade_documents(df.dropDuplicates(["doc_id"]), model).collect()
+    for good in (True, False):
+        part = [r for r in got if ("good" in r.text) == good]
+        assert abs(sum(r.tail_probability for r in part) / len(part) - sum(grades[r.doc_id] >= 1 for r in part) / len(part)) < 0.08

@@ -68,3 +68,54 @@ def test_an_inconsistent_variant_does_not_hide_an_exact_copy(spark):
     other = item.replace("5 coins", "8 coins").replace("gives 5", "gives 31").replace("counts 5", "counts 64").replace("Tom keeps", "Eve keeps").replace("Ann counts", "Joe counts")
     same = item.replace("5", "9").replace("Tom", "Eve").replace("Ann", "Joe")
     assert _verdicts(spark, [f"{item}. {other}", f"{other}. {other}. {same}", other], [item], literals=3) == {0: "0", 1: "0", 2: ""}
+
+
+def test_every_item_can_be_found(spark):
+    items = ["Name the capital", "What is 3 plus 4", "Compute 12 34 56 78 90 12 34 56 78 90 11 22 33", "Who Wrote The Old Man And The Sea In Nineteen Fifty One", "??", "yes"]
+    texts = [*items[:4], items[3].upper(), "name the capital of this land and all others", "yes", None, "", "NAME   the\ncapital!"]
+    assert _verdicts(spark, texts, items) == {0: "0", 1: "1", 2: "2", 3: "3", 4: "3", 5: "", 6: "5", 7: "", 8: "", 9: "0"}
+
+
+def test_numbers_in_words_are_slots(spark):
+    item = "a farmer keeps three cows and buys seven more from the market before the winter so how many cows stand there"
+    assert _verdicts(spark, [item.replace("three", "12").replace("seven", "forty")], [item]) == {0: "0"}
+
+
+def test_near_copies_round_one_text(spark):
+    """All Hamming candidates are verified, also in groups of more than a few dozen: the classes are those of brute force."""
+    from itertools import combinations
+
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**5)}" for _ in range(200)]
+    texts = []
+    for _ in range(60):  # pairs of near copies; pairs differ from each other by more
+        one = list(base)
+        for at in rng.sample(range(200), 9):
+            one[at] = f"x{rng.randrange(10**6)}"
+        two = list(one)
+        for at in rng.sample(range(200), 3):
+            two[at] = f"y{rng.randrange(10**6)}"
+        texts += [" ".join(one), " ".join(two)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    prints = [simhash._sketch(t, 3, simhash.PRINTS, 5)[0] for t in texts]
+    true, candidates = set(), set()
+    for i, j in combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            true.add((i, j))
+            if any((a ^ b).bit_count() <= simhash.WIDE_RADIUS for a, b in zip(prints[i], prints[j])):
+                candidates.add((i, j))
+    assert len(candidates) >= 0.9 * len(true) > 50
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in sorted(candidates):
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tile_rows in (simhash.TILE_ROWS, 32):
+        got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, tile_rows=tile_rows).collect()}
+        assert got == {i: find(i) for i in range(len(texts))}
