@@ -9,6 +9,7 @@ import math
 import struct
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -136,6 +137,18 @@ def block_cell(value: Column, size: float = SETTINGS.block_cell_deg) -> Column:
     return (value / F.lit(size)).cast("int")
 
 
+def own_cell(rows: DataFrame, x: str, y: str, size: float = SETTINGS.block_cell_deg) -> DataFrame:
+    """Rows with the grid cell ``_cx, _cy`` that they lie in."""
+    return rows.withColumns({"_cx": F.floor(F.col(x) / size), "_cy": F.floor(F.col(y) / size)})
+
+
+def around(rows: DataFrame, x: str, y: str, size: float = SETTINGS.block_cell_deg) -> DataFrame:
+    """Rows once for each of the nine cells around them: what lies within a cell's width meets them there."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    dealt = own_cell(rows, x, y, size).withColumn("_s", F.explode(steps))
+    return dealt.withColumns({"_cx": F.col("_cx") + F.col("_s.i"), "_cy": F.col("_cy") + F.col("_s.j")}).drop("_s")
+
+
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Distance of a point from a segment; a segment of no length is a point."""
     dx, dy = bx - ax, by - ay
@@ -177,29 +190,24 @@ def thin_line(points: list[tuple[float, float]], tolerance: float) -> list[tuple
     return [points[k] for k in sorted(keep)]
 
 
-def simplify(parts_json: Column, tolerance: float, polygon: bool = True) -> Column:
+def simplify(parts: Column, tolerance: float, polygon: bool = True) -> Column:
     """Simplified parts from and to the same nested type; rings that would fall below four points stay."""
 
-    @F.pandas_udf(f"struct<parts:array<array<{RING}>>>")
-    def run(column: pd.Series) -> pd.DataFrame:
-        out = []
-        for parts in column:
-            new_parts = []
-            for part in parts:
-                new_part = []
-                for ring in part:
-                    line = [(p["x"], p["y"]) for p in ring]
-                    thin = thin_line(line, tolerance)
-                    if polygon and thin and thin[0] != thin[-1]:
-                        thin.append(thin[0])
-                    if polygon and len(thin) < 4:
-                        thin = line
-                    new_part.append([{"x": x, "y": y} for x, y in thin])
-                new_parts.append(new_part)
-            out.append(new_parts)
-        return pd.DataFrame({"parts": out})
-
-    return run(parts_json)["parts"]
+    def thin_ring(ring):
+        line = [(p["x"], p["y"]) for p in ring]
+        thin = thin_line(line, tolerance)
+        if polygon and thin and thin[0] != thin[-1]:
+            thin.append(thin[0])
+        if polygon and len(thin) < 4:
+            thin = line
+        return [{"x": x, "y": y} for x, y in thin]
+
+    @F.arrow_udf(f"array<array<{RING}>>")
+    def run(column: pa.Array) -> pa.Array:
+        out = [None if parts is None else [[thin_ring(ring) for ring in part] for part in parts] for parts in column.to_pylist()]
+        return pa.array(out, pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))
+
+    return run(parts)
 
 
 @F.pandas_udf(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))

@@ -171,7 +171,7 @@ def categorise(text: Column, keywords: dict, whole_words: bool = False) -> Colum
 
 def name_variants(primary: Column, arabic: Column) -> Column:
     """Forms of a name that a gazetteer knows: itself, the Arabic, long parts around a dash."""
-    parts = F.filter(F.transform(F.split(F.coalesce(primary, F.lit("")), r"\s*[-–—/]\s*"), F.trim), lambda p: F.length(p) > 4)
+    parts = F.filter(F.transform(F.split(F.coalesce(primary, F.lit("")), r"\s*[-–—/]\s*"), lambda p: F.trim(p)), lambda p: F.length(p) > 4)
     whole = F.array_compact(F.array(primary, arabic))
     return F.array_distinct(F.concat(whole, F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))))
 

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.config import SETTINGS
-from terrane.functions import dates
 from terrane.functions import geometry as G
 
 
@@ -132,11 +131,27 @@ def coverage(layers: dict[str, DataFrame], extent: str, cell_m: float = SETTINGS
 
 
 def timeline(layers: dict[str, DataFrame], extent: str, years: list[int], day: str = "dated", cell_m: float = SETTINGS.coverage_cell_m, today: bool = True) -> DataFrame:
-    """Union areas by the end of each year, from dated features only; ``today`` has all features."""
+    """Union areas by the end of each year, from dated features only; ``today`` has all features.
+
+    Every layer is burned once, with the year of its features; each cell then has one mask for each year.
+    """
+    names = [extent, *[n for n in layers if n != extent]]
+    grid = grid_over(layers[extent], cell_m=cell_m)
+    cells = None
+    for k, name in enumerate(names):
+        part = layers[name].withColumn("_year", F.year(day) if k else F.lit(-1))  # the extent counts in every year
+        part = burn(part, F.struct(F.lit(1 << k).cast("long").alias("bit"), F.col("_year").cast("int").alias("year")), grid)
+        cells = part if cells is None else cells.unionByName(part)
+    asked = [*years, *([None] if today else [])]
+    bits = [F.bit_or(F.col("mask.bit") if y is None else F.when(F.col("mask.year") <= y, F.col("mask.bit")).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i, y in enumerate(asked)]
+    merged = cells.groupBy("row", "col").agg(*bits)
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("mask")) for i in range(len(asked))])
+    counted = merged.select("row", F.explode(each).alias("e")).groupBy("row", "e.i", "e.mask").agg(F.count("*").alias("n"))
+    counted = counted.groupBy("i", "mask").agg((F.sum(F.col("n") * grid.row_area(F.col("row"))) / 1e6).alias("km2"))  # 2**layers rows a year
     out = None
-    for year in [*years, *([None] if today else [])]:
-        chosen = {n: df if n == extent or year is None else df.where(dates.as_of(F.col(day), year)) for n, df in layers.items()}
-        part = coverage(chosen, extent, cell_m).withColumn("year", F.lit(year).cast("int")).withColumn("dated_only", F.lit(year is not None))
+    for i, year in enumerate(asked):
+        part = union_areas(layers[extent].sparkSession, counted.where(F.col("i") == i).select("mask", "km2"), names)
+        part = part.withColumn("year", F.lit(year).cast("int")).withColumn("dated_only", F.lit(year is not None))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = ("source_id", "title", "url", "document_date", "retrieved", "note")
@@ -77,7 +77,8 @@ def manifest(spark, path: str) -> DataFrame:
 
 def first_by(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("_row"))  # combined before the shuffle
+    return first.select("_row.*")
 
 
 def attach(rows: DataFrame, source_id: str, title: str, url: str | None = None, document_date: str | None = None, retrieved: str | None = None, note: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +93,7 @@ def merge_localities(current: DataFrame, historic: DataFrame, pairs: DataFrame)
         F.coalesce(last("depopulated_date"), c["depopulated_date"]).alias("depopulated_date"),
         F.coalesce(last("slug"), c["slug"]).alias("slug"),
         F.aggregate(F.coalesce("_h", F.array().cast(grouped.schema["_h"].dataType)), F.coalesce(c["population"], none), lambda acc, r: merged_population(acc, r["population"])).alias("population"),
-        _merged_maps(F.transform("_h", lambda r: r["refs"]), c["refs"]).alias("refs"),
+        merged_maps(F.transform("_h", lambda r: r["refs"]), c["refs"]).alias("refs"),
         F.concat(F.coalesce(c["evidence"], F.array().cast(c.schema["evidence"].dataType)), F.coalesce(F.flatten(F.transform("_h", lambda r: F.coalesce(r["evidence"], F.array().cast(c.schema["evidence"].dataType)))), F.array().cast(c.schema["evidence"].dataType))).alias("evidence"),
         F.when((F.try_element_at("_h", F.lit(-1))["x"] != c["x"]) | (F.try_element_at("_h", F.lit(-1))["y"] != c["y"]), F.struct(F.try_element_at("_h", F.lit(-1))["x"].alias("x"), F.try_element_at("_h", F.lit(-1))["y"].alias("y"))).alias("historic_point"),
     )
@@ -100,7 +101,7 @@ def merge_localities(current: DataFrame, historic: DataFrame, pairs: DataFrame)
     return out.unionByName(rest.select(*out.columns))
 
 
-def _merged_maps(older: Column, newer: Column) -> Column:
+def merged_maps(older: Column, newer: Column) -> Column:
     """One map, later entries and then the newer map winning."""
     empty = F.create_map().cast("map<string,string>")
     zipped = F.aggregate(F.coalesce(older, F.array().cast("array<map<string,string>>")), empty, lambda acc, m: F.map_zip_with(acc, F.coalesce(m, empty), lambda k, a, b: F.coalesce(b, a)))
@@ -136,27 +137,68 @@ def coordinate_conflicts(localities: DataFrame, settings=SETTINGS) -> DataFrame:
 
 
 def unique_ids(records: DataFrame, key: str, order: str, out: str = "unique_id") -> DataFrame:
-    """Repeats of a key get ``-2`` once more for each earlier one: a, a-2, a-2-2.
+    """Rows in order, each with the first of ``a``, ``a-2``, ``a-2-2``, ... from its own key on that no earlier row has.
 
-    A key that ends in such suffixes itself joins the family of its stem, after the members with
-    fewer, and takes the first free place from its own on.
+    Keys that differ only by such suffixes are a family. A family whose keys are all alike is numbered
+    by rank, which runs over sorted parts however large the family is; one whose keys carry suffixes of their
+    own is walked in order. Rows with a null key keep it.
     """
     rows = records.withColumn("_stem", F.regexp_replace(key, "(-2)+$", ""))
     rows = rows.withColumn("_level", ((F.length(key) - F.length("_stem")) / 2).cast("int"))
-    family = Window.partitionBy("_stem").orderBy("_level", order)
-    rows = rows.withColumn("_k", F.row_number().over(family))
-    lead = F.max(F.col("_level") - F.col("_k")).over(family.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn(out, F.concat("_stem", F.repeat(F.lit("-2"), F.col("_k") + lead))).drop("_stem", "_level", "_k")
+    mixed = rows.groupBy("_stem").agg((F.max("_level") > F.min("_level")).alias("_mixed")).where("_mixed").select("_stem")
+    alike = _ranked(rows.join(mixed, "_stem", "left_anti"), "_stem", order).withColumn("_level", (F.col("_level") + F.col("_rank") - 1).cast("int")).drop("_rank")
+    walked = rows.join(mixed, "_stem", "left_semi").select(*alike.columns)
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, kind="stable").reset_index(drop=True)
+        after: dict[int, int] = {}  # a taken level, and one from which on the next free one is looked for
+        levels = []
+        for level in frame["_level"].tolist():
+            path = []
+            while level in after:
+                path.append(level)
+                level = after[level]
+            for taken in (*path, level):
+                after[taken] = level + 1
+            levels.append(level)
+        return frame.assign(_level=levels)
+
+    done = alike.unionByName(walked.groupBy("_stem").applyInPandas(walk, walked.schema))
+    return done.withColumn(out, F.concat("_stem", F.repeat(F.lit("-2"), F.col("_level")))).drop("_stem", "_level")
+
+
+def _ranked(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """``_rank`` from 1 within a key: rows are dealt by range, so a large key is many parts, and parts before add up."""
+    dealt = rows.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id())
+    inner = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)))
+    parts = dealt.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), before.alias("_before"))
+    joined = inner.join(parts, inner[key].eqNullSafe(parts["_k"]) & (inner["_part"] == parts["_p"]))
+    return joined.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_part", "_k", "_p", "_before")
+
+
+def append_missing(current: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """All current rows, and those others whose key is not among them."""
+    return current.unionByName(other.join(current.select(key), key, "left_anti").select(*current.columns))
 
 
 def apply_overrides(localities: DataFrame, overrides: DataFrame, key: str = "locality_id", fields: tuple[str, ...] = ("hebrew",)) -> DataFrame:
-    """Curated values where a field is missing; ``overridden`` says that one was used."""
-    o = overrides.select(F.col(key), *[F.col(f).alias(f"_o_{f}") for f in fields])
+    """Curated values where a field is missing; ``overridden`` says that one was used.
+
+    Where both sides have ``evidence``, that of a used override is added to the row's own.
+    """
+    cites = "evidence" in localities.columns and "evidence" in overrides.columns
+    o = overrides.select(F.col(key), *[F.col(f).alias(f"_o_{f}") for f in (*fields, *(("evidence",) if cites else ()))])
     joined = localities.join(o, key, "left")
     used = F.lit(False)
     for f in fields:
         used = used | (joined[f].isNull() & F.col(f"_o_{f}").isNotNull())
     joined = joined.withColumn("overridden", used)
+    if cites:
+        none = F.array().cast(localities.schema["evidence"].dataType)
+        added = F.when(F.col("overridden"), F.coalesce("_o_evidence", none)).otherwise(none)
+        joined = joined.withColumn("evidence", F.concat(F.coalesce("evidence", none), added)).drop("_o_evidence")
     for f in fields:
         joined = joined.withColumn(f, F.coalesce(f, f"_o_{f}"))
     return joined.drop(*[f"_o_{f}" for f in fields])
@@ -166,6 +208,7 @@ def propagate_names(targets: DataFrame, sources: DataFrame, field: str = "hebrew
     """A missing field from the first source of the same compared name within the wide radius."""
     t = targets.where(F.col(field).isNull()).select("locality_id", "x", "y", T.compare_key(F.col("name")).alias("_key"))
     s = sources.where(F.col(field).isNotNull()).select(F.col("x").alias("_x"), F.col("y").alias("_y"), "ord", F.col(field).alias("_value"), T.compare_key(F.col("name")).alias("_key"))
-    near = t.join(s, "_key").where(G.metres(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= settings.wide_radius_m)
+    cells = ["_key", "_cx", "_cy"]  # a common name is one key for each cell, not one for all
+    near = G.own_cell(t, "x", "y").join(G.around(s, "_x", "_y"), cells).where(G.metres(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= settings.wide_radius_m)
     found = near.groupBy("locality_id").agg(F.min_by("_value", "ord").alias("_value"))
     return targets.join(found, "locality_id", "left").withColumn(field, F.coalesce(field, "_value")).drop("_value")

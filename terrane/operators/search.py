@@ -44,7 +44,8 @@ def distinct_settlements(entities: DataFrame, settings=SETTINGS) -> DataFrame:
     named = named.join(first, ["id", "ord"])
     other = named.select("_key", F.col("ord").alias("_o"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     close = G.metres(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= settings.wide_radius_m
-    repeated = named.join(other, "_key").where((F.col("_o") < F.col("ord")) & close).select("id").distinct()
+    met = G.own_cell(named, "x", "y").join(G.around(other, "_x", "_y"), ["_key", "_cx", "_cy"])  # a common name is one key for each cell
+    repeated = met.where((F.col("_o") < F.col("ord")) & close).select("id").distinct()
     return named.join(repeated, "id", "left_anti").drop("_key")
 
 

@@ -48,9 +48,9 @@ def first_match(points: DataFrame, polygons: DataFrame, key: str, value: str, or
 def exactly_one(polygons: DataFrame, points: DataFrame, key: str, name: str, **names) -> DataFrame:
     """Polygons named by the points inside: the name if there is just one, and how many there were."""
     found = matches(points.select(name, names.get("x", "x"), names.get("y", "y")), polygons, **names).groupBy(key)
-    counted = found.agg(F.collect_set(name).alias("_names"))  # names inside one polygon
-    out = polygons.join(counted, key, "left").withColumn("n_names", F.coalesce(F.size("_names"), F.lit(0)))
-    return out.withColumn("given_name", F.when(F.col("n_names") == 1, F.get("_names", F.lit(0)))).drop("_names")
+    counted = found.agg(F.count_distinct(name).cast("int").alias("_n"), F.min(name).alias("_one"))
+    out = polygons.join(counted, key, "left").withColumn("n_names", F.coalesce("_n", F.lit(0)))
+    return out.withColumn("given_name", F.when(F.col("n_names") == 1, F.col("_one"))).drop("_n", "_one")
 
 
 def counts(points: DataFrame, polygons: DataFrame, point_key: str, key: str, order: str, label: str | None = None, polygon_label: str | None = None, **names) -> DataFrame:
@@ -96,6 +96,23 @@ def holders_or_raise(anchors: DataFrame, polygons: DataFrame, anchor: str, key:
     return counted.select(anchor, F.when(F.col("n") == 1, F.col(key)).otherwise(F.raise_error(wrong).cast(polygons.schema[key].dataType)).alias(key))
 
 
+def relabel(features: DataFrame, anchors: DataFrame, anchor: str, key: str, label: str, shared: str, right: str, note: str) -> DataFrame:
+    """Features that share a label by mistake: the one that holds every anchor keeps it, the others get ``right``.
+
+    The query fails rather than guess when the anchors don't all lie in one feature. Labels that only
+    one feature has stay. ``class_corrected`` says why a label changed.
+    """
+    candidates = features.where(F.col(label) == shared)
+    n = F.broadcast(candidates.agg(F.count("*").alias("_candidates")))  # one row
+    held = holders_or_raise(anchors, candidates, anchor, key).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    joined = features.join(n, F.lit(True), "left").join(F.broadcast(held), F.lit(True), "left")
+    doubtful = (F.col(label) == shared) & (F.col("_candidates") > 1)
+    split = F.raise_error(F.lit("the anchors lie in different polygons: no label is changed")).cast("boolean")
+    moved = F.when(doubtful, F.when(F.col("_first").eqNullSafe(F.col("_last")), F.col(key) != F.col("_first")).otherwise(split)).otherwise(F.lit(False))
+    joined = joined.withColumn("_moved", moved)
+    return joined.select(*[F.when(F.col("_moved"), F.lit(right)).otherwise(F.col(c)).alias(c) if c == label else F.col(c) for c in features.columns], F.when(F.col("_moved"), F.lit(note)).alias("class_corrected"))
+
+
 def topmost(points: DataFrame, polygons: DataFrame, key: str, value: str, layer_order: str, **names) -> DataFrame:
     """What a click hits: the polygon of the first layer in drawing order."""
     found = matches(points, polygons, **names)

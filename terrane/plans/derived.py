@@ -41,12 +41,12 @@ def supplier_points(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def part_rectangles(spark: SparkSession, d: str, most: int = 200) -> DataFrame:
-    """Dated boxes of 0.02 to 0.1 degrees: parts whose key is under a bound that belongs to the layer."""
+def part_rectangles(spark: SparkSession, d: str) -> DataFrame:
+    """Dated boxes of 0.02 to 0.1 degrees, one for each part."""
     k = F.col("p_partkey")
     x0, y0, side = _pick(k * 17 % 97) / 100.0, _pick(k * 31 % 89) / 100.0, 0.02 + _pick(k % 5) * 0.02
     dated = F.when(k % 4 == 0, None).otherwise(F.date_add(F.lit("1970-01-01").cast("date"), (k * 101 % 18000).cast("int")))
-    return table(spark, d, "part").where(k < most).select(k.alias("fid"), (k % 3).alias("layer"), dated.alias("dated"), G.geometry("Polygon", F.array(F.array(G.rectangle(x0, y0, x0 + side, y0 + side)))).alias("geom"))
+    return table(spark, d, "part").select(k.alias("fid"), (k % 3).alias("layer"), dated.alias("dated"), G.geometry("Polygon", F.array(F.array(G.rectangle(x0, y0, x0 + side, y0 + side)))).alias("geom"))
 
 
 #: The same in SQL.
@@ -61,4 +61,4 @@ INSIDE = """((x > x0 AND x < x0 + 2 AND y > y0 AND y < y0 + 2
   OR (k % 7 = 3 AND x > x0 + 9 AND x < x0 + 9.5 AND y > y0 AND y < y0 + 0.5))"""
 RECTANGLES = """rects AS (SELECT p_partkey AS fid, p_partkey % 3 AS layer, CAST(p_partkey * 17 % 97 AS DOUBLE) / 100 AS x0,
   CAST(p_partkey * 31 % 89 AS DOUBLE) / 100 AS y0, CAST(0.02 AS DOUBLE) + CAST(p_partkey % 5 AS DOUBLE) * CAST(0.02 AS DOUBLE) AS side,
-  CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE DATE '1970-01-01' + CAST(p_partkey * 101 % 18000 AS INTEGER) END AS dated FROM part WHERE p_partkey < 200)"""
+  CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE DATE '1970-01-01' + CAST(p_partkey * 101 % 18000 AS INTEGER) END AS dated FROM part)"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from terrane.functions import dates, values
 from terrane.functions import text as T
 from terrane.operators import aggregates, provenance, resolve
+from terrane.plans import build
 from terrane.plans.derived import CUSTOMERS, customer_points
 from terrane.plans.registry import query
 from terrane.session import table
@@ -47,15 +48,16 @@ def _localities(spark, d, historic: bool):
         F.when(k % 3 == 0, F.lit("north")).alias("district"), F.lit(False).alias("depopulated_1948"), cast(None, "string").alias("depopulated_date"),
         F.when(F.lit(historic), F.concat(F.lit("s"), k.cast("string"))).alias("slug"),
         F.array(F.struct(F.lit(1945 if historic else 2017).alias("year"), k.cast("bigint").alias("value"), cast(None, "string").alias("grp"), cast(None, "string").alias("note"), F.lit("src").alias("source_id"))).alias("population"),
-        F.create_map(F.lit("wiki"), F.when(F.lit(historic), F.lit("old")).otherwise(F.lit("new"))).alias("refs"), F.array().cast(evidence).alias("evidence"),
+        F.create_map(F.lit("wiki"), F.when(F.lit(historic), F.lit("old")).otherwise(F.lit("new"))).alias("refs"),
+        F.array(F.struct(F.lit("his" if historic else "cur"), F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit(None))).cast(evidence).alias("evidence"),
     )
 
 
 @query("""WITH k AS (SELECT c_custkey AS k FROM customer), cur AS (SELECT k FROM k WHERE k % 2 = 0), his AS (SELECT k FROM k WHERE k % 2 = 1),
   both_ AS (SELECT cur.k AS k, his.k AS h FROM cur LEFT JOIN his ON cur.k + 1 = his.k)
 SELECT 'loc-' || k AS locality_id, CASE WHEN k % 5 = 0 THEN 'ar' || k WHEN h % 5 = 0 THEN 'ar' || h END AS arabic, CASE WHEN k % 3 = 0 OR h % 3 = 0 THEN 'north' END AS district,
-  CASE WHEN h IS NOT NULL THEN 's' || h END AS slug, CASE WHEN h IS NULL THEN 1 ELSE 2 END AS n_population, 'new' AS wiki, h IS NOT NULL AS moved FROM both_
-UNION ALL SELECT 'pom-' || h.k, CASE WHEN h.k % 5 = 0 THEN 'ar' || h.k END, CASE WHEN h.k % 3 = 0 THEN 'north' END, 's' || h.k, 1, 'old', FALSE FROM his h LEFT JOIN cur ON cur.k + 1 = h.k WHERE cur.k IS NULL""")
+  CASE WHEN h IS NOT NULL THEN 's' || h END AS slug, CASE WHEN h IS NULL THEN 1 ELSE 2 END AS n_population, CASE WHEN h IS NULL THEN 'cur' ELSE 'cur,his' END AS cited, 'new' AS wiki, h IS NOT NULL AS moved FROM both_
+UNION ALL SELECT 'pom-' || h.k, CASE WHEN h.k % 5 = 0 THEN 'ar' || h.k END, CASE WHEN h.k % 3 = 0 THEN 'north' END, 's' || h.k, 1, 'his', 'old', FALSE FROM his h LEFT JOIN cur ON cur.k + 1 = h.k WHERE cur.k IS NULL""")
 def survivor_merge(spark, d):
     """Pairs come from keys here: names and positions are tested with fixtures."""
     current, historic = _localities(spark, d, False), _localities(spark, d, True)
@@ -64,17 +66,39 @@ def survivor_merge(spark, d):
     pairs = historic.select(F.col("locality_id").alias("historic_id"), F.concat(F.lit("loc-"), (key(F.col("locality_id")) - 1).cast("string")).alias("current_id"))
     pairs = pairs.join(known, pairs.current_id == known.locality_id, "left_semi")
     merged = resolve.merge_localities(current, historic, pairs)
-    return merged.select("locality_id", "arabic", "district", "slug", F.size("population").alias("n_population"), F.col("refs")["wiki"].alias("wiki"), F.col("historic_point").isNotNull().alias("moved"))
+    return merged.select("locality_id", "arabic", "district", "slug", F.size("population").alias("n_population"), F.array_join("evidence.source_id", ",").alias("cited"), F.col("refs")["wiki"].alias("wiki"), F.col("historic_point").isNotNull().alias("moved"))
 
 
-@query("""SELECT p_partkey, CASE WHEN r = 1 THEN s ELSE s || repeat('-2', CAST(r - 1 AS INTEGER)) END AS unique_id FROM (
-  SELECT p_partkey, s, row_number() OVER (PARTITION BY s ORDER BY p_partkey) AS r FROM (
-    SELECT p_partkey, trim(regexp_replace(lower(p_brand || ' ' || CAST(p_size AS VARCHAR)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part))""")
+@query("""WITH RECURSIVE keyed AS (SELECT p_partkey, trim(regexp_replace(lower(p_brand || ' ' || CAST(p_size AS VARCHAR)), '[^a-z0-9]+', '-', 'g'), '-')
+    || CASE WHEN p_partkey % 23 = 0 THEN '-2-2' WHEN p_partkey % 11 = 0 THEN '-2' ELSE '' END AS s FROM part),
+  stems AS (SELECT p_partkey, regexp_replace(s, '(-2)+$', '') AS stem, s FROM keyed),
+  family AS (SELECT *, (length(s) - length(stem)) // 2 AS own, row_number() OVER (PARTITION BY stem ORDER BY p_partkey) AS n FROM stems),
+  walk AS (SELECT stem, n, p_partkey, own AS level, [own] AS taken FROM family WHERE n = 1
+    UNION ALL SELECT stem, n, p_partkey, level, list_append(taken, level) FROM (
+      SELECT f.stem, f.n, f.p_partkey, w.taken, list_min(list_filter(range(f.own, f.own + len(w.taken) + 1), lambda c: NOT list_contains(w.taken, c))) AS level FROM walk w JOIN family f ON f.stem = w.stem AND f.n = w.n + 1))
+SELECT p_partkey, stem || repeat('-2', CAST(level AS INTEGER)) AS unique_id FROM walk""")
 def unique_id_suffix(spark, d):
-    slugged = T.slug(F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")))
+    """Some keys carry suffixes of their own, before or after plain ones."""
+    k = F.col("p_partkey")
+    own = F.when(k % 23 == 0, "-2-2").when(k % 11 == 0, "-2").otherwise("")
+    slugged = F.concat(T.slug(F.concat_ws(" ", "p_brand", F.col("p_size").cast("string"))), own)
     return resolve.unique_ids(table(spark, d, "part").select("p_partkey", slugged.alias("s")), "s", "p_partkey").select("p_partkey", "unique_id")
 
 
+@query("""SELECT 'pom-' || h.c_custkey AS historic_id, 'loc-' || c.c_custkey AS current_id, 94.5 AS metres, FALSE AS wide FROM customer h JOIN customer c ON h.c_custkey = c.c_custkey + 1 WHERE c.c_custkey % 2 = 0""")
+def reconciled_pairs(spark, d):
+    """Places are found by position and by names of two spellings."""
+    pairs = build.reconcile(_localities(spark, d, False), _localities(spark, d, True))["pairs"]
+    return pairs.select("historic_id", "current_id", F.round("distance_m", 1).alias("metres"), "wide")
+
+
+@query("""SELECT CASE WHEN c.c_custkey % 2 = 0 THEN 'loc-' ELSE 'pom-' END || c.c_custkey AS locality_id, CASE WHEN h.c_custkey IS NULL THEN 1 ELSE 2 END AS n_population FROM customer c
+LEFT JOIN customer h ON c.c_custkey % 2 = 0 AND h.c_custkey = c.c_custkey + 1 WHERE c.c_custkey % 2 = 0 OR NOT EXISTS (SELECT 1 FROM customer o WHERE o.c_custkey = c.c_custkey - 1)""")
+def reconciled_localities(spark, d):
+    kept = build.reconcile(_localities(spark, d, False), _localities(spark, d, True))["localities"]
+    return kept.select("locality_id", F.size("population").alias("n_population"))
+
+
 def _history(spark, d):
     status = F.create_map(*[F.lit(v) for p in (("P", 1), ("F", 2), ("O", 3)) for v in p])
     return table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"), status[F.col("o_orderstatus")].alias("stage"), F.to_date("o_orderdate").alias("valid_from"))
@@ -82,8 +106,8 @@ def _history(spark, d):
 
 @query("""SELECT o_custkey AS entity_id, max(CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 2 WHEN 'O' THEN 3 END) FILTER (WHERE CAST(o_orderdate AS DATE) <= DATE '1997-06-30') AS stage FROM orders GROUP BY 1""")
 def stage_as_of(spark, d):
-    reached = F.max(F.when(F.col("valid_from") <= F.lit(date(1997, 6, 30)), F.col("stage")))
-    return _history(spark, d).groupBy("entity_id").agg(reached.alias("stage"))
+    histories = _history(spark, d).groupBy("entity_id").agg(F.collect_set(F.struct("stage", "valid_from")).alias("history"))  # one entity's events
+    return histories.select("entity_id", dates.stage_at(F.col("history"), F.lit(date(1997, 6, 30))).alias("stage"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN FALSE ELSE year(o_orderdate) <= 1998 END AS drops_undated,
@@ -137,19 +161,19 @@ def content_fingerprint(spark, d):
     return provenance.fingerprint(files)
 
 
-@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)""")
+@query("""SELECT c_custkey, c_name FROM customer UNION ALL SELECT s_suppkey * 31, s_name FROM supplier WHERE s_suppkey * 31 NOT IN (SELECT c_custkey FROM customer)""")
 def union_anti_append(spark, d):
-    current = table(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name")
-    historic = table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"))
-    return current.unionByName(historic.join(current, "c_custkey", "left_anti"))
+    current = table(spark, d, "customer").select("c_custkey", "c_name")
+    return resolve.append_missing(current, table(spark, d, "supplier").select((F.col("s_suppkey") * 31).alias("c_custkey"), F.col("s_name").alias("c_name")), "c_custkey")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 99 ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, event_id AS id FROM events""")
 def map_merge_last_wins(spark, d):
-    old = F.from_json("props", "map<string,bigint>")
-    new = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("k"), F.lit(99).cast("bigint"), F.lit("id"), F.col("event_id"))).otherwise(F.create_map(F.lit("id"), F.col("event_id")))
-    merged = F.map_zip_with(old, new, lambda key, a, b: F.coalesce(b, a))
-    return table(spark, d, "events").select("event_id", merged.alias("m")).select("event_id", F.col("m")["k"].alias("k"), F.col("m")["id"].alias("id"))
+    old = F.from_json("props", "map<string,string>")
+    ident = F.col("event_id").cast("string")
+    new = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("k"), F.lit("99"), F.lit("id"), ident)).otherwise(F.create_map(F.lit("id"), ident))
+    merged = resolve.merged_maps(F.array(old), new)
+    return table(spark, d, "events").select("event_id", merged.alias("m")).select("event_id", F.col("m")["k"].cast("bigint").alias("k"), F.col("m")["id"].cast("bigint").alias("id"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN year(o_orderdate) >= 1997 AND o_orderdate <= TIMESTAMP '2000-01-01' THEN CAST(o_orderdate AS DATE) END AS day,

@@ -93,12 +93,6 @@ def search_keys(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), search.keys(name).alias("keys"))
 
 
-@query("""SELECT p_type AS kind, round(sum(p_retailprice) / 1000, 2) AS thousands, count(*) AS n FROM part GROUP BY 1""")
-def land_measures(spark, d):
-    rows = table(spark, d, "part").groupBy(F.col("p_type").alias("kind"))
-    return rows.agg(F.round(F.sum("p_retailprice") / 1000, 2).alias("thousands"), F.count("*").alias("n"))
-
-
 @query("""SELECT label, count(*) AS n FROM (SELECT unnest(CASE WHEN len(l) = 0 THEN ['uncategorised'] ELSE l END) AS label FROM
   (SELECT list_distinct(list_filter([CASE WHEN value > 50 THEN 'high' END, CASE WHEN event_type = 'click' THEN 'click' END], lambda x: x IS NOT NULL)) AS l FROM events)) GROUP BY 1""")
 def event_labels(spark, d):

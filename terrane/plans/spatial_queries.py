@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terrane.functions import crs
 from terrane.functions import geometry as G
 from terrane.operators import coverage, resolve, spatial
+from terrane.plans import build
 from terrane.plans.derived import CUSTOMERS, INSIDE, NATIONS, RECTANGLES, SUPPLIERS, customer_points, nation_polygons, part_rectangles, supplier_points
 from terrane.plans.registry import query
 from terrane.session import table
@@ -82,11 +83,11 @@ _GRID = """grid AS (SELECT CAST(1000 AS DOUBLE) / 111320 AS lat, CAST(1000 AS DO
 
 
 def _subset_sql(where: str, year: str, dated_only: str) -> str:
-    return f"""SELECT s.key AS subset_key, round(coalesce(sum(km2) FILTER (WHERE hit), 0), 2) AS km2,
-      round(coalesce(sum(km2) FILTER (WHERE hit), 0) * 100 / (SELECT sum(km2) FROM cells WHERE x < 1 AND y < 1), 3) AS pct, {year} AS year, {dated_only} AS dated_only
-    FROM (SELECT s.key, cells.km2, bool_or(x >= x0 AND x < x0 + side AND y >= y0 AND y < y0 + side AND list_contains(s.ids, CAST(layer AS INTEGER)) AND {where}) AS hit
-      FROM (VALUES ('m0', [0]), ('m1', [1]), ('m2', [2]), ('m0+m1', [0, 1]), ('m0+m2', [0, 2]), ('m1+m2', [1, 2]), ('m0+m1+m2', [0, 1, 2])) s(key, ids), cells, rects
-      GROUP BY s.key, cells.row, cells.col, cells.km2) s GROUP BY s.key"""
+    return f"""SELECT s.key AS subset_key, round(coalesce(sum(km2), 0), 2) AS km2,
+      round(coalesce(sum(km2), 0) * 100 / (SELECT sum(km2) FROM cells WHERE x < 1 AND y < 1), 3) AS pct, {year} AS year, {dated_only} AS dated_only
+    FROM (VALUES ('m0', [0]), ('m1', [1]), ('m2', [2]), ('m0+m1', [0, 1]), ('m0+m2', [0, 2]), ('m1+m2', [1, 2]), ('m0+m1+m2', [0, 1, 2])) s(key, ids)
+    LEFT JOIN (SELECT row, col, any_value(km2) AS km2, list(DISTINCT CAST(layer AS INTEGER)) AS held FROM cells JOIN rects ON x >= x0 AND x < x0 + side AND y >= y0 AND y < y0 + side
+      WHERE {where} GROUP BY row, col) c ON list_has_any(s.ids, c.held) GROUP BY s.key"""
 
 
 @query(f"WITH {RECTANGLES}, {_GRID} SELECT subset_key, km2, pct FROM ({_subset_sql('TRUE', 'NULL', 'FALSE')})")
@@ -109,8 +110,7 @@ def coverage_timeline(spark, d):
 WHERE subset_key = array_to_string(list_sort(['m2', 'm0']), '+')""")
 def power_lookup(spark, d):
     table_ = coverage.coverage(_measures(spark, d), "extent", _CELL_M)
-    wanted = coverage.subset_key(F.array(F.lit("m2"), F.lit("m0"), F.lit("m2")))
-    return table_.where(F.col("subset_key") == wanted).select("subset_key", F.round("km2", 2).alias("km2"))
+    return build.land_total(table_, ["m2", "m0", "m2"]).select("subset_key", F.round("km2", 2).alias("km2"))
 
 
 @query(f"""WITH {CUSTOMERS}, {SUPPLIERS}, near AS (SELECT pid, sid, sqrt(pow((p.x - s.x) * (cos(radians(CAST(31.9 AS DOUBLE))) * 111320), 2) + pow((p.y - s.y) * 111320, 2)) AS m FROM points p, suppliers s),
@@ -126,14 +126,19 @@ def topmost_hit(spark, d):
     return spatial.topmost(customer_points(spark, d).select("pid", "x", "y"), nation_polygons(spark, d), "pid", "fid", "fid")
 
 
-@query("""SELECT s_suppkey AS sid, count(*) AS n_crossing, TRUE AS usable FROM supplier GROUP BY s_suppkey""")
+@query("""WITH l AS (SELECT s_suppkey AS sid, CAST(s_suppkey % 7 AS DOUBLE) * CAST(0.00004 AS DOUBLE) AS h, CAST(s_suppkey % 5 AS DOUBLE) * CAST(0.00004 AS DOUBLE) AS g FROM supplier)
+SELECT sid, 2 + (CASE WHEN h > 0.0001 THEN 1 ELSE 0 END) + (CASE WHEN h > 0.0001 AND g > 0.0001 THEN 2 ELSE 0 END) AS n_line, 5 + (CASE WHEN g > 0.0001 THEN 1 ELSE 0 END) AS n_ring, 4 AS n_small FROM l""")
 def simplify_counts(spark, d):
-    """Each supplier's zigzag of 40 points that departs less than the tolerance becomes one segment."""
+    """A peak of height h with two dents of depth g in its sides; a square with a bump of height g; a triangle that would vanish."""
     k = F.col("s_suppkey")
-    line = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: G.point(i * 0.01, (i % 2) * 0.00001))
-    rows = table(spark, d, "supplier").select(k.alias("sid"), F.array(F.array(line)).alias("parts"))
-    thin = rows.select("sid", G.simplify(F.col("parts"), 1e-4, polygon=False).alias("t"))
-    return thin.select("sid", (G.vertex_count(F.col("t")) - 1).cast("long").alias("n_crossing"), (F.size("t") == 1).alias("usable"))
+    h, g = (k % 7).cast("double") * 0.00004, (k % 5).cast("double") * 0.00004
+    p = lambda x, y: G.point(F.lit(x), y if not isinstance(y, float) else F.lit(y))
+    line = F.array(p(0.0, 0.0), p(1.0, h / 2 + g), p(2.0, h), p(3.0, h / 2 + g), p(4.0, 0.0))
+    ring = F.array(p(0.0, 0.0), p(4.0, 0.0), p(4.0, 4.0), p(2.0, g + 4.0), p(0.0, 4.0), p(0.0, 0.0))
+    small = F.array(p(0.0, 0.0), p(0.00001, 0.0), p(0.0, 0.00001), p(0.0, 0.0))
+    rows = table(spark, d, "supplier").select(k.alias("sid"), F.array(F.array(line)).alias("line"), F.array(F.array(ring), F.array(small)).alias("rings"))
+    thin = rows.select("sid", G.simplify(F.col("line"), 1e-4, polygon=False).alias("l"), G.simplify(F.col("rings"), 1e-4).alias("r"))
+    return thin.select("sid", G.vertex_count(F.col("l")).alias("n_line"), F.size(F.col("r")[0][0]).alias("n_ring"), F.size(F.col("r")[1][0]).alias("n_small"))
 
 
 @query("""SELECT n_regionkey AS region, count(*) AS n_parts, CAST(sum(CASE WHEN n_nationkey % 7 = 3 THEN 2 ELSE 1 END) AS BIGINT) AS parts FROM nation GROUP BY 1""")
@@ -144,8 +149,41 @@ def multipart_assembly(spark, d):
     return whole.join(counted, "region").select("region", "n_parts", F.size("geom.parts").cast("long").alias("parts"))
 
 
-@query(f"""WITH {SUPPLIERS} SELECT sid, round(6378137 * (cos(radians(CAST(31.9 AS DOUBLE))) / sqrt(1 - 0.0066943799901413165 * pow(sin(radians(CAST(31.9 AS DOUBLE))), 2))) * radians(x - CAST(35.2 AS DOUBLE)), 2) AS east_m FROM suppliers""")
-def equal_area_easting(spark, d):
+_EA = """ea AS (SELECT sqrt(CAST(0.0066943799901413165 AS DOUBLE)) AS e, CAST(0.0066943799901413165 AS DOUBLE) AS e2, cos(radians(CAST(31.9 AS DOUBLE))) / sqrt(1 - 0.0066943799901413165 * pow(sin(radians(CAST(31.9 AS DOUBLE))), 2)) AS k0)"""
+
+
+def _q_sql(lat: str) -> str:
+    s = f"sin(radians({lat}))"
+    return f"((1 - e2) * ({s} / (1 - e2 * {s} * {s}) - (1 / (2 * e)) * ln((1 - e * {s}) / (1 + e * {s}))))"
+
+
+@query(f"""WITH {SUPPLIERS}, {_EA} SELECT sid, round(6378137 * k0 * radians(x - CAST(35.2 AS DOUBLE)), 2) AS east_m, round(6378137 * {_q_sql("y")} / (2 * k0), 2) AS north_m FROM suppliers, ea""")
+def equal_area_position(spark, d):
     rows = supplier_points(spark, d)
-    east, _ = crs.equal_area(F.col("x"), F.col("y"))
-    return rows.select("sid", F.round(east, 2).alias("east_m"))
+    east, north = crs.equal_area(F.col("x"), F.col("y"))
+    return rows.select("sid", F.round(east, 2).alias("east_m"), F.round(north, 2).alias("north_m"))
+
+
+@query(f"""WITH {NATIONS}, {_EA}, strips AS (SELECT k, CASE WHEN k % 7 = 0 THEN 2 * ({_q_sql("y0 + 2")} - {_q_sql("y0")}) - ({_q_sql("y0 + 1.5")} - {_q_sql("y0 + 0.5")})
+    WHEN k % 7 = 3 THEN 2 * ({_q_sql("y0 + 2")} - {_q_sql("y0")}) + 0.5 * ({_q_sql("y0 + 0.5")} - {_q_sql("y0")}) ELSE 2 * ({_q_sql("y0 + 2")} - {_q_sql("y0")}) END AS w FROM nations, ea)
+SELECT k AS fid, round(6378137.0 * 6378137.0 / 2 * radians(w) / 1e6, 3) AS km2 FROM strips""")
+def equal_area_polygons(spark, d):
+    """Boxes, one with a hole and one with a second part: their ellipsoidal area has a closed form."""
+    return nation_polygons(spark, d).select("fid", F.round(crs.area_m2(F.col("geom.parts"), 3) / 1e6, 3).alias("km2"))
+
+
+@query(f"""WITH {NATIONS} SELECT CAST(region AS VARCHAR) AS kind, round(sum(CASE WHEN k % 7 = 0 THEN 3.0 WHEN k % 7 = 3 THEN 4.25 ELSE 4.0 END), 2)::DOUBLE AS km2, count(*) AS n,
+  CAST(sum(CASE WHEN k % 7 = 3 THEN 2 ELSE 1 END) AS BIGINT) AS parts, round(sum(CASE WHEN k % 7 = 0 THEN 3.0 WHEN k % 7 = 3 THEN 4.25 ELSE 4.0 END) * 100 / 400.0, 2)::DOUBLE AS pct FROM nations GROUP BY region""")
+def land_measures(spark, d):
+    rows = nation_polygons(spark, d).withColumn("kind", F.col("region").cast("string")).withColumn("area_m2", G.planar_area(F.col("geom.parts")) * 1e6)
+    return build.measures(rows, "kind", 400.0)
+
+
+@query(f"""WITH {SUPPLIERS} SELECT sid, CAST(trunc((x - 5) / CAST(0.03 AS DOUBLE)) AS INTEGER) AS cell, round(CASE WHEN x < 2 THEN sqrt(pow(x - 2, 2) + pow(y - 3, 2)) WHEN x > 6 THEN sqrt(pow(x - 6, 2) + pow(y - 3, 2)) ELSE abs(y - 3) END, 6) AS off,
+  round(x, 1) AS x1 FROM suppliers""")
+def cells_and_segments(spark, d):
+    """The block cell, cut toward zero; the distance from a level segment; rounded vertices."""
+    x, y = F.col("x"), F.col("y")
+    off = G.segment_distance(x, y, F.lit(2.0), F.lit(3.0), F.lit(6.0), F.lit(3.0))
+    vertex = G.rounded(F.array(F.array(F.array(G.point(x, y)))), 1)[0][0][0]
+    return supplier_points(spark, d).select("sid", G.block_cell(x - 5).alias("cell"), F.round(off, 6).alias("off"), vertex["x"].alias("x1"))

@@ -64,12 +64,13 @@ def gazetteer_longest(spark, d):
     return found.select("key.conv_id", "key.turn", "norm")
 
 
-@query(r"""WITH v AS (SELECT DISTINCT lower(p_brand) AS norm, p_size % 2 AS id FROM part WHERE p_size <= 3)
+@query(r"""WITH v AS (SELECT DISTINCT lower(p_brand) AS norm, CASE WHEN right(p_brand, 1) IN ('1', '3') THEN 7 ELSE p_size % 2 END AS id FROM part)
 SELECT p_partkey, coalesce(n, 0) AS n_candidates, CASE WHEN n = 1 THEN CAST(one AS VARCHAR) END AS locality_id
 FROM part LEFT JOIN (SELECT norm, count(DISTINCT id) AS n, min(id) AS one FROM v GROUP BY norm) g ON regexp_replace(lower(p_brand), '[^a-z0-9_]+', ' ', 'g') = regexp_replace(g.norm, '[^a-z0-9_]+', ' ', 'g')""")
 def gazetteer_exact(spark, d):
     parts = table(spark, d, "part")
-    known = parts.where("p_size <= 3").select(T.normalise(F.col("p_brand")).alias("norm"), (F.col("p_size") % 2).cast("string").alias("locality_id")).distinct()
+    ident = F.when(F.right("p_brand", F.lit(1)).isin("1", "3"), 7).otherwise(F.col("p_size") % 2)
+    known = parts.select(T.normalise(F.col("p_brand")).alias("norm"), ident.cast("string").alias("locality_id")).distinct()
     return gazetteer.exact(parts.select("p_partkey", "p_brand"), known, "p_partkey", "p_brand").select("p_partkey", "n_candidates", "locality_id")
 
 
@@ -101,7 +102,7 @@ def html_text(spark, d):
 def html_listing(spark, d):
     """Listing entries made of the pages' own addresses, read back by the parser."""
     link = F.concat(F.lit('<a class="list-item" href="/x/'), F.col("page_id").cast("string"), F.lit('.html"><span class="date">07، Aug 2026</span>'), T.escape_html(F.col("url")), F.lit("</a>"))
-    pages = table(spark, d, "pages").groupBy((F.col("page_id") % 10).alias("page")).agg(F.array_join(F.array_sort(F.collect_list(link)), "").alias("html"))
+    pages = table(spark, d, "pages").groupBy(F.floor(F.col("page_id") / 50).alias("page")).agg(F.array_join(F.array_sort(F.collect_list(link)), "").alias("html"))
     return html.listing(pages).select("page", "url", "title", "date_raw")
 
 
