@@ -126,14 +126,15 @@ def topmost_hit(spark, d):
     return spatial.topmost(customer_points(spark, d).select("pid", "x", "y"), nation_polygons(spark, d), "pid", "fid", "fid")
 
 
-@query("""WITH l AS (SELECT s_suppkey AS sid, CAST(s_suppkey % 7 AS DOUBLE) * CAST(0.00004 AS DOUBLE) AS h, CAST(s_suppkey % 5 AS DOUBLE) * CAST(0.00004 AS DOUBLE) AS g FROM supplier)
-SELECT sid, 2 + (CASE WHEN h > 0.0001 THEN 1 ELSE 0 END) + (CASE WHEN h > 0.0001 AND g > 0.0001 THEN 2 ELSE 0 END) AS n_line, 5 + (CASE WHEN g > 0.0001 THEN 1 ELSE 0 END) AS n_ring, 4 AS n_small FROM l""")
+@query("""WITH l AS (SELECT s_suppkey AS sid, s_suppkey % 7 AS h, CAST(s_suppkey % 3 AS DOUBLE) * CAST(0.00008 AS DOUBLE) AS g FROM supplier)
+SELECT sid, CASE WHEN h = 0 THEN 2 WHEN g > 0.0001 THEN 5 ELSE 3 END AS n_line, 5 + (CASE WHEN g > 0.0001 THEN 1 ELSE 0 END) AS n_ring, 4 AS n_small FROM l""")
 def simplify_counts(spark, d):
     """A peak of height h with two dents of depth g in its sides; a square with a bump of height g; a triangle that would vanish."""
     k = F.col("s_suppkey")
-    h, g = (k % 7).cast("double") * 0.00004, (k % 5).cast("double") * 0.00004
+    h, g = (k % 7).cast("double") * 0.0004, (k % 3).cast("double") * 0.00008
+    dent = F.when(h > 0, h / 2 + g).otherwise(F.lit(0.0))
     p = lambda x, y: G.point(F.lit(x), y if not isinstance(y, float) else F.lit(y))
-    line = F.array(p(0.0, 0.0), p(1.0, h / 2 + g), p(2.0, h), p(3.0, h / 2 + g), p(4.0, 0.0))
+    line = F.array(p(0.0, 0.0), p(1.0, dent), p(2.0, h), p(3.0, dent), p(4.0, 0.0))
     ring = F.array(p(0.0, 0.0), p(4.0, 0.0), p(4.0, 4.0), p(2.0, g + 4.0), p(0.0, 4.0), p(0.0, 0.0))
     small = F.array(p(0.0, 0.0), p(0.00001, 0.0), p(0.0, 0.00001), p(0.0, 0.0))
     rows = table(spark, d, "supplier").select(k.alias("sid"), F.array(F.array(line)).alias("line"), F.array(F.array(ring), F.array(small)).alias("rings"))
