@@ -104,7 +104,8 @@ def relabel(features: DataFrame, anchors: DataFrame, anchor: str, key: str, labe
     """
     candidates = features.where(F.col(label) == shared)
     n = F.broadcast(candidates.agg(F.count("*").alias("_candidates")))  # one row
-    held = holders_or_raise(anchors, candidates, anchor, key).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    asked = anchors.join(n, F.lit(True)).where("_candidates > 1").drop("_candidates")  # a label of one feature is no question
+    held = holders_or_raise(asked, candidates, anchor, key).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
     joined = features.join(n, F.lit(True), "left").join(F.broadcast(held), F.lit(True), "left")
     doubtful = (F.col(label) == shared) & (F.col("_candidates") > 1)
     split = F.raise_error(F.lit("the anchors lie in different polygons: no label is changed")).cast("boolean")
