@@ -86,19 +86,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large)
+        if digest(large) == before and large.groupBy("u").count().where("count > 1").isEmpty():
+            release(large)  # every node has one edge, to a node that has none below it
+            out = step.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._terrane_path = step._terrane_path
+            return out
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        after_df = materialize(small)
-        after = digest(after_df)
+        after = materialize(small)
+        before = digest(after)
         release(step)
         release(large)
-        step = after_df
-        if after == before:
-            out = step.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            out._terrane_path = step._terrane_path
-            return out
-        before = after
+        step = after
 
 
 def tiled(keyed: DataFrame, spread: str, tile_rows: int) -> DataFrame:

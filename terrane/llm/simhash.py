@@ -139,7 +139,9 @@ def _tile_links(frame, radius: int, small: int = SMALL_TILE):
 
 
 def _tiles(classes: DataFrame, radius: int, blocks: int, tile_rows: int, node: str) -> DataFrame:
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(blocks, radius))])
+    """Tiles of what shares a key; a column ``print`` says which fingerprint ``fp`` is, for these never meet."""
+    which = [F.col("print")] if "print" in classes.columns else []
+    keys = F.array(*[F.xxhash64(F.lit(i), *which, F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(blocks, radius))])
     keyed = classes.select("fp", F.col(node).alias("node"), F.explode(keys).alias("key"))
     return common.tiled(keyed, "node", tile_rows).select("key", "tile", "chunk", "cross", "fp", "node")
 
@@ -329,20 +331,20 @@ def similar_groups(
     classes = rows.groupBy("whole").agg(F.min("_id").alias("low"), F.min(F.size("shingles")).alias("n"))
     classes = common.materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "whole", "low", "n"))
     named = common.materialize(rows.select("whole", "fps").distinct().join(classes.select("whole", "cid"), "whole").select("cid", "fps"))
-    pairs = None
-    for r in range(prints):
-        found = _links_and_tiles(named.select(F.get("fps", F.lit(r)).alias("fp"), "cid").distinct(), radius, blocks, tile_rows)
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = common.materialize(pairs)
+    each = named.select("cid", F.posexplode("fps").alias("print", "fp")).distinct()
+    pairs = common.materialize(_links_and_tiles(each, radius, blocks, tile_rows))
     first = common.materialize(_ordered(pairs.where("b is not null")))
     verified = common.materialize(_verified(first, rows, classes, similarity))
     roots = common.connected_components(verified)
     more = _links_across(pairs.where("b is null").drop("b").withColumnRenamed("a", "node"), roots, classes, radius, similarity)
     more = common.materialize(_ordered(more).join(first, ["a", "b"], "left_anti"))
     more = common.materialize(_verified(more, rows, classes, similarity))
-    if not more.isEmpty():
-        roots = common.connected_components(verified.unionByName(more))
     member = classes.join(roots, classes.cid == roots.node, "left").select("whole", "low", F.coalesce("root", "cid").alias("root"))
+    if not more.isEmpty():  # only the components of the first links are joined further
+        for end in ("a", "b"):
+            more = more.join(roots, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("root", end)).select("a", "b")
+        above = common.connected_components(more).select("node", F.col("root").alias("_above"))
+        member = member.join(above, member.root == above.node, "left").select("whole", "low", F.coalesce("_above", "root").alias("root"))
     lows = member.groupBy("root").agg(F.min("low").alias("component_id"))
     member = common.materialize(member.join(lows, "root").select("whole", "component_id"))
     return rows.select("_id", "whole").join(member, "whole").select(F.col("_id").alias(id_col), "component_id")
