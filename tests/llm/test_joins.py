@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrane.llm import decontamination, packing, urls, vectors
+from terrane.llm import common, decontamination, packing, urls, vectors
 
 
 @pytest.mark.parametrize("tile_rows,block_dims", [(1024, 16), (8, 4), (40, 12)])
@@ -184,3 +184,28 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     packed = corpus_pipeline.run(spark, d).collect()
     assert {r.doc_id for r in packed} == set(ids[3])
     assert max(r.offset + r.length for r in packed) <= packing.CAPACITY
+
+
+@pytest.mark.parametrize("kind", ["path", "random", "two_hubs", "none"])
+def test_components_stop_only_when_done(spark, kind):
+    """The early stop never leaves a component in parts: against a plain union-find."""
+    draw = random.Random(kind)
+    edges = {
+        "path": [(i, i + 1) for i in range(60)],
+        "random": [(draw.randrange(90), draw.randrange(90)) for _ in range(55)],
+        # every node but one has a single smaller neighbour; 50 hangs on both hubs
+        "two_hubs": [(0, i) for i in range(40, 51)] + [(1, i) for i in range(50, 60)],
+        "none": [],
+    }[kind]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
