@@ -9,6 +9,7 @@ forest of the links leaves the task, and keys of many fingerprints are dealt int
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -24,10 +25,13 @@ TILE_ROWS = 4096
 # The verified form: fingerprints, their radius and blocks, and what similarity means.
 PRINTS, WIDE_RADIUS, WIDE_BLOCKS = 3, 7, 9
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-# Tiles of so many members or fewer send all their links, larger ones a spanning forest.
+# Tiles of so many members or fewer send all their links, larger ones a spanning forest
+# (the verified form then joins the members of these by their rare shingles).
 SMALL_TILE = 24
 _LONG = 1 << 16
-_PLACE = {"key": "int64", "tile": "int64", "chunk": "int32", "cross": "bool", "fp": "int64"}
+# Bits of the table of counts that orders shingles by rarity: 8 MB in each task at any size. Other
+# bits change how many pairs are compared, never which links are found.
+RANK_BITS = 20
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -163,8 +167,8 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile_r
     return _tiles(classes, radius, blocks, tile_rows, node).mapInArrow(run, "a long, b long")
 
 
-def _links_and_tiles(classes: DataFrame, radius: int, blocks: int, tile_rows: int) -> DataFrame:
-    """The edges ``a, b`` of ``links``, and where ``b`` is null the members ``a`` of large tiles with their place."""
+def _marked_links(classes: DataFrame, radius: int, blocks: int, tile_rows: int) -> DataFrame:
+    """The edges ``a, b`` of ``links`` between column ``cid``, once each; ``large`` where one is from a large tile."""
 
     def run(batches):
         import numpy as np
@@ -174,24 +178,74 @@ def _links_and_tiles(classes: DataFrame, radius: int, blocks: int, tile_rows: in
             i, j = _tile_links(frame, radius)
             nodes = frame["node"].to_numpy()
             sizes = np.diff(common.group_starts(frame, ["key", "tile"]))
-            large = frame[np.repeat(sizes > SMALL_TILE, sizes)]
-            a = pa.array(np.concatenate([nodes[i], large["node"].to_numpy()]))
-            b = pa.array(np.concatenate([nodes[j], np.zeros(len(large), dtype=np.int64)]), mask=np.arange(len(i) + len(large)) >= len(i))
-            types = [(c, pa.type_for_alias(t)) for c, t in _PLACE.items()]
-            place = [pa.concat_arrays([pa.nulls(len(i), t), pa.array(large[c].to_numpy(), t)]) for c, t in types]
-            yield pa.RecordBatch.from_arrays([a, b, *place], names=["a", "b", *_PLACE])
+            large = np.repeat(sizes > SMALL_TILE, sizes)[i]
+            a, b = np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(large)], names=["a", "b", "large"])
 
-    schema = "a long, b long, key long, tile long, chunk int, cross boolean, fp long"
-    return _tiles(classes, radius, blocks, tile_rows, "cid").mapInArrow(run, schema)
+    found = _tiles(classes, radius, blocks, tile_rows, "cid").mapInArrow(run, "a long, b long, large boolean")
+    return found.where("a <> b").groupBy("a", "b").agg(F.max("large").alias("large"))
 
 
-def _links_across(members: DataFrame, roots: DataFrame, classes: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """All links ``a, b`` in large tiles between different components, of sets whose sizes allow the similarity."""
-    rooted = members.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = rooted.join(classes.select(F.col("cid").alias("node"), "n"), "node")
-    split = rooted.groupBy("key", "tile").agg((F.min("root") < F.max("root")).alias("_open")).where("_open").select("key", "tile")
-    rooted = rooted.join(split, ["key", "tile"], "left_semi").select("key", "tile", "chunk", "cross", "fp", "node", "root", "n")
-    rooted = rooted.repartition("key", "tile").sortWithinPartitions("key", "tile")
+def _bucket(shingles, bits: int):
+    """Place of 32-bit hashes in a table of ``2 ** bits`` counts."""
+    import numpy as np
+
+    return np.asarray(shingles, dtype=np.int32).view(np.uint32) >> np.uint32(32 - bits)
+
+
+def _rarity(sets: DataFrame, bits: int):
+    """How many shingles of ``s`` fall into each bucket: an array of fixed size, whatever the corpus."""
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at, n = np.unique(_bucket(batch.column(0).flatten().to_numpy(zero_copy_only=False), bits), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.astype(np.int64))], names=["at", "n"])
+
+    found = sets.select("s").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    counts = np.ones(1 << bits, dtype=np.int64)
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def _prefixes(sets: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """``key, place, node, root, n``: the rarest shingles of each set, one of which every similar set shares."""
+    counts = _rarity(sets, bits)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for node, root, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                s = held.values.to_numpy(zero_copy_only=False)
+                often = counts[_bucket(s, bits)]
+                first = np.lexsort((s, often))[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
+                place = np.flatnonzero(often[first] > 1)
+                own = [np.full(len(place), v, dtype=np.int64) for v in (node, root, len(s))]
+                columns = [s[first[place]].astype(np.int64), place, *own]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "place", "node", "root", "n"])
+
+    return sets.select("cid", "root", "s").where(F.size("s") > 0).mapInArrow(run, "key long, place long, node long, root long, n long")
+
+
+def _links_across(
+    members: DataFrame, roots: DataFrame, rows: DataFrame, classes: DataFrame, similarity: float, tile_rows: int, bits: int = RANK_BITS
+) -> DataFrame:
+    """Pairs ``a, b`` of ``members`` in different components, all similar ones among them.
+
+    Shingles are ordered by how often the members hold them, rarest first. Sets of ``n`` and ``m``
+    shingles with similarity ``t`` share ``t / (1 + t) * (n + m)`` or more, so the first one they share
+    stands early in both, and enough follow it. A set whose rare shingles are all its own meets nothing.
+    """
+    wanted = members.join(roots.withColumnRenamed("node", "_n"), F.col("cid") == F.col("_n"), "left").select("cid", F.coalesce("root", "cid").alias("root"))
+    wanted = classes.select("cid", "whole").join(wanted, "cid")
+    sets = rows.select("whole", "shingles").join(wanted, "whole").groupBy("cid", "root").agg(F.min("shingles").alias("s"))
+    keyed = common.materialize(_prefixes(common.materialize(sets), similarity, bits))
+    split = keyed.groupBy("key").agg((F.min("root") < F.max("root")).alias("_open")).where("_open").select("key")
+    share = similarity / (1 + similarity)
 
     def run(batches):
         import numpy as np
@@ -199,16 +253,17 @@ def _links_across(members: DataFrame, roots: DataFrame, classes: DataFrame, radi
 
         for frame in common.group_batches(batches, ["key", "tile"]):
             starts = common.group_starts(frame, ["key", "tile"])
-            fp, node, root, n, chunk, cross = (frame[c].to_numpy() for c in ("fp", "node", "root", "n", "chunk", "cross"))
-            fp, held, count = fp.view(np.uint64), [], 0
+            columns, held, count = [frame[c].to_numpy() for c in ("place", "node", "root", "n", "chunk", "cross")], [], 0
             for lo, hi in zip(starts[:-1], starts[1:]):
-                for at in range(lo, hi - 1):
-                    rest = slice(at + 1, hi)
-                    near = (np.bitwise_count(fp[rest] ^ fp[at]) <= radius) & (root[rest] != root[at])
-                    near &= np.minimum(n[rest], n[at]) >= similarity * np.maximum(n[rest], n[at])
-                    if cross[at]:
-                        near &= chunk[rest] != chunk[at]
-                    other = node[rest][near]
+                place, node, root, n, chunk, cross = (c[lo:hi] for c in columns)
+                values, sizes = np.unique(root, return_counts=True)
+                most, order = values[sizes.argmax()], np.arange(hi - lo)
+                for at in np.flatnonzero(root != most):  # the largest component meets the others, never itself
+                    near = (root != root[at]) & ((root == most) | (order > at))
+                    near &= np.minimum(n - place, n[at] - place[at]) >= share * (n + n[at]) - 1e-9
+                    if cross[0]:
+                        near &= chunk != chunk[at]
+                    other = node[near]
                     if not len(other):
                         continue
                     held.append(np.stack([np.full(len(other), node[at]), other]))
@@ -219,7 +274,7 @@ def _links_across(members: DataFrame, roots: DataFrame, classes: DataFrame, radi
             if held:
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(held, axis=1))), names=["a", "b"])
 
-    return rooted.mapInArrow(run, "a long, b long")
+    return common.tiled(keyed.join(split, "key", "left_semi"), "node", tile_rows).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -322,8 +377,8 @@ def similar_groups(
 
     Candidates are pairs within ``radius`` bits in one of several fingerprints; each is held
     against the exact similarity of its sets of ``similar_words``-word shingles. Texts of equal sets
-    are one class. Large tiles send a spanning forest of their candidates first, and then every
-    candidate whose ends the verified links have not joined, so none is left out untested.
+    are one class. Large tiles send a spanning forest of their candidates; then an exact prefix join on
+    rare shingles finds every similar pair of their members that the verified links have not joined.
     Edge cases are those of ``near_duplicates``.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
@@ -332,12 +387,13 @@ def similar_groups(
     classes = common.materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "whole", "low", "n"))
     named = common.materialize(rows.select("whole", "fps").distinct().join(classes.select("whole", "cid"), "whole").select("cid", "fps"))
     each = named.select("cid", F.posexplode("fps").alias("print", "fp")).distinct()
-    pairs = common.materialize(_links_and_tiles(each, radius, blocks, tile_rows))
-    first = common.materialize(_ordered(pairs.where("b is not null")))
+    first = common.materialize(_marked_links(each, radius, blocks, tile_rows))
     verified = common.materialize(_verified(first, rows, classes, similarity))
     roots = common.connected_components(verified)
-    more = _links_across(pairs.where("b is null").drop("b").withColumnRenamed("a", "node"), roots, classes, radius, similarity)
-    more = common.materialize(_ordered(more).join(first, ["a", "b"], "left_anti"))
+    large = first.where("large")
+    members = common.materialize(large.select(F.col("a").alias("cid")).union(large.select("b")).distinct())
+    more = _links_across(members, roots, rows, classes, similarity, tile_rows)
+    more = common.materialize(_ordered(more).join(first.select("a", "b"), ["a", "b"], "left_anti"))
     more = common.materialize(_verified(more, rows, classes, similarity))
     member = classes.join(roots, classes.cid == roots.node, "left").select("whole", "low", F.coalesce("root", "cid").alias("root"))
     if not more.isEmpty():  # only the components of the first links are joined further

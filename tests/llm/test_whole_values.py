@@ -1,6 +1,7 @@
 """Values and pairs that a narrower search would leave out."""
 
 import random
+from itertools import combinations
 
 import pytest
 
@@ -83,7 +84,7 @@ def test_numbers_in_words_are_slots(spark):
 
 def test_near_copies_round_one_text(spark):
     """All Hamming candidates are verified, also in groups of more than a few dozen: the classes are those of brute force."""
-    from itertools import combinations
+
 
     rng = random.Random(11)
     base = [f"w{rng.randrange(10**5)}" for _ in range(200)]
@@ -119,3 +120,29 @@ def test_near_copies_round_one_text(spark):
     for tile_rows in (simhash.TILE_ROWS, 32):
         got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, tile_rows=tile_rows).collect()}
         assert got == {i: find(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("bits, tile_rows", [(20, 4096), (3, 16)])
+def test_sets_in_different_components_meet_by_rare_shingles(spark, bits, tile_rows):
+    """The prefix join against all pairs; few counts and small tiles change no link."""
+    rng = random.Random(9)
+    base = rng.sample(range(-(2**31), 2**31), 90)
+    sets = [[]]
+    for i in range(120):
+        own = rng.sample(base, 90 - rng.randrange(20)) if i % 3 else rng.sample(range(-(2**31), 2**31), 1 + i % 7)
+        sets.append(sorted({*own, *rng.sample(range(-(2**31), 2**31), rng.randrange(12))}))
+    sets += [s[: len(s) * 4 // 5] for s in sets if len(s) % 5 == 0 and s]  # exactly 0.8
+    root = [i if i % 4 else min(i, 8) for i in range(len(sets))]
+    rows = spark.createDataFrame([(str(i).encode(), s) for i, s in enumerate(sets)], "whole binary, shingles array<int>")
+    classes = spark.createDataFrame([(i, str(i).encode(), len(s)) for i, s in enumerate(sets)], "cid long, whole binary, n int")
+    members = classes.select("cid")
+    roots = spark.createDataFrame([(i, r) for i, r in enumerate(root) if i != r], "node long, root long")
+    found = simhash._ordered(simhash._links_across(members, roots, rows, classes, 0.8, tile_rows, bits))
+    got = {(r.a, r.b) for r in simhash._verified(found, rows, classes, 0.8).collect()}
+    assert all(root[a] != root[b] for a, b in got)
+    true = {
+        (i, j)
+        for i, j in combinations(range(1, len(sets)), 2)
+        if root[i] != root[j] and (both := len({*sets[i]} & {*sets[j]})) >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+    }
+    assert got == true and len(true) > 20
