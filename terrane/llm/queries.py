@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, packing, pii, quality, secrets, simhash, token_counts, urls, vectors
+from . import codes, decontamination, licenses, packing, pii, quality, secrets, simhash, token_counts, urls, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -202,3 +202,39 @@ SELECT doc_id, by_doc.n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)
 
 
 ORACLES["op10_template_decontamination"] = _op10_sql()
+
+
+@_query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    """The same rounds as a chain of common table expressions, one for each assignment and each mean."""
+    d = codes
+
+    def assigned(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, (far, entry)) AS entry, min(far) AS far FROM
+    (SELECT x.vec_id, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v)) AS far FROM x JOIN b{k} b ON x.part = b.part AND x.pos = b.pos GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+    def moved(k: int) -> str:
+        return f"""b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN
+    (SELECT a.part, a.entry, x.pos, (sum(x.v) - ((sum(x.v) % count(*)) + count(*)) % count(*)) // count(*) AS v FROM a{k} a JOIN x ON a.vec_id = x.vec_id AND a.part = x.part GROUP BY 1, 2, 3) m
+    ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos)"""
+
+    rounds = ",\n  ".join(step(k) for k in range(d.ROUNDS) for step in (assigned, moved))
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * {d.SCALE}) AS BIGINT)) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0),
+  x AS MATERIALIZED (SELECT vec_id, (i - 1) // (n // {d.PARTS}) AS part, (i - 1) % (n // {d.PARTS}) AS pos, v FROM
+    (SELECT vec_id, len(q) AS n, generate_subscripts(q, 1) AS i, unnest(q) AS v FROM kept)),
+  b0 AS MATERIALIZED (SELECT part, s.entry, pos, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {d.ENTRIES}) s USING (vec_id)),
+  {rounds},
+  {assigned(d.ROUNDS)},
+  done AS (SELECT vec_id, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{d.ROUNDS} GROUP BY 1),
+  sha AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{d.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM done JOIN kept USING (vec_id), sha
+"""
+
+
+ORACLES["op13_vector_codes"] = _op13_sql()
