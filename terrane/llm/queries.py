@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontamination, licenses, packing, pii, quality, secrets, simhash, token_counts, urls, vectors
+from . import codes, decontamination, licenses, packing, phrases, pii, quality, secrets, simhash, token_counts, urls, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -204,6 +204,35 @@ SELECT doc_id, by_doc.n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)
 ORACLES["op10_template_decontamination"] = _op10_sql()
 
 
+@_query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def _op11_sql() -> str:
+    """All phrases are counted, without buckets or pruning."""
+    d, upper = phrases, "".join(map(chr, range(65, 91)))
+    joined = lambda begin, end: f"array_to_string(w[{begin}:{end}], ' ')"
+    return f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+  words AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+  total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+  grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, generate_subscripts(w, 1) AS i FROM words WHERE len(w) > 0), (SELECT unnest(range(1, {d.MAX_WORDS + 1})) AS k) WHERE i + k - 1 <= len(w)),
+  found AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, CAST(count(*) AS BIGINT) AS a FROM grams GROUP BY lang, k, phrase HAVING count(*) >= {d.LEAST}),
+  cuts AS (SELECT lang, k, phrase, w, a, unnest(range(1, k)) AS cut FROM found WHERE k > 1),
+  scored AS (SELECT c.lang, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, CAST(CAST({d.SCORE_SCALE} AS HUGEINT) * c.a // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+    FROM cuts c JOIN found x ON x.lang = c.lang AND x.phrase = {joined(1, "cut").replace("w[", "c.w[")} JOIN found y ON y.lang = c.lang AND y.phrase = {joined("cut + 1", "k").replace("w[", "c.w[").replace(":k]", ":c.k]")}),
+  best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+  inner_ AS (SELECT lang, array_to_string(w[b:b + m - 1], ' ') AS phrase, max(a) AS held FROM (SELECT lang, w, k, a, m, unnest(range(1, k - m + 2)) AS b FROM (SELECT *, unnest(range(2, k)) AS m FROM found WHERE k > 2)) GROUP BY 1, 2),
+  kept AS (SELECT best.* FROM best LEFT JOIN inner_ USING (lang, phrase) WHERE held IS NULL OR CAST(held AS HUGEINT) * 100 < CAST(a AS HUGEINT) * {d.COVERED_PERCENT}),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= {d.TOP}
+"""
+
+
+ORACLES["op11_phrase_collocations"] = _op11_sql()
+
+
 @_query
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(_table(spark, sf_dir, "embeddings"))
