@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontamination, licenses, packing, phrases, pii, quality, secrets, simhash, token_counts, urls, vectors
+from . import codes, decontamination, licenses, packing, phrases, pii, quality, repeats, secrets, simhash, token_counts, urls, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -233,6 +233,32 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang)
 ORACLES["op11_phrase_collocations"] = _op11_sql()
 
 
+@_query
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def _op12_sql() -> str:
+    """Every window as a blob, every byte as a row."""
+    w = repeats.WINDOW
+    return f"""
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+  places AS (SELECT doc_id, b, n, unnest(range(0, n)) AS i FROM docs),
+  windows AS (SELECT doc_id, i, b[i + 1:i + {w}] AS s FROM places WHERE i + {w} <= n),
+  low AS (SELECT s, min(doc_id) AS first_id FROM windows GROUP BY s HAVING count(*) > 1),
+  marked AS (SELECT doc_id, i FROM windows JOIN low USING (s) WHERE doc_id > first_id),
+  bytes AS (SELECT p.doc_id, p.i, hex(b[p.i + 1:p.i + 1]) AS b, count(m.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) > 0 AS gone
+    FROM places p LEFT JOIN marked m ON p.doc_id = m.doc_id AND p.i = m.i),
+  runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS begins FROM bytes),
+  sums AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM runs GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM docs LEFT JOIN sums USING (doc_id)
+"""
+
+
+ORACLES["op12_repeated_passages"] = _op12_sql()
+
+
 @_query
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(_table(spark, sf_dir, "embeddings"))
