@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.config import SETTINGS
 from terrane.functions import geometry as G
 from terrane.functions import text as T
+from terrane.operators import ordered
 
 
 def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius_m: float, same=None, x: str = "x", y: str = "y", cell: float = SETTINGS.block_cell_deg) -> DataFrame:
@@ -136,46 +136,18 @@ def coordinate_conflicts(localities: DataFrame, settings=SETTINGS) -> DataFrame:
     return alone.unionByName(shared)
 
 
-def unique_ids(records: DataFrame, key: str, order: str, out: str = "unique_id") -> DataFrame:
+def unique_ids(records: DataFrame, key: str, order: str, out: str = "unique_id", parts: int | None = None) -> DataFrame:
     """Rows in order, each with the first of ``a``, ``a-2``, ``a-2-2``, ... from its own key on that no earlier row has.
 
-    Keys that differ only by such suffixes are a family. A family whose keys are all alike is numbered
-    by rank, which runs over sorted parts however large the family is; one whose keys carry suffixes of their
-    own is walked in order. Rows with a null key keep it.
+    Keys that differ only by such suffixes are a family, and its suffixes are slots. A family is walked in
+    order over as many partitions as it has (``ordered.free_slots``). Rows with a null key keep it.
     """
     rows = records.withColumn("_stem", F.regexp_replace(key, "(-2)+$", ""))
     rows = rows.withColumn("_level", ((F.length(key) - F.length("_stem")) / 2).cast("int"))
-    mixed = rows.groupBy("_stem").agg((F.max("_level") > F.min("_level")).alias("_mixed")).where("_mixed").select("_stem")
-    alike = _ranked(rows.join(mixed, "_stem", "left_anti"), "_stem", order).withColumn("_level", (F.col("_level") + F.col("_rank") - 1).cast("int")).drop("_rank")
-    walked = rows.join(mixed, "_stem", "left_semi").select(*alike.columns)
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable").reset_index(drop=True)
-        after: dict[int, int] = {}  # a taken level, and one from which on the next free one is looked for
-        levels = []
-        for level in frame["_level"].tolist():
-            path = []
-            while level in after:
-                path.append(level)
-                level = after[level]
-            for taken in (*path, level):
-                after[taken] = level + 1
-            levels.append(level)
-        return frame.assign(_level=levels)
-
-    done = alike.unionByName(walked.groupBy("_stem").applyInPandas(walk, walked.schema))
-    return done.withColumn(out, F.concat("_stem", F.repeat(F.lit("-2"), F.col("_level")))).drop("_stem", "_level")
-
-
-def _ranked(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """``_rank`` from 1 within a key: rows are dealt by range, so a large key is many parts, and parts before add up."""
-    dealt = rows.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id())
-    inner = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)))
-    parts = dealt.groupBy(key, "_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), before.alias("_before"))
-    joined = inner.join(parts, inner[key].eqNullSafe(parts["_k"]) & (inner["_part"] == parts["_p"]))
-    return joined.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_part", "_k", "_p", "_before")
+    known = ordered.free_slots(rows.where(F.col(key).isNotNull()), "_stem", [order], "_level", "_slot", parts)
+    known = known.withColumn(out, F.concat("_stem", F.repeat(F.lit("-2"), F.col("_slot"))))
+    none = records.where(F.col(key).isNull()).withColumn(out, F.lit(None).cast("string"))
+    return known.select(*none.columns).unionByName(none)
 
 
 def append_missing(current: DataFrame, other: DataFrame, key: str) -> DataFrame:

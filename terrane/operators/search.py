@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.config import SETTINGS
-from terrane.functions import geometry as G
 from terrane.functions import text as T
+from terrane.operators import ordered
 
 SEPARATOR = " | "
 MIN_QUERY, LIMIT = 2, 25
@@ -33,20 +35,23 @@ def entries(rows: DataFrame, kind: Column) -> DataFrame:
     )
 
 
-def distinct_settlements(entities: DataFrame, settings=SETTINGS) -> DataFrame:
-    """Entities without those that repeat an earlier one: same folded name, within the wide radius.
+def distinct_settlements(entities: DataFrame, settings=SETTINGS, parts: int | None = None) -> DataFrame:
+    """Entities in order, without those near the last one kept of the same folded name (within the wide radius).
 
-    Unidentified entities aren't searchable and go; a repeated id keeps its first row. Only entities
-    are folded among themselves, never with localities of the same name.
+    An entity that went hides none after it. Those without a place aren't entries; of a repeated id the first row
+    counts; unidentified ones aren't searchable and go. Only entities are folded among themselves, never
+    with localities of the same name.
     """
-    named = entities.where(~F.col("name").startswith("Unidentified")).withColumn("_key", T.fold_transliteration(T.normalise(F.col("name"))))
-    first = named.groupBy("id").agg(F.min("ord").alias("ord"))
-    named = named.join(first, ["id", "ord"])
-    other = named.select("_key", F.col("ord").alias("_o"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    close = G.metres(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= settings.wide_radius_m
-    met = G.own_cell(named, "x", "y").join(G.around(other, "_x", "_y"), ["_key", "_cx", "_cy"])  # a common name is one key for each cell
-    repeated = met.where((F.col("_o") < F.col("ord")) & close).select("id").distinct()
-    return named.join(repeated, "id", "left_anti").drop("_key")
+    per, across, radius = settings.metres_per_degree, math.cos(math.radians(settings.reference_latitude)), settings.wide_radius_m
+    there = entities.where("x is not null and y is not null")
+    first = there.groupBy("id").agg(F.min("ord").alias("ord"))
+    named = there.join(first, ["id", "ord"]).where(~F.col("name").startswith("Unidentified"))
+    named = named.withColumn("_key", T.fold_transliteration(T.normalise(F.col("name"))))
+
+    def far(ax: float, ay: float, bx: float, by: float) -> bool:
+        return math.hypot((ax - bx) * (across * per), (ay - by) * per) > radius
+
+    return ordered.last_kept(named, "_key", ["ord", "id"], "x", "y", far, parts).drop("_key")
 
 
 def build(localities: DataFrame, entities: DataFrame) -> DataFrame:

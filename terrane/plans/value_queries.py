@@ -89,15 +89,17 @@ def incident_tiers(spark, d):
     return found.join(shown, "incident_id", "left").select("incident_id", "confidence", "matched_locality_id", "matched_from", F.coalesce("shown", F.lit(False)).alias("shown"))
 
 
-@query("""WITH e AS (SELECT s_suppkey AS k, s_suppkey % 40 AS name, CAST(s_suppkey % 9 AS DOUBLE) * CAST(0.01 AS DOUBLE) AS y FROM supplier)
-SELECT 's' || k AS id, 1 AS part FROM e WHERE k % 10 <> 3 AND NOT EXISTS (SELECT 1 FROM e o WHERE o.k % 10 <> 3 AND o.name = e.name AND o.k < e.k AND abs(o.y - e.y) * 111320 <= 2500)
-UNION ALL SELECT 'p' || r.range, 0 FROM range(0, 40) r""")
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS k, p_partkey % 40 AS name, CAST(p_partkey * 11 % 23 AS DOUBLE) * CAST(0.006 AS DOUBLE) AS y,
+    row_number() OVER (PARTITION BY p_partkey % 40 ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 10 <> 3),
+  walk AS (SELECT name, n, k, y AS held, TRUE AS kept FROM e WHERE n = 1
+    UNION ALL SELECT w.name, e.n, e.k, CASE WHEN abs(e.y - w.held) * 111320 > 2500 THEN e.y ELSE w.held END, abs(e.y - w.held) * 111320 > 2500 FROM walk w JOIN e ON e.name = w.name AND e.n = w.n + 1)
+SELECT 's' || k AS id, 1 AS part FROM walk WHERE kept UNION ALL SELECT 'p' || r.range, 0 FROM range(0, 40) r""")
 def search_index_entries(spark, d):
-    """Localities, and settlements without those that repeat an earlier one nearby or are unidentified."""
-    k = F.col("s_suppkey")
+    """Localities, and settlements without those near the last one kept of their name or unidentified."""
+    k = F.col("p_partkey")
     name = F.element_at(F.array(*map(F.lit, _PLACES)), (k % 40 + 1).cast("int"))
-    entities = table(spark, d, "supplier").select(
-        F.concat(F.lit("s"), k.cast("string")).alias("id"), k.alias("ord"), F.when(k % 10 == 3, "Unidentified settlement (x)").otherwise(name).alias("name"), F.lit(35.0).alias("x"), ((k % 9).cast("double") * 0.01).alias("y"), F.lit("settlement").alias("type"),
+    entities = table(spark, d, "part").select(
+        F.concat(F.lit("s"), k.cast("string")).alias("id"), k.alias("ord"), F.when(k % 10 == 3, "Unidentified settlement (x)").otherwise(name).alias("name"), F.lit(35.0).alias("x"), ((k * 11 % 23).cast("double") * 0.006).alias("y"), F.lit("settlement").alias("type"),
     )
     return search.build(_places(spark, d).withColumnRenamed("locality_id", "id"), entities).select("id", "part")
 
