@@ -35,20 +35,21 @@ def matched_pairs(current: DataFrame, historic: DataFrame, settings=SETTINGS) ->
     """Historic localities and the current ones they are: ``historic_id, current_id, distance_m, wide``.
 
     Names must be of one place. What is surely the same needs no ratio; only the other near
-    candidates go through the sequence ratio. Depopulated localities match nothing.
+    candidates go through the sequence ratio. Equal distances go to the first in source order.
+    Depopulated localities match nothing.
     """
     h = historic.where("not coalesce(depopulated_1948, false)").select(F.col("locality_id").alias("historic_id"), "x", "y", T.compare_key(F.col("name")).alias("_hk"))
-    c = current.select(F.col("locality_id").alias("current_id"), "x", "y", T.compare_key(F.col("name")).alias("_ck"))
+    c = current.select(F.col("locality_id").alias("current_id"), F.col("ord").alias("_co"), "x", "y", T.compare_key(F.col("name")).alias("_ck"))
     cell = settings.block_cell_deg
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     left = h.select("historic_id", "_hk", F.col("x").alias("hx"), F.col("y").alias("hy"), G.block_cell(F.col("x")).alias("cx"), G.block_cell(F.col("y")).alias("cy"))
-    right = c.select("current_id", "_ck", F.col("x").alias("qx"), F.col("y").alias("qy"), F.explode(steps).alias("s"))
-    right = right.select("current_id", "_ck", "qx", "qy", (G.block_cell(F.col("qx")) + F.col("s.i")).alias("cx"), (G.block_cell(F.col("qy")) + F.col("s.j")).alias("cy"))
+    right = c.select("current_id", "_co", "_ck", F.col("x").alias("qx"), F.col("y").alias("qy"), F.explode(steps).alias("s"))
+    right = right.select("current_id", "_co", "_ck", "qx", "qy", (G.block_cell(F.col("qx")) + F.col("s.i")).alias("cx"), (G.block_cell(F.col("qy")) + F.col("s.j")).alias("cy"))
     near = left.join(right, ["cx", "cy"]).withColumn("distance_m", G.metres(F.col("hx"), F.col("hy"), F.col("qx"), F.col("qy")))
     near = near.where((F.col("distance_m") <= settings.wide_radius_m) & (F.length("_hk") > 0) & (F.length("_ck") > 0))
     near = near.withColumn("_sure", T.surely_same(F.col("_hk"), F.col("_ck")))
     fuzzy = near.where("not _sure").where(T.sequence_ratio(F.col("_hk"), F.col("_ck")) >= settings.name_similarity)
-    pairs = near.where("_sure").unionByName(fuzzy).groupBy("historic_id").agg(F.min(F.struct("distance_m", "current_id")).alias("b"))
+    pairs = near.where("_sure").unionByName(fuzzy).groupBy("historic_id").agg(F.min(F.struct("distance_m", "_co", "current_id")).alias("b"))
     return pairs.select("historic_id", F.col("b.current_id").alias("current_id"), F.col("b.distance_m").alias("distance_m"), (F.col("b.distance_m") > settings.merge_radius_m).alias("wide"))
 
 
@@ -62,43 +63,85 @@ def merged_population(first: Column, second: Column) -> Column:
     return F.transform(F.array_sort(kept), lambda r: r["e"])
 
 
+#: What a record takes from the records merged into it, where it has such a column: the first value that is there
+#: (its own first), the last value that is there (else its own), or what the last record says, nothing included.
+FIRST_FACTS = ("arabic", "hebrew", "pre_1948", "district", "subdistrict")
+LATEST_FACTS = ("slug", "oral_histories")
+OTHERS_FACTS = ("depopulated_1948", "depopulated_date", "status_now", "group_1945", "group_now", "mechanism")
+
+
+def absorbed(survivors: DataFrame, others: DataFrame, pairs: DataFrame, order: list[str]) -> DataFrame:
+    """``survivors`` completed from the ``others`` that pairs (``historic_id, current_id``) give them, one after another by ``order``.
+
+    A survivor keeps its id, name, position and its own values of ``FIRST_FACTS``; texts that are empty are as
+    if missing. The names of the others become transliterations unless they are its own name when
+    normalised. Population entries are joined by year and group, references with its own on top and then the
+    earlier ones, evidence in order. ``historic_point`` is the last one's position where that differs.
+    Values are folded by aggregates; only what the result lists (names, population, evidence, references) is gathered.
+    """
+    c, o = survivors, others
+    have = [n for n in (*FIRST_FACTS, *LATEST_FACTS, *OTHERS_FACTS) if n in c.columns and n in o.columns]
+    there = lambda n: F.col(n).isNotNull() & (F.col(n) != "") if dict(o.dtypes)[n] == "string" else F.col(n).isNotNull()
+    by = F.struct(*order)
+    value = lambda n: F.struct(F.col(n).alias("v"))  # noqa: E731  a null inside a struct is not skipped
+    joined = pairs.select("historic_id", "current_id").join(o, o.locality_id == pairs.historic_id)
+    folds = []
+    for n in have:
+        if n in FIRST_FACTS:
+            folds.append(F.min_by(n, F.when(there(n), by)).alias(f"_{n}"))
+        elif n in LATEST_FACTS:
+            folds.append(F.max_by(n, F.when(there(n), by)).alias(f"_{n}"))
+        else:
+            folds.append(F.max_by(value(n), by).alias(f"_{n}"))
+    lists = joined.groupBy("current_id").agg(
+        F.max_by(F.struct("x", "y"), by).alias("_point"), *folds,
+        F.array_sort(F.collect_list(F.struct(by.alias("o"), "name", "population", "refs", "evidence")), _by_order).alias("_l"),
+    )
+    both = c.join(lists, c.locality_id == lists.current_id, "left")
+    _l = F.coalesce("_l", F.array().cast(lists.schema["_l"].dataType))
+    none = lambda n: F.array().cast(c.schema[n].dataType)
+    own = lambda n: F.nullif(F.col(n), F.lit("")) if dict(c.dtypes)[n] == "string" else F.col(n)
+    new = {}
+    for n in have:
+        if n in FIRST_FACTS:
+            new[n] = F.coalesce(own(n), F.col(f"_{n}"), F.col(n))
+        elif n in LATEST_FACTS:
+            new[n] = F.coalesce(f"_{n}", n)
+        else:
+            new[n] = F.when(F.col("current_id").isNull(), F.col(n)).otherwise(F.col(f"_{n}.v"))
+    variants = F.filter(F.transform(_l, lambda r: r["name"]), lambda n: T.normalise(n) != T.normalise(F.col("name")))
+    new["transliterations"] = F.concat(F.coalesce("transliterations", F.array().cast("array<string>")), variants)
+    new["population"] = F.aggregate(_l, F.coalesce("population", none("population")), lambda acc, r: merged_population(acc, r["population"]))
+    new["refs"] = merged_maps(F.reverse(F.transform(_l, lambda r: r["refs"])), F.col("refs"))
+    new["evidence"] = F.concat(F.coalesce("evidence", none("evidence")), F.flatten(F.transform(_l, lambda r: F.coalesce(r["evidence"], none("evidence")))))
+    moved = (F.col("_point.x") != F.col("x")) | (F.col("_point.y") != F.col("y"))
+    before = F.col("historic_point") if "historic_point" in c.columns else F.lit(None).cast("struct<x:double,y:double>")
+    new["historic_point"] = F.when(F.col("current_id").isNull(), before).otherwise(F.when(moved, F.col("_point")))
+    columns = [n for n in c.columns if n != "historic_point"]
+    return both.select(*[new.get(n, F.col(n)).alias(n) for n in (*columns, "historic_point")])
+
+
+def _by_order(a: Column, b: Column) -> Column:
+    return F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
+
+
 def merge_localities(current: DataFrame, historic: DataFrame, pairs: DataFrame) -> DataFrame:
     """Current localities completed from their historic records, and the historic ones without a match.
 
-    Several historic records of one place fill in by source order. Names, districts and slugs of
-    the current record come first; depopulation comes from the historic one; references are
-    joined with the current ones on top; evidence is concatenated; a differing historic position is kept.
+    Several historic records of one place are merged one after another in source order; ``source_part`` is 0 for
+    rows of the current source and 1 for the historic ones that stand alone.
     """
-    c, h = current, historic
-    joined = pairs.join(h, h.locality_id == pairs.historic_id)
-    facts = [n for n in ("arabic", "hebrew", "district", "slug", "depopulated_1948", "depopulated_date") if n in h.columns]
-    fields = ["ord", *facts, "name", "x", "y", "population", "refs", "evidence"]
-    grouped = joined.groupBy("current_id").agg(F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: F.signum((a["ord"] - b["ord"]).cast("double")).cast("int")).alias("_h"))  # records of one place
-    both = c.join(grouped, c.locality_id == grouped.current_id, "left")
-
-    def first(name):
-        return F.get(F.filter(F.transform("_h", lambda r: r[name]), lambda v: v.isNotNull()), F.lit(0))
-
-    def last(name):
-        return F.try_element_at(F.filter(F.transform("_h", lambda r: r[name]), lambda v: v.isNotNull()), F.lit(-1))
-
-    none = F.array().cast(c.schema["population"].dataType)
-    variants = F.filter(F.transform(F.coalesce("_h", F.array().cast(grouped.schema["_h"].dataType)), lambda r: r["name"]), lambda n: T.normalise(n) != T.normalise(F.col("name")))
-    out = both.select(
-        "locality_id", c["ord"], c["name"],
-        F.coalesce(c["arabic"], first("arabic")).alias("arabic"), F.coalesce(c["hebrew"], first("hebrew")).alias("hebrew"),
-        F.concat(F.coalesce(c["transliterations"], F.array().cast("array<string>")), variants).alias("transliterations"),
-        c["x"], c["y"], F.coalesce(c["district"], first("district")).alias("district"),
-        F.coalesce(F.try_element_at(F.transform("_h", lambda r: r["depopulated_1948"]), F.lit(-1)), c["depopulated_1948"]).alias("depopulated_1948"),
-        F.coalesce(last("depopulated_date"), c["depopulated_date"]).alias("depopulated_date"),
-        F.coalesce(last("slug"), c["slug"]).alias("slug"),
-        F.aggregate(F.coalesce("_h", F.array().cast(grouped.schema["_h"].dataType)), F.coalesce(c["population"], none), lambda acc, r: merged_population(acc, r["population"])).alias("population"),
-        merged_maps(F.transform("_h", lambda r: r["refs"]), c["refs"]).alias("refs"),
-        F.concat(F.coalesce(c["evidence"], F.array().cast(c.schema["evidence"].dataType)), F.coalesce(F.flatten(F.transform("_h", lambda r: F.coalesce(r["evidence"], F.array().cast(c.schema["evidence"].dataType)))), F.array().cast(c.schema["evidence"].dataType))).alias("evidence"),
-        F.when((F.try_element_at("_h", F.lit(-1))["x"] != c["x"]) | (F.try_element_at("_h", F.lit(-1))["y"] != c["y"]), F.struct(F.try_element_at("_h", F.lit(-1))["x"].alias("x"), F.try_element_at("_h", F.lit(-1))["y"].alias("y"))).alias("historic_point"),
-    )
-    rest = h.join(pairs, h.locality_id == pairs.historic_id, "left_anti").withColumn("historic_point", F.lit(None).cast("struct<x:double,y:double>"))
-    return out.unionByName(rest.select(*out.columns))
+    out = absorbed(current, historic, pairs, ["ord"]).withColumn("source_part", F.lit(0))
+    rest = historic.join(pairs, historic.locality_id == pairs.historic_id, "left_anti").withColumn("historic_point", F.lit(None).cast("struct<x:double,y:double>"))
+    return out.unionByName(rest.withColumn("source_part", F.lit(1)).select(*out.columns))
+
+
+def merge_coincident(judged: DataFrame, order: list[str]) -> DataFrame:
+    """The records to keep of ``coordinate_conflicts``, each with what merges into it at its position, in order."""
+    keep = judged.where("decision = 'keep'")
+    others = judged.where("decision = 'merge'")
+    pairs = others.select(F.col("locality_id").alias("historic_id"), F.col("survivor_id").alias("current_id"))
+    return absorbed(keep, others.drop("decision", "survivor_id", "reason"), pairs, order).drop("decision", "survivor_id", "reason")
 
 
 def merged_maps(older: Column, newer: Column) -> Column:
@@ -108,7 +151,7 @@ def merged_maps(older: Column, newer: Column) -> Column:
     return F.map_zip_with(zipped, F.coalesce(newer, empty), lambda k, a, b: F.coalesce(b, a))
 
 
-def coordinate_conflicts(localities: DataFrame, settings=SETTINGS) -> DataFrame:
+def coordinate_conflicts(localities: DataFrame, settings=SETTINGS, order: tuple[str, ...] = ("ord", "locality_id")) -> DataFrame:
     """Every locality with ``decision`` keep, merge or withhold, ``survivor_id`` and ``reason``.
 
     Localities at one position are one place when all their names are that of the first: they
@@ -117,10 +160,10 @@ def coordinate_conflicts(localities: DataFrame, settings=SETTINGS) -> DataFrame:
     """
     rows = localities.withColumn("_key", T.compare_key(F.col("name"))).withColumn("_own", ~F.col("locality_id").startswith(settings.withheld_prefix))
     at = Window.partitionBy("x", "y")
-    rows = rows.withColumn("_n", F.count("*").over(at)).withColumn("_first", F.first("_key").over(at.orderBy("ord", "locality_id")))
+    rows = rows.withColumn("_n", F.count("*").over(at)).withColumn("_first", F.first("_key").over(at.orderBy(*order)))
     shared = rows.where("_n > 1").withColumn("_sure", T.surely_same(F.col("_key"), F.col("_first")))
     shared = shared.withColumn("_same", F.col("_sure") | (T.sequence_ratio(F.col("_key"), F.col("_first")) >= settings.name_similarity))
-    own = F.struct((~F.col("_own")).alias("o"), "ord", "locality_id")
+    own = F.struct((~F.col("_own")).alias("o"), *order, *(() if "locality_id" in order else ("locality_id",)))
     place = shared.groupBy("x", "y").agg(F.bool_and("_same").alias("_all"), F.count_if("_own").alias("_n_own"), F.min(own).alias("_best"))
     shared = shared.join(place, ["x", "y"])
     best = F.col("_best.locality_id")

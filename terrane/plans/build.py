@@ -19,18 +19,31 @@ from terrane.sources import sinks, tables
 
 
 def reconcile(current: DataFrame, historic: DataFrame, overrides: DataFrame | None = None, interviews: DataFrame | None = None, settings=SETTINGS) -> dict[str, DataFrame]:
-    """One record for each place: ``localities``, ``withheld`` conflicts, ``pairs`` and ``stats``."""
+    """One record for each place: ``localities``, ``withheld`` conflicts, ``pairs``, ``coincident`` and ``stats``.
+
+    Records of one place at one position are merged like pairs are, in source order (current ones first).
+    """
     if interviews is not None:
         historic = tables.by_slug(historic, interviews).drop("oral_histories")
     pairs = resolve.matched_pairs(current, historic, settings)
     merged = resolve.merge_localities(current, historic, pairs)
-    judged = resolve.coordinate_conflicts(merged, settings)
-    kept = judged.where("decision = 'keep'").drop("decision", "survivor_id", "reason")
+    order = ("source_part", "ord", "locality_id")
+    judged = resolve.coordinate_conflicts(merged, settings, order)
+    kept = resolve.merge_coincident(judged, list(order)).drop("source_part")
     if overrides is not None:
         kept = resolve.apply_overrides(kept, overrides)
     withheld = judged.where("decision = 'withhold'").select("locality_id", "name", "x", "y", "survivor_id", "reason")
-    stats = pairs.agg(F.count("*").alias("merged_pairs"), F.count_if("wide").alias("wide_merges"))
-    return {"localities": kept, "withheld": withheld, "pairs": pairs, "stats": stats}
+    coincident = judged.where("decision = 'merge'").select("survivor_id", "locality_id")
+    counts = [
+        current.agg(F.count("*").alias("current_records")), historic.agg(F.count("*").alias("historic_records")),
+        pairs.agg(F.count_distinct("current_id").alias("merged_pairs"), F.count_if("wide").alias("wide_merges")),
+        judged.agg(F.count_if(F.col("decision") == "keep").alias("output_localities"), F.count_if(F.col("decision") == "withhold").alias("withheld_coordinate_conflicts")),
+        coincident.agg(F.count_distinct("survivor_id").alias("merged_on_shared_coordinates")),
+    ]
+    stats = counts[0]
+    for one in counts[1:]:  # a row each
+        stats = stats.crossJoin(one)
+    return {"localities": kept, "withheld": withheld, "pairs": pairs, "coincident": coincident, "stats": stats}
 
 
 def placed(localities: DataFrame, zones: DataFrame, zone: str, order: str, fallback: str | None = None) -> DataFrame:

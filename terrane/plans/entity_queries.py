@@ -92,11 +92,31 @@ def reconciled_pairs(spark, d):
     return pairs.select("historic_id", "current_id", F.round("distance_m", 1).alias("metres"), "wide")
 
 
-@query("""SELECT CASE WHEN c.c_custkey % 2 = 0 THEN 'loc-' ELSE 'pom-' END || c.c_custkey AS locality_id, CASE WHEN h.c_custkey IS NULL THEN 1 ELSE 2 END AS n_population FROM customer c
-LEFT JOIN customer h ON c.c_custkey % 2 = 0 AND h.c_custkey = c.c_custkey + 1 WHERE c.c_custkey % 2 = 0 OR NOT EXISTS (SELECT 1 FROM customer o WHERE o.c_custkey = c.c_custkey - 1)""")
+def _shared_localities(spark, d, historic: bool):
+    """As ``_localities``, but every ninth place lies where its predecessor lies, under its name."""
+    own = F.regexp_extract("locality_id", r"(\d+)$", 1).cast("long")
+    place = F.floor(own / 2) - F.when(F.floor(own / 2) % 9 == 5, 1).otherwise(0)
+    name = F.concat(F.lit("Beit " if not historic else "Bayt "), F.regexp_replace(F.conv(place.cast("string"), 10, 26), "[0-9]", "q"))
+    return _localities(spark, d, historic).withColumns({"name": name, "x": (place % 300) * 0.1 + (0.001 if historic else 0.0), "y": (F.floor(place / 300) * 0.1).cast("double")})
+
+
+@query("""WITH p AS (SELECT c_custkey AS k, c_custkey // 2 AS place, c_custkey % 2 AS h FROM customer),
+  spot AS (SELECT k, h, place, place - CASE WHEN place % 9 = 5 THEN 1 ELSE 0 END AS spot_id FROM p),
+  cur AS (SELECT k, spot_id FROM spot WHERE h = 0),
+  his AS (SELECT k, spot_id FROM spot WHERE h = 1),
+  paired AS (SELECT his.k, (SELECT 'loc-' || min(cur.k) FROM cur WHERE cur.spot_id = his.spot_id) AS target FROM his),
+  whole AS (SELECT 'loc-' || c.k AS id, c.spot_id, c.k AS ord, 0 AS part, (SELECT string_agg('his' || p.k, ',' ORDER BY p.k) FROM paired p WHERE p.target = 'loc-' || c.k) AS taken, 'cur' || c.k AS own FROM cur c
+    UNION ALL SELECT 'pom-' || p.k, h.spot_id, p.k, 1, NULL, 'his' || p.k FROM paired p JOIN his h USING (k) WHERE p.target IS NULL),
+  ranked AS (SELECT *, concat_ws(',', own, taken) AS cited, row_number() OVER (PARTITION BY spot_id, part ORDER BY ord) AS n FROM whole)
+SELECT any_value(id) FILTER (WHERE n = 1) AS locality_id, string_agg(cited, ',' ORDER BY ord) AS cited, len(string_split(string_agg(cited, ',' ORDER BY ord), ',')) AS n_cited FROM ranked GROUP BY spot_id, part""")
 def reconciled_localities(spark, d):
-    kept = build.reconcile(_localities(spark, d, False), _localities(spark, d, True))["localities"]
-    return kept.select("locality_id", F.size("population").alias("n_population"))
+    """Pairs and records of one position become one record with all evidence, in source order."""
+    current, historic = (
+        t.withColumn("evidence", F.transform("evidence", lambda e: e.withField("source_id", F.concat(e["source_id"], F.regexp_extract("locality_id", r"(\d+)$", 1)))))
+        for t in (_shared_localities(spark, d, False), _shared_localities(spark, d, True))
+    )
+    kept = build.reconcile(current, historic)["localities"]
+    return kept.select("locality_id", F.array_join("evidence.source_id", ",").alias("cited"), F.size("evidence").cast("long").alias("n_cited"))
 
 
 def _history(spark, d):

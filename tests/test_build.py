@@ -48,3 +48,34 @@ def test_destruction_and_municipal(spark):
     points = places.select("name", "x", "y").unionByName(places.select(F.lit("Other").alias("name"), F.lit(3.5).alias("x"), F.lit(3.5).alias("y")).limit(1))
     assert {m.fid: m.status for m in build.municipal(areas, points).collect()} == {"A": "named", "B": "ambiguous", "C": "unnamed"}
     assert G.POINT.startswith("struct")
+
+
+def test_records_of_one_place_and_position_are_merged(spark):
+    pop = lambda y, v: (y, v, None, None, "s")
+    cite = lambda s: [(s, "t", None, None, None, None)]
+    current = [
+        locality("c1", "Beit Nur", 1.0, 1.0, ord=0, evidence=cite("s1"), population=[pop(2017, 5)], refs={"a": "1", "b": "1"}),
+        locality("c2", "Bayt Nur", 1.0, 1.0, ord=1, arabic="ar2", evidence=cite("s2"), population=[pop(2007, 3), pop(2017, 9)], refs={"a": "2", "c": "2"}, slug="two", depopulated_1948=True),
+        locality("c3", "Beit Nur", 1.0, 1.0, ord=2, arabic="ar3", evidence=cite("s3"), refs={"c": "3", "d": "3"}, slug=""),
+        locality("c4", "Elsewhere", 5.0, 5.0, ord=3, evidence=cite("s4")),
+    ]
+    historic = [
+        locality("pom-1", "Bayt Nur", 1.0, 1.001, ord=0, evidence=cite("h1")), locality("pom-2", "Dayr Zeit", 3.0, 3.0, ord=2, evidence=cite("h2")), locality("pom-3", "Deir Zeit", 3.0, 3.0, ord=1, evidence=cite("h3")),
+        locality("pom-4", "Deir Zeit", 8.0, 8.0, ord=4, evidence=cite("h4")), locality("pom-5", "Olives", 8.0, 8.0, ord=5, evidence=cite("h5")),
+    ]
+    out = build.reconcile(spark.createDataFrame(current, LOCALITY), spark.createDataFrame(historic, LOCALITY))
+    rows = {r.locality_id: r for r in out["localities"].collect()}
+    assert sorted(rows) == ["c1", "c4", "pom-3"]
+    r = rows["c1"]  # completed by pom-1 first, then by c2 and c3
+    assert [e.source_id for e in r.evidence] == ["s1", "h1", "s2", "s3"]
+    assert [(p.year, p.value) for p in r.population] == [(2007, 3), (2017, 5)]
+    assert r.arabic == "ar2" and r.slug == "two" and r.refs == {"a": "1", "b": "1", "c": "2", "d": "3"}
+    assert r.depopulated_1948 is False and r.transliterations == ["Bayt Nur", "Bayt Nur"] and r.historic_point is None
+    assert [e.source_id for e in rows["pom-3"].evidence] == ["h3", "h2"]
+    (s,) = out["stats"].collect()
+    assert (s.current_records, s.historic_records, s.merged_pairs, s.output_localities) == (4, 5, 1, 3)
+    assert (s.withheld_coordinate_conflicts, s.merged_on_shared_coordinates) == (2, 2)
+    assert {(c.survivor_id, c.locality_id) for c in out["coincident"].collect()} == {("c1", "c2"), ("c1", "c3"), ("pom-3", "pom-2")}
+    # every record's evidence is somewhere, or the record is withheld
+    assert {e.source_id for r in rows.values() for e in r.evidence} == {"s1", "s2", "s3", "s4", "h1", "h2", "h3"}
+    assert {w.locality_id for w in out["withheld"].collect()} == {"pom-4", "pom-5"}
