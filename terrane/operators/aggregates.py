@@ -68,3 +68,13 @@ def conserved(rows: DataFrame, flag: Column) -> DataFrame:
 def top_rows(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+
+
+def reached(stage: Column, begun: Column, day: Column) -> Column:
+    """Aggregate of events: the highest stage begun by a day, whatever ended since; null if none."""
+    return F.max(F.when(begun <= day, stage))
+
+
+def standing(stage: Column, begun: Column, ended: Column, day: Column) -> Column:
+    """Aggregate of events: the highest stage whose interval holds the day; an open end holds on."""
+    return F.max(F.when((begun <= day) & F.coalesce(ended >= day, F.lit(True)), stage))

@@ -2,7 +2,8 @@
 
 A cell belongs to a layer when its centre does (even-odd over all rings of a part). Edges become
 the rows that they cross, crossings of a row are paired in order, and pairs become spans of cells.
-Only covered cells exist as rows, so the grid's size costs nothing.
+A sweep over the ends of a row's spans gives runs of cells with one combination of layers, so
+rows grow with boundaries: neither the grid's size nor a covered area costs anything.
 """
 
 from __future__ import annotations
@@ -60,9 +61,9 @@ def grid_over(extent: DataFrame, geom: str = "geom", cell_m: float = SETTINGS.co
     return Grid(*map(float, row), cell_m=cell_m)
 
 
-def burn(features: DataFrame, bit: Column, grid: Grid, fid: str = "fid", geom: str = "geom") -> DataFrame:
-    """Cells ``row, col, mask`` that the features cover."""
-    lines = G.edges(features.withColumn("_bit", bit), geom, fid, "_bit").where("y1 <> y2")
+def burn(features: DataFrame, slot: Column, grid: Grid, fid: str = "fid", geom: str = "geom") -> DataFrame:
+    """Spans ``row, first, last, slot`` of cells that the features cover."""
+    lines = G.edges(features.withColumn("_slot", slot), geom, fid, "_slot").where("y1 <> y2")
 
     def row_of(y: Column) -> Column:
         return (y - grid.south) / grid.lat_step - 0.5
@@ -74,24 +75,46 @@ def burn(features: DataFrame, bit: Column, grid: Grid, fid: str = "fid", geom: s
     y = grid.south + (F.col("row") + 0.5) * grid.lat_step
     lines = lines.withColumn("_y", y).where((F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y")))
     at = F.col("x1") + (F.col("_y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    crossings = lines.select(fid, "_bit", "part", "row", ((at - grid.west) / grid.lon_step).alias("c"))
+    crossings = lines.select(fid, "_slot", "part", "row", ((at - grid.west) / grid.lon_step).alias("c"))
     order = Window.partitionBy(fid, "part", "row").orderBy("c")
     crossings = crossings.withColumn("_k", F.row_number().over(order)).withColumn("_end", F.lead("c").over(order))
     spans = crossings.where("_k % 2 = 1 and _end is not null")  # an odd last crossing has no partner
     first = F.greatest(F.ceil(F.col("c") - 0.5).cast("long"), F.lit(0).cast("long"))
     last = F.least(F.floor(F.col("_end") - 0.5).cast("long"), F.lit(grid.columns - 1).cast("long"))
-    spans = spans.select("row", "_bit", first.alias("_first"), last.alias("_last")).where("_first <= _last")
-    return spans.select("row", F.explode(F.sequence("_first", "_last")).alias("col"), F.col("_bit").alias("mask"))
+    return spans.select("row", first.alias("first"), last.alias("last"), F.col("_slot").alias("slot")).where("first <= last")
+
+
+def runs(spans: DataFrame, slots: int) -> DataFrame:
+    """``row, n, c0, c1, ...``: runs of cells of a row and how many spans of each slot lie over them.
+
+    Ends at one place are summed first, so a row of the grid has at most one end for each of its columns.
+    """
+    begin, end = (F.struct(at.alias("at"), F.lit(d).alias("d")) for at, d in ((F.col("first"), 1), (F.col("last") + 1, -1)))
+    ends = spans.select("row", "slot", F.explode(F.array(begin, end)).alias("e"))
+    here = [F.sum(F.when(F.col("slot") == k, F.col("e.d")).otherwise(0)).alias(f"c{k}") for k in range(slots)]
+    ends = ends.groupBy("row", F.col("e.at").alias("at")).agg(*here)
+    order = Window.partitionBy("row").orderBy("at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    swept = ends.select("row", (F.lead("at").over(order) - F.col("at")).alias("n"), *[F.sum(f"c{k}").over(so_far).alias(f"c{k}") for k in range(slots)])
+    return swept.where("n is not null")
+
+
+def _mask(counts: list[Column]) -> Column:
+    """Bit k where the k-th count isn't zero."""
+    out = F.lit(0).cast("long")
+    for k, count in enumerate(counts):
+        out = out.bitwiseOR(F.when(count > 0, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
+    return out
 
 
 def masks(layers: list[DataFrame], grid: Grid, geom: str = "geom") -> DataFrame:
     """``row, mask, n``: how many cells of a row have each combination of layers; layer k has bit k."""
-    cells = None
+    spans = None
     for k, layer in enumerate(layers):
-        part = burn(layer, F.lit(1 << k).cast("long"), grid, geom=geom)
-        cells = part if cells is None else cells.unionByName(part)
-    merged = cells.groupBy("row", "col").agg(F.bit_or("mask").alias("mask"))
-    return merged.groupBy("row", "mask").agg(F.count("*").alias("n"))
+        part = burn(layer, F.lit(k), grid, geom=geom)
+        spans = part if spans is None else spans.unionByName(part)
+    swept = runs(spans, len(layers)).select("row", "n", _mask([F.col(f"c{k}") for k in range(len(layers))]).alias("mask"))
+    return swept.where("mask <> 0").groupBy("row", "mask").agg(F.sum("n").alias("n"))
 
 
 def layer_areas(histogram: DataFrame, grid: Grid) -> DataFrame:
@@ -133,20 +156,29 @@ def coverage(layers: dict[str, DataFrame], extent: str, cell_m: float = SETTINGS
 def timeline(layers: dict[str, DataFrame], extent: str, years: list[int], day: str = "dated", cell_m: float = SETTINGS.coverage_cell_m, today: bool = True) -> DataFrame:
     """Union areas by the end of each year, from dated features only; ``today`` has all features.
 
-    Every layer is burned once, with the year of its features; each cell then has one mask for each year.
+    Every layer is burned once. A span's slot says its layer and the first year asked for that has it, so one
+    sweep of a row gives the combination of layers in every year.
     """
     names = [extent, *[n for n in layers if n != extent]]
     grid = grid_over(layers[extent], cell_m=cell_m)
-    cells = None
-    for k, name in enumerate(names):
-        part = layers[name].withColumn("_year", F.year(day) if k else F.lit(-1))  # the extent counts in every year
-        part = burn(part, F.struct(F.lit(1 << k).cast("long").alias("bit"), F.col("_year").cast("int").alias("year")), grid)
-        cells = part if cells is None else cells.unionByName(part)
     asked = [*years, *([None] if today else [])]
-    bits = [F.bit_or(F.col("mask.bit") if y is None else F.when(F.col("mask.year") <= y, F.col("mask.bit")).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i, y in enumerate(asked)]
-    merged = cells.groupBy("row", "col").agg(*bits)
-    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("mask")) for i in range(len(asked))])
-    counted = merged.select("row", F.explode(each).alias("e")).groupBy("row", "e.i", "e.mask").agg(F.count("*").alias("n"))
+    steps = sorted(set(years))
+    width = len(steps) + 1  # the last one: undated, or later than all years
+    spans = None
+    for k, name in enumerate(names):
+        year = F.year(day) if k else F.lit(steps[0] if steps else 0)  # the extent counts in every year
+        step = F.lit(len(steps))
+        for j in reversed(range(len(steps))):
+            step = F.when(year <= steps[j], j).otherwise(step)
+        part = burn(layers[name], step + k * width, grid)
+        spans = part if spans is None else spans.unionByName(part)
+    swept = runs(spans, len(names) * width)
+
+    def in_force(upto: int) -> Column:
+        return _mask([sum((F.col(f"c{k * width + j}") for j in range(1, upto + 1)), F.col(f"c{k * width}")) for k in range(len(names))])
+
+    each = F.array(*[F.struct(F.lit(i).alias("i"), in_force(len(steps) if y is None else steps.index(y)).alias("mask")) for i, y in enumerate(asked)])
+    counted = swept.select("row", "n", F.explode(each).alias("e")).where("e.mask <> 0").groupBy("row", "e.i", "e.mask").agg(F.sum("n").alias("n"))
     counted = counted.groupBy("i", "mask").agg((F.sum(F.col("n") * grid.row_area(F.col("row"))) / 1e6).alias("km2"))  # 2**layers rows a year
     out = None
     for i, year in enumerate(asked):

@@ -126,8 +126,7 @@ def _history(spark, d):
 
 @query("""SELECT o_custkey AS entity_id, max(CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 2 WHEN 'O' THEN 3 END) FILTER (WHERE CAST(o_orderdate AS DATE) <= DATE '1997-06-30') AS stage FROM orders GROUP BY 1""")
 def stage_as_of(spark, d):
-    histories = _history(spark, d).groupBy("entity_id").agg(F.collect_set(F.struct("stage", "valid_from")).alias("history"))  # one entity's events
-    return histories.select("entity_id", dates.stage_at(F.col("history"), F.lit(date(1997, 6, 30))).alias("stage"))
+    return _history(spark, d).groupBy("entity_id").agg(aggregates.reached(F.col("stage"), F.col("valid_from"), F.lit(date(1997, 6, 30))).alias("stage"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN FALSE ELSE year(o_orderdate) <= 1998 END AS drops_undated,

@@ -6,7 +6,6 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from terrane.functions import dates
 from terrane.functions import geometry as G
 from terrane.operators import aggregates, quality, resolve, search
 from terrane.plans.derived import CUSTOMERS, INSIDE, NATIONS, customer_points, nation_polygons
@@ -34,10 +33,8 @@ SELECT user_id, max(stage) FILTER (WHERE f <= DATE '2024-01-15') AS reached, max
 def interval_state(spark, d):
     stage = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).otherwise(3)
     begun = F.to_date("ts")
-    entry = F.struct(stage.alias("stage"), begun.alias("valid_from"), F.date_add(begun, 3).alias("valid_to"))
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.collect_set(entry).alias("history"))  # at most stages times days
     day = F.lit(date(2024, 1, 15))
-    return rows.select("user_id", dates.stage_at(F.col("history"), day).alias("reached"), dates.stage_within(F.col("history"), day).alias("standing"))
+    return table(spark, d, "events").groupBy("user_id").agg(aggregates.reached(stage, begun, day).alias("reached"), aggregates.standing(stage, begun, F.date_add(begun, 3), day).alias("standing"))
 
 
 @query("""WITH t AS (SELECT c_custkey AS k, c_custkey % 40 AS key, CAST(c_custkey % 9 AS DOUBLE) * CAST(0.01 AS DOUBLE) AS y FROM customer), s AS (SELECT s_suppkey AS k, s_suppkey % 40 AS key, CAST(s_suppkey % 9 AS DOUBLE) * CAST(0.01 AS DOUBLE) AS y FROM supplier),
