@@ -1,8 +1,8 @@
 """Containment joins with an explicit policy for zero, one and several matches.
 
-Polygons are cut into grid cells by their bounding box and points have one cell, so the join is
-an equi-join on cells with the box and the exact test as residuals. Spark picks the strategy:
-a small polygon table is broadcast, a large one is shuffled by cell.
+Polygons are covered by cells of three sizes (``cover``): inner ones need no test, edge ones carry only the edges
+that count there. Points have one cell of each size, and the join is an equi-join on cells with the exact test
+as residual. Spark picks the strategy: a small cover is broadcast, a large one is shuffled by cell.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
+from terrane.operators import cover
 
 CELL = 0.5
 
@@ -19,22 +20,14 @@ def _grid(value: Column, cell: float) -> Column:
     return F.floor(value / F.lit(cell)).cast("int")
 
 
-def polygon_cells(polygons: DataFrame, geom: str = "geom", cell: float = CELL) -> DataFrame:
-    """Polygons with their box, once for each cell that the box touches."""
-    boxed = polygons.withColumn("_box", G.bounds(F.col(f"{geom}.parts"))).where("_box.x0 is not null")
-    xs = F.sequence(_grid(F.col("_box.x0"), cell), _grid(F.col("_box.x1"), cell))
-    ys = F.sequence(_grid(F.col("_box.y0"), cell), _grid(F.col("_box.y1"), cell))
-    return boxed.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
-
-
 def matches(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", geom: str = "geom", cell: float = CELL) -> DataFrame:
-    """All pairs of a point and a polygon that holds it; unusable points have none."""
-    cells = polygon_cells(polygons, geom, cell)
+    """All pairs of a point and a polygon that holds it, without the geometry; unusable points have none."""
+    cells = cover.polygon_cells(polygons, geom, cell)
     usable = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    keyed = usable.withColumn("_cx", _grid(F.col(x), cell)).withColumn("_cy", _grid(F.col(y), cell))
-    near = keyed.join(cells, ["_cx", "_cy"])
-    near = near.where(F.col(x).between(F.col("_box.x0"), F.col("_box.x1")) & F.col(y).between(F.col("_box.y0"), F.col("_box.y1")))
-    return near.where(G.contains(F.col(f"{geom}.parts"), F.col(x), F.col(y))).drop("_cx", "_cy", "_box")
+    places = [F.struct(F.lit(k).alias("_level"), _grid(F.col(x), size).alias("_cx"), _grid(F.col(y), size).alias("_cy")) for k, size in enumerate(cover.sizes(cell))]
+    keyed = usable.withColumn("_place", F.explode(F.array(*places))).select("*", "_place.*").drop("_place")
+    near = keyed.join(cells, ["_level", "_cx", "_cy"])
+    return near.where(F.col("_edges").isNull() | cover.holds(F.col("_edges"), F.col(x), F.col(y))).drop("_level", "_cx", "_cy", "_edges")
 
 
 def first_match(points: DataFrame, polygons: DataFrame, key: str, value: str, order: str, fallback: Column | None = None, **names) -> DataFrame:
