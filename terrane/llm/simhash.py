@@ -23,10 +23,10 @@ RADIUS = 3
 BLOCKS = 6
 TILE_ROWS = 4096
 # The verified form: fingerprints, their radius and blocks, and what similarity means.
-PRINTS, WIDE_RADIUS, WIDE_BLOCKS = 3, 7, 9
+PRINTS, WIDE_RADIUS, WIDE_BLOCKS = 5, 7, 9
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-# Tiles of so many members or fewer send all their links, larger ones a spanning forest
-# (the verified form then joins the members of these by their rare shingles).
+# Tiles of so many members or fewer send all their links, larger ones a spanning forest. In the verified form
+# that changes how links are found, never which: see similar_groups.
 SMALL_TILE = 24
 _LONG = 1 << 16
 # Bits of the table of counts that orders shingles by rarity: 8 MB in each task at any size. Other
@@ -375,11 +375,11 @@ def similar_groups(
 ) -> DataFrame:
     """``id, component_id`` by links that are verified: Jaccard similarity of word shingles.
 
-    Candidates are pairs within ``radius`` bits in one of several fingerprints; each is held
-    against the exact similarity of its sets of ``similar_words``-word shingles. Texts of equal sets
-    are one class. Large tiles send a spanning forest of their candidates; then an exact prefix join on
-    rare shingles finds every similar pair of their members that the verified links have not joined.
-    Edge cases are those of ``near_duplicates``.
+    One rule holds whatever stands beside a pair: two texts are linked when they are within ``radius`` bits in one of
+    several fingerprints and the sets of their ``similar_words``-word shingles have the similarity. Texts of equal sets
+    are one class. Small tiles send all their candidates to be verified. Large tiles send a spanning
+    forest; what it left out is found among their members by an exact prefix join on rare
+    shingles, of which only pairs within the radius count. Edge cases are those of ``near_duplicates``.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     rows = common.materialize(sketches(rows, "_text", prints=prints, similar_words=similar_words))
@@ -393,7 +393,8 @@ def similar_groups(
     large = first.where("large")
     members = common.materialize(large.select(F.col("a").alias("cid")).union(large.select("b")).distinct())
     more = _links_across(members, roots, rows, classes, similarity, tile_rows)
-    more = common.materialize(_ordered(more).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    more = _within(_ordered(more).join(first.select("a", "b"), ["a", "b"], "left_anti"), named, radius)
+    more = common.materialize(more)
     more = common.materialize(_verified(more, rows, classes, similarity))
     member = classes.join(roots, classes.cid == roots.node, "left").select("whole", "low", F.coalesce("root", "cid").alias("root"))
     if not more.isEmpty():  # only the components of the first links are joined further
@@ -406,6 +407,13 @@ def similar_groups(
     return rows.select("_id", "whole").join(member, "whole").select(F.col("_id").alias(id_col), "component_id")
 
 
+def _within(pairs: DataFrame, named: DataFrame, radius: int) -> DataFrame:
+    """The pairs ``a, b`` that are within the radius in one of their fingerprints."""
+    both = pairs.join(named.select(F.col("cid").alias("a"), F.col("fps").alias("_fa")), "a").join(named.select(F.col("cid").alias("b"), F.col("fps").alias("_fb")), "b")
+    near = F.exists(F.zip_with("_fa", "_fb", lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius), lambda v: v)
+    return both.where(near).select("a", "b").distinct()
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 

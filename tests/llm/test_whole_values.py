@@ -84,8 +84,6 @@ def test_numbers_in_words_are_slots(spark):
 
 def test_near_copies_round_one_text(spark):
     """All Hamming candidates are verified, also in groups of more than a few dozen: the classes are those of brute force."""
-
-
     rng = random.Random(11)
     base = [f"w{rng.randrange(10**5)}" for _ in range(200)]
     texts = []
@@ -146,3 +144,62 @@ def test_sets_in_different_components_meet_by_rare_shingles(spark, bits, tile_ro
         if root[i] != root[j] and (both := len({*sets[i]} & {*sets[j]})) >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
     }
     assert got == true and len(true) > 20
+
+
+def _linked(texts):
+    """Pairs that the rule links, by brute force."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    prints = [simhash._sketch(t, 3, simhash.PRINTS, 5)[0] for t in texts]
+    for i, j in combinations(range(len(texts)), 2):
+        near = any((a ^ b).bit_count() <= simhash.WIDE_RADIUS for a, b in zip(prints[i], prints[j]))
+        if near and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            yield i, j
+
+
+def _smallest(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in range(n)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_neighbours_change_no_link(spark, seed):
+    """Similar pairs with and without many texts that are candidates of both: one rule for every size of a group."""
+    rng = random.Random(seed)
+    line = "one header line of seven plain words\n" * 60  # with it, all are candidates of each other
+    pairs = []
+    for k in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        copy = [*base[:38], "new"] if k % 2 else [base[0], "new", *base[2:]]
+        pairs += [" ".join(base), " ".join(copy)]
+    crowd = [line + " ".join(f"c{rng.randrange(10**6)}" for _ in range(60)) for _ in range(50)]
+    crowd += [line + p for p in pairs]
+    alone = _components(spark, pairs)
+    assert alone == _smallest(len(pairs), _linked(pairs))
+    whole = _components(spark, pairs + crowd)
+    assert whole == _smallest(len(pairs + crowd), _linked(pairs + crowd))
+    assert {i: whole[i] for i in alone} == alone
+
+
+@pytest.mark.parametrize("words", [20, 30, 50, 200])
+def test_candidates_hold_nine_tenths_of_similar_pairs(words):
+    rng = random.Random(words)
+    found = total = 0
+    while total < 150:
+        one = [f"w{rng.randrange(20000)}" for _ in range(words)]
+        two = list(one)
+        for _ in range(max(1, words // 40)):
+            two[rng.randrange(words)] = f"w{rng.randrange(20000)}"
+        a, b = ({tuple(w[i : i + 5]) for i in range(words - 4)} for w in (one, two))
+        if a != b and len(a & b) >= 0.8 * len(a | b):
+            total += 1
+            found += bool(list(_linked([" ".join(one), " ".join(two)])))
+    assert found >= 0.9 * total
