@@ -67,3 +67,13 @@ TRANSLITERATIONS = {
 ARTICLES = ("al", "el", "as", "ash", "ad", "at", "az", "ar", "an", "ain", "ayn")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 STAGES = (1, 2, 3, 4, 5, 6, 7)
+STAGE_LABELS = ("Land declared / seized", "Plan deposited", "Plan approved", "Tenders published", "Ground works", "Construction started", "Populated")
+MECHANISM_LABELS = {
+    "depopulation_1948": "Depopulated in 1948",
+    "settlement_post_1967": "Israeli settlement (post-1967)",
+    "land_transfer_mandate": "Mandate-era land transfer",
+    "closed_military_area": "Closed military area",
+    "barrier_severance": "Severed by the Barrier",
+}
+ENTITY_TYPES = ("settlement", "outpost", "ej_settlement", "industrial_zone")
+CONFIDENCE_LEVELS = ("exact", "matched", "ambiguous", "unresolved")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 FIELDS = ("source_id", "title", "url", "document_date", "retrieved", "note")
 
@@ -42,6 +43,60 @@ def _with_refs(member: str):
     return lambda s: s.dropFields(member).withField("evidence_ref", references(s[member]))
 
 
+def hoist_nested(rows: DataFrame, member: str = "evidence") -> tuple[DataFrame, DataFrame]:
+    """As ``hoist``, for evidence at any depth: in members of that name of structs within lists, maps and structs.
+
+    The nested type says where evidence is, so one pass rewrites all of it; each such member becomes
+    ``<member>_ref``, and no body stays behind.
+    """
+    found = [_bodies(F.col(f"`{f.name}`"), f.dataType, f.name, member) for f in rows.schema]
+    found = [c for c in found if c is not None]
+    if not found:
+        raise ValueError(f"no column holds {member}")
+    out = rows.select(*[_rewritten(F.col(f"`{f.name}`"), f.dataType, f.name, member).alias(f"{member}_ref" if _is_body(f.name, f.dataType, member) else f.name) for f in rows.schema])
+    cited = rows.select(F.explode(F.concat(*found)).alias("e"))
+    table = cited.where("e is not null").select(evidence_id(F.col("e")).alias("evidence_id"), *[F.col(f"e.{f}").alias(f) for f in FIELDS])
+    return out, table.groupBy("evidence_id").agg(*[F.min(f).alias(f) for f in FIELDS])
+
+
+def _is_body(name: str, kind: DataType, member: str) -> bool:
+    return name == member and isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType)
+
+
+def _bodies(value: Column, kind: DataType, name: str, member: str) -> Column | None:
+    """All evidence inside a value as one list, null parts as none; None if its type holds none."""
+    if _is_body(name, kind, member):
+        return F.coalesce(value, F.array().cast(kind))
+    if isinstance(kind, StructType):
+        inner = [c for f in kind if (c := _bodies(value[f.name], f.dataType, f.name, member)) is not None]
+        return F.concat(*inner) if inner else None
+    items, element = _items(value, kind)
+    if element is None or _bodies(F.lit(None), element, "", member) is None:
+        return None
+    return F.coalesce(F.flatten(F.transform(items, lambda v: _bodies(v, element, "", member))), F.array())
+
+
+def _items(value: Column, kind: DataType) -> tuple[Column, DataType | None]:
+    if isinstance(kind, ArrayType):
+        return value, kind.elementType
+    if isinstance(kind, MapType):
+        return F.map_values(value), kind.valueType
+    return value, None
+
+
+def _rewritten(value: Column, kind: DataType, name: str, member: str) -> Column:
+    if _is_body(name, kind, member):
+        return references(value)
+    if _bodies(value, kind, name, member) is None:
+        return value
+    if isinstance(kind, StructType):
+        fields = [_rewritten(value[f.name], f.dataType, f.name, member).alias(f"{member}_ref" if _is_body(f.name, f.dataType, member) else f.name) for f in kind]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, v: _rewritten(v, kind.valueType, "", member))
+    return F.transform(value, lambda v: _rewritten(v, kind.elementType, "", member))
+
+
 def dangling(rows: DataFrame, table: DataFrame, key: str, refs: str = "evidence_ref") -> DataFrame:
     """References that the table doesn't know: (key, evidence_id)."""
     used = rows.select(key, F.explode(refs).alias("evidence_id"))

@@ -11,10 +11,10 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.config import SETTINGS
+from terrane.config import CONFIDENCE_LEVELS, ENTITY_TYPES, MECHANISM_LABELS, SETTINGS, STAGE_LABELS, STAGES
 from terrane.functions import geometry as G
 from terrane.functions import text as T
-from terrane.operators import coverage, gazetteer, provenance, quality, resolve, search, spatial
+from terrane.operators import coverage, explainers, gazetteer, provenance, quality, resolve, search, spatial
 from terrane.sources import sinks, tables
 
 
@@ -151,6 +151,61 @@ def build_all(base: dict[str, DataFrame], records: DataFrame) -> dict[str, DataF
     return out
 
 
+def sidecars(tables_: dict[str, DataFrame], interviews: DataFrame | None = None, explainers_: DataFrame | None = None) -> dict[str, tuple[DataFrame, dict]]:
+    """Records and header of each JSON sidecar that the tables give; citations of explainers are hoisted like every layer's.
+
+    ``interviews`` has ``locality_id`` and the interview's columns, in ``ord``.
+    """
+    index = tables_["search_index"]
+    scripts = index.agg(F.count("arabic").alias("arabic"), F.count("hebrew").alias("hebrew"), F.count("*").alias("n")).first()
+    out = {
+        "search_index": (index.orderBy("part", "ord", "id"), {"entries": scripts.n, "arabic": scripts.arabic, "hebrew": scripts.hebrew}),
+        "locality_conflicts": (tables_["withheld"], {"note": "Withheld: each lies where a record of another name lies, so at least one position is wrong."}),
+    }
+    if "incidents_unplaced" in tables_:
+        every = tables_["incidents"].unionByName(tables_["incidents_unplaced"])
+        periodic = every.where("record_type = 'periodic_report'").select([c for c in ("title", "date", "url") if c in every.columns])
+        out["documents"] = (periodic, {"note": "Periodic reports cover whole territories: they are listed and linked, never plotted."})
+        out["incidents_unplaced"] = (tables_["incidents_unplaced"], {})
+    if interviews is not None:
+        own = [c for c in interviews.columns if c not in ("locality_id", "ord")]
+        held = F.array_sort(F.collect_list(F.struct("ord", *own)))  # one locality's interviews
+        listed = interviews.join(tables_["localities"].select("locality_id"), "locality_id", "left_semi").groupBy("locality_id").agg(held.alias("_h"))
+        out["oral_histories"] = (listed.select("locality_id", F.transform("_h", lambda h: h.dropFields("ord")).alias("interviews")), {"note": "Metadata and links only."})
+    if explainers_ is not None:
+        hoisted, table = explainers.published(explainers_)
+        out["explainers"] = (hoisted, {"claims": explainers.claims(hoisted).count()})
+        out["evidence"] = (tables_["evidence"].unionByName(table.select(*tables_["evidence"].columns)).dropDuplicates(["evidence_id"]), {})
+    elif "evidence" in tables_:
+        out["evidence"] = (tables_["evidence"], {})
+    return out
+
+
+def metadata(tables_: dict[str, DataFrame], definitions: DataFrame, built: date, build_id: str) -> dict:
+    """What the metadata document says: vocabularies, definitions and counts. Only closed vocabularies and counts are read."""
+    counts = {r.name: r.rows for r in sinks.stats(tables_).collect()}
+    return {
+        "built": built.isoformat(), "build_id": build_id,
+        "stages": [{"id": i, "label": label} for i, label in zip(STAGES, STAGE_LABELS)],
+        "extent_definitions": {r.extent_type: r.definition for r in definitions.select("extent_type", "definition").collect()},
+        "mechanisms": [{"id": k, "label": v} for k, v in MECHANISM_LABELS.items()],
+        "entity_types": list(ENTITY_TYPES), "confidence_levels": list(CONFIDENCE_LEVELS), "stats": counts,
+    }
+
+
+def publish(tables_: dict[str, DataFrame], definitions: DataFrame, path: str, built: date, interviews: DataFrame | None = None, explainers_: DataFrame | None = None) -> str:
+    """All tables, the JSON sidecars and the metadata with its evidence; returns the build id of what was written."""
+    spark = definitions.sparkSession
+    write(tables_, f"{path}/tables", built)
+    for name, (records, header) in sidecars(tables_, interviews, explainers_).items():
+        if name != "evidence":
+            sinks.write_sidecar(records, f"{path}/sidecars/{name}", **header)
+    build_id = sinks.build_id(spark, f"{path}/sidecars/*/records").first().build_id
+    evidence = sidecars(tables_, None, explainers_)["evidence"][0]
+    sinks.write_sidecar(evidence, f"{path}/meta", **metadata(tables_, definitions, built, build_id))
+    return build_id
+
+
 def write(tables_: dict[str, DataFrame], path: str, built: date) -> DataFrame:
     """Each table as Parquet, and one row of metadata for each; ``built`` is given, never today's date."""
     for name, df in tables_.items():

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
-from terrane.operators import aggregates, quality, resolve, search
+from terrane.operators import aggregates, explainers, quality, resolve, search
 from terrane.plans.derived import CUSTOMERS, INSIDE, NATIONS, customer_points, nation_polygons
 from terrane.plans.registry import query
 from terrane.session import table
@@ -95,3 +95,21 @@ def search_keys(spark, d):
 def event_labels(spark, d):
     labels = F.array_compact(F.array(F.when(F.col("value") > 50, "high"), F.when(F.col("event_type") == "click", "click")))
     return aggregates.label_tally(table(spark, d, "events").select(labels.alias("labels")), "labels")
+
+
+@query("""WITH c AS (SELECT conv_id, role, length(text) % 50 AS k FROM conversations WHERE text IS NOT NULL),
+  cites AS (SELECT conv_id, role AS source_id, CAST(k AS VARCHAR) AS title FROM c UNION ALL SELECT conv_id, 'opening', CAST(conv_id % 7 AS VARCHAR) FROM c)
+SELECT source_id, title, count(*) AS n_claims, count(DISTINCT conv_id) AS n_explainers FROM cites GROUP BY 1, 2""")
+def explainer_citations(spark, d):
+    """Conversations as explainers: each turn claims something and cites its role, and a nested source of the whole."""
+    none = F.lit(None)
+
+    def cite(source, title):
+        return F.struct(source.alias("source_id"), title.cast("string").alias("title"), none.cast("string").alias("url"), none.cast("date").alias("document_date"), none.cast("date").alias("retrieved"), F.lit("").alias("note"))
+
+    context = F.struct(F.struct(F.array(cite(F.lit("opening"), F.col("conv_id") % 7)).alias("evidence")).alias("within"))
+    claim = F.struct("turn", "text", F.array(cite(F.col("role"), F.length("text") % 50)).alias("evidence"), context.alias("context"))
+    rows = table(spark, d, "conversations").where("text is not null").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(claim)).alias("claims"))
+    hoisted, cited = explainers.published(rows)
+    flat = hoisted.select("id", F.explode("claims").alias("c")).select("id", F.explode(F.concat("c.evidence_ref", "c.context.within.evidence_ref")).alias("evidence_id"))
+    return flat.join(cited, "evidence_id").groupBy("source_id", "title").agg(F.count("*").alias("n_claims"), F.count_distinct("id").alias("n_explainers"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,18 @@ def write_split(rows: DataFrame, flag: str, path: str) -> None:
     rows.where(~kept).write.mode("overwrite").parquet(f"{path}/withheld")
 
 
+def write_sidecar(records: DataFrame, path: str, **header) -> None:
+    """A plain JSON sidecar: one line of header, and a line for each record without its empty members.
+
+    ``header`` holds plain values; ``count`` is added to it. Records are written where they are, not gathered.
+    """
+    filled = F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns]), {"ignoreNullFields": "true"})
+    records.select(filled.alias("value")).write.mode("overwrite").text(f"{path}/records")
+    count = records.sparkSession.read.text(f"{path}/records").count()
+    line = json.dumps(header | {"count": count}, ensure_ascii=False, sort_keys=True, default=str)
+    records.sparkSession.range(1).select(F.lit(line).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/header")
+
+
 def stats(tables: dict[str, DataFrame]) -> DataFrame:
     """``name, rows`` of each table."""
     out = None
@@ -39,6 +53,8 @@ def stats(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def build_id(spark, path: str) -> DataFrame:
-    """The fingerprint of all files under a path but the metadata's own."""
-    files = provenance.manifest(spark, path).where(~F.col("filename").startswith("meta")).select(F.col("filename").alias("name"), "sha256")
-    return provenance.fingerprint(files)
+    """The fingerprint of all files under a path but the metadata's own; a writer's random part of a name doesn't count."""
+    files = spark.read.format("binaryFile").load(path)
+    name = F.regexp_replace(F.regexp_extract("path", "((?:[^/]+/){0,2}[^/]+)$", 1), "-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "")
+    files = files.select(name.alias("name"), F.sha2("content", 256).alias("sha256"))
+    return provenance.fingerprint(files.where(~F.element_at(F.split("name", "/"), -1).startswith("meta")))

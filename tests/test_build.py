@@ -1,14 +1,18 @@
 """The build end to end over small fixtures, with its invariants."""
 
+import json
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from terrane.config import RESOURCE_KEYWORDS
 from terrane.functions import geometry as G
+from terrane.operators import explainers, provenance
 from terrane.plans import build
 from tests.test_operators import LOCALITY, locality, polygons
 
+EVIDENCE = "array<struct<source_id:string,title:string,url:string,document_date:date,retrieved:date,note:string>>"
+
 
 def test_build_all(spark, tmp_path):
     ev = [("src", "title", None, None, None, None)]
@@ -35,6 +39,36 @@ def test_build_all(spark, tmp_path):
     assert build.measures(read("features")).first().n == 2
 
 
+def test_publish_sidecars_and_metadata(spark, tmp_path):
+    ev = lambda s: [(s, "t", None, date(2020, 1, 1), date(2024, 1, 1), None)]
+    places = spark.createDataFrame([locality("c1", "Beit Ata Town", 0.2, 0.2, arabic="ar", evidence=ev("s1")), locality("c2", "Huwara", 0.8, 0.8, ord=1, evidence=ev("s1"))], LOCALITY)
+    index = spark.createDataFrame([("c2", 1, 0, None, None), ("c1", 0, 0, "ar", None), ("e1", 0, 1, None, "he")], "id string, ord int, part int, arabic string, hebrew string")
+    withheld = places.where("false").select("locality_id", "name", "x", "y")
+    incidents = spark.createDataFrame([("i1", "a", "field_story"), ("i2", "b", "periodic_report")], "incident_id string, title string, record_type string")
+    hoisted, table = provenance.hoist(places)
+    tables = {"localities": places, "search_index": index, "withheld": withheld, "hoisted": hoisted, "evidence": table, "incidents": incidents.limit(1), "incidents_unplaced": incidents.where("incident_id = 'i2'")}
+    interviews = spark.createDataFrame([("c1", 2, "second"), ("c1", 1, "first"), ("zz", 1, "of no place")], "locality_id string, ord int, title string")
+    claim = f"struct<text:string,evidence:{EVIDENCE}>"
+    prose = spark.createDataFrame([("x1", "T", [("Water is metered.", ev("s2"))], ["Water is metered. Or not", "Unknown. Really"]), ("x2", "U", [("Bare", [])], [])], f"id string, title string, claims array<{claim}>, unverified array<string>")
+    definitions = spark.createDataFrame([("built", "d")], "extent_type string, definition string")
+    one = build.publish(tables, definitions, str(tmp_path / "a"), date(2024, 1, 1), interviews, prose)
+    assert one == build.publish(tables, definitions, str(tmp_path / "b"), date(2025, 1, 1), interviews, prose) and len(one) == 12
+    lines = lambda n, part="records": [json.loads(r.value) for r in spark.read.text(str(tmp_path / f"a/{n}/{part}")).collect()]
+    assert [r["id"] for r in lines("sidecars/search_index")] == ["c1", "c2", "e1"] and lines("sidecars/search_index", "header")[0] == {"entries": 3, "arabic": 1, "hebrew": 1, "count": 3}
+    assert lines("sidecars/oral_histories") == [{"locality_id": "c1", "interviews": [{"title": "first"}, {"title": "second"}]}]
+    assert lines("sidecars/documents") == [{"title": "b"}] and lines("sidecars/locality_conflicts", "header")[0]["count"] == 0
+    (meta,) = lines("meta", "header")
+    assert meta["build_id"] == one and meta["stats"]["localities"] == 2 and meta["extent_definitions"] == {"built": "d"} and meta["stages"][6] == {"id": 7, "label": "Populated"}
+    cited = {r["evidence_id"] for r in lines("meta")}
+    claims = [c for r in lines("sidecars/explainers") for c in r["claims"]]
+    assert len(cited) == 2 == meta["count"] and {e for c in claims for e in c["evidence_ref"]} < cited and all("evidence" not in c for c in claims)
+    told, _ = explainers.published(prose)
+    known = spark.createDataFrame([(i,) for i in cited], "evidence_id string")
+    assert explainers.dangling(told, known).count() == 0 and [r.claim_id for r in explainers.uncited(told).collect()] == ["x2:0"]
+    assert [r.question for r in explainers.asserted_and_disclaimed(told).collect()] == ["Water is metered. Or not"]
+    assert explainers.without_claims(told).count() == 0
+
+
 def test_destruction_and_municipal(spark):
     places = spark.createDataFrame([locality("l1", "Beita Town", 1.0, 1.0), locality("l2", "Huwara", 2.0, 2.0), locality("l3", "Huwara", 3.0, 3.0)], LOCALITY)
     rows = [("Beita Town", "01/02/2025", "attack", "water tank"), ("Beita Town", "31/02/2025", "attack", "olive tree, car"), ("Beita Town", "05/01/2025", "arrest", ""), ("Huwara", "01/01/2025", "x", "y"), ("Nowhere", "", "x", "y")]
