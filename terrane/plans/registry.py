@@ -18,4 +18,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from terrane.plans import entity_queries, more_queries, relational_queries, spatial_queries, text_queries, value_queries  # noqa: E402,F401
+from terrane.plans import entity_queries, layer_queries, more_queries, relational_queries, spatial_queries, text_queries, value_queries  # noqa: E402,F401
