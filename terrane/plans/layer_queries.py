@@ -236,8 +236,8 @@ def _utm_sql() -> str:
   f AS (SELECT *, mu + {d(3 * e1 / 2 - 27 * e1**3 / 32)} * sin(2 * mu) + {d(21 * e1**2 / 16 - 55 * e1**4 / 32)} * sin(4 * mu) + {d(151 * e1**3 / 96)} * sin(6 * mu) + {d(1097 * e1**4 / 512)} * sin(8 * mu) AS phi FROM m),
   t AS (SELECT *, {d(ep)} * pow(cos(phi), 2) AS c, pow(tan(phi), 2) AS t, {d(6378137.0)} / sqrt(1 - {d(e2)} * pow(sin(phi), 2)) AS n, {d(6378137.0 * (1 - e2))} / pow(1 - {d(e2)} * pow(sin(phi), 2), 1.5) AS r FROM f),
   u AS (SELECT *, (x - 500000) / (n * {d(0.9996)}) AS w FROM t)
-SELECT pid, round(round(degrees((w - (1 + 2 * t + c) * pow(w, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * {d(ep)} + 24 * t * t) * pow(w, 5) / 120) / cos(phi)) + 33, 6), 5) AS lon,
-  round(round(degrees(phi - (n * tan(phi) / r) * (w * w / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * {d(ep)}) * pow(w, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * {d(ep)} - 3 * c * c) * pow(w, 6) / 720)), 6), 5) AS lat FROM u"""
+SELECT pid, round(degrees((w - (1 + 2 * t + c) * pow(w, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * {d(ep)} + 24 * t * t) * pow(w, 5) / 120) / cos(phi)) + 33, 6) AS lon,
+  round(degrees(phi - (n * tan(phi) / r) * (w * w / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * {d(ep)}) * pow(w, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * {d(ep)} - 3 * c * c) * pow(w, 6) / 720)), 6) AS lat FROM u"""
 
 
 @query(_utm_sql())
@@ -245,7 +245,7 @@ def utm_positions(spark, d):
     """Metres of a zone as degrees."""
     k = F.col("c_custkey")
     lon, lat = crs.to_wgs84((650000 + k * 37 % 90000).cast("double"), (3450000 + k * 91 % 160000).cast("double"), "EPSG:32636")
-    return table(spark, d, "customer").select(k.alias("pid"), F.round(lon, 5).alias("lon"), F.round(lat, 5).alias("lat"))
+    return table(spark, d, "customer").select(k.alias("pid"), lon.alias("lon"), lat.alias("lat"))
 
 
 @query("""WITH t AS (SELECT * FROM (VALUES ('layer 0', 'first'), ('layer 1', 'second'), ('layer 2', 'third'), ('layer 9', 'none')) v(extent_type, definition))
