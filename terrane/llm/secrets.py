@@ -2,7 +2,7 @@
 
 One model is of random strings, one of ordinary identifiers; both are first-order chains over
 character symbols with add-one smoothing, fitted to labelled samples. A candidate is a run of key
-characters that no base span touches and that is not a number. It is a secret when the
+characters, or what is left of one beside base spans, that is not a number. It is a secret when the
 log-likelihood ratio of its steps, random against ordinary, exceeds ``step`` for each step by
 ``evidence`` in all: one decision on length and likeness, so a short string must be the more telling.
 
@@ -152,23 +152,40 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample_do
 def scan_text(text: str, ratio: Ratio, step: float = STEP, evidence: float = EVIDENCE) -> tuple[list[tuple[int, int, str]], float]:
     """All spans of one text by start and kind, and the largest ratio of a method span (zero if none)."""
     base = base_spans(text)
-    extra, best, k, reach = [], 0.0, 0, 0
+    extra, best, k = [], 0.0, 0
+    taken = _united(base)
     for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        while k < len(base) and base[k][0] < end:  # base spans and candidates both come by start
-            reach = max(reach, base[k][1])
+        begin, end = m.span()
+        while k < len(taken) and taken[k][1] <= begin:
             k += 1
-        token = m.group()
-        if reach > start or token.isdigit():
-            continue
-        value = ratio.secret(token, step, evidence)
-        if value is not None:
-            extra.append((start, end, "random"))
-            best = max(best, value)
+        pieces, j = [], k
+        while j < len(taken) and taken[j][0] < end:  # what lies between the base spans of a run
+            pieces.append((begin, taken[j][0]))
+            begin = max(begin, taken[j][1])
+            j += 1
+        for start, stop in (*pieces, (begin, end)):
+            token = text[start:stop]
+            if token.isdigit() or not CANDIDATE.fullmatch(token):
+                continue
+            value = ratio.secret(token, step, evidence)
+            if value is not None:
+                extra.append((start, stop, "random"))
+                best = max(best, value)
     spans = sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
     return spans, best
 
 
+def _united(spans) -> list[tuple[int, int]]:
+    """Spans by start, those that meet or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for start, end, _ in spans:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
 def joined(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 

@@ -432,3 +432,15 @@ def test_tail_probabilities_agree_with_shares(spark):
     for good in (True, False):
         part = [r for r in got if ("good" in r.text) == good]
         assert abs(sum(r.tail_probability for r in part) / len(part) - sum(grades[r.doc_id] >= 1 for r in part) / len(part)) < 0.08
+
+
+def test_what_is_left_of_a_run_beside_base_spans_is_scored(spark):
+    rand, plain = secrets.labelled_strings(2000, seed=1)
+    ratio = secrets.Ratio(secrets.transitions(rand), secrets.transitions(plain))
+    key, access, hexed = "Q7zLmN8pXw2RtY5vB1kD9sZq", "AKIA" + "Q7ZL2M8P" * 2, "deadbeef" * 3
+    kinds = lambda text: [(k, text[a:b]) for a, b, k in secrets.scan_text(text, ratio)[0]]
+    assert kinds(f"see {hexed}{key} end") == [("hex", hexed), ("random", key)]
+    assert kinds(f"x={key}{access}") == [("random", f"x={key}"), ("access", access)]
+    assert kinds(f"{key}/{access}-{hexed}_{key}") == [("random", f"{key}/"), ("access", access), ("hex", hexed), ("random", f"_{key}")]
+    assert kinds(f"token={key}") == [("assign", f"token={key}")]  # nothing is left
+    assert kinds(f"{hexed}a1") == [("hex", f"{hexed}a1")] and kinds(f"short{access}") == [("access", access)]
