@@ -28,7 +28,8 @@ BLOCK_SHARE = 0.5
 Z = 1.96
 # A prior weighs at least this many pages, however far apart the members of its level are: one bad page is no verdict.
 MIN_STRENGTH = 2.0
-_MAX_RULES = 500
+# So many rules are part of the plan; more are joined. Which rule fits is the same.
+_PLAN_RULES = 500
 
 
 def split_url(url):
@@ -58,8 +59,6 @@ def split_host(name, suffixes=SUFFIXES):
 
 def judge(host, path, rules=RULES):
     """(rule, action) of the longest rule that fits, else nulls."""
-    if len(rules) > _MAX_RULES:
-        raise ValueError(f"at most {_MAX_RULES} rules: they are part of the plan")
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
     for what, rule_host, rule_path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):  # the longest is asked first
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
@@ -68,6 +67,21 @@ def judge(host, path, rules=RULES):
     return rule, action
 
 
+def ruled(split: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows (``host``, ``path``, more) with ``rule, action`` of the longest rule of a table (``action, host, path``) that fits, else nulls.
+
+    A host meets the rules of all its ends at a dot by a join, so rules are as many as there are. Of rules with one
+    text and two actions, ``block`` counts.
+    """
+    table = rules.select(F.col("host").alias("_end"), F.struct(F.length(F.concat("host", "path")).alias("size"), F.concat("host", "path").alias("rule"), F.col("action"), F.col("path").alias("begin")).alias("_rule"))
+    hosts = split.groupBy("host").agg(F.count("*").alias("_n")).select("host")
+    ends = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
+    met = hosts.select("host", F.explode(ends).alias("_end")).join(table, "_end").groupBy("host").agg(F.collect_set("_rule").alias("_rules"))  # a host's rules
+    joined = split.join(met, "host", "left")
+    best = F.array_max(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["begin"])))
+    return joined.withColumn("_best", best).select(*split.columns, F.col("_best.rule").alias("rule"), F.col("_best.action").alias("action"))
+
+
 def _strength(level: DataFrame) -> float:
     """Prior strength from members (n, k) and the means of their parents (mu), by moments."""
     spread = F.col("mu") * (1 - F.col("mu"))
@@ -116,7 +130,7 @@ def reputations(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url: str = "url", rules=RULES, block_share: float = BLOCK_SHARE, suffixes=SUFFIXES) -> DataFrame:
     """``id, host, path, rule, verdict, share, bound_low`` for each page.
 
-    ``outcomes``: labelled pages as (the id column, ``bad`` 0 or 1); null ids or labels are left
+    ``rules`` are (action, host, path): a list, or a table of any size. ``outcomes``: labelled pages as (the id column, ``bad`` 0 or 1); null ids or labels are left
     out, a page labelled twice counts twice. Null urls have an empty host and path and are judged
     like any other. Reputation is kept by the host without user, port and final dots. Null ids and repeated pages keep their rows; an empty table gives none; other
     columns are not read.
@@ -131,7 +145,12 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id",
     labelled = common.materialize(labelled.withColumn("domain", domain).withColumn("suffix", suffix))
     hosts = names.groupBy("host").agg(F.count("*").alias("_pages")).drop("_pages").withColumn("domain", domain).withColumn("suffix", suffix)
     known = common.materialize(reputations(hosts, labelled)).withColumnRenamed("host", "name")
-    rule, action = judge(F.col("host"), F.col("path"), rules)
+    if isinstance(rules, DataFrame) or len(rules) > _PLAN_RULES:
+        table = rules if isinstance(rules, DataFrame) else pages.sparkSession.createDataFrame(list(rules), "action string, host string, path string")
+        split = ruled(split, table)
+        rule, action = F.col("rule"), F.col("action")
+    else:
+        rule, action = judge(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound_low") > block_share, "block").otherwise("allow")
     return split.join(known, "name").select(
         F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(action, own).alias("verdict"),

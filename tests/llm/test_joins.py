@@ -209,3 +209,19 @@ def test_components_stop_only_when_done(spark, kind):
         root[high] = low
     got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_joined_rules_fit_like_rules_in_the_plan(spark):
+    rng = random.Random(12)
+    hosts = ["a.org", "b.a.org", "org", "x.b.a.org", "net", "a..net", "net.", "", "aorg"]
+    paths = ["", "/", "/en/", "/en/x", "/e"]
+    rules = sorted({(h, p) for h in hosts for p in paths if rng.random() < 0.5})
+    rules = [(rng.choice(["allow", "block"]), h, p) for h, p in rules]
+    urls_ = [f"http://{h}{p}{q}" for h in [*hosts, "z.net", "c.d.org", "b.aorg"] for p in paths for q in ("", "x/y")] + ["none", None]
+    df = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, bad int")
+    few = sorted(map(tuple, urls.filter_urls(df, none, rules=rules).collect()))
+    table = spark.createDataFrame(rules, "action string, host string, path string")
+    assert sorted(map(tuple, urls.filter_urls(df, none, rules=table).collect())) == few and any(r[3] for r in few)
+    many = rules + [("block", f"h{i}.example", "/") for i in range(600)]
+    assert sorted(map(tuple, urls.filter_urls(df, none, rules=many).collect())) == few
