@@ -1,9 +1,10 @@
 """Benchmark decontamination by templates: a question stays itself when its numbers and names change.
 
-Words are runs of letters and digits. A number in digits or words becomes ``#``, a word with a
-capital ``@``, a unit of measure ``%``; others are lower-cased. Windows of ``window`` template
-words are hashed and joined with those of the benchmark; windows with fewer than ``literals``
-words that are no placeholder prove nothing and are left out. Where windows of one item cover
+Words are runs of letters and digits, points and commas between digits included. A number in digits or words becomes
+``#``, a word with a capital ``@``, a unit of measure ``%``; others are lower-cased. A value is one slot
+whatever words it takes: runs of number words, of names, and a number with its unit are one token of the template.
+Windows of ``window`` tokens are hashed and joined with those of the benchmark; windows with fewer than ``literals``
+tokens that are no placeholder prove nothing and are left out. Where windows of one item cover
 ``coverage`` of it, the slots are compared: along each alignment, one value of the item must
 always be filled by one value of the document. Alignments that fail this by themselves cannot
 cancel others that cover the item alone. Windows of equal words (case aside) are a second way, for
@@ -42,9 +43,15 @@ NUMBER_WORDS = (
 ).split()
 
 
+_POINT = "\ue000"  # a private character: stands for a point or comma between digits
+
+
 def words_of(text):
     """Words of a text; an empty list for null and for texts without letters and digits."""
-    words = F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", " ")), " ")
+    joined = F.translate(F.coalesce(text, F.lit("")), _POINT, " ")
+    for _ in range(2):  # neighbours share a digit
+        joined = F.regexp_replace(joined, r"(\p{N})[.,](\p{N})", f"$1{_POINT}$2")
+    words = F.split(F.trim(F.regexp_replace(joined, rf"[^\p{{L}}\p{{N}}{_POINT}]+", " ")), " ")
     return F.filter(words, lambda w: w != "")
 
 
@@ -58,8 +65,30 @@ def placeholder(word):
     )
 
 
-def _templates(words):
-    return F.transform(words, lambda w: F.xxhash64(F.coalesce(placeholder(w), F.lower(w))))
+def _continues(before, here):
+    """Whether a word of this type belongs to the value that its predecessor's type began."""
+    return F.coalesce((before == here) | ((before == "#") & (here == "%")), F.lit(False))
+
+
+def _typed(words):
+    return F.transform(words, lambda w: F.struct(w.alias("w"), placeholder(w).alias("p")))
+
+
+def _templates(typed: str):
+    """Hashes of the template's tokens, of a column of words with their types."""
+    before = F.concat(F.array(F.lit(None).cast("struct<w:string,p:string>")), F.slice(typed, 1, F.greatest(F.size(typed) - 1, F.lit(0))))
+    pairs = F.filter(F.arrays_zip(F.col(typed).alias("here"), before.alias("before")), lambda z: ~_continues(z["before"]["p"], z["here"]["p"]))
+    return F.transform(pairs, lambda z: F.xxhash64(F.coalesce(z["here"]["p"], F.lower(z["here"]["w"]))))
+
+
+def with_tokens(rows: DataFrame, words: str, out: str) -> DataFrame:
+    """Rows with the template's tokens (``p`` type or null, ``v`` value in lower case) of a column of words."""
+    typed = rows.withColumn("_typed", _typed(F.col(words)))
+    begins = F.filter(F.sequence(F.lit(0), F.size("_typed") - 1), lambda i: (i == 0) | ~_continues(F.get("_typed", i - 1)["p"], F.get("_typed", i)["p"]))
+    begun = common.materialize(typed.withColumn("_begins", F.when(F.size("_typed") > 0, begins).otherwise(F.array().cast("array<int>"))))
+    run = lambda i, j: F.slice("_typed", i + 1, F.coalesce(F.get("_begins", j + 1), F.size("_typed")) - i)
+    value = lambda i, j: F.array_join(F.transform(run(i, j), lambda t: F.lower(t["w"])), " ")
+    return begun.withColumn(out, F.transform("_begins", lambda i, j: F.struct(F.get("_typed", i)["p"].alias("p"), value(i, j).alias("v")))).drop("_typed", "_begins")
 
 
 def _literals(words):
@@ -86,13 +115,14 @@ def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
 def benchmark_windows(items: DataFrame, literals: int = LITERALS) -> DataFrame:
     """``ik, size, n_windows, at, w``: the telling windows of each item.
 
-    Items of fewer than ``window`` words have one window of their own length; those without a
+    Items of fewer than ``window`` tokens have one window of their own length; those without a
     telling window are recognised by their literal windows alone.
     """
-    typed = items.where("not whole").select("*", _templates(F.col("item_words")).alias("t"))
-    each = typed.select("ik", "item_words", "size", F.posexplode(_windows(F.col("t"), F.col("size"))).alias("at", "w"))
-    literal = F.size(F.filter(F.slice("item_words", F.col("at") + 1, F.col("size")), lambda w: placeholder(w).isNull()))
-    each = each.where(literal >= F.least(F.lit(literals), F.col("size") - 1)).drop("item_words")
+    hashes = F.transform("item_tokens", lambda t: F.xxhash64(F.coalesce(t["p"], t["v"])))
+    typed = items.where("not whole").select("ik", "item_tokens", F.col("token_size").alias("size"), hashes.alias("t"))
+    each = typed.select("ik", "item_tokens", "size", F.posexplode(_windows(F.col("t"), F.col("size"))).alias("at", "w"))
+    literal = F.size(F.filter(F.slice("item_tokens", F.col("at") + 1, F.col("size")), lambda t: t["p"].isNull()))
+    each = each.where(literal >= F.least(F.lit(literals), F.col("size") - 1)).drop("item_tokens")
     return each.withColumn("n_windows", F.count("*").over(Window.partitionBy("ik")))  # the windows of one item
 
 
@@ -110,13 +140,14 @@ def _whole(literals):
 
 
 def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``ik, item, item_words, size, whole``: ``ik`` stands for an id and its words.
+    """``ik, item, item_words, item_tokens, size, token_size, whole``: ``ik`` stands for an id and its words.
 
     Repeated rows are one item, one id with two texts is two. Items without words can't be found and go.
     """
     items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(text).cast("string")).alias("item_words")).where(F.size("item_words") > 0)
     items = items.select(F.xxhash64("item", "item_words").alias("ik"), "item", "item_words", F.least(F.lit(window), F.size("item_words")).alias("size"), (F.size("item_words") < MIN_WORDS).alias("whole"))
-    return items.dropDuplicates(["ik"])
+    items = with_tokens(items.dropDuplicates(["ik"]), "item_words", "item_tokens")
+    return items.withColumn("token_size", F.least(F.lit(window), F.size("item_tokens")))
 
 
 def contaminated_texts(
@@ -134,14 +165,14 @@ def contaminated_texts(
     items = common.materialize(benchmark_items(benchmark, item_col, item_text, window))
     slim = benchmark_windows(items, literals).withColumn("exact", F.lit(False)).unionByName(literal_windows(items).withColumn("exact", F.lit(True)))
     slim = common.materialize(slim)  # numbers only: some 50 bytes a row
-    sizes = sorted(r[0] for r in slim.select("size").distinct().collect())  # at most ``window`` numbers
+    sizes = {kind: sorted(r.size for r in slim.select("exact", "size").distinct().collect() if r.exact == kind) for kind in (False, True)}  # at most ``window`` numbers each
     body = docs.select(F.col(text).cast("string").alias("_text")).where("_text is not null")
-    worded = body.select(*text_key(F.col("_text")), words_of(F.col("_text")).alias("words"))
-    hashed = worded.select("_k1", "_k2", _templates(F.col("words")).alias("t"), _literals(F.col("words")).alias("l"))
+    worded = body.select(*text_key(F.col("_text")), _typed(words_of(F.col("_text"))).alias("typed"))
+    hashed = worded.select("_k1", "_k2", _templates("typed").alias("t"), _literals(F.transform("typed", lambda t: t["w"])).alias("l"))
     none = F.array().cast("array<bigint>")
     short = F.when((F.size("l") > 0) & (F.size("l") < MIN_WORDS), F.array(_whole(F.col("l")))).otherwise(none)
-    # windows of all sizes and kinds in one pass over the documents
-    arrays = [w for n in sizes for w in (_windows(F.col("t"), F.lit(n)), _windows(F.col("l"), F.lit(n), F.lit("=")))]
+    # windows of all sizes and kinds that some item has, in one pass over the documents
+    arrays = [_windows(F.col("t"), F.lit(n)) for n in sizes[False]] + [_windows(F.col("l"), F.lit(n), F.lit("=")) for n in sizes[True]]
     exploded = hashed.select("_k1", "_k2", F.explode(F.array(short, *arrays)).alias("ws")).select("_k1", "_k2", F.posexplode("ws").alias("p", "w"))
     hits = exploded.join(_small(slim.drop("size")), "w").select("_k1", "_k2", "ik", "n_windows", "exact", "at", (F.col("p") - F.col("at")).alias("shift"))
     both = hits.groupBy("_k1", "_k2", "ik", "n_windows", "exact", "shift").agg(F.collect_set("at").alias("ats"))  # at most an item's windows
@@ -153,14 +184,13 @@ def contaminated_texts(
     keys = common.materialize(covered.select("_k1", "_k2").distinct())
     texts = body.select(*text_key(F.col("_text")), "_text").join(_small(keys), ["_k1", "_k2"], "left_semi")
     texts = texts.groupBy("_k1", "_k2").agg(F.min("_text").alias("_text")).select("_k1", "_k2", words_of(F.col("_text")).alias("words"))
-    hit = items.join(covered.select("ik").distinct(), "ik", "left_semi").select("ik", "item_words", "size")
+    texts = with_tokens(texts, "words", "tokens").drop("words")
+    hit = items.join(covered.select("ik").distinct(), "ik", "left_semi").select("ik", "item_tokens", F.col("token_size").alias("size"))
     pairs = aligned.join(covered, ["_k1", "_k2", "ik"]).join(hit, "ik").join(texts, ["_k1", "_k2"])
     # the slots under the windows of one alignment, as (value in the item, value in the document)
     under = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1))))
-    slots = F.filter(under, lambda i: placeholder(F.get("item_words", i)).isNotNull())
-    filled = F.array_distinct(
-        F.transform(slots, lambda i: F.struct(F.lower(F.get("item_words", i)).alias("item"), F.lower(F.get("words", i + F.col("shift"))).alias("doc")))
-    )
+    slots = F.filter(under, lambda i: F.get("item_tokens", i)["p"].isNotNull())
+    filled = F.array_distinct(F.transform(slots, lambda i: F.struct(F.get("item_tokens", i)["v"].alias("item"), F.get("tokens", i + F.col("shift"))["v"].alias("doc"))))
     pairs = pairs.select("_k1", "_k2", "ik", "n_windows", "covered", "ats", filled.alias("filled"))
     values = F.size(F.array_distinct(F.transform("filled", lambda s: s["item"])))
     pairs = pairs.withColumn("values", values).withColumn("extra", F.size("filled") - values)

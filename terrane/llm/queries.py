@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,9 @@ def tokenizer_path(name: str) -> str:
 
 
 def pii_key(spark: SparkSession) -> bytes:
-    """The secret named in the session; the driver's tables are synthetic and take a key for tests where none is named."""
-    return spark.conf.get("spark.terrane.pii.key", "a key for tests with synthetic tables only").encode()
+    """The secret named in the session; where none is named, one drawn for this query alone: nobody can undo its pseudonyms."""
+    named = spark.conf.get("spark.terrane.pii.key", None)
+    return named.encode() if named else os.urandom(32)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,27 +167,42 @@ def _op10_sql() -> str:
     slot = (
         f"CASE WHEN substr({{0}}, 1, 1) BETWEEN '0' AND '9' OR lower({{0}}) IN ({numbers}) THEN '#' WHEN substr({{0}}, 1, 1) <> lower(substr({{0}}, 1, 1)) THEN '@' WHEN {{0}} IN ({units}) THEN '%' END"
     )
-    words = r"list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+    digits = "translate(coalesce(text, ''), '\ue000', ' ')"
+    for _ in range(2):
+        digits = rf"regexp_replace({digits}, '(\p{{N}})[.,](\p{{N}})', '\1\ue000\2', 'g')".replace("\\ue000", "\ue000")
+    words = rf"list_filter(string_split(trim(regexp_replace({digits}, '[^\p{{L}}\p{{N}}\ue000]+', ' ', 'g')), ' '), lambda x: x <> '')".replace("\\ue000", "\ue000")
+
+    def tokens(name: str, words_: str, key: str) -> str:
+        """Runs of words of one type (a unit after its number too) as one token."""
+        before = "lag(p) OVER (PARTITION BY id ORDER BY i)"
+        return f"""{name} AS (SELECT id AS {key}, k AS i, any_value(p) FILTER (WHERE first) AS slot, string_agg(lower(x), ' ' ORDER BY i) AS v FROM
+    (SELECT *, sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS k FROM (SELECT *, NOT coalesce({before} = p OR ({before} = '#' AND p = '%'), FALSE) AS first FROM {words_})) GROUP BY id, k)"""
+
     consistent = f"coalesce(greatest(0, 1 - ({{1}} - {{0}}) / nullif(CAST({{0}} AS DOUBLE), 0)), 1) >= {d.CONSISTENT!r}"
     return f"""
 WITH doc AS (SELECT doc_id, {words} AS w FROM documents),
   docw AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM doc),
-  doct AS (SELECT doc_id, i, x, coalesce({slot.format("x")}, lower(x)) AS t FROM docw),
+  docs_ AS (SELECT doc_id AS id, i, x, {slot.format("x")} AS p FROM docw),
   every AS (SELECT item_id, {words} AS w FROM benchmark),
-  item AS (SELECT item_id, w, least({d.WINDOW}, len(w)) AS size FROM every WHERE len(w) >= {d.MIN_WORDS}),
-  itemw AS (SELECT item_id, size, len(w) AS n, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM item),
-  itemt AS (SELECT *, {slot.format("x")} AS slot FROM itemw),
-  wins AS (SELECT a.item_id, a.i AS pos, a.size, a.n - a.size + 1 AS n_all, string_agg(coalesce(b.slot, lower(b.x)), ' ' ORDER BY b.i) AS t, string_agg(lower(b.x), ' ' ORDER BY b.i) AS l,
-    count(*) FILTER (WHERE b.slot IS NULL) AS literals FROM itemt a JOIN itemt b ON a.item_id = b.item_id AND b.i BETWEEN a.i AND a.i + a.size - 1 WHERE a.i + a.size - 1 <= a.n GROUP BY 1, 2, 3, 4),
+  itemw AS (SELECT item_id AS id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM every WHERE len(w) >= {d.MIN_WORDS}),
+  items_ AS (SELECT *, {slot.format("x")} AS p FROM itemw),
+  {tokens("doct", "docs_", "doc_id")},
+  {tokens("itemt", "items_", "item_id")},
+  itemn AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM itemt),
+  wins AS (SELECT a.item_id, a.i AS pos, least({d.WINDOW}, a.n) AS size, string_agg(coalesce(b.slot, b.v), ' ' ORDER BY b.i) AS t, count(*) FILTER (WHERE b.slot IS NULL) AS literals
+    FROM itemn a JOIN itemn b ON a.item_id = b.item_id AND b.i BETWEEN a.i AND a.i + least({d.WINDOW}, a.n) - 1 WHERE a.i + least({d.WINDOW}, a.n) - 1 <= a.n GROUP BY 1, 2, 3),
   telling AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_windows FROM wins WHERE literals >= least({d.LITERALS}, size - 1)),
-  sizes AS (SELECT DISTINCT size FROM wins),
-  docs AS (SELECT doc_id, list(t ORDER BY i) AS t, list(lower(x) ORDER BY i) AS l FROM doct GROUP BY doc_id),
-  docwin AS (SELECT doc_id, size, p.range AS i, array_to_string(list_slice(t, p.range, p.range + size - 1), ' ') AS t, array_to_string(list_slice(l, p.range, p.range + size - 1), ' ') AS l
-    FROM docs, sizes, range(1, 40000) p WHERE p.range + size - 1 <= len(docs.t)),
-  hits AS (SELECT DISTINCT doc_id, item_id, n_windows, telling.pos, telling.size, docwin.i - telling.pos AS shift FROM docwin JOIN telling ON docwin.t = telling.t AND docwin.size = telling.size),
+  wordn AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM itemw),
+  plain AS (SELECT a.id AS item_id, a.i AS pos, least({d.WINDOW}, a.n) AS size, a.n - least({d.WINDOW}, a.n) + 1 AS n_all, string_agg(lower(b.x), ' ' ORDER BY b.i) AS l
+    FROM wordn a JOIN wordn b ON a.id = b.id AND b.i BETWEEN a.i AND a.i + least({d.WINDOW}, a.n) - 1 WHERE a.i + least({d.WINDOW}, a.n) - 1 <= a.n GROUP BY 1, 2, 3, 4),
+  docs AS (SELECT id AS doc_id, list(lower(x) ORDER BY i) AS l FROM docs_ GROUP BY id),
+  doctl AS (SELECT doc_id, list(coalesce(slot, v) ORDER BY i) AS t FROM doct GROUP BY doc_id),
+  docwint AS (SELECT doc_id, size, p.range AS i, array_to_string(list_slice(t, p.range, p.range + size - 1), ' ') AS t FROM doctl, (SELECT DISTINCT size FROM telling), range(1, 40000) p WHERE p.range + size - 1 <= len(t)),
+  docwin AS (SELECT doc_id, size, p.range AS i, array_to_string(list_slice(l, p.range, p.range + size - 1), ' ') AS l FROM docs, (SELECT DISTINCT size FROM plain), range(1, 40000) p WHERE p.range + size - 1 <= len(l)),
+  hits AS (SELECT DISTINCT doc_id, item_id, n_windows, telling.pos, telling.size, docwint.i - telling.pos AS shift FROM docwint JOIN telling ON docwint.t = telling.t AND docwint.size = telling.size),
   covered AS (SELECT doc_id, item_id, count(DISTINCT pos) / CAST(any_value(n_windows) AS DOUBLE) AS covered FROM hits GROUP BY 1, 2 HAVING count(DISTINCT pos) / CAST(any_value(n_windows) AS DOUBLE) >= {d.COVERAGE!r}),
-  under AS (SELECT DISTINCT h.doc_id, h.item_id, h.shift, i.i, lower(i.x) AS v FROM hits h JOIN covered USING (doc_id, item_id) JOIN itemt i ON i.item_id = h.item_id AND i.i BETWEEN h.pos AND h.pos + h.size - 1 WHERE i.slot IS NOT NULL),
-  filled AS (SELECT DISTINCT u.doc_id, u.item_id, u.shift, u.v, lower(t.x) AS f FROM under u JOIN doct t ON t.doc_id = u.doc_id AND t.i = u.i + u.shift),
+  under AS (SELECT DISTINCT h.doc_id, h.item_id, h.shift, i.i, i.v FROM hits h JOIN covered USING (doc_id, item_id) JOIN itemt i ON i.item_id = h.item_id AND i.i BETWEEN h.pos AND h.pos + h.size - 1 WHERE i.slot IS NOT NULL),
+  filled AS (SELECT DISTINCT u.doc_id, u.item_id, u.shift, u.v, t.v AS f FROM under u JOIN doct t ON t.doc_id = u.doc_id AND t.i = u.i + u.shift),
   counted AS (SELECT doc_id, item_id, shift, count(DISTINCT v) AS values_, count(*) AS fills FROM filled GROUP BY 1, 2, 3),
   judged AS (SELECT h.doc_id, h.item_id, h.n_windows, h.pos, h.shift, c.covered, coalesce(k.values_, 0) AS values_, coalesce(k.fills, 0) AS fills
     FROM hits h JOIN covered c USING (doc_id, item_id) LEFT JOIN counted k USING (doc_id, item_id, shift)),
@@ -193,7 +211,7 @@ WITH doc AS (SELECT doc_id, {words} AS w FROM documents),
   own AS (SELECT doc_id, item_id, count(DISTINCT pos) / CAST(any_value(n_windows) AS DOUBLE) AS own FROM judged WHERE {consistent.format("values_", "fills")} GROUP BY 1, 2),
   typed AS (SELECT doc_id, item_id, CASE WHEN {consistent.format("values_", "fills")} THEN covered ELSE own END AS covered
     FROM whole LEFT JOIN own USING (doc_id, item_id) WHERE {consistent.format("values_", "fills")} OR own >= {d.COVERAGE!r}),
-  equal AS (SELECT doc_id, item_id, count(DISTINCT wins.pos) / CAST(any_value(n_all) AS DOUBLE) AS covered FROM docwin JOIN wins ON docwin.l = wins.l AND docwin.size = wins.size GROUP BY 1, 2
+  equal AS (SELECT doc_id, item_id, count(DISTINCT plain.pos) / CAST(any_value(n_all) AS DOUBLE) AS covered FROM docwin JOIN plain ON docwin.l = plain.l AND docwin.size = plain.size GROUP BY 1, 2
     UNION ALL SELECT d.doc_id, e.item_id, 1.0 FROM docs d JOIN every e ON len(e.w) BETWEEN 1 AND {d.MIN_WORDS - 1} AND d.l = list_transform(e.w, lambda x: lower(x))),
   found AS (SELECT * FROM typed UNION ALL SELECT * FROM equal WHERE covered >= {d.COVERAGE!r} AND NOT EXISTS (SELECT 1 FROM typed t WHERE t.doc_id = equal.doc_id AND t.item_id = equal.item_id)),
   by_doc AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items, max(covered) AS coverage FROM found GROUP BY 1)

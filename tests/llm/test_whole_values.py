@@ -82,6 +82,25 @@ def test_numbers_in_words_are_slots(spark):
     assert _verdicts(spark, [item.replace("three", "12").replace("seven", "forty")], [item]) == {0: "0"}
 
 
+def test_values_of_several_words_are_one_slot(spark):
+    """The same question with numbers of another form, names of other lengths, and units."""
+    item = "a worker is paid 12.5 dollars an hour on weekdays and 18.25 dollars on sundays and pays 4.75 for lunch so how much is left after 17.25 hours of work in one week"
+    other = item.replace("12.5", "9").replace("18.25", "21").replace("4.75", "3").replace("17.25", "1,012")
+    names = "on monday John lends the new book to Maria who reads it for a week before Maria gives the book back to John and asks for another one"
+    longer = names.replace("John", "Paul van Dyk Smith".replace(" van ", " Van ")).replace("Maria", "Mary Ann Lee")
+    words = "a shop sells twenty-five boxes at 1,200 each in may and then at 1,950 each in june so how much more does the shop take for the same boxes in june"
+    digits = words.replace("twenty-five", "30").replace("1,200", "850").replace("1,950", "975")
+    found = _verdicts(spark, [f"Text before. {other} Text after.", longer, digits, "other text"], [item, names, words])
+    assert found == {0: "0", 1: "1", 2: "2", 3: ""}
+
+
+def test_long_texts_and_points_are_tokens(spark):
+    item = "the pump moves 3.5 litres each minute into a tank that holds 70 litres when it is full so how long does the tank take"
+    long = " ".join(f"w{i} 1.{i}" for i in range(20_000))
+    texts = [long + " " + item.replace("3.5", "2,000.25").replace("70", "9"), long, "... 1.,2 ,3. \ue000", item.replace("3.5", "three and a half")]
+    assert _verdicts(spark, texts, [item]) == {0: "0", 1: "", 2: "", 3: "0"}
+
+
 def test_near_copies_round_one_text(spark):
     """All Hamming candidates are verified, also in groups of more than a few dozen: the classes are those of brute force."""
     rng = random.Random(11)
