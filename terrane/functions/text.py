@@ -30,6 +30,47 @@ def strip_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, marked, plain), r"\p{M}+", "")
 
 
+#: Blocks of the scripts that names are written in here: Latin with its signs, Hebrew, Arabic, and their presentation forms.
+_SCRIPTS = ((0xA0, 0x370), (0x590, 0x780), (0x8A0, 0x900), (0x1AB0, 0x1B00), (0x1DC0, 0x1F00), (0x2000, 0x2190), (0xFB00, 0xFE30), (0xFE70, 0xFF00), (0xFF00, 0xFFF0))
+
+
+def _class(points: list[int]) -> str:
+    """A character class of code points, runs as ranges."""
+    out, at = [], 0
+    while at < len(points):
+        end = at
+        while end + 1 < len(points) and points[end + 1] == points[end] + 1:
+            end += 1
+        out.append(f"\\x{{{points[at]:x}}}-\\x{{{points[end]:x}}}")
+        at = end + 1
+    return "[" + "".join(out) + "]"
+
+
+@lru_cache(1)
+def _decompositions() -> tuple[str, str, dict[str, str], str, str]:
+    """(characters of one letter, those letters, characters of several, a class of these, a class of what goes)."""
+    single, several, gone = {}, {}, []
+    for point in (p for begin, end in _SCRIPTS for p in range(begin, end)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c))
+        if not base:
+            gone.append(point)
+        elif base != chr(point):
+            (single if len(base) == 1 else several)[chr(point)] = base
+    return "".join(single), "".join(single.values()), several, _class(sorted(map(ord, several))), _class(gone)
+
+
+def decomposed(text: Column) -> Column:
+    """Compatibility decomposition without combining characters, for the scripts named above; other characters stay.
+
+    All in the JVM: letters of one part by ``translate``, ligatures and other signs of several parts by a map, which only texts that hold one pay for.
+    """
+    marked, plain, several, many, gone = _decompositions()
+    t = F.translate(text, marked, plain)
+    parts = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    written_out = F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(parts, c), c)), "")
+    return F.regexp_replace(F.when(t.rlike(many), written_out).otherwise(t), gone, "")
+
+
 @F.pandas_udf(StringType())
 def nfkd(text: pd.Series) -> pd.Series:
     """Full compatibility decomposition without combining characters, for scripts beyond Latin."""
@@ -47,12 +88,12 @@ def _squeeze(text: Column) -> Column:
 def normalise(text: Column, exact_unicode: bool = False, fold_first: bool = False) -> Column:
     """Fold spelling variants of a name: marks, case, articles, signs, white space, doubled letters.
 
-    ``exact_unicode`` uses full NFKD (an Arrow function) in place of the Latin table. With
+    ``exact_unicode`` uses full NFKD (an Arrow function) in place of the tables for Latin, Hebrew and Arabic. With
     ``fold_first`` transliterations are folded before articles are stripped, so "Ayn X" and
     "Ein X" meet. Null gives the empty string.
     """
     text = F.coalesce(text, F.lit(""))
-    t = nfkd(text) if exact_unicode else strip_accents(text)
+    t = nfkd(text) if exact_unicode else decomposed(text)
     t = F.lower(F.translate(t, "'’ʻʼ", "    "))
     if fold_first:
         t = fold_transliteration(_squeeze(t))
