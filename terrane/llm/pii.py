@@ -11,6 +11,7 @@ key's holder can undo it. E-mail addresses are permuted letter by letter class w
 from __future__ import annotations
 
 import hmac
+import ipaddress
 import re
 from datetime import date
 from functools import lru_cache
@@ -22,24 +23,35 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from . import common
 
 ROUNDS = 10
-KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date")
+KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "ipv6", "date")
 
 # The shapes that are looked for; each is validated before it counts.
 _SHAPES = {
-    "email": r"(?<![\w.+%-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])",
+    "email": r"(?<![\wÀ-ɏ.+%-])[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ._%+-]*[A-Za-z0-9À-ɏ_%+-])?@(?:[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ-]*[A-Za-z0-9À-ɏ])?\.)+[A-Za-z]{2,}(?![\w-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
-    "date": r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/]|[.-][0-9])",
+    "ipv6": r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.[0-9])",
+    "date": r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![\w/]|[.-][0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}",
     "phone": r"(?<![\w+(.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])",
     "intl": r"(?<![\w+])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![\w-])",
+    "exit": r"(?<![\w+.-])00[1-9][0-9]{0,2}[ .-]\(?[0-9](?:[ .()-]{0,2}[0-9]){5,12}(?![\w-]|[.,][0-9])",
+    "trunk": r"(?<![\w+(.-])(?:\(0[1-9][0-9]{0,3}\) ?|0[1-9][0-9]{0,3}[ -])[0-9]{2,4}(?:[ -][0-9]{2,4}){1,3}(?![\w-]|[.,][0-9])",
 }
 _PATTERN = re.compile("|".join(f"(?P<{name}>{shape})" for name, shape in _SHAPES.items()), re.ASCII)
 _ALONE = {name: re.compile(shape, re.ASCII) for name, shape in _SHAPES.items()}
 _CARD_DIGITS = 13
-_ANY = re.compile("[0-9@]")
-_IBAN_LENGTH = {"DE": 22, "FR": 27, "ES": 24, "GB": 22, "IT": 27, "NL": 18, "BE": 16, "AT": 20, "CH": 21, "PT": 25, "PL": 28, "SE": 24, "IE": 22, "LU": 20, "DK": 18, "FI": 18, "NO": 15}
+_ANY = re.compile("[0-9@]|::")
+# Lengths of IBANs by country, as the registry has them.
+_IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28,
+    "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 # Country calling codes of one and two digits; all others have three.
 _CODES_1 = ("1", "7")
 _CODES_2 = (
@@ -125,6 +137,8 @@ class Pseudonyms:
             return kind if _iban_ok(value.replace(" ", "")) else None
         if kind == "ipv4":
             return kind if all(int(p) < 256 and (p == "0" or p[0] != "0") for p in value.split(".")) else None
+        if kind == "ipv6":
+            return kind if _ipv6(value) is not None else None
         if kind == "date":
             return kind if _date(value) else None
         if kind == "ssn":
@@ -133,6 +147,8 @@ class Pseudonyms:
             return kind if luhn(digits) and len(set(digits)) > 1 else None
         if kind == "phone":
             return kind if 10 <= len(digits) <= 13 else None
+        if kind == "trunk":
+            return "phone" if 9 <= len(digits) <= 11 else None
         return "phone" if 8 <= len(digits) <= 15 else None
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
@@ -188,6 +204,10 @@ class Pseudonyms:
             a, b, c, d = map(int, value.split("."))
             x = self.feistel.permute(((a * 256 + b) * 256 + c) * 256 + d, 1 << 32, "ipv4", back)
             return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+        if kind == "ipv6":  # written in full: how far an address can be shortened depends on its zeros
+            x = self.feistel.permute(_ipv6(value), 1 << 128, "ipv6", back)
+            full = ipaddress.IPv6Address(x).exploded
+            return full.upper() if value != value.lower() else full
         if kind == "date":
             day, *notation = _date(value)
             x = day - _FIRST_DAY
@@ -197,9 +217,12 @@ class Pseudonyms:
                 if _writes(new, *notation):
                     return _render(new, *notation)
         if kind == "phone":
-            head = _country_code(digits) if value.startswith("+") else ""
+            head = _country_code(digits) if value.startswith("+") else "00" + _country_code(digits[2:]) if digits.startswith("00") else "0" if digits[0] == "0" else ""
             rest = digits[len(head) :]
-            national = self._walk(rest, "phone" + head, lambda d: d[0] not in "01" or rest[0] in "01", back) if rest[0] not in "01" else self._digits(rest, "phone0" + head, back)
+            if head == "0":
+                return _fill(value, head + self._walk(rest, "phone trunk", lambda d: d[0] != "0", back), "d")
+            low = rest[0] in "01"  # numbers that begin so stay among themselves
+            national = self._walk(rest, ("phone0" if low else "phone") + head, lambda d: (d[0] in "01") == low, back)
             return _fill(value, head + national, "d")
         code = value.replace(" ", "")  # iban
         classes = "".join("d" if c.isdigit() else "u" for c in code[4:])
@@ -258,34 +281,41 @@ def _country_code(digits: str) -> str:
     return digits[:1] if digits[:1] in _CODES_1 else digits[:2] if digits[:2] in _CODES_2 else digits[:3]
 
 
+def _ipv6(value: str) -> int | None:
+    """The number of an address of eight groups, or of three and more with a run of zeros left out."""
+    if value.count(":") < 7 and ("::" not in value or sum(bool(g) for g in value.split(":")) < 3):
+        return None
+    try:
+        return int(ipaddress.IPv6Address(value))
+    except ValueError:
+        return None
+
+
 def _date(value: str):
-    """(day, notation, digits of the day, digits of the month) of a valid date from 1900 to 2099, or None.
+    """(day, order and sign, digits of the day, digits of the month) of a valid date from 1900 to 2099, or None.
 
-    With slashes a second number of 13 and over is the day, else the month.
+    A year stands first or last. With slashes or hyphens and the year last, a second number of 13 and over is the day, else the month.
     """
-    style = next(s for s in "-/." if s in value)
-    parts = re.split("[-/.]", value)
+    sign = next(s for s in "-/." if s in value)
+    parts = value.split(sign)
     numbers = [int(p) for p in parts]
-    year, month, d = (0, 1, 2) if style == "-" else (2, 1, 0)
-    if style == "/" and numbers[1] > 12:
-        style, month, d = "m", 0, 1
+    order = "ymd" if len(parts[0]) == 4 else "mdy" if sign != "." and numbers[1] > 12 else "dmy"
+    year, month, d = (order.index(c) for c in "ymd")
     try:
         day = date(numbers[year], numbers[month], numbers[d]).toordinal()
     except ValueError:
         return None
-    return (day, style, len(parts[d]), len(parts[month])) if _FIRST_DAY <= day <= _LAST_DAY else None
+    return (day, order + sign, len(parts[d]), len(parts[month])) if _FIRST_DAY <= day <= _LAST_DAY else None
 
 
 def _writes(day: date, style: str, day_digits: int, month_digits: int) -> bool:
     """Whether a day has this notation and width."""
-    return (day_digits > 1 or day.day < 10) and (month_digits > 1 or day.month < 10) and (style != "m" or day.day > 12)
+    return (day_digits > 1 or day.day < 10) and (month_digits > 1 or day.month < 10) and (style[:3] != "mdy" or day.day > 12)
 
 
 def _render(day: date, style: str, day_digits: int, month_digits: int) -> str:
-    if style == "-":
-        return day.isoformat()
-    d, m = f"{day.day:0{day_digits}d}", f"{day.month:0{month_digits}d}"
-    return f"{m}/{d}/{day.year}" if style == "m" else f"{d}{style}{m}{style}{day.year}"
+    written = {"y": str(day.year), "m": f"{day.month:0{month_digits}d}", "d": f"{day.day:0{day_digits}d}"}
+    return style[3].join(written[c] for c in style[:3])
 
 
 def pseudonymize(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:

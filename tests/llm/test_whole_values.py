@@ -25,6 +25,35 @@ def test_other_values_before_numbers_are_found():
     assert p.replace("runs 1234 5678 9012 3456 7890 12 and 4539148803436467124")[1] == []
 
 
+@pytest.mark.parametrize(
+    "kind, value",
+    [
+        *[("date", d) for d in ("31-12-1999", "12-31-1999", "1-2-2003", "2020/01/31", "2020/1/3", "2020.12.01", "1999-12-31", "31.12.1999", "12/31/1999")],
+        *[("phone", n) for n in ("0044 20 7946 0958", "00353 1 234 5678", "020 7946 0958", "(020) 7946 0958", "01 23 45 67 89", "030-123-4567")],
+        *[("iban", i) for i in ("GR1601101250000000012300695", "TR33 0006 1005 1978 6457 8413 26", "CZ6508000000192000145399", "NO9386011117947", "MT84MALT011000012345MTLCAST001S")],
+        *[("email", e) for e in ("user@exämple.com", "jürgen.groß@example.org", "plain@example.com")],
+        ("ipv6", "2001:0DB8:0000:0000:0000:8A2E:0370:7334"), ("ipv6", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"),
+    ],
+)
+def test_values_of_many_notations_are_replaced_and_undone(kind, value):
+    p = pii.Pseudonyms(b"k")
+    new, spans = p.replace(f"see {value}, then")
+    assert spans == [(kind, 4, 4 + len(value))] and value not in new
+    pseudonym = new[4:-6]
+    assert p.replace(f"see {pseudonym}, then")[1] == [(kind, 4, 4 + len(pseudonym))]  # still one of its kind
+    assert len(pseudonym) == len(value) and p._pseudonym(kind, pseudonym, back=True) == value
+
+
+def test_an_address_in_short_form_is_linked_with_its_full_form():
+    p = pii.Pseudonyms(b"k")
+    assert p.replace("2001:db8::8a2e:370:7334")[0] == p.replace("2001:0db8:0000:0000:0000:8a2e:0370:7334")[0]
+
+
+@pytest.mark.parametrize("text", ["12:34:56", "std::vector a::b", "version 1.02.33", "0123456789", "room 012 34", "32-13-1999", "2020/13/01", "GR1601101250000000012300696", "00 12 34", "007"])
+def test_what_only_looks_like_personal_data_stays(text):
+    assert pii.Pseudonyms(b"k").replace(text) == (text, [])
+
+
 def _components(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
