@@ -25,8 +25,8 @@ TILE_ROWS = 4096
 # The verified form: fingerprints, their radius and blocks, and what similarity means.
 PRINTS, WIDE_RADIUS, WIDE_BLOCKS = 5, 7, 9
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-# Tiles of so many members or fewer send all their links, larger ones a spanning forest. In the verified form
-# that changes how links are found, never which: see similar_groups.
+# Links in tiles of so many members or fewer are looked for all at once, in larger ones one member after another. In the
+# verified form that changes how links are found, never which: see similar_groups.
 SMALL_TILE = 24
 _LONG = 1 << 16
 # Bits of the table of counts that orders shingles by rarity: 8 MB in each task at any size. Other
@@ -117,8 +117,12 @@ def _forest(fp, chunk, cross: bool, radius: int, seed: int = 0):
     return np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=int)
 
 
-def _tile_links(frame, radius: int, small: int = SMALL_TILE):
-    """Index pairs of links in whole tiles: small tiles all at once by shifts, large ones one by one."""
+def _tile_links(frame, radius: int, small: int = SMALL_TILE, sparse: bool = False):
+    """Index pairs of links in whole tiles: small tiles all at once by shifts, large ones one by one.
+
+    With ``sparse`` a member of a small tile keeps one link, to the first that it is linked with before it, else to the last after it:
+    whoever has a link is in a pair, but pairs don't grow with the square of a tile.
+    """
     import numpy as np
 
     starts = common.group_starts(frame, ["key", "tile"])
@@ -128,6 +132,7 @@ def _tile_links(frame, radius: int, small: int = SMALL_TILE):
     keys = frame["key"].to_numpy()
     is_small = (sizes <= small)[group]
     pairs = []
+    before, after = np.full(len(fp), len(fp)), np.full(len(fp), -1)
     for shift in range(1, min(small, int(sizes.max()))):
         ok = (group[shift:] == group[:-shift]) & is_small[shift:]
         i = np.flatnonzero(ok)
@@ -135,7 +140,13 @@ def _tile_links(frame, radius: int, small: int = SMALL_TILE):
             break
         j = i + shift
         near = (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (~cross[i] | (chunk[i] != chunk[j]))
-        pairs.append(np.stack([i[near], j[near]]))
+        if sparse:
+            before[j[near]], after[i[near]] = i[near], j[near]  # further shifts are farther away
+        else:
+            pairs.append(np.stack([i[near], j[near]]))
+    if sparse:
+        low, high = np.flatnonzero(before < len(fp)), np.flatnonzero((before == len(fp)) & (after >= 0))
+        pairs.append(np.concatenate([np.stack([before[low], low]), np.stack([high, after[high]])], axis=1))
     for g in np.flatnonzero(sizes > small):
         a, b = starts[g], starts[g + 1]
         pairs.append(_forest(fp[a:b], chunk[a:b], bool(cross[a]), radius, int(keys[a])) + a)
@@ -167,23 +178,20 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile_r
     return _tiles(classes, radius, blocks, tile_rows, node).mapInArrow(run, "a long, b long")
 
 
-def _marked_links(classes: DataFrame, radius: int, blocks: int, tile_rows: int) -> DataFrame:
-    """The edges ``a, b`` of ``links`` between column ``cid``, once each; ``large`` where one is from a large tile."""
+def _some_links(classes: DataFrame, radius: int, blocks: int, tile_rows: int) -> DataFrame:
+    """Edges ``a, b`` between column ``cid``, once each: every row that has a link is in one, and large tiles send a spanning forest."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for frame in common.group_batches(batches, ["key", "tile"]):
-            i, j = _tile_links(frame, radius)
+            i, j = _tile_links(frame, radius, sparse=True)
             nodes = frame["node"].to_numpy()
-            sizes = np.diff(common.group_starts(frame, ["key", "tile"]))
-            large = np.repeat(sizes > SMALL_TILE, sizes)[i]
-            a, b = np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(large)], names=["a", "b", "large"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[i], nodes[j])), pa.array(np.maximum(nodes[i], nodes[j]))], names=["a", "b"])
 
-    found = _tiles(classes, radius, blocks, tile_rows, "cid").mapInArrow(run, "a long, b long, large boolean")
-    return found.where("a <> b").groupBy("a", "b").agg(F.max("large").alias("large"))
+    found = _tiles(classes, radius, blocks, tile_rows, "cid").mapInArrow(run, "a long, b long")
+    return found.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("_n")).select("a", "b")
 
 
 def _bucket(shingles, bits: int):
@@ -377,7 +385,7 @@ def similar_groups(
 
     One rule holds whatever stands beside a pair: two texts are linked when they are within ``radius`` bits in one of
     several fingerprints and the sets of their ``similar_words``-word shingles have the similarity. Texts of equal sets
-    are one class. Small tiles send all their candidates to be verified. Large tiles send a spanning
+    are one class. Large tiles send a spanning
     forest; what it left out is found among their members by an exact prefix join on rare
     shingles, of which only pairs within the radius count. Edge cases are those of ``near_duplicates``.
     """
@@ -387,15 +395,17 @@ def similar_groups(
     classes = common.materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "whole", "low", "n"))
     named = common.materialize(rows.select("whole", "fps").distinct().join(classes.select("whole", "cid"), "whole").select("cid", "fps"))
     each = named.select("cid", F.posexplode("fps").alias("print", "fp")).distinct()
-    first = common.materialize(_marked_links(each, radius, blocks, tile_rows))
+    first = common.materialize(_some_links(each, radius, blocks, tile_rows))
     verified = common.materialize(_verified(first, rows, classes, similarity))
     roots = common.connected_components(verified)
-    large = first.where("large")
-    members = common.materialize(large.select(F.col("a").alias("cid")).union(large.select("b")).distinct())
+    common.release(verified)
+    members = common.materialize(first.select(F.col("a").alias("cid")).union(first.select("b")).distinct())
     more = _links_across(members, roots, rows, classes, similarity, tile_rows)
     more = _within(_ordered(more).join(first.select("a", "b"), ["a", "b"], "left_anti"), named, radius)
-    more = common.materialize(more)
-    more = common.materialize(_verified(more, rows, classes, similarity))
+    near = common.materialize(more)
+    more = common.materialize(_verified(near, rows, classes, similarity))
+    for table in (first, members, named, near):  # nothing below reads these
+        common.release(table)
     member = classes.join(roots, classes.cid == roots.node, "left").select("whole", "low", F.coalesce("root", "cid").alias("root"))
     if not more.isEmpty():  # only the components of the first links are joined further
         for end in ("a", "b"):
