@@ -40,6 +40,11 @@ def round_summary(long: DataFrame) -> DataFrame:
     return counted.join(top, "round", "left").select("round", "n", F.col("t.dated").alias("dated"), F.coalesce("mixed", F.lit(False)).alias("mixed"))
 
 
+def round_timeline(long: DataFrame) -> DataFrame:
+    """Rounds that have a date, by date."""
+    return round_summary(long).where("dated is not null").orderBy("dated", "round")
+
+
 def shares(rows: DataFrame, key: str, value: Column, digits: int = 2) -> DataFrame:
     """Sum by key and its share of the whole; the whole is one row's window over the sums."""
     summed = rows.groupBy(key).agg(F.sum(value).alias("total"))

@@ -41,6 +41,17 @@ def keyed_json(spark: SparkSession, path: str, member: str) -> DataFrame:
     return rows.where(~F.col("key").startswith("_")).select("key", "v.*")
 
 
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """Landed answers of a catalogue's package search: ``package, format, url, place`` of every resource, in order.
+
+    Packages without resources have none; answers that can't be read are skipped.
+    """
+    package = "struct<name:string,resources:array<struct<format:string,url:string>>>"
+    answers = spark.read.text(path, wholetext=True).select(F.from_json("value", f"result struct<results:array<{package}>>").alias("a"))
+    packages = answers.select(F.explode("a.result.results").alias("p"))
+    return packages.select(F.col("p.name").alias("package"), F.posexplode("p.resources").alias("place", "r")).select("package", "r.format", "r.url", "place")
+
+
 def registry(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """The fixed table of sources."""
     return spark.createDataFrame(rows, SOURCE)
