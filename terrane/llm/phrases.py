@@ -27,7 +27,7 @@ COVERED_PERCENT = 80
 SCORE_SCALE = 2_000_000
 MAX_BITS = 30
 _RANGE_BITS = 16
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 4 << 20
 _HELD = 1 << 20
 _PIECE_BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BLANKS = b" \t"
@@ -188,9 +188,9 @@ class Held:
         values, counts = np.unique(buckets, return_counts=True)
         self.buckets.append((values, np.minimum(counts if weight is None else np.full(len(values), weight), self.least)))
         self.size += len(values)
-        if self.size > 8 * _HELD:
+        if self.size > 3 * _HELD:
             self._merge()
-            if self.size > 4 * _HELD:
+            if self.size > 2 * _HELD:
                 yield from self.bucket_rows()
 
     def _merge(self):
