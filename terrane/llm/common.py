@@ -104,13 +104,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def tiled(keyed: DataFrame, spread: str, tile_rows: int) -> DataFrame:
     """Deal rows that share ``key`` into tiles of bounded size that together meet every pair.
 
-    Keys of one row go. A key of ``n`` rows has ``c = ceil(n / tile_rows)`` chunks by the hash
+    A key of ``n`` rows has ``c = ceil(n / tile_rows)`` chunks by the hash
     of ``spread``; tile (i, j) holds chunks i and j. Adds ``tile`` and ``chunk``; ``cross`` says
     that only pairs from different chunks count there.
+
+    Rows exploded to keys look to Spark as small as the table that they come from, so the counts are what is broadcast, or nothing:
+    those of all keys that have several rows (keys of one row go), or where these are many of the keys
+    that have several chunks (keys of one row stay, as tiles of one row).
     """
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
-    rows = keyed.join(sizes, "key")
-    chunks = F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int")
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"))
+    how = "inner"
+    if sizes.count() > BROADCAST_ROWS:
+        sizes, how = sizes.where(F.col("_n") > tile_rows), "left"
+    few = how == "inner" or sizes.count() <= BROADCAST_ROWS
+    rows = keyed.join(F.broadcast(sizes) if few else sizes.hint("merge"), "key", how)
+    chunks = F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(tile_rows)).cast("int")
     rows = rows.withColumn("_c", chunks).withColumn("chunk", F.pmod(F.xxhash64(F.col(spread)), F.col("_c")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_c") - 1))
     rows = rows.withColumn("_o", other)

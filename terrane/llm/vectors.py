@@ -235,6 +235,8 @@ def _linked(cells: DataFrame, threshold: float, block_dims: int, tile_rows: int)
             starts = common.group_starts(frame, ["key", "tile"])
             out_a, out_b, out_n = [], [], []
             for s, e in zip(starts, starts[1:]):
+                if e - s < 2:
+                    continue
                 tile = frame.iloc[s:e]
                 # rows of another label, block, code or length share a key only when hashes meet
                 for (_, block, _, _), part in tile.groupby([tile["label"], tile["block"], tile["code"], tile["vec"].str.len()]):

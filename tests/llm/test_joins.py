@@ -225,3 +225,20 @@ def test_joined_rules_fit_like_rules_in_the_plan(spark):
     assert sorted(map(tuple, urls.filter_urls(df, none, rules=table).collect())) == few and any(r[3] for r in few)
     many = rules + [("block", f"h{i}.example", "/") for i in range(600)]
     assert sorted(map(tuple, urls.filter_urls(df, none, rules=many).collect())) == few
+
+
+@pytest.mark.parametrize("most,tile_rows", [(500_000, 10), (20, 10), (0, 10), (0, 1000)])
+def test_tiles_bring_every_pair_of_a_key_together_once(spark, tmp_path, monkeypatch, most, tile_rows):
+    rows = [(k, 1000 * k + i) for k, n in enumerate([1, 2, 35, 9, 1, *[3] * 30, 12]) for i in range(n)]
+    spark.createDataFrame(rows, "k long, node long").write.parquet(f"{tmp_path}/rows")
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    keyed = spark.read.parquet(f"{tmp_path}/rows").select("node", F.explode(F.array(F.col("k"), F.col("k") + 100)).alias("key"))
+    tiles = common.tiled(keyed, "node", tile_rows)
+    plan = tiles._jdf.queryExecution().sparkPlan().toString()  # what is exploded is never broadcast, nor are many counts
+    assert "BuildLeft" not in plan and ("BuildRight" in plan) == (most > 0 or tile_rows == 1000)
+    pairs = []
+    for (key, _), part in tiles.toPandas().groupby(["key", "tile"]):
+        members = list(zip(part["node"], part["chunk"], part["cross"]))
+        pairs += [(key, *sorted((a, b))) for i, (a, c, cross) in enumerate(members) for b, d, _ in members[:i] if not cross or c != d]
+    want = {(k + more, a, b) for k, a in rows for j, b in rows for more in (0, 100) if j == k and a < b}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
