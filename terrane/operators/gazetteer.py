@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from terrane.config import SETTINGS
 from terrane.functions import text as T
 
+# Phrases up to which a list of them is broadcast.
+BROADCAST_PHRASES = 100_000
+
 
 def index(localities: DataFrame, settings=SETTINGS, guarded: bool = True) -> DataFrame:
     """``norm, locality_id``: normalised variants; with ``guarded`` no short or generic ones."""
@@ -22,11 +25,14 @@ def longest_phrases(texts: DataFrame, phrases: DataFrame, key: str, text: str, n
     """The longest phrases, ties kept, that stand in each text as whole words: ``key, norm``.
 
     Texts become their word n-grams up to the longest phrase and meet phrases by equality, so
-    the join is keyed whatever the size of either side.
+    the join is keyed whatever the size of either side. Spark takes n-grams to be as small as their texts, so they
+    must never be what is broadcast: a few phrases are, many meet them in a sorted join.
     """
     if max_words is None:
         max_words = phrases.agg(F.max(F.size(F.split(norm, " ")))).first()[0] or 1
     known = phrases.select(F.col(norm).alias("norm")).distinct()
+    few = known.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES
+    known = F.broadcast(known) if few else known.hint("merge")
     words = F.split(F.col(text) if already_normal else T.normalise(F.col(text)), " ")
     rows = texts.select(key, words.alias("_w")).where(F.size("_w") > 0)
     grams = F.flatten(

@@ -182,3 +182,15 @@ def test_tallies(spark):
 def test_invariant_report(spark, areas, points):
     checks = {"rings": quality.open_rings(areas), "range": quality.out_of_range(areas, 0, 0, 5, 5), "outside": quality.points_outside(points, areas, "pid"), "blank": quality.blank_strings(points, ["label"])}
     assert {r.invariant: r.violations for r in quality.report(checks).collect()} == {"rings": 0, "range": 1, "outside": 3, "blank": 1}
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_ngrams_are_never_broadcast(spark, tmp_path, monkeypatch, most):
+    rows = [(1, "of the old town"), (2, "the old"), (3, "none here"), (4, "old town of old town")]
+    spark.createDataFrame(rows, "id int, t string").write.parquet(f"{tmp_path}/texts")
+    known = spark.createDataFrame([("the old",), ("old town",), ("old",), ("old",)], "norm string")
+    monkeypatch.setattr(gazetteer, "BROADCAST_PHRASES", most, raising=False)
+    found = gazetteer.longest_phrases(spark.read.parquet(f"{tmp_path}/texts"), known, "id", "t", already_normal=True)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildLeft" not in plan and ("BuildRight" in plan) == (most > 0)
+    assert sorted(map(tuple, found.collect())) == [(1, "old town"), (2, "the old"), (4, "old town")]
