@@ -220,10 +220,18 @@ def apply_overrides(localities: DataFrame, overrides: DataFrame, key: str = "loc
 
 
 def propagate_names(targets: DataFrame, sources: DataFrame, field: str = "hebrew", settings=SETTINGS) -> DataFrame:
-    """A missing field from the first source of the same compared name within the wide radius."""
+    """A missing field from the first source of the same compared name within the wide radius.
+
+    Positions meet, not records: of the sources of one name at one position only the first counts, and targets of one
+    name at one position get the same. So pairs grow with the different positions in reach, never with the records there.
+    """
     t = targets.where(F.col(field).isNull()).select("locality_id", "x", "y", T.compare_key(F.col("name")).alias("_key"))
     s = sources.where(F.col(field).isNotNull()).select(F.col("x").alias("_x"), F.col("y").alias("_y"), "ord", F.col(field).alias("_value"), T.compare_key(F.col("name")).alias("_key"))
+    first = F.min(F.when(F.col("ord").isNotNull(), F.struct("ord", "_value"))).alias("_first")
+    s = s.groupBy("_key", "_x", "_y").agg(first)
+    at = ["_key", "x", "y"]
     cells = ["_key", "_cx", "_cy"]  # a common name is one key for each cell, not one for all
-    near = G.own_cell(t, "x", "y").join(G.around(s, "_x", "_y"), cells).where(G.metres(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= settings.wide_radius_m)
-    found = near.groupBy("locality_id").agg(F.min_by("_value", "ord").alias("_value"))
+    near = G.own_cell(t.select(*at).distinct(), "x", "y").join(G.around(s, "_x", "_y"), cells).where(G.metres(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= settings.wide_radius_m)
+    places = near.groupBy(*at).agg(F.min("_first").alias("_first"))
+    found = t.join(places, at).groupBy("locality_id").agg(F.min("_first")["_value"].alias("_value"))
     return targets.join(found, "locality_id", "left").withColumn(field, F.coalesce(field, "_value")).drop("_value")

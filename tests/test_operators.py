@@ -194,3 +194,23 @@ def test_ngrams_are_never_broadcast(spark, tmp_path, monkeypatch, most):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "BuildLeft" not in plan and ("BuildRight" in plan) == (most > 0)
     assert sorted(map(tuple, found.collect())) == [(1, "old town"), (2, "the old"), (4, "old town")]
+
+
+def test_names_propagate_between_positions_not_records(spark, monkeypatch):
+    names = ("olive", "harbour")
+    targets = [(f"t{i}", names[i % 2], 35.0, (i % 3) * 0.015, "own" if i % 10 == 0 else None) for i in range(120)] + [("t1", "olive", 36.0, 0.0, None), ("none", "olive", None, 0.0, None)]
+    sources = [((i * 7) % 90, names[i % 2], 35.0, 0.01 + (i % 2) * 0.02, f"h{i}" if i % 4 else None) for i in range(90)] + [(None, "olive", 35.0, 0.0, "unordered"), (-1, "olive", 36.0, 0.0, "far")]
+    t = spark.createDataFrame(targets, "locality_id string, name string, x double, y double, hebrew string")
+    s = spark.createDataFrame(sources, "ord long, name string, x double, y double, hebrew string")
+    met, own_cell, around = [], G.own_cell, G.around
+    monkeypatch.setattr(G, "own_cell", lambda rows, *a: met.append(rows.count()) or own_cell(rows, *a))
+    monkeypatch.setattr(G, "around", lambda rows, *a: met.append(rows.count()) or around(rows, *a))
+    got = sorted((r.locality_id, r.x or 0.0, r.hebrew or "") for r in resolve.propagate_names(t, s).collect())
+
+    def reach(i):
+        for j, n, x, y, own in targets:
+            if j == i and own is None and x is not None:
+                yield from ((o, v) for o, m, a, b, v in sources if m == n and v and o is not None and abs(a - x) < 0.02 and abs(b - y) * 111320 <= 2500)
+
+    assert got == sorted((i, x or 0.0, own or min(reach(i), default=(0, ""))[1]) for i, n, x, y, own in targets)
+    assert max(met) <= 8
