@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -28,10 +29,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def dealt(rows: DataFrame, key: str, order: list[str], parts: int | None = None) -> DataFrame:
-    """All rows in (key, order), their partition as ``_part``; the parts never change again."""
+    """All rows in (key, order), their partition as ``_part``; the parts never change again. Rows with nested columns get a ``_row``."""
     by = [F.col(c) for c in (key, *order)]
     spread = rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)
-    return checkpointed(spread.sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()))
+    spread = spread.sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
+    if any(isinstance(f.dataType, (ArrayType, MapType, StructType)) for f in rows.schema):
+        spread = spread.withColumn("_row", F.monotonically_increasing_id())
+    return checkpointed(spread)
 
 
 def borders(pinned: DataFrame, key: str) -> list[tuple[int, object, object]]:
@@ -43,10 +47,11 @@ def borders(pinned: DataFrame, key: str) -> list[tuple[int, object, object]]:
 def walked(pinned: DataFrame, key: str, columns: list[str], begin: Callable, step: Callable, out: str, kind: str) -> DataFrame:
     """Rows with ``out``: ``step(state, row values)`` gives it and the next state; ``begin(part)`` the state of a part's first key.
 
-    ``begin(None)`` is the state of any other key. A task holds one state and one Arrow batch.
+    ``begin(None)`` is the state of any other key. A task holds one state and one Arrow batch. Nested columns, which can be
+    large and are many times as large in Python, never go there: a walk over ``_row`` is joined with them.
     """
-    schema = pinned.drop("_part").schema.add(out, kind)
-    names = pinned.columns
+    names = list(dict.fromkeys(["_part", "_row", key, *columns])) if "_row" in pinned.columns else pinned.columns
+    schema = pinned.select(*[c for c in names if c != "_part"]).schema.add(out, kind)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = object(), None
@@ -60,7 +65,11 @@ def walked(pinned: DataFrame, key: str, columns: list[str], begin: Callable, ste
                 values.append(value)
             yield frame.assign(**{out: pd.Series(values, index=frame.index, dtype=object)}).drop(columns="_part")
 
-    return pinned.select(*names).mapInPandas(run, schema)
+    found = pinned.select(*names).mapInPandas(run, schema)
+    if "_row" not in names:
+        return found
+    found = found.select("_row", out).hint("shuffle_hash")
+    return pinned.drop("_part").join(found, "_row").drop("_row")
 
 
 def last_kept(rows: DataFrame, key: str, order: list[str], x: str, y: str, far: Callable[[float, float, float, float], bool], parts: int | None = None) -> DataFrame:

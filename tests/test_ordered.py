@@ -61,3 +61,15 @@ def test_a_large_mixed_family_is_many_parts(spark):
     got = resolve.unique_ids(df, "key", "ord", parts=6)
     slots = got.select(((F.length("unique_id") - 1) / 2).cast("int").alias("s"))
     assert slots.distinct().count() == n and slots.agg(F.max("s")).first()[0] == n - 1
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_nested_columns_stay_out_of_python(spark, monkeypatch, parts):
+    rows = [("ab"[i % 2], i, [float(i)] * (i % 5), {"k": str(i)}) for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, ord int, shape array<double>, facts map<string,string>")
+    sent, run = [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, *a, **k: sent.append(self.columns) or run(self, *a, **k))
+    got = resolve.unique_ids(df, "key", "ord", parts=parts)
+    assert got.columns == [*df.columns, "unique_id"]
+    assert sorted((r.ord, r["shape"], r.facts, r.unique_id) for r in got.collect()) == [(i, shape, facts, key + "-2" * (i // 2)) for key, i, shape, facts in rows]
+    assert sent and not any({"shape", "facts"} & set(columns) for columns in sent)
