@@ -88,7 +88,7 @@ def unique_id_suffix(spark, d):
 @query("""SELECT 'pom-' || h.c_custkey AS historic_id, 'loc-' || c.c_custkey AS current_id, 94.5 AS metres, FALSE AS wide FROM customer h JOIN customer c ON h.c_custkey = c.c_custkey + 1 WHERE c.c_custkey % 2 = 0""")
 def reconciled_pairs(spark, d):
     """Places are found by position and by names of two spellings."""
-    pairs = build.reconcile(_localities(spark, d, False), _localities(spark, d, True))["pairs"]
+    pairs = resolve.matched_pairs(_localities(spark, d, False), _localities(spark, d, True))
     return pairs.select("historic_id", "current_id", F.round("distance_m", 1).alias("metres"), "wide")
 
 

@@ -113,3 +113,9 @@ def test_records_of_one_place_and_position_are_merged(spark):
     # every record's evidence is somewhere, or the record is withheld
     assert {e.source_id for r in rows.values() for e in r.evidence} == {"s1", "s2", "s3", "s4", "h1", "h2", "h3"}
     assert {w.locality_id for w in out["withheld"].collect()} == {"pom-4", "pom-5"}
+
+
+def test_pairs_and_judgements_are_made_once(spark):
+    none = spark.createDataFrame([], LOCALITY)
+    plan = build.reconcile(none, none)["localities"]._jdf.queryExecution().analyzed().toString()
+    assert "_hk" not in plan and "Window" not in plan
