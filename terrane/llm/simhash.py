@@ -32,6 +32,10 @@ _LONG = 1 << 16
 # Bits of the table of counts that orders shingles by rarity: 8 MB in each task at any size. Other
 # bits change how many pairs are compared, never which links are found.
 RANK_BITS = 20
+# Links that a member keeps of those which the tiles find, nearest first in each of so many parts; what they leave out the prefix join finds.
+KEPT_LINKS = 16
+# Bits of a shingle set's bitmap in the prefix join: rows of 64 bytes. Other bits change how many pairs are compared, never which links are found.
+MAP_BITS = 512
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -178,8 +182,13 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile_r
     return _tiles(classes, radius, blocks, tile_rows, node).mapInArrow(run, "a long, b long")
 
 
-def _some_links(classes: DataFrame, radius: int, blocks: int, tile_rows: int) -> DataFrame:
-    """Edges ``a, b`` between column ``cid``, once each: every row that has a link is in one, and large tiles send a spanning forest."""
+def _some_links(classes: DataFrame, radius: int, blocks: int, tile_rows: int, kept: int | None = None) -> DataFrame:
+    """Edges ``a, b`` between column ``cid``, once each: every row that has a link is in one, and rows choose ``kept`` links or fewer.
+
+    Links of a row fall into ``kept`` parts by a hash of both ends, and of each part it chooses the nearest. So there are at most ``kept`` edges for
+    each row with a link, whatever the number of keys and the size of groups.
+    """
+    kept = KEPT_LINKS if kept is None else kept
 
     def run(batches):
         import numpy as np
@@ -187,11 +196,18 @@ def _some_links(classes: DataFrame, radius: int, blocks: int, tile_rows: int) ->
 
         for frame in common.group_batches(batches, ["key", "tile"]):
             i, j = _tile_links(frame, radius, sparse=True)
-            nodes = frame["node"].to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[i], nodes[j])), pa.array(np.maximum(nodes[i], nodes[j]))], names=["a", "b"])
+            nodes, fp = frame["node"].to_numpy(), frame["fp"].to_numpy().view(np.uint64)
+            columns = [np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j]), np.bitwise_count(fp[i] ^ fp[j]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["a", "b", "d"])
 
-    found = _tiles(classes, radius, blocks, tile_rows, "cid").mapInArrow(run, "a long, b long")
-    return found.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("_n")).select("a", "b")
+    found = _tiles(classes, radius, blocks, tile_rows, "cid").mapInArrow(run, "a long, b long, d int")
+    found = common.materialize(found.where("a <> b").groupBy("a", "b").agg(F.min("d").alias("d")))
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(kept)).alias("part")
+    ends = [found.select(F.col(x).alias("x"), F.col(y).alias("y"), "d", part) for x, y in (("a", "b"), ("b", "a"))]
+    chosen = ends[0].union(ends[1]).groupBy("x", "part").agg(F.min(F.struct("d", "y"))["y"].alias("y"))
+    chosen = common.materialize(chosen.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    common.release(found)
+    return chosen
 
 
 def _bucket(shingles, bits: int):
@@ -219,7 +235,7 @@ def _rarity(sets: DataFrame, bits: int):
 
 
 def _prefixes(sets: DataFrame, similarity: float, bits: int) -> DataFrame:
-    """``key, place, node, root, n``: the rarest shingles of each set, one of which every similar set shares."""
+    """``key, place, node, root, n, map``: the rarest shingles of each set, one of which every similar set shares, and a bitmap of the set."""
     counts = _rarity(sets, bits)
 
     def run(batches):
@@ -234,9 +250,29 @@ def _prefixes(sets: DataFrame, similarity: float, bits: int) -> DataFrame:
                 place = np.flatnonzero(often[first] > 1)
                 own = [np.full(len(place), v, dtype=np.int64) for v in (node, root, len(s))]
                 columns = [s[first[place]].astype(np.int64), place, *own]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "place", "node", "root", "n"])
+                maps = pa.array([_bitmap(s)] * len(place), pa.binary())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), maps], names=["key", "place", "node", "root", "n", "map"])
+
+    sets = sets.select("cid", "root", "s").where(F.size("s") > 0)
+    return sets.mapInArrow(run, "key long, place long, node long, root long, n long, map binary")
+
+
+def _bitmap(shingles) -> bytes:
+    """Which of ``MAP_BITS`` low values the shingles have."""
+    import numpy as np
+
+    held = np.zeros(MAP_BITS, dtype=np.uint8)
+    held[np.asarray(shingles, dtype=np.int32).view(np.uint32) & np.uint32(MAP_BITS - 1)] = 1
+    return np.packbits(held).tobytes()
+
+
+def _shared_at_most(n, maps, m, map_):
+    """Bound on what sets of ``n`` shingles share with one of ``m``: each bit that one bitmap has alone is a shingle that the other set lacks."""
+    import numpy as np
 
-    return sets.select("cid", "root", "s").where(F.size("s") > 0).mapInArrow(run, "key long, place long, node long, root long, n long")
+    own = np.bitwise_count(maps & ~map_).sum(axis=1, dtype=np.int64)
+    others = np.bitwise_count(map_ & ~maps).sum(axis=1, dtype=np.int64)
+    return np.minimum(n - own, m - others)
 
 
 def _links_across(
@@ -246,7 +282,8 @@ def _links_across(
 
     Shingles are ordered by how often the members hold them, rarest first. Sets of ``n`` and ``m``
     shingles with similarity ``t`` share ``t / (1 + t) * (n + m)`` or more, so the first one they share
-    stands early in both, and enough follow it. A set whose rare shingles are all its own meets nothing.
+    stands early in both, and enough follow it. A set whose rare shingles are all its own meets nothing. Bitmaps of the sets
+    rule out most pairs that share one and aren't similar before they leave the task.
     """
     wanted = members.join(roots.withColumnRenamed("node", "_n"), F.col("cid") == F.col("_n"), "left").select("cid", F.coalesce("root", "cid").alias("root"))
     wanted = classes.select("cid", "whole").join(wanted, "cid")
@@ -262,8 +299,9 @@ def _links_across(
         for frame in common.group_batches(batches, ["key", "tile"]):
             starts = common.group_starts(frame, ["key", "tile"])
             columns, held, count = [frame[c].to_numpy() for c in ("place", "node", "root", "n", "chunk", "cross")], [], 0
+            columns.append(np.frombuffer(b"".join(frame["map"]), dtype=np.uint64).reshape(-1, MAP_BITS // 64))
             for lo, hi in zip(starts[:-1], starts[1:]):
-                place, node, root, n, chunk, cross = (c[lo:hi] for c in columns)
+                place, node, root, n, chunk, cross, maps = (c[lo:hi] for c in columns)
                 values, sizes = np.unique(root, return_counts=True)
                 most, order = values[sizes.argmax()], np.arange(hi - lo)
                 for at in np.flatnonzero(root != most):  # the largest component meets the others, never itself
@@ -271,6 +309,8 @@ def _links_across(
                     near &= np.minimum(n - place, n[at] - place[at]) >= share * (n + n[at]) - 1e-9
                     if cross[0]:
                         near &= chunk != chunk[at]
+                    near = np.flatnonzero(near)
+                    near = near[_shared_at_most(n[near], maps[near], n[at], maps[at]) >= share * (n[near] + n[at]) - 1e-9]
                     other = node[near]
                     if not len(other):
                         continue
@@ -386,7 +426,7 @@ def similar_groups(
     One rule holds whatever stands beside a pair: two texts are linked when they are within ``radius`` bits in one of
     several fingerprints and the sets of their ``similar_words``-word shingles have the similarity. Texts of equal sets
     are one class. Large tiles send a spanning
-    forest; what it left out is found among their members by an exact prefix join on rare
+    forest, and each text keeps ``KEPT_LINKS`` candidates of all tiles; what these left out is found among their members by an exact prefix join on rare
     shingles, of which only pairs within the radius count. Edge cases are those of ``near_duplicates``.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
@@ -395,7 +435,7 @@ def similar_groups(
     classes = common.materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "whole", "low", "n"))
     named = common.materialize(rows.select("whole", "fps").distinct().join(classes.select("whole", "cid"), "whole").select("cid", "fps"))
     each = named.select("cid", F.posexplode("fps").alias("print", "fp")).distinct()
-    first = common.materialize(_some_links(each, radius, blocks, tile_rows))
+    first = _some_links(each, radius, blocks, tile_rows)
     verified = common.materialize(_verified(first, rows, classes, similarity))
     roots = common.connected_components(verified)
     common.release(verified)
