@@ -13,7 +13,8 @@ items or copies whose words are mostly placeholders; they cover every item. Item
 DataFrame functions only.
 
 What is found depends on the text alone, so documents are told apart by two hashes of their text,
-and copies share one verdict.
+and copies share one verdict. Most texts hold nothing of a benchmark, so texts without a clue are left out first: each window has
+literal words that stand together in it, and a text that holds the window holds these too, whatever fills its slots.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ LITERALS = 5
 MIN_WORDS = 4
 COVERAGE = 0.6
 CONSISTENT = 0.8
+# Clues that are part of the plan; more are joined.
+CLUES_IN_PLAN = 5_000
 # Units of measure.
 UNITS = (
     "mm cm km kg mg ml cl dl lb lbs oz ft inch inches feet foot yard yards mile miles meter meters metre metres kilometer kilometers"
@@ -48,11 +51,9 @@ _POINT = "\ue000"  # a private character: stands for a point or comma between di
 
 def words_of(text):
     """Words of a text; an empty list for null and for texts without letters and digits."""
-    joined = F.translate(F.coalesce(text, F.lit("")), _POINT, " ")
-    for _ in range(2):  # neighbours share a digit
-        joined = F.regexp_replace(joined, r"(\p{N})[.,](\p{N})", f"$1{_POINT}$2")
-    words = F.split(F.trim(F.regexp_replace(joined, rf"[^\p{{L}}\p{{N}}{_POINT}]+", " ")), " ")
-    return F.filter(words, lambda w: w != "")
+    joined = F.replace(F.coalesce(text, F.lit("")), F.lit(_POINT), F.lit(" "))
+    joined = F.regexp_replace(joined, r"(\p{N})[.,](?=\p{N})", f"$1{_POINT}")  # neighbours share a digit
+    return F.filter(F.split(joined, rf"[^\p{{L}}\p{{N}}{_POINT}]+"), lambda w: w != "")
 
 
 def placeholder(word):
@@ -150,6 +151,78 @@ def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text: str =
     return items.withColumn("token_size", F.least(F.lit(window), F.size("item_tokens")))
 
 
+def _beside(left, right, by: int, checked: bool = False):
+    """Hash of each element of ``left`` with the one ``by`` places on in ``right``; ``checked``: null where one is null or missing."""
+    both = lambda x, y: F.xxhash64(x, y)
+    return F.zip_with(left, F.slice(right, by + 1, 1 << 30), (lambda x, y: F.when(x.isNotNull() & y.isNotNull(), both(x, y))) if checked else both)
+
+
+def _let(value, then):
+    """``then`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _by_length(hashes, then, checked: bool = False):
+    """``then`` of the hashes of 1, 2, 3 and 4 neighbours."""
+    fours = lambda h, h2: then(h, h2, _beside(h2, h, 2, checked), _beside(h2, h2, 2, checked))
+    return _let(hashes, lambda h: _let(_beside(h, h, 1, checked), lambda h2: fours(h, h2)))
+
+
+def clues(items: DataFrame, windows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """``n, key``, once each: hashes of ``n`` neighbouring literal words, one of which every text has that holds an item.
+
+    A window's clue are as many of its words as stand together, four at most; of several places the one with the smallest hash, so
+    that windows share clues. An item is found where ``coverage`` of its windows are, so any windows that are more than the rest have one
+    of these among them; those with the longest clues are taken. ``n`` is null for a window without literal words, and 0 for a whole text.
+    """
+    literal = F.transform("item_tokens", lambda t: F.when(t["p"].isNull(), F.xxhash64(t["v"])))
+    rows = windows.join(items.select("ik", "whole", literal.alias("_t"), _literals(F.col("item_words")).alias("_l")), "ik")
+
+    def best(*hashes):
+        found = F.lit(None).cast("struct<n:int,key:bigint>")
+        for n, h in enumerate(hashes, 1):
+            key = F.array_min(F.slice(h, F.col("at") + 1, F.greatest(F.col("size") - n + 1, F.lit(0))))
+            found = F.when(key.isNotNull(), F.struct(F.lit(n).alias("n"), key.alias("key"))).otherwise(found)
+        return found
+
+    words = F.when(F.col("exact"), F.col("_l")).otherwise(F.col("_t"))
+    whole = F.struct(F.lit(0).alias("n"), F.col("w").alias("key"))
+    rows = rows.select("ik", "exact", "n_windows", F.when(F.col("whole"), whole).otherwise(_by_length(words, best, checked=True)).alias("c"))
+    place = F.row_number().over(Window.partitionBy("ik", "exact").orderBy(F.col("c.n").desc_nulls_last(), "c.key"))  # the windows of one item
+    enough = F.floor((1 - coverage) * F.col("n_windows") + 1e-9) + 1
+    return rows.withColumn("_place", place).where(F.col("_place") <= enough).select("c.n", "c.key").distinct()
+
+
+def suspects(body: DataFrame, found: DataFrame, in_plan: int = CLUES_IN_PLAN) -> DataFrame:
+    """The rows of ``body`` (column ``_text``) whose text holds a clue; all of them if a clue has no word.
+
+    Few clues are part of the plan, more are joined.
+    """
+    found = common.materialize(found)
+    few = found.limit(in_plan + 1).collect()
+    lengths = {r.n for r in (few if len(few) <= in_plan else found.select("n").distinct().collect())}  # a few numbers
+    if None in lengths:
+        return body
+    literals = _literals(words_of(F.col("_text")))
+    whole = lambda h: F.when((F.size(h) > 0) & (F.size(h) < MIN_WORDS), F.array(_whole(h))).otherwise(F.array().cast("array<bigint>"))
+    used = lambda *hashes: [(n, h) for n, h in enumerate((whole(hashes[0]), *hashes)) if n in lengths]
+    if len(few) <= in_plan:
+
+        def holds(*hashes):
+            held = F.lit(False)
+            for n, h in used(*hashes):
+                keys = [r.key for r in few if r.n == n]
+                held = held | F.exists(h, lambda k: k.isin(keys))  # noqa: B023 - made at once
+            return held
+
+        return body.where(_by_length(literals, holds))
+    all_keys = _by_length(literals, lambda *hashes: F.concat(*[h for _, h in used(*hashes)]))
+    # not a column but an expression is exploded: for a column Spark adds a filter on its size, which works it all out again
+    hits = body.select(*text_key(F.col("_text")), F.explode(all_keys).alias("key")).join(_small(found.select("key").distinct()), "key", "left_semi")
+    keyed = common.materialize(hits.select("_k1", "_k2").distinct())
+    return body.select(*text_key(F.col("_text")), "_text").join(_small(keyed), ["_k1", "_k2"], "left_semi").select("_text")
+
+
 def contaminated_texts(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -167,7 +240,7 @@ def contaminated_texts(
     slim = common.materialize(slim)  # numbers only: some 50 bytes a row
     sizes = {kind: sorted(r.size for r in slim.select("exact", "size").distinct().collect() if r.exact == kind) for kind in (False, True)}  # at most ``window`` numbers each
     body = docs.select(F.col(text).cast("string").alias("_text")).where("_text is not null")
-    worded = body.select(*text_key(F.col("_text")), _typed(words_of(F.col("_text"))).alias("typed"))
+    worded = suspects(body, clues(items, slim, coverage)).select(*text_key(F.col("_text")), _typed(words_of(F.col("_text"))).alias("typed"))
     hashed = worded.select("_k1", "_k2", _templates("typed").alias("t"), _literals(F.transform("typed", lambda t: t["w"])).alias("l"))
     none = F.array().cast("array<bigint>")
     short = F.when((F.size("l") > 0) & (F.size("l") < MIN_WORDS), F.array(_whole(F.col("l")))).otherwise(none)
